@@ -5,13 +5,61 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard_join
+from . import jaccard_join, line_dedup, mixing, sharding
 from .common import table
 
 
+def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.word_count("text"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op10_ngram_jaccard_join,)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join)}
+
+_BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op8_pareto_mixing": r"""
+WITH base AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         (CAST(('0x' || substr(md5('8:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+  FROM documents),
+per AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
+weighed AS (SELECT *, CAST([3, 1, 2][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS DOUBLE) AS weight FROM per),
+roomy AS (SELECT *, 2.0 * source_size / weight AS room FROM weighed),
+levels AS (
+  SELECT *, (1.5 * sum(source_size) OVER () - 2.0 * (sum(source_size) OVER (ORDER BY room, source NULLS LAST ROWS UNBOUNDED PRECEDING) - source_size))
+            / sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM roomy),
+lev AS (SELECT level FROM levels WHERE level <= room ORDER BY room, level LIMIT 1),
+t AS (SELECT source, source_size, CAST(least(coalesce((SELECT level FROM lev) * weight, 2.0 * source_size), 2.0 * source_size) AS DOUBLE) AS target FROM roomy),
+w AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS whole FROM t),
+r AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM w),
+ranked AS (
+  SELECT base.doc_id, base.size, r.source_size, r.target, r.whole, r.rest,
+         sum(base.size) OVER (PARTITION BY base.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
+  FROM base JOIN r ON base.source IS NOT DISTINCT FROM r.source),
+c AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM ranked)
+SELECT doc_id, size, source_size, target, copies, CAST(size * copies AS BIGINT) AS taken FROM c""",
+    "op9_line_dedup": f"""
+WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, unnest(range(1, len(parts) + 1)) AS i FROM parts),
+keyed AS (SELECT *, translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+shared AS (SELECT k, max(doc_id) AS keeper FROM (SELECT DISTINCT doc_id, k FROM keyed WHERE length(k) >= 20) GROUP BY k HAVING count(*) >= 3),
+told AS (SELECT keyed.*, coalesce(keeper <> doc_id, false) AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM told GROUP BY doc_id""",
+}
