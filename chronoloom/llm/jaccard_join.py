@@ -2,7 +2,7 @@
 
 Plan: (1) shingles that are frequent in whole batches go last in the global order of shingles, so that no prefix ends up full of a passage everyone shares;
 (2) one pass writes, per document, the set's size and 128-bit digest, a parity bitmap and the prefix, the prefix once per batch and group of documents with equal prefix and size;
-(3) postings of the groups are sorted by shingle; lists with one group go; each member is paired with the first of its list that is large enough, and verified;
+(3) postings of the groups are sorted by shingle; lists with one group go; each member is paired with a few hubs of its list, and verified;
 (4) members that this has not yet connected are paired within each list (size and position filters), verified, and connected. What is left out are only pairs
 whose ends are known to be connected, so the components are those of all links.
 """
@@ -130,41 +130,58 @@ def _runs(batches, columns: int):
         yield held
 
 
-def _leaders(percent: int):
-    """Sorted (token, np, g) -> the rows of tokens with several groups, each with the group that its run pairs it with."""
+def _several(batches):
+    """Sorted (token, g, np) -> the rows of tokens with several groups, once each."""
+    held = None  # the last row, and whether its run has shown another group
+    for b in batches:
+        token, g, np_ = (b.column(i).to_numpy() for i in range(3))
+        keep = np.ones(len(token), bool)  # without repeats, which lie side by side
+        keep[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
+        token, g, np_ = token[keep], g[keep], np_[keep]
+        linked = False
+        if held is not None and len(token):
+            (t, x, y), linked = held
+            if (token[0], g[0]) == (t, x):
+                token, g, np_ = token[1:], g[1:], np_[1:]
+            token, g, np_ = np.r_[t, token], np.r_[x, g], np.r_[y, np_]
+        if not len(token):
+            continue
+        same = token[1:] == token[:-1]
+        out = np.r_[linked, same] | np.r_[same, False]
+        held = (token[-1], g[-1], np_[-1]), bool(out[-1])
+        out[-1] = False
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, g, np_)], ["token", "g", "np"])
+    if held is not None and held[1]:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[0]], ["token", "g", "np"])
+
+
+#: Hubs with which each member of a list is paired first.
+HUBS = 4
 
-    def rows(*columns):
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["token", "np", "g", "lead"])
+
+def _hubs(percent: int):
+    """Sorted (token, hub rank, g, np) -> pairs of each member with the first HUBS of its list that its size may link with."""
 
     def run(batches):
-        t0 = g0 = n0 = lead = None  # the last row, and the leader of its run
-        lone = True  # the run has shown one group so far
+        before, hubs = None, []
         for b in batches:
-            token, np_, g = (b.column(i).to_numpy() for i in range(3))
-            keep = np.ones(len(token), bool)  # without repeats, which lie side by side
-            keep[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
-            token, np_, g = token[keep], np_[keep], g[keep]
-            after, before = np.ones(len(token), bool), np.ones(len(token), bool)
-            if len(token) > 1:
-                before[1:] = after[:-1] = token[1:] == token[:-1]
-            out = []
-            for i in np.flatnonzero(before | after).tolist():
-                t, m, x = int(token[i]), int(np_[i]), int(g[i])
-                if t != t0:
-                    t0, g0, n0, lead, lone = t, x, m, (x, m), True
-                    continue
-                if x == g0:
+            lead, other = [], []
+            for t, g, y in zip(*(b.column(c).to_pylist() for c in ("token", "g", "np"))):
+                n = y >> 32
+                if t != before:
+                    before, hubs = t, [(g, n)]
                     continue
-                if lone:
-                    out.append((t, n0, g0, lead[0]))
-                    lone = False
-                if 100 * (lead[1] >> 32) < percent * (m >> 32):
-                    lead = (x, m)
-                out.append((t, m, x, lead[0]))
-                g0 = x
-            if out:
-                for j in range(0, len(out), 10000):
-                    yield rows(*zip(*out[j : j + 10000]))
+                found = 0
+                for x, m in hubs:
+                    if 100 * min(m, n) >= percent * max(m, n):
+                        lead.append(x)
+                        other.append(g)
+                        found += 1
+                        if found == HUBS:
+                            break
+                else:
+                    hubs.append((g, n))
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(other, pa.int64())], ["lead", "g"])
 
     return run
 
@@ -245,11 +262,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     groups = classes.groupBy("g").agg(F.min("rep").alias("first"), F.count("*").alias("classes"))
 
     postings = full.where("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
-    postings = postings.select("token", (F.shiftleft("n", 32) + F.col("pos")).alias("np"), "g").repartition("token").sortWithinPartitions("token", "np", "g")
-    lists = spill(postings.mapInArrow(_leaders(percent), "token long, np long, g long, lead long"), "lists")
+    postings = postings.select("token", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np")).repartition("token").sortWithinPartitions("token", "g")
+    lists = spill(postings.mapInArrow(_several, "token long, g long, np long"), "lists")
 
-    # Each group with the leader of its lists, and each class of a group with the group's first.
-    lead = lists.where("g <> lead").select("lead", "g").distinct()
+    # Each member with the hubs of its lists, the groups that share most with others, and each class of a group with the group's first.
+    weight = lists.join(lists.groupBy("token").agg(F.count("*").alias("size")), "token").groupBy("g").agg(F.sum("size").alias("weight"))
+    ordered = lists.join(weight, "g").select("token", "weight", "g", "np").repartition("token").sortWithinPartitions("token", F.desc("weight"), "g")
+    lead = ordered.mapInArrow(_hubs(percent), "lead long, g long").distinct()
     lead = lead.join(groups.select(F.col("g").alias("lead"), F.col("first").alias("a")), "lead").join(groups.select("g", F.col("first").alias("b")), "g").select("a", "b")
     inner = classes.join(groups.where("classes > 1"), "g").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
     pairs = spill(lead.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
