@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fertility, jaccard_join, language_id, line_dedup, mixing, secrets, sharding, warc
+from . import collision_search, fertility, jaccard_join, language_id, line_dedup, mixing, secrets, sharding, warc
 from .common import scratch_path, table
 
 
@@ -25,6 +25,11 @@ def op4_warc_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return collision_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
 def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "spans")
     of = {kind: F.expr(f"filter(spans, s -> s.kind = '{kind}')") for kind in secrets.RULES}
@@ -51,7 +56,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_tokeniser_fertility, op4_warc_zstandard, op6_markov_secrets, op7_output_codes, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_tokeniser_fertility, op4_warc_zstandard, op5_collision_counting, op6_markov_secrets, op7_output_codes, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
