@@ -103,20 +103,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "
     dealt = F.xxhash64(F.lit(11), "id")
     data = rows[0].join(sizes, "d").withColumn("block", F.pmod(dealt, "blocks")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     asked = rows[1].join(sizes, "d").withColumn("group", F.pmod(dealt, "groups")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    data, asked = (x.select("d", "longest", "block", "group", "id", "v") for x in (data, asked))
+    data = data.select("d", "longest", "block", "group", "id", "v")
+    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("d", "block", "group", "id", "v")))
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         got = []
         if len(left) and len(right):
             d = int(left["d"].iloc[0])
-            v, q = (np.concatenate(x["v"].to_numpy()).reshape(-1, d) for x in (left, right))
-            ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
+            v, q = (np.concatenate(x.to_numpy()).reshape(-1, d) for x in (left["v"], right["q_v"]))
+            ids, query_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
             for lo in range(0, len(v), 60_000):  # a block may come out larger than meant; places have 16 bits
                 j, i, s = search(v[lo : lo + 60_000], ids[lo : lo + 60_000], q, query_ids, k, float(left["longest"].iloc[0]))
                 got.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[lo + i], "score": s, "row": j}))
         return pd.concat(got) if got else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "row": []})
 
-    keys = ["d", "block", "group"]
-    found = data.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(run, "query_id long, vec_id long, score double, row long")
+    found = data.groupBy("d", "block", "group").cogroup(asked.groupBy("q_d", "q_block", "q_group")).applyInPandas(run, "query_id long, vec_id long, score double, row long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
