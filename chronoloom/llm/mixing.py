@@ -43,46 +43,59 @@ def draw(key: str, seed: int) -> Column:
     return (x + 0.5) / float(1 << 48)
 
 
+def _rank(p: Column, doc_id: str, seed: int) -> Column:
+    """Random odds over inclusion odds, u / (1 - u) over p / (1 - p), as q / (1 + q): between 0 and 1, in the same order."""
+    u = draw(doc_id, seed)
+    up, down = u * (1 - p), (1 - u) * p
+    return up / (up + down)
+
+
 def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "source", share: float = 1.5, most: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 8, weight: str | None = None) -> DataFrame:
-    """doc_id, size, source_size, target, copies (int), taken (long) per row of docs.
+    """docs with size, source_size, target, copies (int), taken (long); columns of docs of these names give way.
 
     Each source is to yield target words (see targets). Every document first gets the whole copies that target / source_size holds; for the rest, documents are
     drawn by Pareto order sampling: with u uniform and p the document's inclusion probability, the smallest u / (1 - u) over p / (1 - p) are taken until the
     source's rest is filled, the last one only if that brings the words nearer to the target. p is the rest over the source's size, or in proportion to the
-    column weight (finite, above zero; null counts as 1). u comes from doc_id and seed alone, so reruns agree; ties go by doc_id, and repeated rows, which tie in
-    all of that, by size. Null text has size 0; a null source is a source, a null doc_id an id. A source without words gets target 0. No rows give no rows.
+    column weight (finite, above zero; null counts as 1). u comes from doc_id and seed alone, so reruns agree; ties go by doc_id, then by size, and rows that
+    tie in all of that share their fate. Null text has size 0; a null source is a source, a null doc_id an id. A source without words gets target 0. No rows
+    give no rows. Only a table of sources meets docs, so texts aren't shuffled.
     """
-    base = spill(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), (F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight else F.lit(1.0)).alias("w")), "sized")
+    key = F.col(weight).cast("double") if weight else F.lit(1.0)
+    base = spill(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), F.coalesce(key, F.lit(1.0)).alias("w")), "sized")
     per = targets(base, "source", "size", share, most, weights)
-    if weight:
-        per = per.join(base.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("w") * F.col("size")).alias("mass")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    else:
-        per = per.withColumn("mass", F.col("source_size").cast("double"))
+    per = per.join(base.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("w") * F.col("size")).alias("mass")), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     per = per.withColumn("rest", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    per = small(spill(per.withColumnRenamed("source", "s"), "sources"))
+    per = spill(per.withColumnRenamed("source", "s"), "sources")
 
     p = F.least(F.col("rest") * F.col("w") / F.nullif(F.col("mass"), F.lit(0.0)), F.lit(1.0))
-    u = draw("doc_id", seed)
-    # u / (1 - u) over p / (1 - p), as q / (1 + q): between 0 and 1 and in the same order
-    up, down = u * (1 - p), (1 - u) * p
-    ranked = base.join(per, base["source"].eqNullSafe(per["s"])).withColumn("q", F.when(F.col("rest") > 0, up / (up + down)))
-    ranked = ranked.withColumn("slice", F.floor(F.col("q") * SLICES))
-    sums = ranked.where("q IS NOT NULL").groupBy("s", "rest", "slice").agg(F.sum("size").alias("words"))
+    ranked = base.join(small(per.where("rest > 0")), base["source"].eqNullSafe(F.col("s"))).withColumn("q", _rank(p, "doc_id", seed)).withColumn("slice", F.floor(F.col("q") * SLICES))
+    sums = ranked.groupBy("s", "rest", "slice").agg(F.sum("size").alias("words"))
     so_far = Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
     sums = sums.withColumn("upto", F.sum("words").over(so_far)).where("upto >= rest").groupBy("s").agg(F.min(F.struct("slice", (F.col("upto") - F.col("words")).alias("before"))).alias("edge"))
     edges = small(spill(sums.select(F.col("s").alias("e"), F.col("edge.slice").alias("edge"), "edge.before"), "edges"))
-    placed = ranked.join(edges, F.col("s").eqNullSafe(F.col("e")) & F.col("q").isNotNull(), "left")
+    inside = ranked.join(edges, F.col("s").eqNullSafe(F.col("e")) & (F.col("slice") == F.col("edge")))
     one = Window.partitionBy("s").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    at_edge = placed.where("slice = edge").withColumn("extra", (F.col("before") + F.sum("size").over(one) - F.col("size") / 2 <= F.col("rest")).cast("int"))
-    away = placed.where("slice IS NULL OR edge IS NULL OR slice <> edge").withColumn("extra", F.when(F.col("q").isNotNull() & (F.col("edge").isNull() | (F.col("slice") < F.col("edge"))), 1).otherwise(0))
-    out = at_edge.unionByName(away).withColumn("copies", (F.col("whole") + F.col("extra")).cast("int"))
-    return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
-
-
-def repeat(docs: DataFrame, copies: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs with each row as often as copies (doc_id, copies; one row an id) says."""
-    own, n, again = no_clash(docs, "own", "copies", "again")
-    many = copies.where("copies > 0").select(F.col("doc_id").alias(own), F.col("copies").alias(n))
-    joined = docs.join(many, docs[doc_id].eqNullSafe(F.col(own)))
-    return joined.withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col(n)))).select(*docs.columns)
+    inside = inside.withColumn("upto", F.col("before") + F.sum("size").over(one))
+    cuts = inside.groupBy(F.col("s").alias("c"), F.col("edge")).agg(F.max(F.when(F.col("upto") - F.col("size") / 2 <= F.col("rest"), F.struct("q", "doc_id", "size"))).alias("cut"))
+    plan = per.join(cuts, F.col("s").eqNullSafe(F.col("c")), "left").select("s", "source_size", "target", "whole", "rest", "mass", "edge", "cut")
+
+    kept = [c for c in docs.columns if c.lower() not in ("size", "source_size", "target", "copies", "taken")]
+    hidden = dict(zip(plan.columns, no_clash(docs.select(*kept), *(f"_{c}" for c in plan.columns))))
+    own_w, own_size, own_q = no_clash(docs.select(*kept), "_w", "_words", "_q")
+    plan = small(spill(plan, "plan")).withColumnsRenamed(hidden)
+    rows = docs.select(*kept, size.alias(own_size), F.coalesce(key, F.lit(1.0)).alias(own_w)).join(plan, F.col(source).eqNullSafe(F.col(hidden["s"])))
+    at = {k: F.col(v) for k, v in hidden.items()}
+    p = F.least(at["rest"] * F.col(own_w) / F.nullif(at["mass"], F.lit(0.0)), F.lit(1.0))
+    rows = rows.withColumn(own_q, F.when(at["rest"] > 0, _rank(p, doc_id, seed)))
+    slice_ = F.floor(F.col(own_q) * SLICES)
+    mine = F.struct(F.col(own_q).alias("q"), F.col(doc_id).alias("doc_id"), F.col(own_size).alias("size"))
+    extra = F.when(F.col(own_q).isNull(), False).when(at["edge"].isNull(), True).otherwise((slice_ < at["edge"]) | ((slice_ == at["edge"]) & F.coalesce(mine <= at["cut"], F.lit(False))))
+    copies = (at["whole"] + extra.cast("int")).cast("int")
+    return rows.select(*kept, F.col(own_size).alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"), copies.alias("copies"), (F.col(own_size) * copies).alias("taken"))
+
+
+def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The given columns of mix()'s rows, each row as often as its copies say."""
+    again = no_clash(mixed, "again")[0]
+    return mixed.where("copies > 0").withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*columns)

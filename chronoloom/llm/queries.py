@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, fertility, jaccard_join, language_id, line_dedup, mixing, secrets, sharding, warc
+from . import collision_search, fertility, jaccard_join, language_id, line_dedup, mixing, packing, secrets, sharding, warc
 from .common import scratch_path, table
 
 
@@ -19,6 +19,10 @@ def op2_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason", "chars_per_token", "byte_share", "entropy_share")
 
 
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), mixing.word_count("text"), F.xxhash64("text"))
+
+
 def op4_warc_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
@@ -44,7 +48,7 @@ def op7_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), mixing.word_count("text"))
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), mixing.word_count("text")).drop("source", "text")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +60,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_tokeniser_fertility, op4_warc_zstandard, op5_collision_counting, op6_markov_secrets, op7_output_codes, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_tokeniser_fertility, op3_best_fit_packing, op4_warc_zstandard, op5_collision_counting, op6_markov_secrets, op7_output_codes, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
