@@ -10,6 +10,7 @@ whose ends are known to be connected, so the components are those of all links.
 from __future__ import annotations
 
 import struct
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +28,20 @@ HOT_SHINGLES = 1 << 18
 HOT_IN_BATCH, HOT_IN_ALL = 3, 32
 
 
+#: Rows of a batch whose texts are held at once.
+SLICE = 500
+
+
 def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [(t or "").encode().lower() for t in batch.column(name).to_pylist()]
 
 
+def _sets(batch: pa.RecordBatch, name: str, k: int):
+    """The shingle sets of a batch's texts, one after another."""
+    for lo in range(0, batch.num_rows, SLICE):
+        yield from shingle_sets(_texts(batch.slice(lo, SLICE), name), k)
+
+
 def _digest(u: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(u.tobytes()))
 
@@ -46,7 +57,7 @@ def hot_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
     def count(batches):
         for b in batches:
             seen, sets = set(), []
-            for u in shingle_sets(_texts(b, text), k):
+            for u in _sets(b, text, k):
                 d = _digest(u)
                 if d not in seen:
                     seen.add(d)
@@ -83,32 +94,32 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(docs, text, k))
 
-    def run(batches):
+    def told(ids, sets, seen: set):
         last = hot.value
+        for i, u in zip(ids, sets):
+            n = len(u)
+            if not n:
+                yield i, 0, None, None, None, None, None
+                continue
+            p = n + (-percent * n) // 100 + 1
+            if len(last):
+                is_hot = last[np.minimum(np.searchsorted(last, u), len(last) - 1)] == u
+                cold = u[~is_hot][:p]
+                prefix = cold if len(cold) == p else np.concatenate([cold, u[is_hot][: p - len(cold)]])
+            else:
+                prefix = u[:p]
+            g = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
+            g -= (g >> 63) << 64
+            first = g not in seen
+            seen.add(g)
+            yield i, n, *_digest(u), g, prefix.view(np.int64) if first else None, parity(u)
+
+    def run(batches):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
         for b in batches:
-            ids, texts, seen, rows = b.column(0).to_pylist(), _texts(b, text), set(), []
-            for i, u in zip(ids, shingle_sets(texts, k)):
-                n = len(u)
-                if not n:
-                    rows.append((i, 0, None, None, None, None, None))
-                    continue
-                s1, s2 = _digest(u)
-                p = n + (-percent * n) // 100 + 1
-                if len(last):
-                    is_hot = last[np.minimum(np.searchsorted(last, u), len(last) - 1)] == u
-                    cold = u[~is_hot][:p]
-                    prefix = cold if len(cold) == p else np.concatenate([cold, u[is_hot][: p - len(cold)]])
-                else:
-                    prefix = u[:p]
-                g = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
-                g -= (g >> 63) << 64
-                first = g not in seen
-                seen.add(g)
-                rows.append((i, n, s1, s2, g, prefix.view(np.int64) if first else None, parity(u)))
-            for j in range(0, len(rows), 2000):
-                cols = list(zip(*rows[j : j + 2000]))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
+            ids, sets, seen = iter(b.column(0).to_pylist()), _sets(b, text, k), set()
+            while rows := list(islice(told(ids, sets, seen), SLICE)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>, bits binary")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Bytes of text that are hashed at once; a longer document is one chunk.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _U = np.uint64
 _BASE, _MUL, _MIX, _LEN = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
 
