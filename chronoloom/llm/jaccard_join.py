@@ -52,7 +52,7 @@ def least_overlap(n, m, percent: int):
 
 
 def hot_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
-    """Sorted hashes of the shingles that many different texts of the same batches share; HOT_SHINGLES at most, the most frequent first."""
+    """Sorted hashes of the shingles that many different texts of the same batches share; about HOT_SHINGLES at most, the most frequent."""
 
     def count(batches):
         for b in batches:
@@ -68,8 +68,10 @@ def hot_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(n[at])], ["token", "n"])
 
     counted = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_ALL)
-    top = counted.orderBy(F.desc("n"), "token").limit(HOT_SHINGLES).select("token").toArrow()
-    return np.sort(top.column(0).to_numpy().view(np.uint64))
+    counted = spill(counted, "hot")
+    if (total := counted.count()) > HOT_SHINGLES:  # then from that count on which about as many have
+        counted = counted.where(F.col("n") > counted.approxQuantile("n", [1 - HOT_SHINGLES / total], 1e-3)[0])
+    return np.sort(counted.select("token").limit(2 * HOT_SHINGLES).toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def parity(u: np.ndarray) -> bytes:

@@ -15,6 +15,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import uniform
+
 #: Magic of the skippable frame that holds the dictionary, and of the closing one (fixed values of the format).
 DICTIONARY_MAGIC, CLOSING_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: Compressed bytes after which an archive ends (it exceeds them by a record at most).
@@ -136,9 +138,10 @@ def read_archive(data: bytes):
 
 
 def train_dictionary(pages: DataFrame, page_id: str, html: str) -> bytes:
-    """A dictionary from the pages whose ids hash lowest; empty if they are too few or too short. It changes the archives' size only."""
-    rows = pages.where(F.length(html) > 0).select(F.xxhash64(page_id).alias("h"), F.substring(html, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_ROWS).collect()
-    samples = [r["t"].encode() for r in rows]
+    """A dictionary from about SAMPLE_ROWS pages, chosen by a hash of their ids; empty if they are too few or too short. It changes the archives' size only."""
+    share = SAMPLE_ROWS / max(pages.count(), 1)
+    picked = pages.where((uniform(page_id, seed=4) < share) & (F.length(html) > 0)).select(F.substring(html, 1, SAMPLE_CHARS).alias("t"))
+    samples = sorted(r["t"].encode() for r in picked.limit(2 * SAMPLE_ROWS).collect())
     if len(samples) < 20 or sum(map(len, samples)) < 10 * 1024:
         return b""
     try:
