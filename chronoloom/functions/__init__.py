@@ -1 +1 @@
-
+"""Column expressions: frequencies, seasons, buckets, rounding and robust aggregates."""

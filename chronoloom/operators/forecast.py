@@ -1,0 +1,181 @@
+"""Forecasters behind one contract, and what is done to their quantiles.
+
+A forecaster maps context arrays to the median of h steps; quantiles come from the spread of its past errors. The registry holds functions over numpy arrays,
+which one Arrow function applies to any number of series; all else stays in expressions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalars import col, softplus
+from ..types import LEVELS
+
+Forecaster = Callable[[np.ndarray, int, int], np.ndarray]
+
+
+def seasonal_naive(context: str | Column, h: int, season: int | Column) -> Column:
+    """The last season repeated over h steps; of a shorter context all of it."""
+    c = col(context)
+    m = F.least(F.size(c), F.lit(season) if isinstance(season, int) else season)
+    return F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda i: F.get(c, (F.size(c) - m + i % m).cast("int")))
+
+
+def clamped_naive(context: str | Column, h: int, w: str | Column) -> Column:
+    """The naive of season round(24 / w), between 1 and the context's length; missing context counts as 0."""
+    c = F.transform(col(context), lambda v: F.coalesce(v, F.lit(0.0)))
+    season = F.least(F.greatest(F.rint(24.0 / col(w)).cast("int"), F.lit(1)), F.size(c))
+    return seasonal_naive(c, h, season)
+
+
+def lag_copy(context: str | Column, h: int, lag: int) -> Column:
+    return seasonal_naive(context, h, lag)
+
+
+def monotone_fan(raw: str | Column, mid: int, levels: int) -> Column:
+    """Raw outputs -> a sorted fan: level mid is the median, the others lie sums of softplus widths away."""
+    r = col(raw)
+    width = [softplus(F.get(r, F.lit(i))) for i in range(levels)]
+    median = F.get(r, F.lit(mid))
+    below = [median - sum(width[i + 1 : mid], width[i]) if i < mid else None for i in range(mid)]
+    above = [median + sum(width[mid + 1 : i], width[i]) for i in range(mid + 1, levels)]
+    return F.array(*below, median, *above)
+
+
+def flip_average(q: str | Column, mirrored: str | Column) -> Column:
+    """Quantiles averaged with those of the negated context, mirrored."""
+    return F.zip_with(col(q), F.reverse(col(mirrored)), lambda a, b: (a - b) / 2)
+
+
+def calibrate(q: str | Column, factors: list[float]) -> Column:
+    """Each level's distance to the median times its factor."""
+    q = col(q)
+    median = F.get(q, F.lit(len(factors) // 2))
+    return F.transform(F.arrays_zip(q.alias("q"), F.array(*map(F.lit, factors)).alias("g")), lambda x: median + x["g"] * (x["q"] - median))
+
+
+def pick_levels(q: str | Column, levels: list[float], wanted: list[float]) -> Column:
+    return F.array(*(F.get(col(q), F.lit(levels.index(x))) for x in wanted))
+
+
+# Forecasters over one context: values without gaps at either end, horizon, season -> h values.
+
+
+def _naive(x: np.ndarray, h: int, m: int) -> np.ndarray:
+    return np.resize(x[-m:], h)
+
+
+def _drift(x: np.ndarray, h: int, m: int) -> np.ndarray:
+    slope = (x[-1] - x[0]) / max(len(x) - 1, 1)
+    return x[-1] + slope * np.arange(1, h + 1)
+
+
+def _smoothed(x: np.ndarray, h: int, m: int, alpha: float = 0.3) -> np.ndarray:
+    level = x[0]
+    for v in x[1:]:
+        level += alpha * (v - level)
+    return np.full(h, level)
+
+
+def _state_space(x: np.ndarray, h: int, m: int) -> np.ndarray:
+    """An untrained linear state-space filter: a level and the first harmonics of the season, decayed least squares."""
+    t = np.arange(len(x) + h)
+    waves = [np.ones(len(t)), *(f(2 * np.pi * j * t / max(m, 2)) for j in (1, 2, 3) for f in (np.cos, np.sin))]
+    a = np.stack(waves, 1)
+    w = 0.995 ** np.arange(len(x))[::-1]
+    left = a[: len(x)] * w[:, None]
+    beta = np.linalg.solve(left.T @ a[: len(x)] + 1e-3 * np.eye(a.shape[1]), left.T @ x)
+    return a[len(x) :] @ beta
+
+
+REGISTRY: dict[str, Forecaster] = {"seasonal_naive": _naive, "drift": _drift, "smoothed": _smoothed, "state_space": _state_space}
+
+
+def register(name: str, forecaster: Forecaster) -> None:
+    REGISTRY[name] = forecaster
+
+
+def quantiles_of(forecaster: Forecaster, x: np.ndarray, h: int, m: int, levels: tuple[float, ...] = LEVELS) -> np.ndarray:
+    """[h, levels]: the forecast and the quantiles of its errors over the last windows, at each distance."""
+    x = x.astype(float)
+    seen = np.flatnonzero(np.isfinite(x))
+    if not len(seen):
+        return np.full((h, len(levels)), np.nan)
+    x = np.interp(np.arange(seen[0], seen[-1] + 1), seen, x[seen])
+    errors = [x[len(x) - o * h : len(x) - (o - 1) * h or None] - forecaster(x[: len(x) - o * h], h, m) for o in range(1, 5) if len(x) - o * h >= max(m + 1, 8)]
+    spread = np.quantile(np.concatenate(errors), levels) - np.quantile(np.concatenate(errors), 0.5) if errors else np.zeros(len(levels))
+    return forecaster(x, h, m)[:, None] + spread[None, :]
+
+
+def forecast(cuts: DataFrame, name: str, h: int, season: int, context: str = "context", levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """cuts with quantiles: an array of h arrays, by the forecaster of that name. Contexts of any length; a context without any value gives NULLs."""
+    forecaster = REGISTRY[name]
+
+    @F.pandas_udf("array<array<double>>")
+    def run(contexts: pd.Series) -> pd.Series:
+        return pd.Series([[[None if np.isnan(v) else float(v) for v in row] for row in quantiles_of(forecaster, np.array([np.nan if v is None else v for v in c], float), h, season, levels)] for c in contexts])
+
+    return cuts.withColumn("quantiles", run(context))
+
+
+def _block(x: np.ndarray, k: int) -> np.ndarray:
+    n = len(x) // k
+    return np.nanmean(x[len(x) - n * k :].reshape(n, k), axis=1) if n else x[:0]
+
+
+def mix_rates(cuts: DataFrame, name: str, h: int, season: int, factors: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), windows: int = 4, context: str = "context", levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """cuts with quantiles and weights: the forecaster reads each context at several block sizes; weights are those of its losses on the last windows of the context
+    (softmax of minus the log ratio to the native rate), sum to 1, and mix the forecasts by level. A single factor gives the bare forecast."""
+    forecaster, q = REGISTRY[name], np.array(levels)
+
+    def at(x: np.ndarray, k: int) -> np.ndarray | None:
+        y = _block(x, k)
+        if len(y) < 8:
+            return None
+        return np.repeat(quantiles_of(forecaster, y, -(-h // k), max(1, round(season / k)), levels), k, axis=0)[:h]
+
+    def loss(x: np.ndarray, k: int) -> float:
+        total, size = 0.0, 0.0
+        for o in range(1, windows + 1):
+            if len(x) - o * h < max(season + 1, 8):
+                break
+            f, y = at(x[: len(x) - o * h], k), x[len(x) - o * h : len(x) - (o - 1) * h or None]
+            if f is None:
+                return np.inf
+            e = y[:, None] - f
+            total += np.nansum(np.maximum(q * e, (q - 1) * e))
+            size += np.nansum(np.abs(y))
+        return total / max(size, 1e-9)
+
+    def mixed(c) -> dict:
+        x = np.array([np.nan if v is None else v for v in c], float)
+        outs = {k: at(x, k) for k in factors}
+        outs = {k: f for k, f in outs.items() if f is not None} or {factors[0]: quantiles_of(forecaster, x, h, season, levels)}
+        losses = np.array([max(loss(x, k), 1e-9) for k in outs]) if len(outs) > 1 else np.ones(1)
+        w = np.where(np.isfinite(losses), 1 / losses, 0.0)
+        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
+        f = sum(a * o for a, o in zip(w, outs.values()))
+        return {"quantiles": [[None if np.isnan(v) else float(v) for v in row] for row in f], "weights": {int(k): float(a) for k, a in zip(outs, w)}}
+
+    @F.pandas_udf("quantiles array<array<double>>, weights map<int,double>")
+    def run(contexts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([mixed(c) for c in contexts], columns=["quantiles", "weights"])
+
+    out = cuts.withColumn("_m", run(context))
+    return out.select(*cuts.columns, "_m.quantiles", "_m.weights")
+
+
+def long_quantiles(df: DataFrame, keys: list[str], levels: tuple[float, ...] = LEVELS, quantiles: str = "quantiles") -> DataFrame:
+    """keys, step (from 0), level, q."""
+    steps = df.select(*keys, F.posexplode(quantiles).alias("step", "_q"))
+    return steps.select(*keys, "step", F.explode(F.arrays_zip(F.array(*map(F.lit, levels)).alias("level"), F.col("_q").alias("q"))).alias("x")).select(*keys, "step", "x.level", "x.q")
+
+
+def best_pass(losses: DataFrame, keys: list[str], pass_: str = "pass", loss: str = "loss") -> DataFrame:
+    """keys, pass: the pass of least loss, the first of equals; the last one if none has a loss."""
+    return losses.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(loss).isNotNull(), F.struct(loss, pass_)))[pass_], F.max(pass_)).alias(pass_))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from . import cleaning, frequencies, gridding, leaderboard, normalising, overlaps, recurrences, relations, sampling, scoring, text_sources  # noqa: F401
+from .base import ORACLES, QUERIES
+
 FLAGSHIP = "naive_backtest"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
