@@ -14,18 +14,21 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import maybe_in, small, spill
 from .components import components
-from .textkit import CHUNK, shingle_sets
+from .textkit import CHUNK, release, shingle_sets
 
 #: Most shingles that are put last for being frequent (2 MB); it bounds a broadcast and changes only the order, never the result.
 HOT_SHINGLES = 1 << 18
 #: Documents of a batch that share a shingle for it to be counted, and the sum over batches from which on it goes last.
 HOT_IN_BATCH, HOT_IN_ALL = 3, 32
+#: Parts in which a batch's shingles are counted.
+PARTS = 16
 
 
 #: Rows of a batch whose texts are held at once.
@@ -62,10 +65,14 @@ def hot_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
                 if d not in seen:
                     seen.add(d)
                     sets.append(u)
-            if sets:
-                token, n = np.unique(np.concatenate(sets), return_counts=True)
+            for lo in range(PARTS):  # the shingles by their first bits, so that little is sorted at once
+                ends = np.array([lo, lo + 1], object) * ((1 << 64) // PARTS)
+                cut = [np.searchsorted(u, np.uint64(ends[0])) for u in sets], [len(u) if lo + 1 == PARTS else np.searchsorted(u, np.uint64(ends[1])) for u in sets]
+                token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(u[i:j] for u, i, j in zip(sets, *cut))]), return_counts=True)
                 at = n >= HOT_IN_BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(n[at])], ["token", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(n[at], pa.int64())], ["token", "n"])
+            del sets
+            release()
 
     counted = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_ALL)
     counted = spill(counted, "hot")
@@ -122,6 +129,7 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
             ids, sets, seen = iter(b.column(0).to_pylist()), _sets(b, text, k), set()
             while rows := list(islice(told(ids, sets, seen), SLICE)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
+            release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>, bits binary")
 
@@ -243,7 +251,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
         for b in batches:
             ids, x, y = b.select(["a", "b", "s1", "s2", "t1", "t2"]).to_pydict(), b.column("x"), b.column("y")
             links, lo = [], 0
-            sizes = [len(p) + len(q) for p, q in zip(_texts(b, "x"), _texts(b, "y"))]
+            sizes = sum(pc.fill_null(pc.binary_length(c), 0).to_numpy() for c in (x, y)).tolist()
             while lo < b.num_rows:
                 hi, total = lo + 1, sizes[lo]
                 while hi < b.num_rows and total + sizes[hi] <= 4 * CHUNK:

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import release
+
 #: Slots of the hashed 2- and 3-grams together, and blocks in which their counts are summed.
 SLOTS, BLOCKS = 1 << 15, 8
 #: Bits of a codeword with more than EXHAUSTIVE languages.
@@ -22,7 +24,7 @@ EXHAUSTIVE, BITS = 6, 48
 #: Least lead of the best language over the second, in loss a bit, below which a text is ambiguous.
 LEAD = 0.05
 #: Bytes of text hashed at once.
-PIECE = 1 << 19
+PIECE = 1 << 18
 UNKNOWN = "und"
 
 
@@ -78,7 +80,7 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             texts, langs = ([x or "" for x in b.column(i).to_pylist()] for i in range(2))
             for piece, owner in _pieces(texts):
                 three, two, start = _grams(piece)
@@ -167,10 +169,11 @@ def predict(docs: DataFrame, text: str, model: dict, names: tuple[str, str, str]
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 2000):
-                part = b.slice(lo, 2000)
+            for lo in range(0, b.num_rows, 1000):
+                part = b.slice(lo, 1000)
                 lang, score, unsure = classify(part.column(at).to_pylist(), sent.value)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score), pa.array(unsure)], [*out, *names])
+            release()
 
     schema = docs.select(*out).schema.add(names[0], "string").add(names[1], "double").add(names[2], "boolean")
     return docs.select(*out).mapInArrow(run, schema)

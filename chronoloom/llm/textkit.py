@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
+import pyarrow as pa
 
 #: Bytes of text that are hashed at once; a longer document is one chunk.
 CHUNK = 1 << 19
@@ -96,3 +99,12 @@ def shingle_sets(texts: list[bytes], k: int = 5):
                 yield mix(np.array([s], _U))
             else:
                 yield np.zeros(0, _U)
+
+
+def release() -> None:
+    """Gives memory that the last batch no longer needs back to the system; a worker lives on for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
