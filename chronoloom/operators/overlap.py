@@ -6,7 +6,7 @@ fingerprints() therefore works on slices of a series with a halo, dealt by (seri
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, half_even
@@ -17,17 +17,16 @@ WINDOW, DISTINCT, LARGEST = 8, 7, 1e6
 SLICE = 1 << 16
 
 
-def _windows_of(values: Column) -> Column:
-    """The windows of ratios of an array of finite values that make a key, as STRUCT<pos, key>; pos is the window's place in the array."""
+def _with_windows(df: DataFrame, values: str) -> DataFrame:
+    """df with _x: the windows of ratios of an array of finite values that make a key, as STRUCT<pos, key>; pos is the window's place in the array. Each step is a
+    column of its own: inside one expression the lambdas would work it out again for every element."""
+    none = F.array().cast("array<double>")
     ratio = F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: half_even(F.try_divide(F.get(values, i), F.get(values, i - 1)), 3))
-
-    def told(r: Column) -> Column:
-        starts = F.when(F.size(r) >= WINDOW, F.sequence(F.lit(1), F.size(r) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("pos"), F.slice(r, i, WINDOW).alias("w")))
-
-    good = F.filter(told(ratio), lambda x: F.forall(x["w"], lambda v: v.isNotNull() & (v != 1.0) & (F.abs(v) < LARGEST)) & (F.size(F.array_distinct(x["w"])) >= DISTINCT))
-    keyed = F.transform(good, lambda x: F.struct(x["pos"].alias("pos"), F.transform(x["w"], lambda v: (v * 1000).cast("long")).alias("key")))
-    return F.when(F.size(values) > WINDOW, keyed).otherwise(F.array().cast("array<struct<pos:bigint,key:array<bigint>>>"))
+    d = df.withColumn("_r", F.when(F.size(values) > WINDOW, ratio).otherwise(none))
+    starts = F.when(F.size("_r") >= WINDOW, F.sequence(F.lit(1), F.size("_r") - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
+    d = d.withColumn("_w", F.transform(starts, lambda i: F.struct((i - 1).cast("long").alias("pos"), F.slice("_r", i, WINDOW).alias("w"))))
+    good = F.filter("_w", lambda x: F.forall(x["w"], lambda v: v.isNotNull() & (v != 1.0) & (F.abs(v) < LARGEST)) & (F.size(F.array_distinct(x["w"])) >= DISTINCT))
+    return d.withColumn("_x", F.transform(good, lambda x: F.struct(x["pos"].alias("pos"), F.transform(x["w"], lambda v: (v * 1000).cast("long")).alias("key"))))
 
 
 def fingerprints(points: DataFrame, keys: list[str], step: str = "step", value: str = "value") -> DataFrame:
@@ -38,7 +37,7 @@ def fingerprints(points: DataFrame, keys: list[str], step: str = "step", value:
     own = F.floor(F.col("_i") / SLICE).cast("long")
     halo = F.when((F.col("_i") % SLICE < WINDOW) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     sliced = seen.withColumn("_s", F.explode(halo)).groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("p"))
-    windows = sliced.select(*keys, "_s", F.explode(_windows_of(F.col("p.v"))).alias("x"))
+    windows = _with_windows(sliced.select(*keys, "_s", F.col("p.v").alias("_v")), "_v").select(*keys, "_s", F.explode("_x").alias("x"))
     # A slice holds its own values and the first WINDOW of the next, so it has the windows that begin in it and no others.
     return windows.select(*keys, (F.col("_s") * SLICE + F.col("x.pos")).alias("pos"), F.col("x.key").alias("key"))
 
@@ -47,7 +46,7 @@ def array_fingerprints(series: DataFrame, values: str = "values") -> DataFrame:
     """The same for one row per series, without a shuffle: series' other columns, pos, key."""
     rest = [c for c in series.columns if c != values]
     seen = F.filter(F.transform(values, lambda v: finite(v)), lambda v: v.isNotNull())
-    return series.select(*rest, F.explode(_windows_of(seen)).alias("x")).select(*rest, "x.pos", "x.key")
+    return _with_windows(series.select(*rest, seen.alias("_v")), "_v").select(*rest, F.explode("_x").alias("x")).select(*rest, "x.pos", "x.key")
 
 
 def index(windows: DataFrame, by: list[str]) -> DataFrame:

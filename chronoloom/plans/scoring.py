@@ -1 +1,215 @@
-"""TODO"""
+"""Forecasts and their scores, on the last four cuts of the hourly series."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import rounded
+from ..operators import forecast as fc
+from ..operators import metrics as mt
+from .base import arrays, cut_steps, cuts, fans, query, table
+
+_KEYS = ["series", "origin"]
+_R = "round({} * 1000000) / 1000000"
+_PIN = "greatest(level * (y - q), (level - 1) * (y - q))"
+
+
+def _scored(spark, sf_dir):
+    return fans(spark, sf_dir).withColumn("loss", mt.pinball("y", "q", "level")).withColumnRenamed("i", "step")
+
+
+def _targets(spark, sf_dir):
+    return cut_steps(spark, sf_dir).withColumnRenamed("i", "step")
+
+
+@query(f"SELECT series, {_R.format('sum(abs(y - naive)) / greatest(sum(abs(y)), 0.000000001)')} AS wql, count(y) AS observed, count(DISTINCT origin) AS cuts FROM $cut_steps WHERE naive IS NOT NULL GROUP BY series")
+def naive_backtest(spark, sf_dir):
+    """Hourly means, four cuts a series, the seasonal naive of a day, and its weighted quantile loss."""
+    t = _targets(spark, sf_dir).where("naive IS NOT NULL")
+    w = mt.naive_wql(t.select(*_KEYS, "step", F.col("naive").alias("q")), t, _KEYS, ["series"])
+    n = t.groupBy("series").agg(F.count("y").alias("observed"), F.count_distinct("origin").alias("cuts"))
+    return w.join(n, "series").select("series", rounded("wql_naive").alias("wql"), "observed", "cuts")
+
+
+@query("SELECT series, origin, context, target FROM $cuts")
+def eval_cuts(spark, sf_dir):
+    return cuts(spark, sf_dir)
+
+
+@query("SELECT series, origin, CAST(count(*) AS INT) AS h, count(y) AS observed FROM $cut_steps GROUP BY 1, 2")
+def cut_cross(spark, sf_dir):
+    return cuts(spark, sf_dir).select("series", "origin", F.size("target").alias("h"), F.size(F.filter("target", lambda v: v.isNotNull())).cast("long").alias("observed"))
+
+
+@query("SELECT series, origin, list(naive ORDER BY i) AS naive FROM $cut_steps GROUP BY 1, 2")
+def seasonal_naive(spark, sf_dir):
+    return cuts(spark, sf_dir).select("series", "origin", fc.seasonal_naive("context", 48, 24).alias("naive"))
+
+
+@query("SELECT c.series, c.origin, list(coalesce(h.value, 0.0) ORDER BY i) AS naive FROM (SELECT DISTINCT series, origin FROM $cut_steps) c CROSS JOIN (SELECT unnest(range(48)) AS i) JOIN hourly h ON h.series = c.series AND h.step = 720 - (c.origin + 1) * 48 - 16 + i % 16 GROUP BY 1, 2")
+def clamped_naive(spark, sf_dir):
+    return cuts(spark, sf_dir).select("series", "origin", fc.clamped_naive("context", 48, F.lit(1.5)).alias("naive"))
+
+
+@query("SELECT c.series, c.origin, list(h.value ORDER BY i) AS naive FROM (SELECT DISTINCT series, origin FROM $cut_steps) c CROSS JOIN (SELECT unnest(range(48)) AS i) JOIN hourly h ON h.series = c.series AND h.step = 720 - (c.origin + 1) * 48 - 7 + i % 7 GROUP BY 1, 2")
+def lag_copy(spark, sf_dir):
+    return cuts(spark, sf_dir).select("series", "origin", fc.lag_copy("context", 48, 7).alias("naive"))
+
+
+@query("SELECT series, list(round((a - b) / 2 * 1000000) / 1000000 ORDER BY step) AS q FROM (SELECT x.series, x.step, x.value AS a, y.value * 0.5 AS b FROM $vec x JOIN vec y ON y.series = x.series AND y.step = 8 - x.step WHERE x.step < 9) GROUP BY series")
+def flip_average(spark, sf_dir):
+    a = arrays(spark, sf_dir).select("series", F.slice("values", 1, 9).alias("q"))
+    mirrored = F.transform("q", lambda v: v * 0.5)
+    return a.select("series", F.transform(fc.flip_average("q", mirrored), lambda v: rounded(v)).alias("q"))
+
+
+@query("""
+WITH p AS (SELECT series, step, value, ln(1 + exp(value)) AS w FROM $vec WHERE step < 9), m AS (SELECT series, value AS med FROM p WHERE step = 4)
+SELECT p.series, list(round((CASE WHEN p.step = 4 THEN med WHEN p.step < 4 THEN med - s ELSE med + s END) * 1000000) / 1000000 ORDER BY p.step) AS fan FROM (
+  SELECT a.series, a.step, sum(b.w) AS s FROM p a JOIN p b ON b.series = a.series AND ((a.step < 4 AND b.step BETWEEN a.step AND 3) OR (a.step > 4 AND b.step BETWEEN 5 AND a.step) OR (a.step = 4 AND b.step = 4)) GROUP BY 1, 2) p JOIN m ON m.series = p.series GROUP BY p.series""")
+def monotone_fan(spark, sf_dir):
+    return arrays(spark, sf_dir).select("series", F.transform(fc.monotone_fan("values", 4, 9), lambda v: rounded(v)).alias("fan"))
+
+
+@query("SELECT x.series, list(round((m.value + (0.5 + x.step * 0.25) * (x.value - m.value)) * 1000000) / 1000000 ORDER BY x.step) AS q FROM $vec x JOIN vec m ON m.series = x.series AND m.step = 2 WHERE x.step < 5 GROUP BY 1")
+def fan_calibration(spark, sf_dir):
+    a = arrays(spark, sf_dir).select("series", F.slice("values", 1, 5).alias("q"))
+    return a.select("series", F.transform(fc.calibrate("q", [0.5, 0.75, 1.0, 1.25, 1.5]), lambda v: rounded(v)).alias("q"))
+
+
+@query("SELECT series, list(value ORDER BY step) FILTER (WHERE step IN (0, 4, 8)) AS q FROM $vec GROUP BY series")
+def level_subset(spark, sf_dir):
+    levels = [round(0.1 * i, 1) for i in range(1, 10)]
+    return arrays(spark, sf_dir).select("series", fc.pick_levels("values", levels, [0.1, 0.5, 0.9]).alias("q"))
+
+
+@query("SELECT series, min(step) AS pass FROM (SELECT series, step, value, min(value) OVER (PARTITION BY series) AS m FROM $vec WHERE step < 6) WHERE value = m GROUP BY 1")
+def adaptive_depth(spark, sf_dir):
+    from .base import vec
+
+    losses = vec(spark, sf_dir).where("step < 6").select("series", F.col("step").alias("pass"), F.col("value").alias("loss"))
+    return fc.best_pass(losses, ["series"])
+
+
+@query(f"SELECT series, origin, {_R.format(f'2 * avg({_PIN})')} AS loss FROM $fans GROUP BY 1, 2")
+def pinball(spark, sf_dir):
+    return mt.pinball_loss(_scored(spark, sf_dir), _KEYS).withColumn("loss", rounded("loss"))
+
+
+@query(f"SELECT series, {_R.format(f'sum({_PIN}) / (count({_PIN}) / 9.0) / 9')} AS loss FROM $fans GROUP BY 1")
+def training_pinball(spark, sf_dir):
+    return mt.training_pinball(_scored(spark, sf_dir), ["series"]).withColumn("loss", rounded("loss"))
+
+
+@query(f"SELECT series, {_R.format('2 * avg(l) / greatest(max(t), 0.000000001)')} AS wql FROM (SELECT series, level, sum({_PIN}) AS l, sum(abs(y)) AS t FROM $fans GROUP BY 1, 2) GROUP BY 1")
+def wql(spark, sf_dir):
+    return mt.wql(_scored(spark, sf_dir), ["series"]).withColumn("wql", rounded("wql"))
+
+
+_SCORES = f"SELECT a.series, wql / greatest(wql_naive, 0.000000001) AS score FROM (SELECT series, 2 * avg(l) / greatest(max(t), 0.000000001) AS wql FROM (SELECT series, level, sum({_PIN}) AS l, sum(abs(y)) AS t FROM $fans GROUP BY 1, 2) GROUP BY 1) a JOIN (SELECT series, sum(abs(y - naive)) / greatest(sum(abs(y)), 0.000000001) AS wql_naive FROM cut_steps GROUP BY 1) b ON b.series = a.series"
+
+
+def _scores(spark, sf_dir):
+    t = _targets(spark, sf_dir)
+    return mt.subset_scores(_scored(spark, sf_dir), t.select(*_KEYS, "step", F.col("naive").alias("q")), t, _KEYS, ["series"])
+
+
+@query(f"SELECT series, {_R.format('score')} AS score FROM ({_SCORES})")
+def subset_score(spark, sf_dir):
+    return _scores(spark, sf_dir).select("series", rounded("score").alias("score"))
+
+
+@query(f"SELECT {_R.format('exp(avg(ln(greatest(score, 0.000001))))')} AS overall, count(*) AS subsets FROM ({_SCORES})")
+def overall_score(spark, sf_dir):
+    return mt.overall(_scores(spark, sf_dir)).withColumn("overall", rounded("overall"))
+
+
+@query(f"SELECT series, origin, round(sum(greatest(y - naive, 0) * 0.5 + greatest(naive - y, 0) * 0.5) / greatest(count(y - naive), 1) * 1000) / 1000 AS loss FROM $cut_steps GROUP BY 1, 2")
+def naive_loss(spark, sf_dir):
+    c = cuts(spark, sf_dir).withColumn("naive", fc.seasonal_naive("context", 48, 24))
+    return mt.naive_loss(c, _KEYS).withColumn("loss", rounded("loss", 3))
+
+
+@query("SELECT p_partkey, round(p_size / (p_retailprice + 0.001) * 1000000) / 1000000 AS ratio, round(ln((p_size + 0.001) / (p_partkey % 9 + 1 + 0.001)) * 1000000) / 1000000 AS log_ratio FROM part")
+def score_losses(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("loss"), F.col("p_retailprice").alias("size"), (F.col("p_partkey") % 9 + 1).alias("base"), F.lit(1.0).alias("scale"))
+    return mt.score_loss(p).select("p_partkey", rounded("ratio").alias("ratio"), rounded("log_ratio").alias("log_ratio"))
+
+
+@query(f"""
+SELECT series, {_R.format('avg(CASE WHEN y IS NOT NULL THEN CASE WHEN y >= lo AND y <= hi THEN 1.0 WHEN lo IS NOT NULL THEN 0.0 END END)')} AS cover, {_R.format('avg(hi - lo) / greatest(avg(abs(y - mid)), 0.000000001)')} AS width FROM (
+  SELECT series, origin, i, max(y) AS y, max(q) FILTER (WHERE level = 0.1) AS lo, max(q) FILTER (WHERE level = 0.9) AS hi, max(q) FILTER (WHERE level = 0.5) AS mid FROM $fans GROUP BY 1, 2, 3) GROUP BY 1""")
+def interval_coverage(spark, sf_dir):
+    s = _scored(spark, sf_dir).drop("naive", "origin_")
+    return mt.coverage(s, ["series"]).select("series", rounded("cover").alias("cover"), rounded("width").alias("width"))
+
+
+@query(f"SELECT part, series, {_R.format('2 * avg(l) / greatest(max(t), 0.000000001)')} AS wql FROM (SELECT CASE WHEN i < 10 THEN 0 WHEN i < 19 THEN 1 WHEN i < 29 THEN 2 WHEN i < 38 THEN 3 ELSE 4 END AS part, series, level, sum({_PIN}) AS l, sum(abs(y)) AS t FROM $fans GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def horizon_parts(spark, sf_dir):
+    return mt.wql(mt.horizon_parts(_scored(spark, sf_dir), 48, 5), ["part", "series"]).withColumn("wql", rounded("wql"))
+
+
+@query("""
+WITH c AS (SELECT p_partkey, p_size / 20.0::DOUBLE + 0.01 AS reg, (p_partkey % 7 + 1) / 5.0::DOUBLE AS ours, (p_partkey % 5 + 1) / 4.0::DOUBLE AS naive, (p_partkey % 3) / 2.0::DOUBLE AS cover, (p_partkey % 11)::DOUBLE AS width FROM part),
+e AS (SELECT quantile_cont(reg, 0.0) AS e0, quantile_cont(reg, 1.0 / 3) AS e1, quantile_cont(reg, 2.0 / 3) AS e2, quantile_cont(reg, 1.0) AS e3 FROM c),
+r AS (SELECT 1 AS tercile, e0 AS lo, e1 AS hi FROM e UNION ALL SELECT 2, e1, e2 FROM e UNION ALL SELECT 3, e2, e3 FROM e)
+SELECT tercile, round(lo * 1000000) / 1000000 AS lo, round(hi * 1000000) / 1000000 AS hi, count(*) AS n, round(exp(avg(ln(least(greatest(ours / naive, 0.001), 1000)))) * 1000000) / 1000000 AS loss_vs_naive, round(avg(cover) * 1000000) / 1000000 AS cover, median(width) AS width
+FROM c JOIN r ON reg >= lo AND reg <= hi GROUP BY 1, r.lo, r.hi""")
+def regularity_terciles(spark, sf_dir):
+    k = F.col("p_partkey")
+    c = table(spark, sf_dir, "part").select((F.col("p_size") / 20 + 0.01).alias("reg"), ((k % 7 + 1) / 5).alias("ours"), ((k % 5 + 1) / 4).alias("naive"), ((k % 3) / 2).alias("cover"), (k % 11).cast("double").alias("width"))
+    return mt.terciles(c).select("tercile", rounded("lo").alias("lo"), rounded("hi").alias("hi"), "n", rounded("loss_vs_naive").alias("loss_vs_naive"), rounded("cover").alias("cover"), "width")
+
+
+@query("""
+WITH p AS (SELECT x.series, x.step, x.value + 0.5 AS f, y.value AS y FROM $vec x JOIN vec y ON y.series = x.series AND y.step = x.step + 2),
+j AS (SELECT p.series, g.lag, p.f - y.y AS e FROM p CROSS JOIN (SELECT unnest(range(-4, 5)) AS lag) g JOIN p y ON y.series = p.series AND y.step = p.step - g.lag),
+m AS (SELECT series, lag, e, avg(e) OVER (PARTITION BY series, lag) AS mean FROM j),
+s AS (SELECT series, lag, avg(abs(e - mean)) AS s, count(*) AS n, avg(abs(e)) AS m, abs(avg(e)) AS l FROM m GROUP BY 1, 2),
+z AS (SELECT series, m AS mase, l AS level, s AS shape FROM s WHERE lag = 0),
+b AS (SELECT s.series, s.lag, s.s, row_number() OVER (PARTITION BY s.series ORDER BY s.s, s.lag) AS r FROM s JOIN z ON z.series = s.series WHERE lag <> 0 AND n >= 31 AND s.s < 0.95 * shape)
+SELECT z.series, round(mase * 1000000) / 1000000 AS mase, round(level * 1000000) / 1000000 AS level, round(shape * 1000000) / 1000000 AS shape, CAST(coalesce(b.lag, 0) AS INT) AS lag, round(coalesce(b.s, shape) * 1000000) / 1000000 AS lag_shape FROM z LEFT JOIN b ON b.series = z.series AND b.r = 1""")
+def error_parts(spark, sf_dir):
+    a = arrays(spark, sf_dir)
+    pairs = a.select("series", F.posexplode(F.zip_with(F.slice("values", 1, 62), F.slice("values", 3, 62), lambda x, y: F.struct((x + 0.5).alias("f"), y.alias("y")))).alias("step", "x"))
+    pairs = pairs.select("series", F.col("step").cast("long").alias("step"), "x.f", "x.y", F.lit(1.0).alias("scale"))
+    out = mt.error_parts(pairs, ["series"], 4)
+    return out.select("series", *(rounded(c).alias(c) for c in ("mase", "level", "shape")), "lag", rounded("lag_shape").alias("lag_shape"))
+
+
+@query("SELECT subset, round(avg(CASE WHEN abs(value * 15) > 2 THEN 1.0 ELSE 0.0 END) * 1000000) / 1000000 AS share, round(avg(1 / sqrt(1 + value * 15 * value * 15)) * 1000000) / 1000000 AS weight, round(sum(CASE WHEN abs(value * 15) > 2 THEN abs(value * 15) ELSE 0 END) / sum(abs(value * 15)) * 1000000) / 1000000 AS mass FROM $gappy WHERE value IS NOT NULL GROUP BY 1")
+def tail_stats(spark, sf_dir):
+    from .base import gappy
+
+    out = mt.tail_stats(gappy(spark, sf_dir).withColumn("z", F.col("value") * 15), ["subset"])
+    return out.select("subset", *(rounded(c).alias(c) for c in ("share", "weight", "mass")))
+
+
+@query(f"SELECT series, origin, round(avg({_PIN}) * 1000) / 1000 AS loss FROM $fans GROUP BY 1, 2 ORDER BY avg({_PIN}) DESC NULLS LAST, series, origin LIMIT 7")
+def worst_items(spark, sf_dir):
+    return mt.item_losses(_scored(spark, sf_dir), _KEYS, 7).withColumn("loss", rounded("loss", 3))
+
+
+@query(f"SELECT series, {_R.format('avg((naive - y) * (naive - y))')} AS mse, {_R.format('avg(abs(naive - y))')} AS mae FROM $cut_steps GROUP BY 1")
+def point_errors(spark, sf_dir):
+    out = mt.point_errors(cut_steps(spark, sf_dir), ["series"], "naive", "y")
+    return out.select("series", rounded("mse").alias("mse"), rounded("mae").alias("mae"))
+
+
+@query()
+def forecast_registry(spark, sf_dir):
+    """All registered forecasters, scored against the naive."""
+    t = _targets(spark, sf_dir)
+    out = None
+    for name in sorted(fc.REGISTRY):
+        q = fc.long_quantiles(fc.forecast(cuts(spark, sf_dir), name, 48, 24), _KEYS)
+        s = mt.wql(mt.scored(q, t, _KEYS), ["series"]).select(F.lit(name).alias("forecaster"), "series", rounded("wql").alias("wql"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+@query()
+def rate_mix(spark, sf_dir):
+    m = fc.mix_rates(cuts(spark, sf_dir), "state_space", 48, 24)
+    total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x)
+    return m.select("series", "origin", F.size("quantiles").alias("h"), rounded(total).alias("weight"), F.size("weights").alias("rates"))
