@@ -48,6 +48,17 @@ def spill(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS = 2000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Sees to it that Arrow batches of the session have at most ARROW_ROWS rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
+        spark.conf.set(key, str(ARROW_ROWS))
+
+
 def forget(df: DataFrame) -> None:
     """Removes a table that spill() wrote, once nothing reads it any more."""
     spark = df.sparkSession

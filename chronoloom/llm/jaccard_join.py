@@ -19,16 +19,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, small, spill
+from .common import maybe_in, modest_batches, small, spill
 from .components import components
 from .textkit import CHUNK, release, shingle_sets
 
 #: Most shingles that are put last for being frequent (2 MB); it bounds a broadcast and changes only the order, never the result.
 HOT_SHINGLES = 1 << 18
-#: Documents of a batch that share a shingle for it to be counted, and the sum over batches from which on it goes last.
+#: Documents counted together that share a shingle for it to be told, and the sum of what is told from which on it goes last.
 HOT_IN_BATCH, HOT_IN_ALL = 3, 32
-#: Parts in which a batch's shingles are counted.
-PARTS = 16
+#: Shingles that are counted together (32 MB), and the parts in which they are.
+COUNTED, PARTS = 4 << 20, 16
 
 
 #: Rows of a batch whose texts are held at once.
@@ -57,22 +57,29 @@ def least_overlap(n, m, percent: int):
 def hot_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """Sorted hashes of the shingles that many different texts of the same batches share; about HOT_SHINGLES at most, the most frequent."""
 
+    def counts(sets: list):
+        for lo in range(PARTS):  # the shingles by their first bits, so that little is sorted at once
+            ends = [np.uint64(x * ((1 << 64) // PARTS)) for x in (lo, lo + 1) if x < PARTS]
+            cut = [[np.searchsorted(u, e) for e in ends] + [len(u)] for u in sets]
+            token, n = np.unique(np.concatenate([u[c[0] : c[1]] for u, c in zip(sets, cut)]), return_counts=True)
+            at = n >= HOT_IN_BATCH
+            yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(n[at], pa.int64())], ["token", "n"])
+        release()
+
     def count(batches):
+        seen, sets, total = set(), [], 0
         for b in batches:
-            seen, sets = set(), []
             for u in _sets(b, text, k):
                 d = _digest(u)
                 if d not in seen:
                     seen.add(d)
                     sets.append(u)
-            for lo in range(PARTS):  # the shingles by their first bits, so that little is sorted at once
-                ends = np.array([lo, lo + 1], object) * ((1 << 64) // PARTS)
-                cut = [np.searchsorted(u, np.uint64(ends[0])) for u in sets], [len(u) if lo + 1 == PARTS else np.searchsorted(u, np.uint64(ends[1])) for u in sets]
-                token, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *(u[i:j] for u, i, j in zip(sets, *cut))]), return_counts=True)
-                at = n >= HOT_IN_BATCH
-                yield pa.RecordBatch.from_arrays([pa.array(token[at].view(np.int64)), pa.array(n[at], pa.int64())], ["token", "n"])
-            del sets
-            release()
+                    total += len(u)
+            if total >= COUNTED:
+                yield from counts(sets)
+                seen, sets, total = set(), [], 0
+        if sets:
+            yield from counts(sets)
 
     counted = docs.select(text).mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_IN_ALL)
     counted = spill(counted, "hot")
@@ -125,8 +132,11 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
 
     def run(batches):
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        seen: set = set()
         for b in batches:
-            ids, sets, seen = iter(b.column(0).to_pylist()), _sets(b, text, k), set()
+            if len(seen) > 200_000:  # a prefix may come twice; the postings are the same
+                seen.clear()
+            ids, sets = iter(b.column(0).to_pylist()), _sets(b, text, k)
             while rows := list(islice(told(ids, sets, seen), SLICE)):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
             release()
@@ -277,6 +287,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     takes no part (component_id null). Repeated rows come back repeated; doc_id is taken to be unique otherwise: texts that share one may be linked through it.
     Other columns are ignored.
     """
+    modest_batches(docs.sparkSession)
     told = spill(describe(docs, doc_id, text, k, percent), "sets")
     full = told.where("n > 0 AND doc_id IS NOT NULL")
     classes = spill(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g"), F.min("bits").alias("bits"), F.count("*").alias("copies")), "classes")

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import modest_batches
 from .textkit import release
 
 #: Slots of the hashed 2- and 3-grams together, and blocks in which their counts are summed.
@@ -186,6 +187,7 @@ def is_held_out(doc_id: str) -> Column:
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Trains on the labelled texts of docs that aren't held out (crc32 of doc_id as text, modulo 3, is 1; a null doc_id isn't) and returns docs with held_out,
     lang_pred, score and ambiguous."""
+    modest_batches(docs.sparkSession)
     labelled = docs.where(~is_held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     out = [c for c in docs.columns if c.lower() != "held_out"]
     return predict(docs.select(*out, is_held_out(doc_id).alias("held_out")), text, train(labelled))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import no_clash, spill
+from .common import modest_batches, no_clash, spill
 
 #: Keys whose arrays are sent to every task (24 bytes each: 48 MB); with more keys, hashes are joined.
 PROBE_KEYS = 2_000_000
@@ -143,6 +143,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     line. Each row counts as a document of its own, so rows of equal doc_id and text count one each and all keep the line; null ids count as smaller than any
     (if no holder has an id, nothing goes).
     """
+    modest_batches(docs.sparkSession)
     counted = line_hashes(docs, doc_id, text, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     keys = spill(counted.where((F.col("n") >= min_docs) & F.col("keeper").isNotNull()), "lines")
     total, distinct = keys.agg(F.count("*"), F.count_distinct("h1")).first()
