@@ -10,6 +10,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value worked out once. A column that a lambda refers to is otherwise inlined there, and worked out again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def finite(c: str | Column) -> Column:
     """The value, or NULL where it is NaN or infinite."""
     c = col(c).cast("double")

@@ -19,7 +19,8 @@ SLICE = 1 << 16
 
 def _with_windows(df: DataFrame, values: str) -> DataFrame:
     """df with _x: the windows of ratios of an array of finite values that make a key, as STRUCT<pos, key>; pos is the window's place in the array. Each step is a
-    column of its own: inside one expression the lambdas would work it out again for every element."""
+    column of its own: inside one expression the lambdas would work it out again for every element (so would the
+    filter that the optimiser derives from an inner explode and pushes below the columns; hence the outer ones)."""
     none = F.array().cast("array<double>")
     ratio = F.transform(F.sequence(F.lit(1), F.size(values) - 1), lambda i: half_even(F.try_divide(F.get(values, i), F.get(values, i - 1)), 3))
     d = df.withColumn("_r", F.when(F.size(values) > WINDOW, ratio).otherwise(none))
@@ -37,7 +38,7 @@ def fingerprints(points: DataFrame, keys: list[str], step: str = "step", value:
     own = F.floor(F.col("_i") / SLICE).cast("long")
     halo = F.when((F.col("_i") % SLICE < WINDOW) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
     sliced = seen.withColumn("_s", F.explode(halo)).groupBy(*keys, "_s").agg(F.array_sort(F.collect_list(F.struct("_i", F.col(value).alias("v")))).alias("p"))
-    windows = _with_windows(sliced.select(*keys, "_s", F.col("p.v").alias("_v")), "_v").select(*keys, "_s", F.explode("_x").alias("x"))
+    windows = _with_windows(sliced.select(*keys, "_s", F.col("p.v").alias("_v")), "_v").select(*keys, "_s", F.explode_outer("_x").alias("x")).where("x IS NOT NULL")
     # A slice holds its own values and the first WINDOW of the next, so it has the windows that begin in it and no others.
     return windows.select(*keys, (F.col("_s") * SLICE + F.col("x.pos")).alias("pos"), F.col("x.key").alias("key"))
 
@@ -46,7 +47,7 @@ def array_fingerprints(series: DataFrame, values: str = "values") -> DataFrame:
     """The same for one row per series, without a shuffle: series' other columns, pos, key."""
     rest = [c for c in series.columns if c != values]
     seen = F.filter(F.transform(values, lambda v: finite(v)), lambda v: v.isNotNull())
-    return _with_windows(series.select(*rest, seen.alias("_v")), "_v").select(*rest, F.explode("_x").alias("x")).select(*rest, "x.pos", "x.key")
+    return _with_windows(series.select(*rest, seen.alias("_v")), "_v").select(*rest, F.explode_outer("_x").alias("x")).where("x IS NOT NULL").select(*rest, "x.pos", "x.key")
 
 
 def index(windows: DataFrame, by: list[str]) -> DataFrame:

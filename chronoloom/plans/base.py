@@ -44,8 +44,8 @@ INPUTS = {
     "hourly": "SELECT s.series, g.step, h.value FROM (SELECT DISTINCT series FROM observed_hours) s CROSS JOIN (SELECT unnest(range(720)) AS step) g LEFT JOIN observed_hours h ON h.series = s.series AND h.step = g.step",
     "hour_arrays": "SELECT series, list(value ORDER BY step) AS vals FROM hourly GROUP BY series",
     "days": "SELECT l_returnflag || l_linestatus AS series, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) AS step, CAST(sum(l_quantity) AS DOUBLE) AS value FROM lineitem GROUP BY 1, 2",
-    "cuts": "SELECT h.series, o.origin, list(h.value ORDER BY h.step) FILTER (WHERE h.step < 720 - (o.origin + 1) * 48) AS context, list(h.value ORDER BY h.step) FILTER (WHERE h.step >= 720 - (o.origin + 1) * 48 AND h.step < 720 - o.origin * 48) AS target FROM hourly h CROSS JOIN (SELECT unnest(range(4)) AS origin) o GROUP BY 1, 2",
-    "cut_steps": "SELECT h.series, o.origin, h.step - (720 - (o.origin + 1) * 48) AS i, h.value AS y, n.value AS naive FROM hourly h CROSS JOIN (SELECT unnest(range(4)) AS origin) o JOIN hourly n ON n.series = h.series AND n.step = 720 - (o.origin + 1) * 48 - 24 + (h.step - (720 - (o.origin + 1) * 48)) % 24 WHERE h.step >= 720 - (o.origin + 1) * 48 AND h.step < 720 - o.origin * 48",
+    "cuts": "SELECT h.series, o.origin, list(h.value ORDER BY h.step) FILTER (WHERE h.step < 720 - (o.origin + 1) * 48) AS context, list(h.value ORDER BY h.step) FILTER (WHERE h.step >= 720 - (o.origin + 1) * 48 AND h.step < 720 - o.origin * 48) AS target FROM hourly h CROSS JOIN (SELECT CAST(unnest(range(4)) AS INT) AS origin) o GROUP BY 1, 2",
+    "cut_steps": "SELECT h.series, o.origin, h.step - (720 - (o.origin + 1) * 48) AS i, h.value AS y, n.value AS naive FROM hourly h CROSS JOIN (SELECT CAST(unnest(range(4)) AS INT) AS origin) o JOIN hourly n ON n.series = h.series AND n.step = 720 - (o.origin + 1) * 48 - 24 + (h.step - (720 - (o.origin + 1) * 48)) % 24 WHERE h.step >= 720 - (o.origin + 1) * 48 AND h.step < 720 - o.origin * 48",
     "fans": "SELECT series, origin, i, y, naive, level, naive + (level - 0.5) * 8 AS q FROM cut_steps CROSS JOIN (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]::DOUBLE[]) AS level)",
     "configs": "SELECT 'ds' || CAST(p_partkey % 97 AS VARCHAR) || '/' || p_brand || '/' || CASE p_size % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'medium' ELSE 'long' END || CAST(p_partkey AS VARCHAR) AS config, p_partkey, CAST(p_size * 12 AS INT) AS prediction_length, CAST(p_partkey % 13 AS INT) AS num_variates, p_type AS domain, CASE p_partkey % 3 WHEN 0 THEN 'yes' WHEN 1 THEN 'no' ELSE '?' END AS cousin FROM part",
     "own": "SELECT config, (p_partkey % 17 + 3) / 10.0::DOUBLE AS crps, (p_partkey % 23 + 4) / 20.0::DOUBLE AS mase FROM configs",

@@ -1 +1,92 @@
-"""TODO"""
+"""State-space recurrences on series."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ..functions.scalars import rounded
+from ..operators import recurrence as rc
+from ..operators import synthetic
+from .base import arrays, query, table
+
+_A, _B, _C = [-0.5, -0.1, -2.0], [1.0, 0.5, 0.3], [0.7, -0.2, 1.1]
+_R = "round({} * 1000000) / 1000000"
+_POLES = "(SELECT unnest([-0.5, -0.1, -2.0]::DOUBLE[]) AS a, unnest([1.0, 0.5, 0.3]::DOUBLE[]) AS b, unnest([0.7, -0.2, 1.1]::DOUBLE[]) AS c)"
+
+
+def _poles(dt):
+    pairs = [rc.discretise(F.lit(a), F.lit(b), dt) for a, b in zip(_A, _B)]
+    return F.array(*(p[0] for p in pairs)), F.array(*(p[1] for p in pairs)), F.array(*map(F.lit, _C))
+
+
+@query(f"SELECT p_partkey, {_R.format('exp(-0.5 * p_size / 10.0)')} AS decay, {_R.format('(exp(-0.5 * p_size / 10.0) - 1) / -0.5 * 1.5')} AS gain, {_R.format('exp(-0.2 * p_size / 10.0) * cos(0.7 * p_size / 10.0)')} AS re, {_R.format('exp(-0.2 * p_size / 10.0) * sin(0.7 * p_size / 10.0)')} AS im FROM part")
+def ssm_discretise(spark, sf_dir):
+    dt = F.col("p_size") / 10.0
+    decay, gain = rc.discretise(F.lit(-0.5), F.lit(1.5), dt)
+    z = rc.discretise_complex(F.lit(-0.2), F.lit(0.7), F.lit(1.0), F.lit(0.0), dt)
+    return table(spark, sf_dir, "part").select("p_partkey", rounded(decay).alias("decay"), rounded(gain).alias("gain"), rounded(z["a_re"]).alias("re"), rounded(z["a_im"]).alias("im"))
+
+
+@query(f"SELECT p_size, list(k ORDER BY j) AS kernel FROM (SELECT p_size, j, {_R.format('sum(c * pow(exp(p_size / 10.0 * a), j) * (exp(p_size / 10.0 * a) - 1) / a * b)')} AS k FROM (SELECT DISTINCT p_size FROM part) CROSS JOIN {_POLES} CROSS JOIN (SELECT unnest(range(16)) AS j) GROUP BY 1, 2) GROUP BY 1")
+def ssm_kernel(spark, sf_dir):
+    dt = F.col("p_size") / 10.0
+    return table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", F.transform(rc.kernel(*_poles(dt), 16), lambda v: rounded(v)).alias("kernel"))
+
+
+_SSM = f"""
+WITH k AS (SELECT j, sum(c * pow(exp(0.5 * a), j) * (exp(0.5 * a) - 1) / a * b) AS k FROM {_POLES} CROSS JOIN (SELECT unnest(range(64)) AS j) GROUP BY 1)
+SELECT series, list(round((y + 0.25 * u) * 1000000) / 1000000 ORDER BY t) AS y FROM (SELECT x.series, x.step AS t, max(x.value) AS u, sum(k.k * z.value) AS y FROM $vec x JOIN vec z ON z.series = x.series AND z.step <= x.step JOIN k ON k.j = x.step - z.step GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(_SSM)
+def ssm_fold(spark, sf_dir):
+    return arrays(spark, sf_dir).select("series", F.transform(rc.fold("values", *_poles(F.lit(0.5)), 0.25), lambda v: rounded(v)).alias("y"))
+
+
+@query(_SSM)
+def ssm_convolution(spark, sf_dir):
+    a = arrays(spark, sf_dir).withColumn("k", rc.kernel(*_poles(F.lit(0.5)), 64))
+    return a.select("series", F.transform(rc.convolve("values", "k", 0.25), lambda v: rounded(v)).alias("y"))
+
+
+@query(_SSM)
+def ssm_fft(spark, sf_dir):
+    return rc.filter_series(arrays(spark, sf_dir), _A, _B, _C, 0.5, 0.25).select("series", F.transform("filtered", lambda v: rounded(v)).alias("y"))
+
+
+@query()
+def ssm_rate(spark, sf_dir):
+    """The rate law: a series held for k steps at one step size and the series itself at k times that size agree at block ends; the largest difference."""
+    held = arrays(spark, sf_dir).select("series", F.flatten(F.transform("values", lambda v: F.array_repeat(v, 4))).alias("values"))
+    fine = rc.filter_series(held, _A, _B, _C, 0.25).select("series", F.filter("filtered", lambda v, i: i % 4 == 3).alias("f"))
+    coarse = rc.filter_series(arrays(spark, sf_dir), _A, _B, _C, 1.0).select("series", F.col("filtered").alias("c"))
+    gap = F.array_max(F.zip_with("f", "c", lambda x, y: F.abs(x - y)))
+    return fine.join(coarse, "series").select("series", rounded(gap).alias("gap"))
+
+
+@query()
+def mixers(spark, sf_dir):
+    """Selective scan, delta rule, attention and the gated block over one token sequence per series, as one number each."""
+    @F.pandas_udf("scan double, delta double, attended double, gated double")
+    def run(values: pd.Series) -> pd.DataFrame:
+        rows = []
+        for v in values:
+            x = np.asarray(v, float).reshape(-1, 4)
+            t = len(x)
+            scan = rc.selective_scan(x[:, 0], np.abs(x[:, 1]) + 0.1, np.array([-1.0, -0.3]), x[:, :2], x[:, 2:])
+            k = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+            delta = rc.delta_rule(x, k, x[:, :2], np.full(t, 0.5))
+            attended = rc.attention(rc.rotate(x, np.arange(t)), rc.rotate(x, np.arange(t)), x, np.tril(np.ones((t, t), bool)))
+            w = {"in_u": np.eye(4), "in_z": np.eye(4), "out": 0.1 * np.eye(4), "a": np.array([-0.5 + 0.3j]), "b": np.array([1.0 + 0j]), "c": np.array([0.7 + 0j])}
+            rows.append([float(np.round(z.sum(), 6)) for z in (scan, delta, attended, rc.layer_loop(x, [lambda y: rc.gated_block(y, w)], 2))])
+        return pd.DataFrame(rows, columns=["scan", "delta", "attended", "gated"])
+
+    return arrays(spark, sf_dir).select("series", run("values").alias("m")).select("series", "m.*")
+
+
+@query()
+def synthetic_series(spark, sf_dir):
+    d = synthetic.generate(spark, "H", 50, 3).unionByName(synthetic.generate(spark, "MS", 50, 3))
+    return d.select("subset", "series_id", "kind", F.size("values").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v) / F.size("values"), 3).alias("mean"))

@@ -1 +1,118 @@
-"""TODO"""
+"""Training windows: draws, bounds, roles, splits."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import rounded
+from ..operators import sample
+from .base import arrays, hour_arrays, query, table
+
+_R = "round({} * 1000000) / 1000000"
+
+
+def _u(id_: str, purpose: str, seed: int = 0) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}:{purpose}:' || CAST({id_} AS VARCHAR)), 1, 12) AS BIGINT) / 281474976710656.0)"
+
+
+@query(f"SELECT n_regionkey, n_nationkey, {_R.format('pow(obs, 0.3) / sum(pow(obs, 0.3)) OVER (PARTITION BY n_regionkey)')} AS p FROM (SELECT n_regionkey, n_nationkey, CAST(count(*) AS DOUBLE) AS obs FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2)")
+def temperature_shares(spark, sf_dir):
+    obs = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey", "n_nationkey").agg(F.count("*").alias("obs"))
+    return sample.shares(obs, ["n_regionkey"], "obs").select("n_regionkey", "n_nationkey", rounded("p").alias("p"))
+
+
+@query(f"WITH t AS (SELECT o_orderpriority, count(*) / (SELECT count(*) FROM orders)::DOUBLE AS target, count(*) FILTER (WHERE o_orderstatus = 'P') / (SELECT count(*) FROM orders WHERE o_orderstatus = 'P')::DOUBLE AS item FROM orders GROUP BY 1) SELECT o_orderpriority, {_R.format('greatest(target - 0.25 * item, 0) / sum(greatest(target - 0.25 * item, 0)) OVER ()')} AS p FROM t")
+def rate_compensation(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    n, np_ = o.count(), o.where("o_orderstatus = 'P'").count()
+    t = o.groupBy("o_orderpriority").agg((F.count("*") / n).alias("target"), (F.count_if(F.col("o_orderstatus") == "P") / np_).alias("item"))
+    return sample.compensated(t, 0.25).select("o_orderpriority", rounded("p").alias("p"))
+
+
+_SUBSETS = [("nn5_daily", "D", 5000, 700), ("traffic_s1", "H", 90000, 9000), ("traffic_s2", "H", 30000, 3000), ("grid_2019", "15T", 400000, 20000), ("synth_a", "H", 50000, 2000), ("synth_b", "15T", 20000, 2000), ("econ", "MS", 4000, 300)]
+
+
+@query()
+def window_draws(spark, sf_dir):
+    """The hierarchical draw over a manifest, as counts by rate class, pool and factor."""
+    manifest = spark.createDataFrame(_SUBSETS, "subset string, freq string, n_obs long, max_length long")
+    d = sample.draw_windows(manifest, 5000, seed=1, group=4)
+    return d.groupBy("rate", "synthetic", "family", "k").agg(F.count("*").alias("n"))
+
+
+@query(f"""
+WITH s AS (SELECT o_orderkey AS draw, CAST(100 + o_orderkey % 900 AS INT) AS n, CAST(o_orderkey % 3 + 1 AS INT) AS k FROM orders),
+a AS (SELECT *, n // k AS steps FROM s), h AS (SELECT *, CASE WHEN steps < 96 THEN least(48, greatest(1, steps // 4)) ELSE 48 END AS h FROM a),
+c AS (SELECT *, steps - h AS most, least(steps - h, 16)::DOUBLE AS lo0 FROM h),
+d AS (SELECT *, least(CASE WHEN {_u('draw', 'full')} < 0.5 THEN 256 ELSE CAST(floor(exp(ln(lo0) + {_u('draw', 'context')} * (ln(greatest(256.0, lo0 + 1)) - ln(lo0)))) AS INT) END, most) AS ctx FROM c),
+o AS (SELECT *, ctx + CAST(floor({_u('draw', 'origin')} * (most - ctx + 1)) AS INT) AS origin FROM d)
+SELECT draw, CAST(h AS INT) AS h, CAST(ctx AS INT) AS ctx, CAST(origin AS INT) AS origin, CAST(greatest(0, n - (steps - origin + ctx) * k) AS INT) AS lo, CAST(n - (steps - origin - h) * k AS INT) AS hi FROM o""")
+def window_bounds(spark, sf_dir):
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("draw"), (100 + F.col("o_orderkey") % 900).cast("int").alias("n"), (F.col("o_orderkey") % 3 + 1).cast("int").alias("k"))
+    return sample.bounds(s, 48, 256, 16).select("draw", "h", "ctx", "origin", "lo", "hi")
+
+
+@query()
+def window_extract(spark, sf_dir):
+    """Windows of the hourly series at drawn bounds: lengths and observed counts."""
+    a = hour_arrays(spark, sf_dir).withColumn("n", F.size("values")).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39)))).withColumn("draw", F.concat_ws("-", "series", "draw")).withColumn("k", (F.pmod(F.xxhash64("draw"), F.lit(3)) + 1).cast("int"))
+    w = sample.window(sample.bounds(a, 48, 256, 32))
+    return w.select("draw", "k", "h", F.size("context").alias("context"), F.size("target").alias("target"))
+
+
+@query(f"SELECT n_regionkey, n_nationkey, CASE WHEN row_number() OVER (PARTITION BY n_regionkey ORDER BY {_u(chr(40) + 'CAST(n_regionkey AS VARCHAR) || chr(47) || CAST(n_nationkey AS VARCHAR)' + chr(41), 'target')}, n_nationkey) = 1 OR {_u(chr(40) + 'CAST(n_regionkey AS VARCHAR) || chr(47) || CAST(n_nationkey AS VARCHAR)' + chr(41), 'role')} < 0.5 THEN 0 WHEN {_u(chr(40) + 'CAST(n_regionkey AS VARCHAR) || chr(47) || CAST(n_nationkey AS VARCHAR)' + chr(41), 'role')} < 0.75 THEN 1 ELSE 2 END AS role FROM nation")
+def role_draw(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey")
+    return sample.roles(n, "n_regionkey", "n_nationkey")
+
+
+@query("""
+WITH c AS (SELECT series, list(value ORDER BY step) AS v FROM $vec GROUP BY 1),
+p AS (SELECT a.series, a.step, a.value AS base, b.value AS c0, lag_.value AS c1 FROM vec a JOIN vec b ON b.series = a.series AND b.step = 63 - a.step JOIN vec lag_ ON lag_.series = a.series AND lag_.step = a.step),
+s AS (SELECT series, avg(base) AS bm, stddev_pop(base) AS bs, avg(c0) AS m0, stddev_pop(c0) AS s0, avg(c1) AS m1, stddev_pop(c1) AS s1 FROM p WHERE step < 48 GROUP BY 1),
+z AS (SELECT p.series, step, base, bs, (c0 - m0) / s0 AS z0, (c1 - m1) / s1 AS z1, first_value((c0 - m0) / s0) OVER (PARTITION BY p.series ORDER BY step) AS f0, lag((c0 - m0) / s0, 3) OVER (PARTITION BY p.series ORDER BY step) AS l0 FROM p JOIN s ON s.series = p.series)
+SELECT series, step, round((base + bs * (0.8 * (exp(4 * coalesce(l0, f0)) - 1) / (exp(4 * coalesce(l0, f0)) + 1) + 0.5 * CASE WHEN z1 > 0 THEN 1.0 ELSE 0.0 END)) * 1000000) / 1000000 AS y FROM z""")
+def covariate_target(spark, sf_dir):
+    a = arrays(spark, sf_dir).select("series", F.col("values").alias("base"), F.array(F.reverse("values"), F.col("values")).alias("covariates"))
+    out = sample.covariate_target(a, [1, 2], [3, 0], [0.8, 0.5], 48)
+    # An outer explode: of an inner one the optimiser would derive a filter on y and work y out twice, below all the columns it is made from.
+    return out.select("series", F.posexplode_outer("y").alias("step", "y")).select("series", F.col("step").cast("long").alias("step"), rounded("y").alias("y"))
+
+
+@query("SELECT series, CAST(s AS INT) AS start, list(value ORDER BY step) FILTER (WHERE step < s + 24) AS context, list(value ORDER BY step) FILTER (WHERE step >= s + 24) AS target FROM $vec JOIN (SELECT unnest(range(0, 33, 10)) AS s) ON step >= s AND step < s + 32 GROUP BY 1, 2")
+def stride_windows(spark, sf_dir):
+    return sample.stride_windows(arrays(spark, sf_dir).select("series", "values"), 24, 8, 10)
+
+
+@query("SELECT c_custkey, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'validation' ELSE 'test' END AS part FROM (SELECT c_custkey, percent_rank() OVER (ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey) AS p FROM customer)")
+def series_split(spark, sf_dir):
+    return sample.split(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
+
+
+@query()
+def batch_replay(spark, sf_dir):
+    f = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("long").alias("size"), (F.col("p_partkey") % 5 + 1).alias("per_batch"))
+    out = sample.replay(f, 40, 100, 1.5)
+    return out.select("p_partkey", F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x).alias("taken"), F.array_max("takes").alias("most"))
+
+
+@query(f"SELECT CAST(id // 12 AS INT) AS batch, CAST(id % 12 AS INT) AS b, CAST((id % 12) // 3 AS INT) AS grp, CASE WHEN {_u('id', 'flip')} < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS sign FROM (SELECT unnest(range(120)) AS id)")
+def batch_assembly(spark, sf_dir):
+    return sample.batches(spark, 10, 12, 4)
+
+
+@query(f"SELECT p_partkey, CAST(floor(exp(ln(32) + {_u('p_partkey', 'horizon')} * (ln(720) - ln(32)))) AS INT) AS h FROM part")
+def horizon_draw(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", sample.horizon_of_batch("p_partkey", 32, 720).alias("h"))
+
+
+@query()
+def covariate_items(spark, sf_dir):
+    w = arrays(spark, sf_dir).select(F.col("series").alias("draw"), F.slice("values", 1, 48).alias("context"), F.slice("values", 49, 16).alias("target"))
+    return sample.covariate_items(w, 4).select("draw", F.size("values").alias("variates"), F.size(F.get("values", F.lit(0))).alias("steps"))
+
+
+@query()
+def window_mix(spark, sf_dir):
+    w = arrays(spark, sf_dir).select(F.col("series").alias("draw"), F.floor(F.col("series") / 3).alias("grp"), F.slice("values", 1, 48).alias("context"), F.slice("values", 49, 16).alias("target"))
+    return sample.mix_windows(w, ["grp"]).select("draw", F.size("context").alias("context"), F.size("target").alias("target"))

@@ -124,10 +124,10 @@ def overall_score(spark, sf_dir):
     return mt.overall(_scores(spark, sf_dir)).withColumn("overall", rounded("overall"))
 
 
-@query(f"SELECT series, origin, round(sum(greatest(y - naive, 0) * 0.5 + greatest(naive - y, 0) * 0.5) / greatest(count(y - naive), 1) * 1000) / 1000 AS loss FROM $cut_steps GROUP BY 1, 2")
+@query(f"SELECT series, origin, round(sum(greatest(y - naive, 0) * 0.5 + greatest(naive - y, 0) * 0.5) / greatest(count(y - naive), 1) * 1000000000) / 1000000000 AS loss FROM $cut_steps GROUP BY 1, 2")
 def naive_loss(spark, sf_dir):
     c = cuts(spark, sf_dir).withColumn("naive", fc.seasonal_naive("context", 48, 24))
-    return mt.naive_loss(c, _KEYS).withColumn("loss", rounded("loss", 3))
+    return mt.naive_loss(c, _KEYS).withColumn("loss", rounded("loss", 9))
 
 
 @query("SELECT p_partkey, round(p_size / (p_retailprice + 0.001) * 1000000) / 1000000 AS ratio, round(ln((p_size + 0.001) / (p_partkey % 9 + 1 + 0.001)) * 1000000) / 1000000 AS log_ratio FROM part")

@@ -67,7 +67,7 @@ def sdmx_tsv(lines: DataFrame, value: str = "value") -> DataFrame:
     heads = lines.where(F.col(value).contains("\\")).select(F.split(value, "\t").alias("h")).limit(1)
     dims = F.split(F.element_at(F.split(F.get("h", F.lit(0)), r"\\"), 1), ",")
     body = lines.where(~F.col(value).contains("\\")).select(F.split(value, "\t").alias("c")).crossJoin(F.broadcast(heads.select(dims.alias("d"), F.slice("h", 2, 1_000_000).alias("t"))))  # one row
-    cells = body.select(F.map_from_arrays("d", F.transform(F.split(F.get("c", F.lit(0)), ","), F.trim)).alias("key"), F.explode(F.arrays_zip(F.transform("t", F.trim).alias("period"), F.slice("c", 2, 1_000_000).alias("cell"))).alias("x"))
+    cells = body.select(F.map_from_arrays("d", F.transform(F.split(F.get("c", F.lit(0)), ","), lambda x: F.trim(x))).alias("key"), F.explode(F.arrays_zip(F.transform("t", lambda x: F.trim(x)).alias("period"), F.slice("c", 2, 1_000_000).alias("cell"))).alias("x"))
     return cells.select("key", "x.period", numeric(F.get(F.split(F.trim("x.cell"), " "), F.lit(0))).alias("number"))
 
 
@@ -81,7 +81,7 @@ def best_copies(rows: DataFrame, rest: list[str], order: str, unit: str = "unit"
 def tsf(spark: SparkSession, path: str) -> DataFrame:
     """file, metadata (map), series_id, values (floats; what can't be read is NULL) of files with @key value lines, @data, and id:timestamp:v1,v2,... lines."""
     files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    lines = F.filter(F.transform("lines", F.trim), lambda x: (x != "") & ~x.startswith("#"))
+    lines = F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#"))
     files = files.withColumn("lines", lines).withColumn("at", F.array_position(F.transform("lines", F.lower), "@data")).where("at > 0")
     head = F.filter(F.slice("lines", F.lit(1), (F.col("at") - 1).cast("int")), lambda x: x.startswith("@"))
     meta = F.map_from_entries(F.transform(F.array_distinct(F.transform(head, lambda x: F.regexp_extract(x, r"^@(\S+)", 1))), lambda k: F.struct(k, F.array_join(F.transform(F.filter(head, lambda x: x.startswith(F.concat(F.lit("@"), k, F.lit(" ")))), lambda x: F.regexp_extract(x, r"^@\S+\s+(.*)$", 1)), "; "))))
