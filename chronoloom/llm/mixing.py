@@ -98,4 +98,5 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
 def repeat(mixed: DataFrame, columns: list[str]) -> DataFrame:
     """The given columns of mix()'s rows, each row as often as its copies say."""
     again = no_clash(mixed, "again")[0]
-    return mixed.where("copies > 0").withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*columns)
+    # No filter on copies: the optimiser would make it a condition of the join below and count the words of every text there a second time, without codegen.
+    return mixed.withColumn(again, F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select(*columns)
