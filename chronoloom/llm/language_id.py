@@ -41,14 +41,15 @@ def codewords(n: int) -> np.ndarray:
         code = rng.choice([-1.0, 1.0], (n, BITS))
         if (abs(code.sum(0)) == n).any():
             continue
-        far = int((BITS - (code @ code.T + 2 * BITS * np.eye(n)).max()) / 2) if n > 1 else BITS
+        far = int((BITS - (code @ code.T - 2 * BITS * np.eye(n)).max()) / 2)
         if far > apart:
             best, apart = code, far
     return best
 
 
 def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of the 3-grams and of the 2-grams that begin at each byte of the joined texts, and where each text begins. Two zero bytes end each text."""
+    """Slots of the 3-grams and of the 2-grams that begin at each byte of the joined texts, and where each text begins and ends, in turn. Two zero bytes after each
+    text keep its n-grams from the next one's."""
     parts = [t.lower().encode() + b"\0\0" for t in texts]
     a = np.frombuffer(b"".join(parts) + b"\0\0", np.uint8).astype(np.uint32)
     two = a[:-2] * np.uint32(0x9E3779B1) + a[1:-1] * np.uint32(0x85EBCA77)
@@ -56,7 +57,9 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     half = np.uint32(SLOTS // 2 - 1)
     three = ((three ^ (three >> np.uint32(15))) * np.uint32(0x27D4EB2F) >> np.uint32(9)) & half
     two = (((two ^ (two >> np.uint32(15))) * np.uint32(0x165667B1) >> np.uint32(9)) & half) + np.uint32(SLOTS // 2)
-    return three, two, np.cumsum([0, *(len(p) for p in parts[:-1])])
+    size = np.array([len(p) for p in parts])
+    start = np.cumsum(size) - size
+    return three, two, np.stack([start, start + size - 2], 1).ravel()
 
 
 def _pieces(texts: list[str]):
@@ -84,10 +87,9 @@ def gram_counts(rows: DataFrame) -> DataFrame:
         for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             texts, langs = ([x or "" for x in b.column(i).to_pylist()] for i in range(2))
             for piece, owner in _pieces(texts):
-                three, two, start = _grams(piece)
-                end = [*start[1:], len(three)]
-                for i, lo, hi in zip(owner, start, end):
-                    if hi - lo > 2:
+                three, two, at = _grams(piece)
+                for i, lo, hi in zip(owner, at[::2], at[1::2]):
+                    if hi > lo:
                         got = np.bincount(np.concatenate([three[lo:hi], two[lo:hi]]).astype(np.int64), minlength=SLOTS)
                         sums.setdefault(langs[i], np.zeros(SLOTS))
                         sums[langs[i]] += got / (hi - lo)
@@ -147,10 +149,12 @@ def classify(texts: list[str | None], model: dict) -> tuple[list[str], np.ndarra
     texts = [t or "" for t in texts]
     sums, n = np.zeros((len(texts), model["slots"].shape[1])), np.zeros(len(texts))
     for piece, owner in _pieces(texts):
-        three, two, start = _grams(piece)
-        got = np.add.reduceat(model["slots"][three], start, axis=0, dtype=np.float64) + np.add.reduceat(model["slots"][two], start, axis=0, dtype=np.float64)
+        three, two, at = _grams(piece)
+        got = sum(np.add.reduceat(model["slots"][x], at, axis=0, dtype=np.float64)[::2] for x in (three, two))
+        size = at[1::2] - at[::2]
+        got[size == 0] = 0
         np.add.at(sums, owner, got)
-        np.add.at(n, owner, 2.0 * np.diff([*start, len(three)]))
+        np.add.at(n, owner, 2.0 * size)
     known = np.array([has_letter(t) for t in texts], bool) & bool(model["langs"])
     if not model["langs"] or not len(texts):
         return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)

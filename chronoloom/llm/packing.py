@@ -58,23 +58,27 @@ def pack(docs: DataFrame, size: Column, cluster: Column, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size"), cluster.cast("long").alias("cluster"))
     rows = spill(rows, "pieces")
     blocks = max(1, -(-rows.count() // block))
-    rest = rows.select("*", F.floor(F.col("size") / capacity).alias("whole")).withColumn("piece", F.col("whole")).withColumn("n", F.col("size") - F.col("whole") * capacity)
-    rest = rest.where("n > 0 OR whole = 0").withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id", "cluster"), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id", "cluster"), F.lit(blocks)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = [(-n, i, s, c) for n, i, s, c in zip(pdf["n"], pdf["doc_id"].fillna(-1), pdf["source"].fillna(""), pdf["cluster"].fillna(-1))]
-        pdf = pdf.iloc[sorted(range(len(keys)), key=keys.__getitem__)]
-        sources, clusters = ([None if pd.isna(x) else x for x in pdf[c]] for c in ("source", "cluster"))
-        bins, starts, left = best_fit(pdf["n"].tolist(), sources, clusters, capacity)
+        ids, sources, clusters = ([None if pd.isna(x) else x for x in pdf[c]] for c in ("doc_id", "source", "cluster"))
+        pieces = []  # what is left of each document after its full pieces
+        rows, bins = [], 0
         base = int(pdf["block"].iloc[0]) << 32
-        return pdf.assign(first_word=pdf["piece"] * capacity, n_words=pdf["n"], bin_id=[base + b for b in bins], start=starts, free=[left[b] for b in bins])[_COLUMNS]
-
-    packed = rest.select("doc_id", "source", "piece", "n", "cluster", "block").groupBy("block").applyInPandas(run, _SCHEMA)
-    # Full pieces: bins numbered below zero, by a hash of document and piece.
-    full = rows.where(F.col("size") >= capacity).select("doc_id", "source", "cluster", F.explode(F.sequence(F.lit(0), F.floor(F.col("size") / capacity) - 1)).alias("piece"))
-    own = -(F.shiftrightunsigned(F.xxhash64("doc_id", "source", "cluster", "piece"), 1)) - 1
-    full = full.select("doc_id", "source", "piece", (F.col("piece") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"), own.alias("bin_id"), F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("free"))
-    return packed.unionByName(full)
+        for i, s, c, n in zip(ids, sources, clusters, pdf["size"].tolist()):
+            whole, rest = divmod(n, capacity)
+            for piece in range(whole):
+                rows.append((i, s, piece, piece * capacity, capacity, base + bins, 0, 0))
+                bins += 1
+            if rest or not whole:
+                pieces.append((rest, i, s, c, whole))
+        pieces.sort(key=lambda x: (-x[0], x[1] is not None, x[1] or 0, x[2] or "", x[3] or 0))
+        to, starts, left = best_fit([x[0] for x in pieces], [x[2] for x in pieces], [x[3] for x in pieces], capacity)
+        rows += [(i, s, whole, whole * capacity, n, base + bins + b, at, left[b]) for (n, i, s, _, whole), b, at in zip(pieces, to, starts)]
+        out = pd.DataFrame(rows, columns=_COLUMNS)
+        return out.astype({"doc_id": "Int64"})
+
+    return dealt.select("doc_id", "source", "size", "cluster", "block").groupBy("block").applyInPandas(run, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, source string, piece long, first_word long, n_words long, bin_id long, start long, free long"
