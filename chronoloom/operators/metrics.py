@@ -118,8 +118,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     ok = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     for c in (x, y):
         ok = ok.withColumn(f"_r{c}", F.rank().over(Window.partitionBy(*by).orderBy(c)) + (F.count("*").over(Window.partitionBy(*by, c)) - 1) / 2)
-    flat = (F.stddev_pop(f"_r{x}") > 0) & (F.stddev_pop(f"_r{y}") > 0)
-    return ok.groupBy(*by).agg(F.when((F.count("*") >= 3) & flat, F.corr(f"_r{x}", f"_r{y}")).alias("rho"))
+    rho = safe_divide(F.covar_pop(f"_r{x}", f"_r{y}"), F.stddev_pop(f"_r{x}") * F.stddev_pop(f"_r{y}"))
+    return ok.groupBy(*by).agg(F.when(F.count("*") >= 3, rho).alias("rho"))
 
 
 def item_losses(s: DataFrame, keys: list[str], worst: int) -> DataFrame:

@@ -35,10 +35,10 @@ def out_of(z: str | Column, center: str | Column, scale: str | Column) -> Column
 
 
 def causal_frame(points: DataFrame, keys: list[str], patch: int, step: str = "step", value: str = "value") -> DataFrame:
-    """keys, token, center, scale: mean and deviation of all observed steps up to the end of each token of patch steps (from step 0). Squares are taken about the last
-    mean, so that a level far above the spread loses no digits."""
+    """keys, token, center, scale: mean and deviation of all observed steps up to the end of each token of patch steps (from step 0). Squares are taken about the first
+    observed value, so that a level far above the spread loses no digits, and no later step changes an earlier token."""
     w = Window.partitionBy(*keys)
-    shift = F.coalesce(F.avg(value).over(w), F.lit(0.0))
+    shift = F.coalesce(F.first(value, True).over(w.orderBy(step).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.lit(0.0))
     d = F.col(value) - shift
     tokens = points.withColumn("_d", d).withColumn("_shift", shift).groupBy(*keys, F.floor(F.col(step) / patch).cast("long").alias("token"), "_shift")
     tokens = tokens.agg(F.count("_d").alias("_n"), F.coalesce(F.sum("_d"), F.lit(0.0)).alias("_s"), F.coalesce(F.sum(F.col("_d") * F.col("_d")), F.lit(0.0)).alias("_q"))

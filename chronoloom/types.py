@@ -1,25 +1,18 @@
-"""Schemas of the data model."""
+"""Schemas of the data model, as DDL text, which every reader and createDataFrame takes."""
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
-
-
 #: One row per series, and its exploded twin; NULL is a missing value.
-SERIES = _schema("subset STRING, series_id BIGINT, values ARRAY<FLOAT>")
-POINTS = _schema("subset STRING, series_id BIGINT, step BIGINT, value DOUBLE")
-MANIFEST = _schema("subset STRING, freq STRING, n_series BIGINT, n_obs BIGINT, median_length INT, domain STRING, license STRING, origin STRING, dropped BIGINT")
+SERIES = "subset STRING, series_id BIGINT, values ARRAY<FLOAT>"
+POINTS = "subset STRING, series_id BIGINT, step BIGINT, value DOUBLE"
+MANIFEST = "subset STRING, freq STRING, n_series BIGINT, n_obs BIGINT, median_length INT, domain STRING, license STRING, origin STRING, dropped BIGINT"
 #: Members of multivariate items on one axis.
-ITEMS = _schema("item_id BIGINT, member_pos INT, subset STRING, series_id BIGINT, shift BIGINT")
+ITEMS = "item_id BIGINT, member_pos INT, subset STRING, series_id BIGINT, shift BIGINT"
 #: An evaluation cut and a long quantile forecast of it.
-CUTS = _schema("subset STRING, series_id BIGINT, origin INT, context ARRAY<DOUBLE>, target ARRAY<DOUBLE>")
-QUANTILES = _schema("subset STRING, series_id BIGINT, origin INT, step INT, level DOUBLE, q DOUBLE")
+CUTS = "subset STRING, series_id BIGINT, origin INT, context ARRAY<DOUBLE>, target ARRAY<DOUBLE>"
+QUANTILES = "subset STRING, series_id BIGINT, origin INT, step INT, level DOUBLE, q DOUBLE"
 #: One result file per configuration.
-RESULT = _schema("config STRING, prediction_length INT, model STRUCT<MASE: DOUBLE, CRPS: DOUBLE, coverage: MAP<STRING, DOUBLE>>, ratein STRUCT<frac_k_gt1: DOUBLE>")
+RESULT = "config STRING, prediction_length INT, model STRUCT<MASE: DOUBLE, CRPS: DOUBLE, coverage: MAP<STRING, DOUBLE>>, ratein STRUCT<frac_k_gt1: DOUBLE>"
 
 #: Roles of a variate, and quantile levels of a forecast (fixed values).
 TARGET, PAST_COVARIATE, FUTURE_COVARIATE = 0, 1, 2
