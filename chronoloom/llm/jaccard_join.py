@@ -220,22 +220,35 @@ def _hubs(percent: int):
 def _cross(percent: int):
     """Sorted (token, np, rep, comp) -> pairs of a run that are not yet connected and may link by size and position."""
 
-    def run(batches):
+    def found(batches):
         for token, np_, rep, comp in _runs(batches, 4):
             edge = np.flatnonzero(np.diff(token)) + 1
-            for lo, hi in zip(np.r_[0, edge], np.r_[edge, len(token)]):
+            for lo, hi in zip(np.r_[0, edge].tolist(), np.r_[edge, len(token)].tolist()):
                 c = comp[lo:hi]
                 if hi - lo < 2 or (c == c[0]).all():
                     continue
                 n, pos, r = np_[lo:hi] >> 32, np_[lo:hi] & 0xFFFFFFFF, rep[lo:hi]
-                first = np.searchsorted(n, -((-percent * n) // 100))  # the smallest that may link with each
+                first = np.searchsorted(n, -((-percent * n) // 100)).tolist()  # the smallest that may link with each
                 for i in range(1, hi - lo):
+                    if first[i] == i:
+                        continue
                     j = slice(first[i], i)
                     need = -((-percent * (n[i] + n[j])) // (100 + percent))
-                    at = np.flatnonzero((c[j] != c[i]) & (r[j] != r[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need))
-                    if len(at):
-                        other = r[j][at]
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, r[i])), pa.array(np.maximum(other, r[i]))], ["a", "b"])
+                    other = r[j][(c[j] != c[i]) & (r[j] != r[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)]
+                    if len(other):
+                        yield np.minimum(other, r[i]), np.maximum(other, r[i])
+
+    def run(batches):
+        held, size = [], 0
+        for pair in found(batches):
+            held.append(pair)
+            size += len(pair[0])
+            if size >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
+        release()
 
     return run
 

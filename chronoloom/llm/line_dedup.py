@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import modest_batches, no_clash, spill
+from .textkit import release
 
 #: Keys whose arrays are sent to every task (24 bytes each: 48 MB); with more keys, hashes are joined.
 PROBE_KEYS = 2_000_000
@@ -118,6 +119,7 @@ def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> Data
             h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
             ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
             yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), ids], ["h1", "h2", "doc_id"])
+        release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "h1 long, h2 long, doc_id long")
 
@@ -194,6 +196,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         def run(batches):
             for b in parts(batches):
                 yield cut(b, probe, out)
+            release()
 
         return rows.mapInArrow(run, schema)
 
