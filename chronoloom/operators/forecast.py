@@ -179,3 +179,55 @@ def long_quantiles(df: DataFrame, keys: list[str], levels: tuple[float, ...] = L
 def best_pass(losses: DataFrame, keys: list[str], pass_: str = "pass", loss: str = "loss") -> DataFrame:
     """keys, pass: the pass of least loss, the first of equals; the last one if none has a loss."""
     return losses.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(loss).isNotNull(), F.struct(loss, pass_)))[pass_], F.max(pass_)).alias(pass_))
+
+
+def forecast_by_size(cuts: DataFrame, name: str, h: int, season: int, size: str, context: str = "context") -> DataFrame:
+    """cuts with quantiles, each context read in the block size of its row and held back to h steps: rows of several sizes in one pass."""
+    from .grid import decimate_array
+
+    d = cuts.withColumn("_c", decimate_array(context, F.col(size)))
+    forecaster = REGISTRY[name]
+
+    @F.pandas_udf("array<array<double>>")
+    def run(contexts: pd.Series, sizes: pd.Series) -> pd.Series:
+        out = []
+        for c, k in zip(contexts, sizes):
+            q = quantiles_of(forecaster, np.array([np.nan if v is None else v for v in c], float), -(-h // int(k)), max(1, round(season / int(k))))
+            out.append([[None if np.isnan(v) else float(v) for v in row] for row in np.repeat(q, int(k), axis=0)[:h]])
+        return pd.Series(out)
+
+    return d.withColumn("quantiles", run("_c", size)).drop("_c")
+
+
+def naive_at_rate(context: str | Column, h: int, season: int, k: int) -> Column:
+    """The seasonal naive of the context's block means, each value held for its k native steps."""
+    from .grid import decimate_array, hold
+
+    return hold(seasonal_naive(decimate_array(context, k), -(-h // k), max(1, round(season / k))), k, h)
+
+
+def quantile_head(tokens: np.ndarray, queries: np.ndarray, w: dict, patch: int, levels: int = 9) -> np.ndarray:
+    """[steps, levels]: future queries read the tokens by attention, a small network turns each into patch raw fans, and widths become a sorted fan."""
+    from .recurrence import attention
+
+    every = np.zeros((len(queries) + len(tokens),) * 2, bool)
+    every[: len(queries), len(queries) :] = True
+    both = np.concatenate([queries, tokens])
+    read = queries + attention(both @ w["q"], both @ w["k"], both @ w["v"], every)[: len(queries)]
+    raw = (np.maximum(read @ w["up"], 0) @ w["down"]).reshape(-1, levels)
+    width, mid = np.log1p(np.exp(-np.abs(raw))) + np.maximum(raw, 0), levels // 2
+    below, above = np.cumsum(width[:, :mid][:, ::-1], 1)[:, ::-1], np.cumsum(width[:, mid + 1 :], 1)
+    return np.concatenate([raw[:, mid : mid + 1] - below, raw[:, mid : mid + 1], raw[:, mid : mid + 1] + above], 1)[: len(queries) * patch]
+
+
+def save_model(spark, path: str, parameters: dict[str, np.ndarray]) -> None:
+    """Coefficient arrays as a table: name, shape, values."""
+    spark.createDataFrame([(k, list(map(int, np.shape(v))), np.ravel(v).astype(float).tolist()) for k, v in parameters.items()], "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_model(spark, path: str, expected: set[str] | None = None) -> dict[str, np.ndarray]:
+    """The arrays; names that are missing or unexpected are an error. A model is small by nature: its coefficients come to the driver."""
+    got = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+    if expected is not None and set(got) != expected:
+        raise ValueError(f"missing {sorted(expected - set(got))}, unexpected {sorted(set(got) - expected)}")
+    return got

@@ -131,3 +131,9 @@ def point_errors(pairs: DataFrame, by: list[str], f: str = "f", y: str = "y") ->
     """by, mse, mae."""
     d = F.col(f) - F.col(y)
     return pairs.groupBy(*by).agg(F.avg(d * d).alias("mse"), F.avg(F.abs(d)).alias("mae"))
+
+
+def joint_and_single(joint: DataFrame, single: DataFrame, targets: DataFrame, naive: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """by, joint, single: scores of two quantile forecasts of the same target rows against the naive. Rows of other roles must not be in targets."""
+    a, b = (subset_scores(scored(q, targets, keys), naive, targets, keys, by).select(*by, F.col("score").alias(n)) for q, n in ((joint, "joint"), (single, "single")))
+    return a.join(b, by)

@@ -131,3 +131,16 @@ def next_patch_targets(points: DataFrame, keys: list[str], patch: int, skip: int
     j = nxt.join(frames, [*keys, "token"]).join(seen, [*keys, "token"])
     scored = F.col(value).isNotNull() & F.col("_seen") & (F.col("token") >= skip)
     return j.select(*keys, "token", "i", F.asinh((F.coalesce(F.col(value), F.lit(0.0)) - F.col("center")) / F.col("scale")).alias("target"), scored.alias("scored"))
+
+
+def config_stats(cuts: DataFrame, by: list[str], cap: int = 1024, short: int = 128, context: str = "context", target: str = "target") -> DataFrame:
+    """by, n, ctx_median, ctx_q10, ctx_short (share below short) of the contexts' lengths (at most cap), and tail statistics of the targets in the robust frame of their
+    own contexts. cuts: keys of their own in id."""
+    from .metrics import tail_stats
+
+    lengths = cuts.groupBy(*by).agg(F.count("*").alias("n"), *(F.percentile(F.least(F.size(context), F.lit(cap)), F.lit(p)).alias(n) for p, n in ((0.5, "ctx_median"), (0.1, "ctx_q10"))), F.avg((F.least(F.size(context), F.lit(cap)) < short).cast("double")).alias("ctx_short"))
+    last = F.slice(context, F.greatest(F.size(context) - cap, F.lit(0)) + 1, F.lit(cap))
+    points = cuts.select("id", *by, F.explode(last).alias("value")).where("value IS NOT NULL")
+    frames = robust_scale(points, ["id", *by])
+    z = cuts.select("id", F.explode(target).alias("_y")).join(frames, "id").withColumn("z", (F.col("_y") - F.col("median")) / F.col("scale"))
+    return lengths.join(tail_stats(z, by), by, "left")

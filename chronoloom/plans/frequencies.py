@@ -89,3 +89,9 @@ def cut_lengths(spark, sf_dir):
     f = _freqs(spark, sf_dir).where(fr.frequency_unit("freq").isNotNull())
     h, m = fr.cut_lengths("freq")
     return f.select("p_partkey", h.alias("h"), m.alias("m"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN 1.0 ELSE least(greatest(24.0::DOUBLE * (p_partkey % 4 + 1) / p_size, 0.1), 8.0) END AS w FROM part")
+def tied_scale(spark, sf_dir):
+    season = F.when(F.col("p_size") % 5 != 0, F.col("p_size").cast("double")).otherwise(0.0)
+    return table(spark, sf_dir, "part").select("p_partkey", fr.tied_scale(season, F.col("p_partkey") % 4 + 1, 0.1, 8.0).alias("w"))

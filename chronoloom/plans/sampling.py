@@ -116,3 +116,16 @@ def covariate_items(spark, sf_dir):
 def window_mix(spark, sf_dir):
     w = arrays(spark, sf_dir).select(F.col("series").alias("draw"), F.floor(F.col("series") / 3).alias("grp"), F.slice("values", 1, 48).alias("context"), F.slice("values", 49, 16).alias("target"))
     return sample.mix_windows(w, ["grp"]).select("draw", F.size("context").alias("context"), F.size("target").alias("target"))
+
+
+@query()
+def item_windows(spark, sf_dir):
+    """Windows of three neighbouring series on their common axis."""
+    from ..operators import items
+
+    a = arrays(spark, sf_dir).withColumn("subset", F.col("subset").cast("string"))
+    members = a.select(F.floor(F.col("series") / 3).cast("long").alias("item_id"), (F.col("series") % 3).cast("int").alias("member_pos"), "subset", F.col("series").alias("series_id"), (F.col("series") % 5 * 2).alias("shift"))
+    points = a.select("subset", F.col("series").alias("series_id"), F.posexplode("values").alias("step", "value")).withColumn("step", F.col("step").cast("long"))
+    lengths = a.select("subset", F.col("series").alias("series_id"), F.size("values").cast("long").alias("length"))
+    w = items.item_windows(members, points, lengths, 2, 8, 32, 8, 2)
+    return w.select("item_id", "member_pos", "k", "h", F.size("context").alias("context"), F.size("target").alias("target"))

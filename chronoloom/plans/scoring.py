@@ -213,3 +213,46 @@ def rate_mix(spark, sf_dir):
     m = fc.mix_rates(cuts(spark, sf_dir), "state_space", 48, 24)
     total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x)
     return m.select("series", "origin", F.size("quantiles").alias("h"), rounded(total).alias("weight"), F.size("weights").alias("rates"))
+
+
+@query("SELECT series, origin, list(v ORDER BY i) AS naive FROM (SELECT c.series, c.origin, i.i, round(avg(h.value) * 1000000) / 1000000 AS v FROM (SELECT DISTINCT series, origin FROM $cut_steps) c CROSS JOIN (SELECT unnest(range(48)) AS i) i JOIN hourly h ON h.series = c.series AND h.step >= 720 - (c.origin + 1) * 48 - 24 + ((i.i // 4) % 6) * 4 AND h.step < 720 - (c.origin + 1) * 48 - 24 + ((i.i // 4) % 6) * 4 + 4 GROUP BY 1, 2, 3) GROUP BY 1, 2")
+def fixed_rate(spark, sf_dir):
+    return cuts(spark, sf_dir).select("series", "origin", F.transform(fc.naive_at_rate("context", 48, 24, 4), lambda v: rounded(v)).alias("naive"))
+
+
+@query("""
+WITH c AS (SELECT series || '/' || CAST(origin AS VARCHAR) AS id, series, origin, context, target FROM $cuts),
+x AS (SELECT id, series, unnest(context) AS value FROM c), p AS (SELECT * FROM x WHERE value IS NOT NULL),
+m AS (SELECT id, series, quantile_disc(value, 0.5) AS med, coalesce(stddev_samp(value), 0) AS sd FROM p GROUP BY 1, 2),
+d AS (SELECT p.id, quantile_disc(abs(value - med), 0.5) * 1.4826 AS sigma FROM p JOIN m ON m.id = p.id GROUP BY 1),
+r AS (SELECT m.id, series, med, greatest(CASE WHEN sigma > 0.01 * sd THEN sigma ELSE greatest(0.1 * sd, 0.001) END, 0.001) AS scale FROM m JOIN d ON d.id = m.id),
+z AS (SELECT r.series, abs((t.y - med) / scale) AS z FROM (SELECT id, unnest(target) AS y FROM c) t JOIN r ON r.id = t.id WHERE t.y IS NOT NULL)
+SELECT l.series, n, ctx_median, ctx_q10, ctx_short, share, weight, mass FROM (SELECT series, count(*) AS n, median(least(len(context), 1024)) AS ctx_median, quantile_cont(least(len(context), 1024), 0.1) AS ctx_q10, avg(CASE WHEN least(len(context), 1024) < 600 THEN 1.0 ELSE 0.0 END) AS ctx_short FROM c GROUP BY 1) l
+JOIN (SELECT series, round(avg(CASE WHEN z > 2 THEN 1.0 ELSE 0.0 END) * 1000000) / 1000000 AS share, round(avg(1 / sqrt(1 + z * z)) * 1000000) / 1000000 AS weight, round(sum(CASE WHEN z > 2 THEN z ELSE 0 END) / sum(z) * 1000000) / 1000000 AS mass FROM z GROUP BY 1) t ON t.series = l.series""")
+def config_stats(spark, sf_dir):
+    from ..operators.norm import config_stats as stats
+
+    c = cuts(spark, sf_dir).withColumn("id", F.concat_ws("/", "series", F.col("origin").cast("string")))
+    out = stats(c, ["series"], short=600)
+    return out.select("series", "n", "ctx_median", "ctx_q10", "ctx_short", *(rounded(x).alias(x) for x in ("share", "weight", "mass")))
+
+
+@query()
+def mixed_sizes(spark, sf_dir):
+    c = cuts(spark, sf_dir).withColumn("size", (F.col("origin") + 1).cast("int"))
+    return fc.forecast_by_size(c, "seasonal_naive", 48, 24, "size").select("series", "origin", F.size("quantiles").alias("h"))
+
+
+@query()
+def multivariate_forecast(spark, sf_dir):
+    """The five event types as one item: clicks are the target, views known ahead, the rest past covariates; joint and single scores."""
+    from ..operators import items
+
+    c = cuts(spark, sf_dir).withColumn("role", F.when(F.col("series") == "click", 0).when(F.col("series") == "view", 2).otherwise(1)).withColumnRenamed("origin", "item_id")
+    c = c.withColumn("item_id", F.col("item_id").cast("long")).withColumn("member_pos", F.when(F.col("role") == 0, 0).otherwise(F.length("series")).cast("int"))
+    targets = c.where("role = 0").select("item_id", F.posexplode("target").alias("step", "y"))
+    naive = c.where("role = 0").withColumn("n", fc.seasonal_naive("context", 48, 24)).select("item_id", F.posexplode("n").alias("step", "q"))
+    joint = fc.long_quantiles(items.forecast_items(c, 48, 24), ["item_id"])
+    single = fc.long_quantiles(items.forecast_items(c.where("role = 0"), 48, 24), ["item_id"])
+    out = mt.joint_and_single(joint, single, targets, naive, ["item_id"], ["item_id"])
+    return out.select("item_id", rounded("joint").alias("joint"), rounded("single").alias("single"))

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import bz2
+import gzip
 import io
+import lzma
+import tarfile
+import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -57,3 +62,35 @@ def csr_series(spark: SparkSession, path: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.list_(pa.float32()))], ["subset", "series_id", "values"])
 
     return pairs.mapInArrow(run, "subset string, series_id long, values array<float>")
+
+
+def _members(name: str, content: bytes):
+    """(member, bytes) of an archive, or of a compressed file; of any other file the file itself."""
+    lower = name.lower()
+    if lower.endswith(".zip"):
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            yield from ((m.filename, z.read(m)) for m in z.infolist() if not m.is_dir())
+    elif lower.endswith((".tar", ".tar.gz", ".tgz", ".tar.xz", ".tar.bz2")):
+        with tarfile.open(fileobj=io.BytesIO(content)) as t:
+            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
+    else:
+        for end, open_ in ((".gz", gzip.decompress), (".xz", lzma.decompress), (".bz2", bz2.decompress)):
+            if lower.endswith(end):
+                yield name.rsplit("/", 1)[-1][: -len(end)], open_(content)
+                return
+        yield name.rsplit("/", 1)[-1], content
+
+
+def archived_lines(spark: SparkSession, path: str) -> DataFrame:
+    """path, member, line_no, line of the text files in zip, tar, gz, xz and bz2 archives: what from_csv or the text readers go on with."""
+
+    def run(batches):
+        for b in batches:
+            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
+                for member, data in _members(name, content.as_py()):
+                    lines = data.decode("utf-8", "replace").splitlines()
+                    for lo in range(0, len(lines), 10_000):
+                        part = lines[lo : lo + 10_000]
+                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([member] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.string())], ["path", "member", "line_no", "line"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, line_no long, line string")
