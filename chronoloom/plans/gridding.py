@@ -11,13 +11,13 @@ from .base import arrays, days, gappy, gappy_arrays, hour_arrays, hourly, observ
 
 
 @query("""
-WITH o AS (SELECT l_suppkey AS series, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) // 30 AS step, max_by(l_quantity, l_orderkey * 10 + l_linenumber) AS value FROM lineitem GROUP BY 1, 2),
+WITH o AS (SELECT l_suppkey AS series, date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) // 30 AS step, max_by(l_quantity, (l_orderkey * 10 + l_linenumber) * 100 + l_quantity) AS value FROM lineitem GROUP BY 1, 2),
 g AS (SELECT series, unnest(range(CAST(lo AS BIGINT), CAST(hi + 1 AS BIGINT))) AS step FROM (SELECT series, min(step) AS lo, max(step) AS hi FROM o GROUP BY series))
 SELECT g.series, g.step, o.value FROM g LEFT JOIN o ON o.series = g.series AND o.step = g.step""")
 def grid_scatter(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     step = F.floor(F.datediff(F.to_date("l_shipdate"), F.lit("1995-01-01").cast("date")) / 30).cast("long")
-    return grid.scatter(li.select(F.col("l_suppkey").alias("series"), step.alias("step"), F.col("l_quantity").alias("value"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at")), ["series"], arrival="at")
+    return grid.scatter(li.select(F.col("l_suppkey").alias("series"), step.alias("step"), F.col("l_quantity").alias("value"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 100 + F.col("l_quantity")).alias("at")), ["series"], arrival="at")
 
 
 @query("SELECT s.series, g.step, d.value FROM (SELECT series, max(step) AS hi FROM $days GROUP BY series) s, LATERAL (SELECT unnest(range(CAST(s.hi + 1 AS BIGINT))) AS step) g LEFT JOIN days d ON d.series = s.series AND d.step = g.step")
