@@ -59,13 +59,14 @@ def modest_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def forget(df: DataFrame) -> None:
-    """Removes a table that spill() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that spill() wrote, once nothing reads them any more. What isn't one of its tables stays."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if name.rpartition("/")[2].startswith("chronoloom-"):
+                path = sc._jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

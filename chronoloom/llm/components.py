@@ -29,8 +29,7 @@ def components(edges: DataFrame) -> DataFrame:
         joined = large.join(low, "u")
         after = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.toDF("u", "v")).distinct()
         after = spill(after, "edges")
-        forget(large)
-        forget(now)
+        forget(large, now)
         now, old, sign = after, sign, _sign(after)
         if sign == old:
             break

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import maybe_in, modest_batches, small, spill
+from .common import forget, maybe_in, modest_batches, small, spill
 from .components import components
 from .textkit import CHUNK, release, shingle_sets
 
@@ -85,7 +85,9 @@ def hot_shingles(docs: DataFrame, text: str, k: int) -> np.ndarray:
     counted = spill(counted, "hot")
     if (total := counted.count()) > HOT_SHINGLES:  # then from that count on which about as many have
         counted = counted.where(F.col("n") > counted.approxQuantile("n", [1 - HOT_SHINGLES / total], 1e-3)[0])
-    return np.sort(counted.select("token").limit(2 * HOT_SHINGLES).toArrow().column(0).to_numpy().view(np.uint64))
+    out = np.sort(counted.select("token").limit(2 * HOT_SHINGLES).toArrow().column(0).to_numpy().view(np.uint64))
+    forget(counted)
+    return out
 
 
 def parity(u: np.ndarray) -> bytes:
@@ -289,7 +291,9 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
                 lo = hi
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in links], pa.int64()), pa.array([p[1] for p in links], pa.int64())], ["a", "b"])
 
-    return spill(both.mapInArrow(exact, "a long, b long"), "links")
+    links = spill(both.mapInArrow(exact, "a long, b long"), "links")
+    forget(kept)
+    return links
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -331,5 +335,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     linked = components(links.union(more).toDF("u", "v")).withColumnRenamed("node", "rep")
     final = classes.join(linked, "rep", "left").where("copies > 1 OR component IS NOT NULL").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    out = told.select("doc_id", "n", "s1", "s2").join(small(spill(final, "components")), ["s1", "s2"], "left")
+    final = spill(final, "components")
+    forget(classes, lists, pairs, links, known, rest, more, linked)
+    out = told.select("doc_id", "n", "s1", "s2").join(small(final), ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import modest_batches, no_clash, spill
+from .common import forget, modest_batches, no_clash, spill
 from .textkit import release
 
 #: Keys whose arrays are sent to every task (24 bytes each: 48 MB); with more keys, hashes are joined.
@@ -184,6 +184,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
         while shards * SHARD_KEYS < total:
             shards *= 2
         sent = docs.sparkSession.sparkContext.broadcast(Probe(shards, _build_shards(keys, shards)))
+        forget(keys)
 
         def probe(b: pa.RecordBatch, told: list) -> np.ndarray:
             h = np.frombuffer(b"".join(x for _, _, x in told), np.int64).reshape(-1, 2)

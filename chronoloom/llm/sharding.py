@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spill, uniform
+from .common import forget, spill, uniform
 
 #: Ranges per shard, and sampled keys per range on average.
 RANGES, SAMPLES = 16, 16
@@ -91,6 +91,7 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
     middle = F.col("bytes0") + F.col("upto") - F.ceil(F.col("size") / 2)
     placed = placed.withColumn("shard", F.least(F.floor(middle * shards / F.lit(float(max(total, 1)))), F.lit(shards - 1)).cast("int")).withColumn("row", F.col("rows0") + F.col("nth") - 1)
     placed = spill(placed.select("doc_id", "id", "size", "text_crc32", "shard", "row", "range"), "placed")
+    forget(rows)
     first = F.broadcast(placed.groupBy("shard").agg(F.min("row").alias("row0")))
     return placed.join(first, "shard").select("doc_id", "size", "text_crc32", "shard", (F.col("row") - F.col("row0")).alias("slot"), "range")
 
