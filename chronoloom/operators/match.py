@@ -13,8 +13,9 @@ def fingerprint(df: DataFrame, values: str = "values") -> DataFrame:
 
 def match_unique(raw: DataFrame, stored: DataFrame, key: str = "key") -> DataFrame:
     """Rows of raw with the one stored row of equal key; a key that several stored rows hold matches nothing."""
-    once = stored.withColumn("_n", F.count("*").over(Window.partitionBy(key))).where("_n = 1").drop("_n")
-    return raw.join(once, key)
+    rest = [c for c in stored.columns if c != key]
+    once = stored.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r")).where("_n = 1")  # partial sums: a key that many hold is no task of its own
+    return raw.join(once.select(key, *(F.col(f"_r.{c}").alias(c) for c in rest)), key)
 
 
 def sharing(left: DataFrame, right: DataFrame, keys: list[str], by: list[str], key: str = "key", least: int = 3) -> DataFrame:
