@@ -11,16 +11,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def windowed_mean(stream: DataFrame, keys: list[str], width: str, slide: str | None = None, late: str = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
-    """keys, start, value, n per event-time window; rows later than the watermark are dropped."""
+def _marked(stream: DataFrame, ts: str, late: str | None) -> DataFrame:
+    return stream.withWatermark(ts, late) if late else stream
+
+
+def windowed_mean(stream: DataFrame, keys: list[str], width: str, slide: str | None = None, late: str | None = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
+    """keys, start, value, n per event-time window; rows later than the watermark are dropped (none without one, but then state is kept for ever)."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
-    out = stream.withWatermark(ts, late).groupBy(*keys, w.alias("w")).agg(F.avg(value).alias("value"), F.count("*").alias("n"))
+    out = _marked(stream, ts, late).groupBy(*keys, w.alias("w")).agg(F.avg(value).alias("value"), F.count("*").alias("n"))
     return out.select(*keys, F.col("w.start").alias("start"), "value", "n")
 
 
-def sessions(stream: DataFrame, keys: list[str], gap: str, late: str = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
+def sessions(stream: DataFrame, keys: list[str], gap: str, late: str | None = "10 minutes", ts: str = "ts", value: str = "value") -> DataFrame:
     """keys, start, end, n, value (sum) per session that a gap ends."""
-    out = stream.withWatermark(ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("value"))
+    out = _marked(stream, ts, late).groupBy(*keys, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("n"), F.sum(value).alias("value"))
     return out.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "value")
 
 
@@ -75,6 +79,17 @@ def replay(df: DataFrame, path: str, batches: int, order: str) -> DataFrame:
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
+    """What a stream over files that are all there gives: it is run to its end, its state under path, and each batch's result kept there (of mode complete the last)."""
+    spark, schema = stream.sparkSession, stream.schema
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(schema).parquet(f"{path}/out").select(*stream.columns)
+
+
 def upsert(stream: DataFrame, path: str, checkpoint: str, keys: list[str]):
     """Writes each micro-batch under its own number, so that a repeated batch replaces itself: exactly once for whoever reads the folders."""
 
