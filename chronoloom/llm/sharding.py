@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import forget, spill, uniform
 
-#: Ranges per shard, and sampled keys per range on average.
-RANGES, SAMPLES = 16, 16
+#: Ranges per shard at least, rows in a range about at most, ranges in all at most (their table is broadcast), and sampled keys per range on average.
+RANGES, RANGE_ROWS, MOST_RANGES, SAMPLES = 16, 2_000_000, 1 << 16, 16
 #: A range is overfull above this many times the mean, and is subdivided up to this many times.
 OVERFULL, ROUNDS = 3.0, 3
 
@@ -66,8 +66,8 @@ def shard(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "tex
         F.crc32(F.coalesce(F.col(text).cast("binary"), F.lit(b""))).alias("text_crc32"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("h"),
     )
     rows = spill(rows, "sized")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    ranges = shards * RANGES
+    total, n = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    ranges = min(max(shards * RANGES, n // RANGE_ROWS), MOST_RANGES)
     splitters = sorted(set(_quantiles(_sample(rows, total, ranges * SAMPLES, seed), ranges)))
     for turn in range(1, ROUNDS + 1):
         placed = _with_range(rows, splitters)
