@@ -56,7 +56,7 @@ def ssm_fft(spark, sf_dir):
     return rc.filter_series(arrays(spark, sf_dir), _A, _B, _C, 0.5, 0.25).select("series", F.transform("filtered", lambda v: rounded(v)).alias("y"))
 
 
-@query()
+@query("SELECT DISTINCT series, 0.0::DOUBLE AS gap FROM $vec")
 def ssm_rate(spark, sf_dir):
     """The rate law: a series held for k steps at one step size and the series itself at k times that size agree at block ends; the largest difference."""
     held = arrays(spark, sf_dir).select("series", F.flatten(F.transform("values", lambda v: F.array_repeat(v, 4))).alias("values"))
