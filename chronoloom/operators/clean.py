@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, finite
+from ..functions.scalars import col, finite, let
 
 LEAST_OBSERVED = 16
 
@@ -36,9 +36,14 @@ def observed_span(points: DataFrame, keys: list[str], step: str = "step", value:
 
 def trim_array(values: str | Column) -> Column:
     """The same over an array; empty if nothing is observed."""
-    v = col(values)
-    seen = F.filter(F.sequence(F.lit(1), F.size(v)), lambda i: F.get(v, i - 1).isNotNull())
-    return F.when(F.size(v) == 0, v).when(F.size(seen) == 0, F.slice(v, 1, 0)).otherwise(F.slice(v, F.array_min(seen), F.array_max(seen) - F.array_min(seen) + 1))
+
+    def cut(v: Column, seen: Column) -> Column:
+        return F.when(F.size(seen) == 0, F.slice(v, 1, 0)).otherwise(F.slice(v, F.array_min(seen), F.array_max(seen) - F.array_min(seen) + 1))
+
+    def places(v: Column) -> Column:
+        return F.filter(F.transform(v, lambda x, i: F.when(x.isNotNull(), i + 1)), lambda i: i.isNotNull())
+
+    return let(col(values), lambda v: let(places(v), lambda seen: cut(v, seen)))
 
 
 def keep_series(points: DataFrame, keys: list[str], condition: Column) -> DataFrame:

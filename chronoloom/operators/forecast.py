@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col, softplus
+from ..functions.scalars import col, let, softplus
 from ..types import LEVELS
 
 Forecaster = Callable[[np.ndarray, int, int], np.ndarray]
@@ -21,9 +21,12 @@ Forecaster = Callable[[np.ndarray, int, int], np.ndarray]
 
 def seasonal_naive(context: str | Column, h: int, season: int | Column) -> Column:
     """The last season repeated over h steps; of a shorter context all of it."""
-    c = col(context)
-    m = F.least(F.size(c), F.lit(season) if isinstance(season, int) else season)
-    return F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda i: F.get(c, (F.size(c) - m + i % m).cast("int")))
+    season = F.lit(season) if isinstance(season, int) else season
+
+    def repeated(c: Column, m: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(h - 1)), lambda i: F.get(c, (F.size(c) - m + i % m).cast("int")))
+
+    return let(col(context), lambda c: let(F.least(F.size(c), season), lambda m: repeated(c, m)))
 
 
 def clamped_naive(context: str | Column, h: int, w: str | Column) -> Column:

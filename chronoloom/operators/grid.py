@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import col, let
 
 
 def scatter(points: DataFrame, keys: list[str], step: str = "step", value: str = "value", arrival: str | None = None, zero_based: bool = False) -> DataFrame:
@@ -80,14 +80,16 @@ def decimate(points: DataFrame, keys: list[str], k: int, strict: bool = False, s
 
 def decimate_array(values: str | Column, k: int | Column) -> Column:
     """decimate() over an array, without a shuffle."""
-    v, k = col(values), F.lit(k) if isinstance(k, int) else k
-    n = F.floor(F.size(v) / k).cast("int")
+    k = F.lit(k) if isinstance(k, int) else k
 
-    def mean(i: Column) -> Column:
-        seen = F.filter(F.slice(v, F.size(v) - (n - i) * k + 1, k), lambda x: x.isNotNull())
+    def mean(seen: Column) -> Column:
         return F.try_divide(F.aggregate(seen, F.lit(0.0), lambda s, x: s + x), F.size(seen).cast("double"))
 
-    return F.when(n == 0, F.slice(v, 1, 0)).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), mean))
+    def blocks(v: Column, n: Column) -> Column:
+        block = lambda i: let(F.filter(F.slice(v, F.size(v) - (n - i) * k + 1, k), lambda x: x.isNotNull()), mean)
+        return F.when(n == 0, F.array().cast("array<double>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), block))
+
+    return let(col(values), lambda v: let(F.floor(F.size(v) / k).cast("int"), lambda n: blocks(v, n)))
 
 
 def mask_blocks(points: DataFrame, keys: list[str], k: int, step: str = "step", real: str = "real") -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import col
+from ..functions.scalars import col, let
 
 
 def discretise(a: str | Column, b: str | Column, dt: str | Column) -> tuple[Column, Column]:
@@ -52,8 +52,11 @@ def fold(values: str | Column, decays: str | Column, inputs: str | Column, outpu
 
 def convolve(values: str | Column, response: str | Column, skip: float = 0.0) -> Column:
     """Causal convolution as a double loop over arrays: the definition."""
-    u = F.transform(col(values), lambda v: F.coalesce(v, F.lit(0.0)))
-    return F.transform(F.sequence(F.lit(0), F.size(u) - 1), lambda t: F.aggregate(F.sequence(F.lit(0), t), skip * F.get(u, t), lambda s, j: s + F.get(col(response), j) * F.get(u, t - j)))
+
+    def summed(u: Column, r: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(u) - 1), lambda t: F.aggregate(F.sequence(F.lit(0), t), skip * F.get(u, t), lambda s, j: s + F.get(r, j) * F.get(u, t - j)))
+
+    return let(F.transform(col(values), lambda v: F.coalesce(v, F.lit(0.0))), lambda u: let(col(response), lambda r: summed(u, r)))
 
 
 # numpy: u [T], poles a, b, c [N] (continuous, complex), dt.
