@@ -50,10 +50,11 @@ def matches(text: str, pattern: str) -> Column:
 
 
 def pair_counts(strings: DataFrame) -> DataFrame:
-    """strings (label, s) -> label, a, b (places in ALPHABET), n."""
+    """strings (label, s) -> label, a, b (places in ALPHABET), n. Equal strings are taken apart once, with their number."""
     codes = f"filter(transform(split(s, ''), c -> instr('{ALPHABET}', c) - 1), c -> c >= 0)"
-    pairs = strings.selectExpr("label", f"{codes} AS c").where("size(c) >= 2").selectExpr("label", "explode(transform(sequence(1, size(c) - 1), i -> struct(c[i - 1] AS a, c[i] AS b))) AS p")
-    return pairs.groupBy("label", "p.a", "p.b").agg(F.count("*").alias("n"))
+    distinct = strings.where("length(s) >= 2").groupBy("label", "s").agg(F.count("*").alias("n"))
+    pairs = distinct.selectExpr("label", "n", f"{codes} AS c").selectExpr("label", "n", "explode_outer(transform(sequence(1, greatest(size(c) - 1, 1)), i -> struct(get(c, i - 1) AS a, get(c, i) AS b))) AS p")
+    return pairs.where("p.a IS NOT NULL AND p.b IS NOT NULL").groupBy("label", "p.a", "p.b").agg(F.sum("n").alias("n"))
 
 
 def labelled_sample(spark: SparkSession, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
