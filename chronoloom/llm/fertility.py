@@ -24,11 +24,14 @@ from .textkit import chunks, windows, words
 VOCABULARIES = "/opt/tokenizers"
 #: The pattern by which the byte vocabulary's makers split text (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Measure: step of its histogram, least reach of its band, and how many times that it reaches down and up (null: it doesn't end there). Many characters per
-#: token are the mark of plain prose that the vocabulary knows, so that side is wide.
-MEASURES = {"chars_per_token": (0.01, 0.25, 1.0, 4.0), "byte_share": (0.001, 0.05, None, 1.0), "entropy_share": (0.002, 0.15, 1.0, None)}
-#: Reach of a band in robust deviations (1.4826 times the median distance from the median). In a text of n tokens it is 1 + SHORT / sqrt(n) times as wide.
-REACH, SHORT = 6.0, 10.0
+#: Measure: step of its histogram, least reach of a language's own band, least reach of the band of all languages, and how many times as far it reaches up as
+#: down. Prose that the vocabulary knows well and texts of two languages lie high in the first and the last, so that side is wider.
+MEASURES = {"chars_per_token": (0.005, 0.05, 0.25, 2.0), "byte_share": (0.001, 0.02, 0.05, 1.0), "entropy_share": (0.002, 0.02, 0.15, 2.0)}
+#: Reach of a band in robust deviations (1.4826 times the median distance from the median). In a text of n tokens it is 1 + SHORT / sqrt(n) times as wide. The
+#: band of all languages is for those too rare for one of their own; it spans whole languages and so is wider.
+REACH, REACH_OF_ALL, SHORT = 3.0, 6.0, 7.0
+#: The column that a measure's band holds for.
+JUDGED = {m: m for m in MEASURES} | {"entropy_share": "_entropy"}
 #: Documents of a language below which the bands of all documents together hold for it.
 LEAST_DOCS = 30
 SYMBOLS = b"#*$%&|<>"
@@ -134,20 +137,40 @@ def _middle(value: np.ndarray, n: np.ndarray) -> float:
     return float(value[order][np.searchsorted(upto, upto[-1] / 2)])
 
 
+def at_length(told: DataFrame):
+    """A column: entropy_share less what a text of its length has. The share falls with the tokens, by far more than junk and clean texts differ.
+
+    Within languages and doublings of n_tokens a line in their logarithm, and for each doubling of LEAST_DOCS documents or more how far it lies off that line.
+    """
+    x, doubling = F.log2(F.greatest("n_tokens", F.lit(1))), F.length(F.bin("n_tokens"))
+    at = told.where("NOT base_failed AND entropy_share IS NOT NULL").select("lang", doubling.alias("k"), x.alias("x"), F.col("entropy_share").alias("y"))
+    t = at.groupBy("lang", "k").agg(F.count("*").alias("n"), *(F.sum(e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y"))))).toPandas()
+    spread = float((t["xx"] - t["x"] ** 2 / t["n"]).sum())
+    slope = round(float((t["xy"] - t["x"] * t["y"] / t["n"]).sum()) / spread, 5) if spread > 1e-9 else 0.0
+    t["off"] = t["y"] - slope * t["x"]
+    per = t.groupby("lang")[["off", "n"]].transform("sum")
+    t["off"] -= t["n"] * per["off"] / per["n"]
+    by = t.groupby("k")[["off", "n"]].sum()
+    by = by[by["n"] >= LEAST_DOCS]
+    off = np.interp(np.arange(65), by.index, by["off"] / by["n"]).round(5) if len(by) else np.zeros(65)
+    return F.col("entropy_share") - slope * x - F.get(F.array(*(F.lit(float(o)) for o in off)), doubling)
+
+
 def bands(told: DataFrame) -> pd.DataFrame:
     """lang, docs, and the middle and the reach of each measure's band, from the documents that pass the base rules; the first row is for all languages."""
-    steps = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(m) / s).cast("long").alias("step")) for m, (s, *_) in MEASURES.items()))).alias("x")
+    steps = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(JUDGED[m]) / s).cast("long").alias("step")) for m, (s, *_) in MEASURES.items()))).alias("x")
     got = told.where("NOT base_failed").select("lang", steps).select("lang", "x.*").where("step IS NOT NULL").groupBy("lang", "measure", "step").count().toPandas()
     rows = []
     for name, part in [(None, got), *got.groupby("lang")]:
         row = {"lang": name, "docs": int(part.loc[part["measure"] == "entropy_share", "count"].sum())}
-        for m, (s, least, _, _) in MEASURES.items():
+        for m, (s, least, least_of_all, _) in MEASURES.items():
+            times, least = (REACH_OF_ALL, least_of_all) if name is None else (REACH, least)
             x = part[part["measure"] == m]
             row[f"{m}_mid"], row[f"{m}_reach"] = 0.0, float("inf")
             if len(x):
                 value, n = (x["step"].to_numpy() + 0.5) * s, x["count"].to_numpy()
                 row[f"{m}_mid"] = mid = _middle(value, n)
-                row[f"{m}_reach"] = max(REACH * 1.4826 * _middle(abs(value - mid), n), least)
+                row[f"{m}_reach"] = max(times * 1.4826 * _middle(abs(value - mid), n), least)
         rows.append(row)
     return pd.DataFrame(rows)
 
@@ -157,11 +180,13 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text (null: none). base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows. kept: not
     base_failed, and every measure within its language's band: the median and REACH robust deviations, at least the reach in MEASURES, over all documents
-    that pass the base rules; short texts get wider bands. Languages with fewer than LEAST_DOCS such documents use the bands of all. The files at path are read by the driver and sent along.
+    that pass the base rules; short texts get wider bands, and entropy_share is
+    held against texts of like length. Languages with fewer than LEAST_DOCS such documents use the wider bands of all. The files at path are read by the driver and sent along.
     """
     modest_batches(docs.sparkSession)
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     told = spill(measure(docs, doc_id, text, lang, path).withColumn("base_failed", failed), "measures")
+    told = told.withColumn("_entropy", at_length(told))
     limits = bands(told)
     common, own = limits.iloc[0], limits.iloc[1:]
     own = own[own["docs"] >= LEAST_DOCS]
@@ -173,13 +198,9 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         told = told.select("*", *(F.lit(None).cast("double").alias(c) for c in columns))
     wider = 1 + SHORT / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     broken = []
-    for m, (_, _, down, up) in MEASURES.items():
+    for m, (*_, up) in MEASURES.items():
         mid, reach = (F.coalesce(F.col(f"{m}_{x}"), F.lit(float(common[f"{m}_{x}"]))) for x in ("mid", "reach"))
-        outside = F.lit(False)
-        if down:
-            outside |= F.col(m) < mid - down * reach * wider
-        if up:
-            outside |= F.col(m) > mid + up * reach * wider
-        broken.append(F.when(outside, F.lit(m)))
+        value = F.col(JUDGED[m])
+        broken.append(F.when((value < mid - reach * wider) | (value > mid + up * reach * wider), F.lit(m)))
     reason = F.coalesce(*broken)
-    return told.withColumn("reason", reason).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull()).drop(*columns)
+    return told.withColumn("reason", reason).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull()).drop("_entropy", *columns)

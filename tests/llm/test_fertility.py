@@ -50,6 +50,26 @@ def test_bands_reject_what_is_no_language(spark, sf):
     assert sum(r["kept"] for r in fine) >= 0.97 * len(fine)
 
 
+def test_bands_part_planted_symbol_runs_from_clean_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    got = [r for r in Fe.judge(docs).collect() if not r["base_failed"]]
+    junk = [r for r in got if r["n_symbols"] > 2 * r["n_words"]]
+    clean = [r for r in got if 10 * r["n_symbols"] <= 3 * r["n_words"]]
+    assert len(junk) > 30 and {r["lang"] for r in junk} == {"de", "en", "es", "fr"}
+    assert sum(not r["kept"] for r in junk) >= 0.95 * len(junk)
+    assert sum(r["kept"] for r in clean) >= 0.98 * len(clean)
+
+
+def test_bands_end_on_both_sides(spark):
+    """Long known words once each: more characters a token than prose has; random hexadecimal digits: more entropy than texts of that length have."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    known = "government development environment information understanding responsibility organizations relationship international communication".split()
+    rich = " ".join(chr(0x4E00 + (i * 7919) % 20_000) for i in range(400))
+    odd = [(10**6, " ".join(f"{a} {b}" for a in known for b in known if a != b), "en"), (10**6 + 1, rich, "en")]
+    got = {r["doc_id"]: r for r in Fe.judge(docs.unionByName(spark.createDataFrame(odd, docs.schema))).where("doc_id >= 1000000").collect()}
+    assert all(not r["base_failed"] and not r["kept"] for r in got.values()) and got[10**6]["reason"] == "chars_per_token"
+
+
 def test_measures_of_a_text():
     v = Fe.Vocabularies(*(open(f"{Fe.VOCABULARIES}/{n}", "rb").read() for n in ("piece_bpe_32k.model", "byte_bpe_50k.tiktoken")))
     assert Fe.fertility("", v)[0] == 0
