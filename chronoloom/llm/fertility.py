@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -53,14 +54,12 @@ class Vocabularies:
 
 
 def script(text: str) -> str:
-    """The script of most of the first letters: the first word of their Unicode names, or "none"."""
+    """The script of most letters of the whole text: the first word of their Unicode names, or "none"."""
     seen: dict[str, int] = {}
-    for c in text:
+    for c, n in Counter(text).items():
         if c.isalpha():
             name = unicodedata.name(c, "UNKNOWN").split(" ")[0]
-            seen[name] = seen.get(name, 0) + 1
-            if seen[name] >= 20:
-                break
+            seen[name] = seen.get(name, 0) + n
     return max(seen, key=lambda k: (seen[k], k), default="none")
 
 

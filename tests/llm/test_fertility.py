@@ -78,3 +78,11 @@ def test_measures_of_a_text():
     assert Fe.fertility("", v)[2] > 0.5
     assert Fe.fertility("x" * 200_000, v)[0] > 0
     assert Fe.script("привет мир") == "CYRILLIC" and Fe.script("123") == "none" and Fe.script("abc") == "LATIN"
+
+
+def test_script_is_that_of_the_whole_text(spark):
+    assert Fe.script("A Latin title of more than twenty letters\n" + "привет мир " * 50) == "CYRILLIC"
+    assert Fe.script("https://example.com/some/long/address " + "漢字" * 200) == "CJK"
+    assert Fe.script("привет, это начало текста из многих букв " + "word " * 500) == "LATIN"
+    got = Fe.judge(spark.createDataFrame([(1, "Released under the MIT License and others\n" + "привет мир " * 50, None)], "doc_id long, text string, lang string")).first()
+    assert got["lang"] == "script CYRILLIC"
