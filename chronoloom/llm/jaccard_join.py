@@ -108,7 +108,7 @@ def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (digest of the set), g (of prefix and size), prefix (shingles in global order; null but for the first of a group in a batch), bits."""
+    """doc_id, n, s1, s2 (digest of the set), g (of prefix and size), prefix (shingles in global order; null but for the first of a group in a batch that has an id), bits."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(docs, text, k))
 
@@ -128,8 +128,9 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
                 prefix = u[:p]
             g = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
             g -= (g >> 63) << 64
-            first = g not in seen
-            seen.add(g)
+            first = i is not None and g not in seen  # rows without an id take no part, so they don't speak for a group
+            if first:
+                seen.add(g)
             yield i, n, *_digest(u), g, prefix.view(np.int64) if first else None, parity(u)
 
     def run(batches):

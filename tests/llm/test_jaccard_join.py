@@ -68,6 +68,14 @@ def test_equals_brute_force_with_near_copies_and_a_shared_passage(spark, monkeyp
     assert rows_of(got) == brute(rows)
 
 
+def test_a_copy_without_an_id_does_not_hide_its_group(spark):
+    text = " ".join(f"n{i}" for i in range(120))
+    rows = [(None, text), (5, text), (7, text), (3, text + " more")]  # the last is of another size, so of another group
+    got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    assert rows_of(got) == brute(rows)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {None: None, 3: 3, 5: 3, 7: 3}
+
+
 def test_a_chain_is_one_component(spark):
     words = [f"t{i}" for i in range(400)]
     rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(60)]  # neighbours share 92 of 100 words
