@@ -77,6 +77,17 @@ def item_aligned(spark, sf_dir):
     return match.aligned(_items(spark, sf_dir).where("series_id < 60"), points)
 
 
+@query("""
+WITH m AS (SELECT series // 3 AS item_id, CAST(series % 3 AS INT) AS member_pos, step + series % 5 * 2 AS step, value FROM $vec),
+s AS (SELECT item_id, min(step) AS lo, max(step) AS hi FROM m GROUP BY 1), p AS (SELECT DISTINCT item_id, member_pos FROM m),
+a AS (SELECT p.item_id, member_pos, unnest(range(lo, hi + 1)) AS step FROM p JOIN s ON s.item_id = p.item_id)
+SELECT a.item_id, a.member_pos, a.step, m.value FROM a LEFT JOIN m ON m.item_id = a.item_id AND m.member_pos = a.member_pos AND m.step = a.step""")
+def item_aligned_all(spark, sf_dir):
+    """item_aligned over all series."""
+    points = vec(spark, sf_dir).select(F.col("subset").cast("string").alias("subset"), F.col("series").alias("series_id"), "step", "value")
+    return match.aligned(_items(spark, sf_dir), points)
+
+
 @query("SELECT item_id, series AS series_id FROM (SELECT series // 3 AS item_id, series, count(*) OVER (PARTITION BY series // 3) AS n FROM (SELECT DISTINCT series, subset FROM $vec) WHERE subset < 6) WHERE n >= 2")
 def loaded_items(spark, sf_dir):
     return match.loaded_items(_items(spark, sf_dir), arrays(spark, sf_dir).where("subset < 6").select(F.col("subset").cast("string").alias("subset"))).select("item_id", "series_id")
