@@ -188,6 +188,15 @@ def batch_offsets(spark, sf_dir):
     return d.select("d", F.sum("obs").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
 
 
+@query("SELECT d, CAST(sum(obs) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS obs FROM orders GROUP BY 1)")
+def batch_offsets_all(spark, sf_dir):
+    """batch_offsets over all dates; the window sees one row a day."""
+    from pyspark.sql import Window
+
+    d = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("obs"))
+    return d.select("d", F.sum("obs").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+
+
 @query("SELECT domain, CAST(sum(n) AS BIGINT) AS n FROM (SELECT domain, count(*) AS n FROM $configs WHERE num_variates > 3 GROUP BY 1 UNION ALL SELECT domain, count(*) FROM configs WHERE num_variates <= 3 GROUP BY 1) GROUP BY 1")
 def union_all(spark, sf_dir):
     c = configs(spark, sf_dir)

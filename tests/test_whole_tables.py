@@ -17,3 +17,10 @@ def test_items_of_all_series_are_aligned(spark, sf):
     got = catalog.QUERIES["item_aligned_all"](spark, sf).select("item_id", "member_pos", "step", "value").collect()
     assert len(got) == len(want) and {tuple(r[:3]): r[3] for r in got} == {k: None if v is None else pytest.approx(v) for k, v in want.items()}
     assert {r[0] for r in got} == {series // 3 for series, _ in rows}
+
+
+def test_offsets_over_all_dates(spark, sf):
+    days = sorted(r[0].date() for r in spark.read.parquet(f"{sf}/orders.parquet").select("o_orderdate").collect())
+    want = {d: i + 1 for i, d in enumerate(days)}
+    got = {r["d"]: r["upto"] for r in catalog.QUERIES["batch_offsets_all"](spark, sf).collect()}
+    assert got == want and max(got).year == 2001
