@@ -24,6 +24,14 @@ def match_values(spark, sf_dir):
     return match.match_unique(a, b).select("series", "copy")
 
 
+@query("SELECT a.series, b.series AS copy FROM (SELECT DISTINCT series FROM $vec) a JOIN (SELECT DISTINCT series FROM vec) b ON a.series = b.series")
+def match_values_all(spark, sf_dir):
+    """match_values against all series."""
+    a = match.fingerprint(arrays(spark, sf_dir).select("series", "values")).select("series", "key")
+    b = match.fingerprint(arrays(spark, sf_dir).select(F.col("series").alias("copy"), "values")).select("copy", "key")
+    return match.match_unique(a, b).select("series", "copy")
+
+
 @query("SELECT a.l_suppkey, b.l_returnflag, count(*) AS shared FROM (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem WHERE l_linestatus = 'O') a JOIN (SELECT DISTINCT l_returnflag, l_partkey FROM lineitem WHERE l_linestatus = 'F') b ON a.l_partkey = b.l_partkey GROUP BY 1, 2 HAVING count(*) >= 3")
 def semi_threshold(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_partkey", "key")

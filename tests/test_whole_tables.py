@@ -24,3 +24,10 @@ def test_offsets_over_all_dates(spark, sf):
     want = {d: i + 1 for i, d in enumerate(days)}
     got = {r["d"]: r["upto"] for r in catalog.QUERIES["batch_offsets_all"](spark, sf).collect()}
     assert got == want and max(got).year == 2001
+
+
+def test_copies_of_all_series_are_found(spark, sf):
+    series = {r[0] for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id").collect()}
+    for name in ("overlap_scan_all", "match_values_all"):
+        got = {(r["series"], r["copy"]) for r in catalog.QUERIES[name](spark, sf).collect()}
+        assert len({s for s, c in got if s == c}) >= 0.9 * len(series) and any(s % 10 and s % 3 for s, c in got)
