@@ -9,7 +9,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a table of a few fixed-width columns is sent to every task (under 32 MB); a larger one is joined by shuffle.
@@ -41,13 +41,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/chronoloom-{name}-{uuid.uuid4().hex}"
 
 
+#: What spill() has written and nobody has removed, by the application that did.
+_written: dict[str, set[str]] = {}
+
+
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(sc, path: str) -> None:
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    for paths in _written.values():
+        paths.discard(path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Removes all that spill() has written in this application and that is still there; results that haven't been written or read yet can't be read any more."""
+    for path in list(_written.get(spark.sparkContext.applicationId, ())):
+        _delete(spark.sparkContext, path)
+
+
+@atexit.register
+def _sweep_at_exit() -> None:
+    spark = SparkSession.getActiveSession() if _written else None
+    if spark is not None and spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        sweep(spark)
+
+
 #: Rows of an Arrow batch: texts are long, and a batch is held by the JVM and by Python at once.
 ARROW_ROWS = 2000
 
@@ -65,8 +90,7 @@ def forget(*tables: DataFrame) -> None:
         sc = df.sparkSession.sparkContext
         for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
             if name.rpartition("/")[2].startswith("chronoloom-"):
-                path = sc._jvm.org.apache.hadoop.fs.Path(name)
-                path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(sc, name)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -91,6 +115,23 @@ def no_clash(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Ranges in which running() sums.
+RANGES = 64
+
+
+def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """df with running sums (the row itself included) in the given order, which should be total. Rows are dealt to ranges of the order and written, the ranges'
+    sums are added up, and each range is sorted by itself, so no task holds all rows. Columns of df of the sums' names give way."""
+    part, own = no_clash(df, "range", "own_range")
+    kept = [c for c in df.columns if c not in sums]
+    dealt = spill(df.select(*kept, *(x.alias(n) for n, x in sums.items())).repartitionByRange(RANGES, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    per = dealt.groupBy(F.col(part).alias(own)).agg(*(F.sum(n).alias(f"{n}{own}") for n in sums))
+    before = Window.orderBy(own).rowsBetween(Window.unboundedPreceding, -1)  # over RANGES rows
+    per = F.broadcast(per.select(own, *(F.coalesce(F.sum(f"{n}{own}").over(before), F.lit(0)).alias(f"{n}{own}") for n in sums)))
+    upto = Window.partitionBy(part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return dealt.join(per, F.col(part) == F.col(own)).select(*kept, *((F.sum(n).over(upto) + F.col(f"{n}{own}")).alias(n) for n in sums))
+
+
 #: Words of 64 bits of the filter that maybe_in() sends to every task (8 MB, whatever the input's size).
 FILTER_WORDS = 1 << 20
 

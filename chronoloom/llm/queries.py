@@ -48,7 +48,9 @@ def op7_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), mixing.word_count("text")).drop("source", "text")
+    words = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count("text").alias("words"))
+    rows = words.withColumn("weight", mixing.length_weight("words"))
+    return mixing.mix(rows, F.col("words"), weight="weight").drop("source", "words", "weight")
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,15 +86,22 @@ levels AS (
   SELECT *, (1.5 * sum(source_size) OVER () - 2.0 * (sum(source_size) OVER (ORDER BY room, source NULLS LAST ROWS UNBOUNDED PRECEDING) - source_size))
             / sum(weight) OVER (ORDER BY room, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM roomy),
-lev AS (SELECT level FROM levels WHERE level <= room ORDER BY room, level LIMIT 1),
+lev AS (SELECT level FROM levels WHERE level <= room ORDER BY room, level DESC LIMIT 1),
 t AS (SELECT source, source_size, CAST(least(coalesce((SELECT level FROM lev) * weight, 2.0 * source_size), 2.0 * source_size) AS DOUBLE) AS target FROM roomy),
-w AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS BIGINT) AS whole FROM t),
-r AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM w),
+sized AS (SELECT base.doc_id, base.size, base.u, t.*, CAST(round(16 * log2(CAST(length(bin(base.size)) AS DOUBLE))) AS INT) AS k FROM base JOIN t ON base.source IS NOT DISTINCT FROM t.source),
+cls AS (SELECT source, source_size, target, k, pow(2.0, k / 16.0) AS w, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY ALL),
+odds AS (
+  SELECT *, (target - 2.0 * (sum(words) OVER (PARTITION BY source ORDER BY k DESC ROWS UNBOUNDED PRECEDING) - words))
+            / nullif(sum(words * w) OVER (PARTITION BY source ORDER BY k DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS c
+  FROM cls),
+lead AS (SELECT *, arg_max(c, k) FILTER (WHERE c * w <= 2.0 * (1 + 1e-12)) OVER (PARTITION BY source) AS c0 FROM odds),
+copied AS (SELECT *, CAST(floor(coalesce(CASE WHEN target >= 2.0 * source_size THEN 2.0 ELSE greatest(least(c0 * w, 2.0), 0.0) END, 0.0) * 1073741824.0 + 0.5) AS BIGINT) AS e FROM lead),
+parts AS (SELECT source, k, e >> 30 AS whole, e & 1073741823 AS part, sum(CAST(e & 1073741823 AS HUGEINT) * words) OVER (PARTITION BY source) / 1073741824.0 AS rest FROM copied),
+pq AS (SELECT sized.*, whole, part, rest, part / 1073741824.0 AS p FROM sized JOIN parts ON sized.source IS NOT DISTINCT FROM parts.source AND sized.k = parts.k),
 ranked AS (
-  SELECT base.doc_id, base.size, r.source_size, r.target, r.whole, r.rest,
-         sum(base.size) OVER (PARTITION BY base.source ORDER BY u, doc_id, size ROWS UNBOUNDED PRECEDING) AS upto
-  FROM base JOIN r ON base.source IS NOT DISTINCT FROM r.source),
-c AS (SELECT *, CAST(whole + CASE WHEN rest > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM ranked)
+  SELECT *, sum(CASE WHEN part > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY part = 0, u * (1 - p) / (u * (1 - p) + (1 - u) * p), doc_id ROWS UNBOUNDED PRECEDING) AS upto
+  FROM pq),
+c AS (SELECT *, CAST(whole + CASE WHEN part > 0 AND upto - size / 2.0 <= rest THEN 1 ELSE 0 END AS INT) AS copies FROM ranked)
 SELECT doc_id, size, source_size, target, copies, CAST(size * copies AS BIGINT) AS taken FROM c""",
     "op9_line_dedup": f"""
 WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
