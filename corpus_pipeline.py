@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from chronoloom.llm.common import small, spill, table
+from chronoloom.llm.common import no_clash, small, spill, table
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,10 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    return mixing.repeat(mixing.mix(docs, mixing.word_count("text")), docs.columns)
+    """Each document as often as the mixture takes it; longer ones have the larger odds of a further copy."""
+    words, weight = no_clash(docs, "words", "weight")
+    rows = docs.withColumn(words, mixing.word_count("text"))
+    return mixing.repeat(mixing.mix(rows.withColumn(weight, mixing.length_weight(words)), F.col(words), weight=weight), docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
