@@ -132,22 +132,27 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return dealt.join(per, F.col(part) == F.col(own)).select(*kept, *((F.sum(n).over(upto) + F.col(f"{n}{own}")).alias(n) for n in sums))
 
 
-#: Words of 64 bits of the filter that maybe_in() sends to every task (8 MB, whatever the input's size).
+#: Words of 64 bits of a membership filter (8 MB, whatever the input's size).
 FILTER_WORDS = 1 << 20
 
 
-def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """df's rows whose column may be among keys (a superset of a semi join; a join must follow): a bitmap of fixed size spares the shuffle most other rows."""
-    bit = F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_WORDS * 64))
-    words = keys.select((bit / 64).cast("long").alias("w"), bit.alias("b")).select("w", F.expr("shiftleft(1L, cast(b % 64 AS INT))").alias("x"))
+def membership(keys: DataFrame, column: str):
+    """A function of a column that tells which values may be among keys' column (never misses one): a bitmap of fixed size, sent to every task."""
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+    words = keys.select(bit(F.col(column)).alias("b")).select((F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(b % 64 AS INT))").alias("x"))
     got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
     bits = np.zeros(FILTER_WORDS, np.int64)
     bits[got.column("w").to_numpy()] = got.column("x").to_numpy()
-    sent = df.sparkSession.sparkContext.broadcast(bits)
+    sent = keys.sparkSession.sparkContext.broadcast(bits)
 
     @F.pandas_udf("boolean")
     def found(b: pd.Series) -> pd.Series:
         at = b.to_numpy()
         return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
 
-    return df.where(found(bit))
+    return lambda c: found(bit(c))
+
+
+def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df's rows whose column may be among keys (a superset of a semi join; a join must follow): spares the shuffle most other rows."""
+    return df.where(membership(keys, column)(F.col(column)))

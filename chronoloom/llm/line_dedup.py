@@ -1,45 +1,44 @@
-"""Line dedup: a sharded minimal perfect hash over the repeated line hashes indexes fingerprint, count and keeper arrays, which documents probe.
+"""Line dedup: a sharded minimal perfect hash over the distinct line hashes indexes fingerprint and count arrays, which documents probe.
 
-Lines are hashed once where they lie (128 bits). An aggregation with partial sums finds the keys of several documents; their hashes are dealt to shards of
-bounded size, each of which is built by one task as a cascade of bit arrays. The shards' arrays, together of a checked size, go to every task, and the
-documents probe them without any shuffle of text or lines. Beyond that size the hashes of the lines meet the keys in a join instead, with the same rows out.
+Lines are hashed once where they lie (128 bits) and written as narrow probes. An aggregation with partial sums counts the distinct hashes; they are dealt to
+shards by their first bits, and one task builds a shard's arrays: a cascade of bit arrays, and in order of rank the fingerprints, the counts (saturated), and the
+keepers of what is counted often enough. Probes go to their shard's arrays in groups of bounded size, a shard that many probes want being copied to as many
+groups, and read counts there. Nothing per line comes to the driver or is broadcast. Only documents that lose a line meet the answers in a join.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, modest_batches, no_clash, spill
+from .common import forget, membership, modest_batches, no_clash, spill
 from .textkit import release
 
-#: Keys whose arrays are sent to every task (24 bytes each: 48 MB); with more keys, hashes are joined.
-PROBE_KEYS = 2_000_000
-#: Keys in a shard on average.
-SHARD_KEYS = 1 << 15
+#: Keys in a shard on average, shards at most (beyond, shards grow: about 10 bytes a key), and probes in a group on average.
+SHARD_KEYS, MOST_SHARDS, PROBES = 1 << 15, 1 << 16, 1 << 16
 _BLANK = b" \t\n\x0b\x0c\r"
 _U = np.uint64
 
 
-def _level(h: np.ndarray, level: int) -> np.ndarray:
-    """The hash that level of the cascade uses."""
-    h = (h + _U(0x9E3779B97F4A7C15) * np.asarray(level + 1, _U)) * _U(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> _U(29))) * _U(0x94D049BB133111EB)
+def _level(h1: np.ndarray, h2: np.ndarray, level: int) -> np.ndarray:
+    """The hash that level of the cascade uses, of all 128 bits."""
+    h = (h1 + _U(0x9E3779B97F4A7C15) * np.asarray(level + 1, _U)) * _U(0xBF58476D1CE4E5B9)
+    h = ((h ^ (h >> _U(29))) + h2) * _U(0x94D049BB133111EB)
+    h = (h ^ (h >> _U(31))) * _U(0xD6E8FEB86659FD93)
     return h ^ (h >> _U(32))
 
 
-def build(h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+def build(h1: np.ndarray, h2: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     """Distinct hashes -> bit arrays (64-bit words) of the levels, and the hashes' order by rank. A hash's bit stands at the first level where no other of the
     rest falls on its place; its rank is the number of bits before."""
-    levels, order, left = [], [], np.arange(len(h))
+    levels, order, left = [], [], np.arange(len(h1))
     while len(left):
         words = -(-2 * len(left) // 64)
-        place = _level(h[left], len(levels)) % _U(words * 64)
+        place = _level(h1[left], h2[left], len(levels)) % _U(words * 64)
         value, first, n = np.unique(place, return_index=True, return_counts=True)
         alone = n == 1
         bits = np.zeros(words, _U)
@@ -52,47 +51,46 @@ def build(h: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
     return levels, np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
-class Probe:
-    """The shards' arrays, joined."""
+class Shard:
+    """The arrays of a shard: bits by level, fingerprints of 32 bits, counts up to 255, and the ranks and keepers of the keys that are counted often enough."""
 
-    def __init__(self, shards: int, built: pd.DataFrame):
-        """built: shard, sizes (words of each level), bits, prints, counts, keepers (bytes of arrays)."""
-        built = built.sort_values("shard")
-        sizes = [np.frombuffer(x, np.int64) for x in built["sizes"]]
-        self.shift = 64 - shards.bit_length() + 1
-        self.depth = max(map(len, sizes), default=0)
-        self.size = np.zeros((shards, max(self.depth, 1)), np.int64)
-        for s, x in zip(built["shard"], sizes):
-            self.size[s, : len(x)] = x
-        self.start = (np.cumsum(self.size.ravel()) - self.size.ravel()).reshape(self.size.shape)
+    FIELDS = "sizes binary, bits binary, prints binary, counts binary, often binary, keepers binary"
 
-        def joined(c: str, kind: type) -> np.ndarray:
-            return np.concatenate([np.frombuffer(x, kind) for x in built[c]] or [np.zeros(0, kind)])
+    @staticmethod
+    def make(h1: np.ndarray, h2: np.ndarray, n: np.ndarray, keeper: np.ndarray, listed: np.ndarray) -> list[bytes]:
+        """listed: which keys get a keeper."""
+        levels, order = build(h1, h2)
+        often = np.flatnonzero(listed[order])
+        parts = (np.array([len(x) for x in levels], np.int64), np.concatenate(levels) if levels else np.zeros(0, _U), (h2[order] >> _U(32)).astype(np.uint32), np.minimum(n[order], 255).astype(np.uint8), often, keeper[order][often].astype(np.int64))
+        return [x.tobytes() for x in parts]
 
-        self.bits, self.prints, self.counts, self.keepers = joined("bits", _U), joined("prints", np.int64), joined("counts", np.int64), joined("keepers", np.int64)
+    def __init__(self, sizes: bytes, bits: bytes, prints: bytes, counts: bytes, often: bytes, keepers: bytes):
+        self.sizes, self.bits, self.prints = np.frombuffer(sizes, np.int64), np.frombuffer(bits, _U), np.frombuffer(prints, np.uint32)
+        self.counts, self.often, self.keepers = np.frombuffer(counts, np.uint8), np.frombuffer(often, np.int64), np.frombuffer(keepers, np.int64)
+        self.start = np.cumsum(self.sizes) - self.sizes
         self.before = np.zeros(len(self.bits) + 1, np.int64)
         np.cumsum(np.bitwise_count(self.bits), out=self.before[1:])
 
-    def find(self, h: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        """Index of each hash in the arrays, -1 if its fingerprint isn't there."""
-        out = np.full(len(h), -1)
-        if not len(self.prints):
-            return out
-        shard = (h >> _U(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(h), np.int64)
-        left = np.arange(len(h))
-        for level in range(self.depth):
-            size = self.size[shard[left], level]
-            left, size = left[size > 0], size[size > 0]
-            place = _level(h[left], level) % (size * 64).astype(_U)
-            word = self.start[shard[left], level] + (place >> _U(6)).astype(np.int64)
-            bit = place & _U(63)
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Rank of each hash, -1 if its fingerprint isn't there."""
+        out, left = np.full(len(h1), -1), np.arange(len(h1))
+        for level, (size, start) in enumerate(zip(self.sizes, self.start)):
+            place = _level(h1[left], h2[left], level) % _U(size * 64)
+            word, bit = start + (place >> _U(6)).astype(np.int64), place & _U(63)
             hit = (self.bits[word] >> bit) & _U(1) == 1
             rank = self.before[word[hit]] + np.bitwise_count(self.bits[word[hit]] & ((_U(1) << bit[hit]) - _U(1)))
-            same = self.prints[rank] == prints[left[hit]]
+            same = self.prints[rank] == (h2[left[hit]] >> _U(32)).astype(np.uint32)
             out[left[hit][same]] = rank[same]
             left = left[~hit]
         return out
 
+    def kept_by(self, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which ranks have a keeper, and it."""
+        if not len(self.often):
+            return np.zeros(len(rank), bool), np.zeros(len(rank), np.int64)
+        at = np.minimum(np.searchsorted(self.often, rank), len(self.often) - 1)
+        return self.often[at] == rank, self.keepers[at]
+
 
 def split(text: str | None, min_chars: int) -> tuple[list[bytes], list[int], bytes]:
     """A text's lines, the places of those whose key is long enough, and those keys' hashes."""
@@ -105,117 +103,113 @@ def split(text: str | None, min_chars: int) -> tuple[list[bytes], list[int], byt
     return lines, at, b"".join(hashes)
 
 
-def line_hashes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
-    """h1, h2, doc_id of the distinct keys of each document."""
+def probes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
+    """h1, h2 of the distinct keys of each document, with its doc_id and a hash of its text."""
 
     def run(batches):
         for b in batches:
             found, n = [], []
-            for t in b.column(1).to_pylist():
+            for t in b.column(2).to_pylist():
                 h = split(t, min_chars)[2]
                 h = {h[i : i + 16] for i in range(0, len(h), 16)}
                 found.append(b"".join(sorted(h)))
                 n.append(len(h))
             h = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
-            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), ids], ["h1", "h2", "doc_id"])
+            own = pa.array(np.repeat(np.arange(b.num_rows), n))
+            yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), b.column(0).take(own), b.column(1).take(own)], ["h1", "h2", "doc_id", "own"])
         release()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "h1 long, h2 long, doc_id long")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text).mapInArrow(run, "h1 long, h2 long, doc_id long, own long")
+
+
+def index(keys: DataFrame, min_docs: int) -> DataFrame:
+    """keys (h1, h2, n, keeper): distinct hashes -> shard, its number of probes, and its arrays (see Shard). Shards are told by the first bits of h1."""
+    total, shards = keys.count(), 1
+    while shards * SHARD_KEYS < total and shards < MOST_SHARDS:
+        shards *= 2
+
+    def run(part: pa.Table) -> pa.Table:
+        h1, h2, n = (part.column(c).to_numpy() for c in ("h1", "h2", "n"))
+        keeper = part.column("keeper")
+        listed = (n >= min_docs) & keeper.is_valid().to_numpy()
+        arrays = Shard.make(h1.view(_U), h2.view(_U), n, keeper.fill_null(0).to_numpy(), listed)
+        return pa.table([[part.column("shard")[0].as_py()], [int(n.sum())], *([x] for x in arrays)], names=["shard", "probes", *(f.split()[0] for f in Shard.FIELDS.split(", "))])
+
+    return keys.withColumn("shard", shard_of(shards)).groupBy("shard").applyInArrow(run, f"shard long, probes long, {Shard.FIELDS}"), shards
+
 
+def shard_of(shards: int):
+    return F.lit(0).cast("long") if shards == 1 else F.shiftrightunsigned("h1", 64 - shards.bit_length() + 1)
 
-def _build_shards(keys: DataFrame, shards: int) -> pd.DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["h1", "h2"])
-        levels, order = build(pdf["h1"].to_numpy().view(_U))
-        pdf = pdf.iloc[order]
-        return pd.DataFrame([[int(pdf["shard"].iloc[0]), np.array([len(x) for x in levels], np.int64).tobytes(), b"".join(x.tobytes() for x in levels), *(pdf[c].to_numpy(np.int64).tobytes() for c in ("h2", "n", "keeper"))]], columns=["shard", "sizes", "bits", "prints", "counts", "keepers"])
 
-    shard = F.lit(0) if shards == 1 else F.shiftrightunsigned("h1", 64 - shards.bit_length() + 1).cast("int")
-    dealt = keys.withColumn("shard", shard)
-    return dealt.groupBy("shard").applyInPandas(run, "shard int, sizes binary, bits binary, prints binary, counts binary, keepers binary").toPandas()
+def losses(asked: DataFrame, shards: DataFrame, n: int, min_docs: int) -> DataFrame:
+    """asked (probes) -> h1, h2, doc_id, own of the lines that go, by the counts and keepers in the shards' arrays (n shards)."""
+    copies = F.broadcast(shards.select("shard", F.ceil(F.greatest(F.col("probes"), F.lit(1)) / PROBES).cast("int").alias("copies")))  # MOST_SHARDS rows at most
+    arrays = shards.join(copies, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    dealt = asked.withColumn("shard", shard_of(n)).join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("h2", "doc_id", "own"), F.col("copies")).cast("int"))
+    names = [f.split()[0] for f in Shard.FIELDS.split(", ")]
 
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = left.select(["h1", "h2", "doc_id", "own"])
+        if not len(left) or not len(right):
+            return out.slice(0, 0)
+        s = Shard(*(right.column(c)[0].as_py() for c in names))
+        rank = s.find(*(left.column(c).to_numpy().view(_U) for c in ("h1", "h2")))
+        kept, keeper = s.kept_by(rank)
+        ids = left.column("doc_id")
+        mine = (ids.fill_null(0).to_numpy() == keeper) & ids.is_valid().to_numpy()
+        return out.filter(pa.array((rank >= 0) & (s.counts[rank] >= min(min_docs, 255)) & kept & ~mine))
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, n_lines: str = "n_lines", n_dropped: str = "n_dropped", probe_keys: int = PROBE_KEYS) -> DataFrame:
+    dealt = dealt.select("shard", "salt", "h1", "h2", "doc_id", "own")
+    return dealt.groupBy("shard", "salt").cogroup(arrays.select("shard", "salt", *names).groupBy("shard", "salt")).applyInArrow(run, "h1 long, h2 long, doc_id long, own long")
+
+
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, n_lines: str = "n_lines", n_dropped: str = "n_dropped") -> DataFrame:
     """Drops the lines that several documents share, from all but the largest doc_id that holds them.
 
     A text is split at \\n; a line's key is the line without [\\x20\\x09-\\x0D] at both ends and with A-Z lower-cased. Keys of at least min_chars code points that at
     least min_docs documents hold lose all their lines except in the largest doc_id holding them. Returns docs with text replaced by what stays, joined by \\n
     (null becomes the empty text), and with n_lines and n_dropped (long); a column of docs of either name gives way to them. A null or empty text is one empty
-    line. Each row counts as a document of its own, so rows of equal doc_id and text count one each and all keep the line; null ids count as smaller than any
-    (if no holder has an id, nothing goes).
+    line; very long texts are split whole. Each row counts as a document of its own, so rows of equal doc_id and text count one each and all keep the line; null
+    ids count as smaller than any (if no holder has an id, nothing goes). No rows give no rows.
     """
     modest_batches(docs.sparkSession)
-    counted = line_hashes(docs, doc_id, text, min_chars).groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    keys = spill(counted.where((F.col("n") >= min_docs) & F.col("keeper").isNotNull()), "lines")
-    total, distinct = keys.agg(F.count("*"), F.count_distinct("h1")).first()
+    asked = spill(probes(docs, doc_id, text, min_chars), "probes")
+    keys = spill(asked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")), "lines")
+    arrays, n = index(keys, min_docs)
+    arrays = spill(arrays, "shards")
+    gone = losses(asked, arrays, n, min_docs)
+    hashes = F.collect_set(F.struct("h1", "h2")).alias("hashes")
+    gone = spill(gone.groupBy("doc_id", "own").agg(hashes).withColumn("key", F.xxhash64("doc_id", "own")), "gone")
+    forget(asked, keys, arrays)
+
     out = [c for c in docs.columns if c.lower() not in (n_lines.lower(), n_dropped.lower())]
     at_id, at_text = [next(i for i, c in enumerate(out) if c.lower() == x.lower()) for x in (doc_id, text)]
+    key, own, its_id, its_own, its_key, its_hashes, one, two = no_clash(docs, "_key", "_own", "_id", "_own_2", "_key_2", "_hashes", "_h1", "_h2")
+    rows = docs.select(*(F.col(f"`{c}`") for c in out)).withColumn(own, F.xxhash64(F.col(f"`{out[at_text]}`"))).withColumn(key, F.xxhash64(F.col(f"`{out[at_id]}`").cast("long"), own))
+    loses = membership(gone, "key")(F.col(key))
+    whole = F.coalesce(F.col(f"`{out[at_text]}`"), F.lit(""))
+    breaks = F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit("")))
     schema = T.StructType([*(T.StructField(c, T.StringType() if i == at_text else docs.schema[c].dataType) for i, c in enumerate(out)), T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-    rows = docs.select(*out)
-
-    def cut(b: pa.RecordBatch, drop, columns: list) -> pa.RecordBatch:
-        """drop: for the batch's parsed lines a mask over their keys."""
-        told = [split(t, min_chars) for t in b.column(at_text).to_pylist()]
-        gone = drop(b, told)
-        texts, lines, dropped, k = [], [], [], 0
-        for (parts, at, _) in told:
-            out_ = {i for i, g in zip(at, gone[k : k + len(at)]) if g}
-            k += len(at)
-            texts.append(b"\n".join([x for i, x in enumerate(parts) if i not in out_] if out_ else parts).decode())
-            lines.append(len(parts))
-            dropped.append(len(out_))
-        kept = [pa.array(texts, pa.string()) if i == at_text else b.column(i) for i in range(len(columns))]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*columns, n_lines, n_dropped])
-
-    def ids(b: pa.RecordBatch, told: list) -> tuple[np.ndarray, np.ndarray]:
-        """The rows' ids, per key, and whether they are null."""
-        x = b.column(at_id).cast(pa.int64())
-        n = [len(at) for _, at, _ in told]
-        return np.repeat(x.fill_null(0).to_numpy(), n), np.repeat(x.is_null().to_numpy(zero_copy_only=False), n)
-
-    def parts(batches):
-        """Pieces of bounded numbers of bytes, so that memory doesn't follow the batch."""
-        for b in batches:
-            yield from (b.slice(i, 1000) for i in range(0, b.num_rows, 1000))
-
-    if total <= probe_keys and total == distinct:
-        shards = 1
-        while shards * SHARD_KEYS < total:
-            shards *= 2
-        sent = docs.sparkSession.sparkContext.broadcast(Probe(shards, _build_shards(keys, shards)))
-        forget(keys)
-
-        def probe(b: pa.RecordBatch, told: list) -> np.ndarray:
-            h = np.frombuffer(b"".join(x for _, _, x in told), np.int64).reshape(-1, 2)
-            found = sent.value.find(h[:, 0].copy().view(_U), h[:, 1])
-            own, null = ids(b, told)
-            if not len(sent.value.keepers):
-                return found >= 0
-            return (found >= 0) & (null | (sent.value.keepers[found] != own))
-
-        def run(batches):
-            for b in parts(batches):
-                yield cut(b, probe, out)
-            release()
-
-        return rows.mapInArrow(run, schema)
-
-    own_id, own_hash = no_clash(rows, "own_id", "own_hash")
-    hits = line_hashes(docs, doc_id, text, min_chars).join(keys, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    hits = hits.groupBy(F.col("doc_id").alias(own_id)).agg(F.collect_set(F.concat(F.hex("h1"), F.lit(" "), F.hex("h2"))).alias(own_hash))
-    joined = rows.join(hits, rows[out[at_id]].cast("long").eqNullSafe(hits[own_id]), "left").select(*out, own_hash)
-
-    def listed(b: pa.RecordBatch, told: list) -> np.ndarray:
-        gone = []
-        for (_, _, h), drop in zip(told, b.column(len(out)).to_pylist()):
-            drop = set(drop or ())
-            h = np.frombuffer(h, np.int64).reshape(-1, 2)
-            gone += [f"{x % (1 << 64):X} {y % (1 << 64):X}" in drop for x, y in h.tolist()]
-        return np.array(gone, bool)
-
-    def run_listed(batches):
-        for b in parts(batches):
-            yield cut(b, listed, out)
-
-    return joined.mapInArrow(run_listed, schema)
+    untouched = rows.where(~loses).select(*(whole.alias(c) if i == at_text else F.col(f"`{c}`") for i, c in enumerate(out)), (breaks + 1).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_dropped))
+
+    met = F.col(key).eqNullSafe(F.col(its_key)) & F.col(own).eqNullSafe(F.col(its_own)) & F.col(f"`{out[at_id]}`").cast("long").eqNullSafe(F.col(its_id))
+    joined = rows.where(loses).join(gone.toDF(its_id, its_own, its_hashes, its_key), met, "left").select(*(F.col(f"`{c}`") for c in out), F.col(f"{its_hashes}.h1").alias(one), F.col(f"{its_hashes}.h2").alias(two))
+
+    def cut(batches):
+        for b in (whole_.slice(i, 500) for whole_ in batches for i in range(0, whole_.num_rows, 500)):
+            texts, lines, dropped = [], [], []
+            for t, h1, h2 in zip(b.column(at_text).to_pylist(), b.column(len(out)), b.column(len(out) + 1)):
+                parts, at, hashes = split(t, min_chars)
+                go = set()
+                if h1.is_valid:
+                    go = {h.tobytes() for h in np.stack([h1.values.to_numpy(), h2.values.to_numpy()], 1)}
+                go = {i for j, i in enumerate(at) if hashes[16 * j : 16 * j + 16] in go}
+                texts.append(b"\n".join([x for i, x in enumerate(parts) if i not in go] if go else parts).decode())
+                lines.append(len(parts))
+                dropped.append(len(go))
+            kept = [pa.array(texts, pa.string()) if i == at_text else b.column(i) for i in range(len(out))]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], [*out, n_lines, n_dropped])
+        release()
+
+    return joined.mapInArrow(cut, schema).union(untouched)

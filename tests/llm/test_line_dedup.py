@@ -30,11 +30,10 @@ def rows_of(df):
     return sorted([(r["doc_id"], r["text"], r["n_lines"], r["n_dropped"]) for r in df.collect()], key=str)
 
 
-def test_edges_both_ways(edge, edge_rows, clash):
+def test_edges(edge, edge_rows, clash):
     want = brute([(r[0], r[1]) for r in edge_rows])
     assert any(w[3] for w in want)
     assert rows_of(L.dedup_lines(edge)) == want
-    assert rows_of(L.dedup_lines(edge, probe_keys=0)) == want  # by a join of hashes
     out = L.dedup_lines(clash)
     assert rows_of(out) == want and set(out.columns) == set(clash.columns)
 
@@ -43,35 +42,64 @@ def test_empty(empty):
     assert L.dedup_lines(empty).collect() == []
 
 
-def test_many_shards(spark, monkeypatch):
+def test_many_shards_and_groups(spark, monkeypatch):
     monkeypatch.setattr(L, "SHARD_KEYS", 16)
-    rows = [(i, "\n".join(f"common line number {j:05d} of them" for j in range(i % 7 * 20, i % 7 * 20 + 60))) for i in range(40)]
+    monkeypatch.setattr(L, "PROBES", 50)  # a shard's probes fill many groups
+    rows = [(i, "\n".join(f"common line number {j:05d} of them" for j in range(i % 7 * 20, i % 7 * 20 + 60)) + "\none very common line that all have") for i in range(40)]
+    rows += [(None, rows[0][1])] * 3 + [rows[5]] * 2
     assert rows_of(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+    monkeypatch.setattr(L, "MOST_SHARDS", 4)  # fewer, larger shards
+    assert rows_of(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
+
+
+def test_one_id_on_several_texts(spark):
+    line = "a line of more than twenty characters"
+    rows = [(1, f"{line}\nx"), (1, f"y\n{line}"), (2, line), (2, f"{line}\n{line}\nz"), (None, line)]
+    assert rows_of(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_a_high_least_number_of_documents(spark):
+    line = "a line of more than twenty characters"
+    for n in (299, 300, 301):
+        rows = [(i, f"{line}\n{i}") for i in range(n)]
+        assert rows_of(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=300)) == (brute(rows) if n >= 300 else sorted([(i, t, 2, 0) for i, t in rows], key=str))
+
+
+def test_nothing_per_line_comes_to_the_driver(spark, monkeypatch):
+    from chronoloom.llm import common
+
+    monkeypatch.setattr(L, "SHARD_KEYS", 16)
+    rows = [(i, "\n".join(f"common line number {j:05d} of them" for j in range(2000))) for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes, put = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sizes.append(getattr(x, "nbytes", 0)) or put(self, x))
+    assert rows_of(L.dedup_lines(df)) == brute(rows)
+    assert max(sizes) <= 8 * common.FILTER_WORDS
+
+
+def pair(values):
+    h = np.array(sorted(values), object)
+    return np.array([x >> 64 for x in h], np.uint64), np.array([x % 2**64 for x in h], np.uint64)
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.sets(st.integers(0, 2**64 - 1), max_size=300))
+@given(st.sets(st.integers(0, 2**128 - 1) | st.integers(0, 50) | st.integers(2**70, 2**70 + 50), max_size=300))
 def test_perfect_hash(values):
-    h = np.array(sorted(values), np.uint64)
-    levels, order = L.build(h)
-    assert sorted(order.tolist()) == list(range(len(h))) and sum(int(np.bitwise_count(x).sum()) for x in levels) == len(h)
+    h1, h2 = pair(values)  # equal halves included
+    levels, order = L.build(h1, h2)
+    assert sorted(order.tolist()) == list(range(len(h1))) and sum(int(np.bitwise_count(x).sum()) for x in levels) == len(h1)
 
 
 def test_probe_finds_its_keys_and_no_others():
-    import pandas as pd
-
     rng = np.random.default_rng(0)
-    h, f = rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(-(2**62), 2**62, 5000)
-    rows = []
-    for s in range(4):
-        at = np.flatnonzero(h >> np.uint64(62) == s)
-        levels, order = L.build(h[at])
-        at = at[order]
-        rows.append([s, np.array([len(x) for x in levels], np.int64).tobytes(), b"".join(x.tobytes() for x in levels), f[at].tobytes(), np.full(len(at), 3).tobytes(), at.astype(np.int64).tobytes()])
-    probe = L.Probe(4, pd.DataFrame(rows, columns=["shard", "sizes", "bits", "prints", "counts", "keepers"]))
-    found = probe.find(h, f)
-    assert (probe.keepers[found] == np.arange(5000)).all()
-    assert (probe.find(rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(-(2**62), 2**62, 5000)) == -1).all()
+    h1, h2 = (rng.integers(0, 2**64, 5000, dtype=np.uint64) for _ in range(2))
+    n = np.arange(5000) % 400
+    s = L.Shard(*L.Shard.make(h1, h2, n, np.arange(5000), n >= 3))
+    rank = s.find(h1, h2)
+    assert sorted(rank.tolist()) == list(range(5000)) and (s.counts[rank] == np.minimum(n, 255)).all()
+    kept, keeper = s.kept_by(rank)
+    assert (kept == (n >= 3)).all() and (keeper[kept] == np.arange(5000)[kept]).all()
+    assert (s.find(rng.integers(0, 2**64, 5000, dtype=np.uint64), rng.integers(0, 2**64, 5000, dtype=np.uint64)) == -1).all()
 
 
 def test_sha_of_query(spark, sf):
