@@ -9,15 +9,15 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import no_clash, spill
 from .mixing import WORD
 
-#: Words in a bin, and pieces packed together on average.
-CAPACITY, BLOCK = 2048, 2000
+#: Words in a bin, pieces packed together on average, and equal rows that one task numbers.
+CAPACITY, BLOCK, EQUAL = 2048, 2000, 1 << 20
 
 
 def best_fit(sizes: list[int], sources: list, clusters: list, capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -52,33 +52,36 @@ def pack(docs: DataFrame, size: Column, cluster: Column, doc_id: str = "doc_id",
 
     A document longer than capacity is cut into full pieces, each a bin of its own, and a rest; all other pieces are packed. No bin holds two pieces of a source
     or of a cluster, and none holds more than capacity words; free is what the bin has left. A null source is a source of its own, a null cluster is one cluster;
-    a document without words is a piece of 0 words. Equal rows (or copies) are pieces of one cluster. Ties in size go by id, source and cluster, so that reruns
-    agree. Bins are numbered by block; blocks hold about block pieces, however many documents there are; rows of equal id and cluster meet in one block.
+    a null or empty text is a document without words, a piece of 0 words. Equal rows (or copies) are pieces of one cluster; they are counted and numbered, and dealt to
+    blocks by their number, so that no block is full of them. Ties in size go by id (null first), source and cluster, so reruns agree. Bins are numbered by block; blocks hold
+    about block documents, however many there are. Other columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), size.cast("long").alias("size"), cluster.cast("long").alias("cluster"))
-    rows = spill(rows, "pieces")
-    blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id", "cluster"), F.lit(blocks)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids, sources, clusters = ([None if pd.isna(x) else x for x in pdf[c]] for c in ("doc_id", "source", "cluster"))
+    rows = spill(rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("equal")), "pieces")
+    blocks = max(1, -(-(rows.agg(F.sum("equal")).first()[0] or 0) // block))
+    first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("equal") - 1, F.lit(EQUAL).cast("long")))
+    some, few = rows.where(F.col("equal") > EQUAL).withColumn("first", first).repartition("doc_id", "source", "cluster", "first"), rows.where(F.col("equal") <= EQUAL).withColumn("first", F.lit(0).cast("long"))
+    nth = F.explode(F.sequence(F.col("first"), F.least(F.col("equal"), F.col("first") + EQUAL) - 1))
+    dealt = few.union(some).withColumn("nth", nth).withColumn("block", F.pmod(F.xxhash64(F.lit(3), "doc_id", "source", "cluster", "nth"), F.lit(blocks)))
+
+    def run(part: pa.Table) -> pa.Table:
         pieces = []  # what is left of each document after its full pieces
-        rows, bins = [], 0
-        base = int(pdf["block"].iloc[0]) << 32
-        for i, s, c, n in zip(ids, sources, clusters, pdf["size"].tolist()):
+        out, bins = [], 0
+        base = part.column("block")[0].as_py() << 32
+        order = zip(*(part.column(c).to_pylist() for c in ("doc_id", "source", "cluster", "size")))
+        for i, s, c, n in sorted(order, key=lambda x: [(v is not None, v if v is not None else 0) for v in x]):
             whole, rest = divmod(n, capacity)
             for piece in range(whole):
-                rows.append((i, s, piece, piece * capacity, capacity, base + bins, 0, 0))
+                out.append((i, s, piece, piece * capacity, capacity, base + bins, 0, 0))
                 bins += 1
             if rest or not whole:
                 pieces.append((rest, i, s, c, whole))
-        pieces.sort(key=lambda x: (-x[0], x[1] is not None, x[1] or 0, x[2] or "", x[3] or 0))
+        pieces.sort(key=lambda x: -x[0])
         to, starts, left = best_fit([x[0] for x in pieces], [x[2] for x in pieces], [x[3] for x in pieces], capacity)
-        rows += [(i, s, whole, whole * capacity, n, base + bins + b, at, left[b]) for (n, i, s, _, whole), b, at in zip(pieces, to, starts)]
-        out = pd.DataFrame(rows, columns=_COLUMNS)
-        return out.astype({"doc_id": "Int64"})
+        out += [(i, s, whole, whole * capacity, n, base + bins + b, at, left[b]) for (n, i, s, _, whole), b, at in zip(pieces, to, starts)]
+        return pa.table([pa.array(x, pa.string() if c == "source" else pa.int64()) for x, c in zip(zip(*out), _COLUMNS)], names=_COLUMNS)
 
-    return dealt.select("doc_id", "source", "size", "cluster", "block").groupBy("block").applyInPandas(run, _SCHEMA)
+    return dealt.select("doc_id", "source", "size", "cluster", "block").groupBy("block").applyInArrow(run, _SCHEMA)
 
 
 _SCHEMA = "doc_id long, source string, piece long, first_word long, n_words long, bin_id long, start long, free long"

@@ -69,3 +69,35 @@ def test_texts_of_bins(edge):
     bins = packing.bin_texts(unique, got).collect()
     assert sum(len(b["text"].split()) for b in bins) == unique.agg(F.sum(mixing.word_count("text"))).first()[0]
     assert all(len(b["text"].split()) == b["n_words"] <= 256 for b in bins)
+
+
+def test_null_ids_leave_large_ids_alone(spark):
+    big = (1 << 60) + 1
+    rows = [(big, "a b c", "x"), (None, "d e", "y"), (big + 1, "f", "z")]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.word_count("text"), F.xxhash64("text")).collect()
+    assert {r["doc_id"] for r in got} == {big, big + 1, None}
+
+
+def test_equal_rows_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(packing, "EQUAL", 64)
+    rows = [(None, "the same words", None)] * 1000 + [(i, f"own {i}", "a") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = packing.pack(df, mixing.word_count("text"), F.xxhash64("text"), block=50).collect()
+    blocks = defaultdict(int)
+    for r in got:
+        blocks[r["bin_id"] >> 32] += 1
+    assert len(got) == 1010 and len(blocks) > 10 and max(blocks.values()) < 120
+    check(rows, got, packing.CAPACITY)
+    again = packing.pack(df.repartition(7), mixing.word_count("text"), F.xxhash64("text"), block=50).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_a_whole_packing_against_brute_force(spark):
+    rows = [(i, " ".join(["w"] * (1 + i * 37 % 300)), f"s{i % 7}") for i in range(120)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), mixing.word_count("text"), F.col("doc_id") % 50, capacity=256, block=1000).collect()
+    pieces = sorted([(len(t.split()) % 256, i, s, i % 50) for i, t, s in rows if len(t.split()) % 256], key=lambda x: (-x[0], x[1]))
+    full = sum(len(t.split()) // 256 for _, t, _ in rows)
+    to, left = brute([p[0] for p in pieces], [p[2] for p in pieces], [p[3] for p in pieces], 256)
+    assert len(got) == len(pieces) + full
+    placed = {(r["doc_id"], r["start"], r["bin_id"] - full) for r in got if r["n_words"] < 256}
+    assert placed == {(p[1], at, b) for p, (b, at) in zip(pieces, to)}
