@@ -37,18 +37,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_dirs[app]
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark)}/chronoloom-{name}-{uuid.uuid4().hex}"
+#: Paths in the shared folder that nobody has removed, by the application that writes them.
+_written: dict[str, set[str]] = {}
 
 
-#: What spill() has written and nobody has removed, by the application that did.
-_written: dict[str, set[str]] = {}
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; sweep() removes it."""
+    path = f"{scratch_dir(spark)}/chronoloom-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession, name)
-    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,7 +63,7 @@ def _delete(sc, path: str) -> None:
 
 
 def sweep(spark: SparkSession) -> None:
-    """Removes all that spill() has written in this application and that is still there; results that haven't been written or read yet can't be read any more."""
+    """Removes all that this application has written in the shared folder and that is still there; results that haven't been written or read yet can't be read any more."""
     for path in list(_written.get(spark.sparkContext.applicationId, ())):
         _delete(spark.sparkContext, path)
 

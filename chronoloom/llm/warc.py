@@ -1,7 +1,8 @@
 """WARC archives in Zstandard: one frame per record, the dictionary in a leading skippable frame.
 
-Archives are cut by size and written by Spark's text sink, so they go wherever Spark can write, with its commit protocol: an archive is one row of bytes, and
-the line end that the sink adds falls into a closing skippable frame. They are read by the binaryFile source, an archive a row.
+Archives are cut by size and written by Spark's text sink, so they go wherever Spark can write, with its commit protocol: an archive is one row of bytes (the sink
+writes a string's bytes as they are), and the line end that the sink adds falls into a closing skippable frame. They are read by the binaryFile source, an
+archive a row. Which records are revisits follows from a narrow table of ids and digests; payloads are compressed where they lie.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import uniform
+from .common import forget, membership, modest_batches, small, spill, uniform
 
 #: Magic of the skippable frame that holds the dictionary, and of the closing one (fixed values of the format).
 DICTIONARY_MAGIC, CLOSING_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
 #: Compressed bytes after which an archive ends (it exceeds them by a record at most).
 ARCHIVE_BYTES = 8 << 20
-#: Payloads from which the dictionary is trained, characters read of each, and the dictionary's size.
+#: Records from which the dictionary is trained (about), characters of each payload's drawn passage, and the dictionary's size. Bounds of a training sample.
 SAMPLE_ROWS, SAMPLE_CHARS, DICTIONARY_BYTES = 200, 20_000, 64 << 10
+#: Records without a payload that are trained on besides, so that there is a dictionary however few the pages are.
+BARE_RECORDS = 256
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 WHEN = "2024-01-01T00:00:00Z"
 
@@ -42,9 +45,9 @@ def digest_column(payload):
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def make_record(kind: str, uri: str, page_id: int | None, payload: bytes, payload_digest: str, refers_to: int | None) -> bytes:
-    """A response or revisit record. Both hold the HTTP header with the payload's length; a revisit leaves out the payload."""
-    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def make_record(kind: str, uri: str, page_id: int | None, payload: bytes, payload_digest: str, refers_to: int | None, length: int | None = None) -> bytes:
+    """A response or revisit record. Both hold the HTTP header with the payload's length (given where the payload isn't); a revisit leaves out the payload."""
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload) if length is None else length}\r\n\r\n".encode()
     block = http if kind == "revisit" else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {WHEN}", f"WARC-Target-URI: {uri}",
@@ -138,43 +141,57 @@ def read_archive(data: bytes):
 
 
 def train_dictionary(pages: DataFrame, page_id: str, html: str) -> bytes:
-    """A dictionary from about SAMPLE_ROWS pages, chosen by a hash of their ids; empty if they are too few or too short. It changes the archives' size only."""
+    """A dictionary from about SAMPLE_ROWS pages, chosen by a hash of their ids, a passage of each at a place drawn by the same hash, and from bare records. It
+    changes the archives' size only."""
     share = SAMPLE_ROWS / max(pages.count(), 1)
-    picked = pages.where((uniform(page_id, seed=4) < share) & (F.length(html) > 0)).select(F.substring(html, 1, SAMPLE_CHARS).alias("t"))
-    samples = sorted(r["t"].encode() for r in picked.limit(2 * SAMPLE_ROWS).collect())
-    if len(samples) < 20 or sum(map(len, samples)) < 10 * 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    start = (F.floor(uniform(page_id, seed=5) * F.greatest(F.char_length(html) - SAMPLE_CHARS + 1, F.lit(1))) + 1).cast("int")
+    picked = pages.where((uniform(page_id, seed=4) < share) & (F.length(html) > 0)).select(F.substr(F.col(html), start, F.lit(SAMPLE_CHARS)).alias("t"))
+    bodies = sorted(r["t"].encode() for r in picked.limit(2 * SAMPLE_ROWS).collect())
+    bare = [make_record("revisit" if i % 2 else "response", f"http://host{i}.example/", 7919 * i, b"", digest(b"%d" % i), 31 * i if i % 2 else None) for i in range(BARE_RECORDS)]
+    samples = bare + [make_record("response", "http://www.example/", i, t, digest(t), None) for i, t in enumerate(bodies)]
+    return zstandard.train_dictionary(min(DICTIONARY_BYTES, sum(map(len, samples)) // 8), samples).as_bytes()
 
 
 def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: str = "url", html: str = "html", least: int = 0, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """Writes one record per row of pages into archives under path.
+    """Writes one record per row of pages into archives under path, each with the dictionary in front.
 
-    The payload is html in UTF-8 (null: empty). Of the records with equal payloads of at least least bytes, that with the largest page_id is a response and the
-    others revisit it; smaller ones are all responses. Rows that tie for the largest are all responses; null ids count as the smallest. A null
-    uri is written as an empty one. Only digests of payloads that occur twice meet the pages in a join; payloads themselves are dealt out by digest once.
+    The payload is html in UTF-8 (null: empty; very long ones are one record). Of the records with equal payloads of at least least bytes, that with the largest
+    page_id is a response and the others revisit it; smaller ones are all responses. Rows that tie for the largest are all responses; null ids count as the
+    smallest. A null uri is written as an empty one; other columns are ignored; no rows give no archive. Ids and digests alone are shuffled: payloads that occur
+    once are compressed in place, revisits need no payload, and only the one response of each repeated payload moves.
     """
+    modest_batches(pages.sparkSession)
     payload = F.coalesce(F.col(html), F.lit("")).cast("binary")
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"), payload.alias("payload"))
     rows = rows.withColumn("digest", digest_column("payload"))
-    known = pages.select(F.col(page_id).cast("long").alias("id"), digest_column(payload).alias("d"), F.length(payload).alias("n")).where(F.col("n") >= least)
-    known = known.groupBy("d").agg(F.count("*").alias("n"), F.max("id").alias("last")).where("n > 1").select("d", "last")
-    marked = rows.join(known, rows["digest"] == known["d"], "left").withColumn("refers_to", F.when(F.col("d").isNotNull(), F.col("last")))
+    narrow = spill(rows.select("page_id", "uri", "digest", F.length("payload").cast("long").alias("n")), "digests")
+    known = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("last")).where("copies > 1")
+    known = spill(known.select("digest", "last"), "known")
+    again = membership(known, "digest")  # of fixed size; what it takes for repeated, though it isn't, is decided by the join below
+    told = narrow.where(again(F.col("digest"))).join(small(known.withColumnRenamed("digest", "d")), F.col("digest") == F.col("d"), "left")
+    told = told.withColumn("again", F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
+    told = spill(told.select("page_id", "uri", "digest", "n", "last", "again"), "told")
+    first = spill(told.where("NOT again").select(F.xxhash64("digest", "page_id").alias("key"), F.col("digest").alias("d"), F.col("page_id").alias("id")).distinct(), "first")
+    may_be_first = membership(first, "key")
+
+    none = F.lit(None).cast("long")
+    alone = rows.where(~again(F.col("digest")))
+    moved = rows.withColumn("own", F.xxhash64("digest", "page_id")).where(again(F.col("digest")) & may_be_first(F.col("own")))
+    moved = moved.join(first, (F.col("own") == F.col("key")) & (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("id")), "left_semi")
+    columns = ["page_id", "uri", "payload", "digest"]
+    responses = alone.select(*columns).union(moved.select(*columns)).select(*columns, F.length("payload").cast("long").alias("n"), none.alias("last"), F.lit(False).alias("again"))
+    revisits = told.where("again").select("page_id", "uri", F.lit(b"").alias("payload"), "digest", "n", "last", "again")
     sent = pages.sparkSession.sparkContext.broadcast(train_dictionary(pages, page_id, html))
     closing = struct.pack("<II", CLOSING_MAGIC, 1)  # its one byte is the line end
 
     def run(batches):
-        known = zstandard.ZstdCompressionDict(sent.value) if sent.value else None
-        lead = struct.pack("<II", DICTIONARY_MAGIC, len(sent.value)) + sent.value if known else b""
-        coder = zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=True, write_checksum=True)
+        lead = struct.pack("<II", DICTIONARY_MAGIC, len(sent.value)) + sent.value
+        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(sent.value), write_content_size=True, write_checksum=True)
         frames, total = [lead], 0
         for b in batches:
             for i in range(b.num_rows):
-                id_, uri_, body, dig, last, again = (b.column(c)[i].as_py() for c in ("page_id", "uri", "payload", "digest", "refers_to", "again"))
-                frames.append(coder.compress(make_record("revisit" if again else "response", uri_, id_, body, dig, last)))
+                id_, uri_, body, dig, n, last, revisit = (b.column(c)[i].as_py() for c in ("page_id", "uri", "payload", "digest", "n", "last", "again"))
+                frames.append(coder.compress(make_record("revisit" if revisit else "response", uri_, id_, body, dig, last, n)))
                 total += len(frames[-1])
                 if total >= archive_bytes:
                     yield pa.RecordBatch.from_arrays([pa.array([b"".join([*frames, closing])])], ["archive"])
@@ -182,8 +199,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
         if total:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join([*frames, closing])])], ["archive"])
 
-    out = marked.withColumn("again", F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
-    out.select("page_id", "uri", "payload", "digest", "refers_to", "again").mapInArrow(run, "archive binary").select(F.col("archive").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    out = responses.union(revisits).mapInArrow(run, "archive binary")
+    out.select(F.col("archive").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    forget(narrow, known, told, first)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -86,3 +86,17 @@ def test_broken_archives_are_told(harm):
     }[harm]
     with pytest.raises((W.ArchiveError, zstandard.ZstdError)):
         list(W.read_archive(bad))
+
+
+def test_every_archive_has_its_dictionary(spark, tmp_path):
+    for name, rows in (("few", [(1, "u", "one page")]), ("blank", [(1, "u", None)]), ("many", ROWS)):
+        written(spark, str(tmp_path / name), rows, archive_bytes=4000)
+        for r in spark.read.format("binaryFile").load(str(tmp_path / name)).collect():
+            magic, size = struct.unpack("<II", r["content"][:8])
+            assert magic == W.DICTIONARY_MAGIC and size > 0 and zstandard.ZstdCompressionDict(bytes(r["content"][8 : 8 + size])).dict_id() != 0
+
+
+def test_payloads_behind_a_full_filter(spark, tmp_path, monkeypatch):
+    """Where the bitmap takes every digest for repeated, the joins decide."""
+    monkeypatch.setattr(W, "membership", lambda keys, column: lambda c: F.lit(True))
+    assert written(spark, str(tmp_path / "w"), ROWS) == brute([(r[0], r[2]) for r in ROWS])
