@@ -1,7 +1,8 @@
 """Language identification with error-correcting output codes.
 
 Every language has a codeword; one binary classifier per bit, over hashed byte n-grams, says on which side of the bit a text lies. The classifiers are trained
-from the n-gram counts of all labelled texts, summed by language in one distributed pass (a row of counts per language, block and task). Decoding takes the
+from the n-gram counts of all labelled texts, summed by language where they lie and then in rounds of at most FAN parts, so no task gathers a row per task of
+the pass before. Decoding takes the
 codeword of least loss, each bit weighted by how well it parts its two sides; a small lead over the second marks the text as ambiguous.
 """
 
@@ -10,12 +11,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import modest_batches
+from .common import forget, modest_batches, spill
 from .textkit import release
 
 #: Slots of the hashed 2- and 3-grams together, and blocks in which their counts are summed.
@@ -27,6 +27,8 @@ LEAD = 0.05
 #: Bytes of text hashed at once.
 PIECE = 1 << 18
 UNKNOWN = "und"
+#: Parts of a sum that one task adds up, languages whose counts a task holds at once (256 KB each), and languages that can be learned: more are an error.
+FAN, HELD, MOST_LANGUAGES = 256, 64, 1024
 
 
 def codewords(n: int) -> np.ndarray:
@@ -84,30 +86,48 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
     def partial(batches):
         sums: dict[str, np.ndarray] = {}
+
+        def parts():
+            for lang, total in sums.items():
+                for block, x in enumerate(np.split(total, BLOCKS)):
+                    yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block], pa.int32()), pa.array([x.tobytes()])], ["lang", "block", "counts"])
+            sums.clear()
+
         for b in (whole.slice(lo, 1000) for whole in batches for lo in range(0, whole.num_rows, 1000)):
             texts, langs = ([x or "" for x in b.column(i).to_pylist()] for i in range(2))
             for piece, owner in _pieces(texts):
                 three, two, at = _grams(piece)
                 for i, lo, hi in zip(owner, at[::2], at[1::2]):
                     if hi > lo:
+                        if langs[i] not in sums and len(sums) >= HELD:
+                            yield from parts()
                         got = np.bincount(np.concatenate([three[lo:hi], two[lo:hi]]).astype(np.int64), minlength=SLOTS)
                         sums.setdefault(langs[i], np.zeros(SLOTS))
                         sums[langs[i]] += got / (hi - lo)
-        for lang, total in sums.items():
-            for block, x in enumerate(np.split(total, BLOCKS)):
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([block], pa.int32()), pa.array([x.tobytes()])], ["lang", "block", "counts"])
+        yield from parts()
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x) for x in pdf["counts"])
-        return pd.DataFrame([[pdf["lang"].iloc[0], pdf["block"].iloc[0], total.tobytes()]], columns=["lang", "block", "counts"])
+    def add(part: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py()) for x in part.column("counts"))
+        return pa.table([part.column("lang").slice(0, 1), part.column("block").slice(0, 1), pa.array([total.tobytes()])], names=["lang", "block", "counts"])
 
     schema = "lang string, block int, counts binary"
-    return rows.select("text", "lang").mapInArrow(partial, schema).groupBy("lang", "block").applyInPandas(add, schema)
+    now = spill(rows.select("text", "lang").mapInArrow(partial, schema), "grams")
+    while (most := now.groupBy("lang", "block").count().agg(F.max("count")).first()[0] or 0) > 1:
+        few = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(-(-most // FAN))) if most > FAN else F.lit(0)
+        after = now.withColumn("part", few).groupBy("lang", "block", "part").applyInArrow(add, schema)
+        after = spill(after, "grams")
+        forget(now)
+        now = after
+    return now
 
 
 def train(rows: DataFrame) -> dict:
-    """rows (text, lang; both not null) -> model: languages in order, their codewords, slot weights by bit, bit weights."""
-    got = gram_counts(rows).toPandas()
+    """rows (text, lang; both not null) -> model: languages in order, their codewords, slot weights by bit, bit weights. More than MOST_LANGUAGES are an error."""
+    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of the language column")
+    counts = gram_counts(rows)
+    got = counts.toPandas()  # BLOCKS rows of 32 KB a language
+    forget(counts)
     langs = sorted(got["lang"].unique()) if len(got) else []
     if not langs:
         return {"langs": [], "code": codewords(0), "slots": np.zeros((SLOTS, 1), np.float32), "bits": np.ones(1)}
@@ -166,7 +186,7 @@ def predict(docs: DataFrame, text: str, model: dict, names: tuple[str, str, str]
     """docs with language, score (0 to 1) and ambiguity; columns of docs of these names give way.
 
     Null texts and texts without a letter get "und", score 0, not ambiguous; so do all texts if nothing was labelled. Of equally near languages the first in
-    order of code points wins, as ambiguous. Only text is read; equal texts get equal results; long texts count as a whole.
+    order of code points wins, as ambiguous. Only text is read; equal texts get equal results; very long texts count as a whole. No rows give no rows.
     """
     out = [c for c in docs.columns if c.lower() not in {x.lower() for x in names}]
     at = next(i for i, c in enumerate(out) if c.lower() == text.lower())
@@ -190,7 +210,8 @@ def is_held_out(doc_id: str) -> Column:
 
 def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Trains on the labelled texts of docs that aren't held out (crc32 of doc_id as text, modulo 3, is 1; a null doc_id isn't) and returns docs with held_out,
-    lang_pred, score and ambiguous."""
+    lang_pred, score and ambiguous (columns of docs of these names give way). Null languages and texts aren't learned from; repeated rows count each time. What
+    nulls, empty texts and ties get is said at predict()."""
     modest_batches(docs.sparkSession)
     labelled = docs.where(~is_held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     out = [c for c in docs.columns if c.lower() != "held_out"]
