@@ -1,8 +1,13 @@
 """Nearest neighbours by collision-counting hashing with query-centred windows.
 
-Each vector is projected on a few random lines. In a block of vectors every line has a sorted array; a query's window around its own projection is a range of it,
-and a vector collides on the lines whose window holds it. Vectors that collide often enough are verified with the exact measure; windows widen (virtual
-rehashing) to the radius of the k-th best found until that lies within the radius that they stand for. The largest inner product becomes the least distance by one more coordinate.
+Each vector is projected on random lines. In a block of vectors every line has a sorted array; a query's window around its own projection is a range of it, and
+a vector collides on the lines whose window holds it. Vectors that collide often enough are verified with the exact measure; windows widen (virtual rehashing) to
+the radius of the k-th best found until that lies within the radius that they stand for, and only entries that a wider window adds are counted. The largest inner
+product becomes the least distance by one more coordinate.
+
+Blocks are cells of a few routing lines, cut at sampled quantiles. A query is first answered in the block it lies in; the distance of its k-th best there bounds
+its radius, and it then visits only the cells that its windows of that radius on the routing lines reach. Data as far from each other as near (random directions
+in many dimensions) leave few cells out: then a query visits nearly all, as any exact search does.
 """
 
 from __future__ import annotations
@@ -10,77 +15,98 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, spill
+from .common import forget, modest_batches, small, spill, uniform
 
 #: Lines; half-width of a window in units of the radius; deviations below the mean of collisions at the radius that still make a candidate; growth of a
 #: radius in which too few were found.
-LINES, HALF, MISS, GROWTH = 128, 1.3, 1.65, 1.3
-#: Vectors that are searched together, queries that meet them at once, vectors of a block whose distances give a query's first radius.
-BLOCK, QUERIES, PROBE = 8192, 4096, 256
-
-
-def index(vectors: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors (with the added coordinate) -> sorted projections by line, and each vector's place in them."""
-    p = lines @ vectors.T
-    order = np.argsort(p, axis=1, kind="stable")
-    places = np.empty(p.shape, np.uint16)
-    np.put_along_axis(places, order, np.arange(p.shape[1], dtype=np.uint16)[None, :], axis=1)
-    return np.take_along_axis(p, order, axis=1), places
-
-
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids: np.ndarray, k: int, longest: float, lines: int = LINES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query the k vectors of the block with the largest inner products that were found (not its own id): positions of queries, of vectors, products."""
+LINES, HALF, MISS, GROWTH = 64, 1.3, 1.65, 1.3
+#: Vectors of a block on average, queries that meet them at once, vectors of a block whose distances give a query's first radius, queries counted together.
+BLOCK, QUERIES, PROBE, CHUNK = 8192, 8192, 256, 256
+#: Routing lines at most, half-width of a window on them in units of the radius (0.9 % of neighbours at the radius lie outside), vectors sampled for quantiles.
+ROUTES, REACH, SAMPLE = 3, 2.6, 20_000
+#: Lengths of vectors that one table may hold.
+MOST_LENGTHS = 1000
+
+
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, longest: float, radius: np.ndarray | None = None, floor: np.ndarray | None = None, lines: int = LINES):
+    """For each query the k vectors of the block with the largest inner products that were found: positions of queries, of vectors, products; and how many array
+    entries were counted and vectors verified. own: the query's own position (-1: not here). With radius (one for each query) windows stay as they are; what
+    lies below floor is left out."""
     n, d = vectors.shape
     normal = np.random.default_rng(5).standard_normal((lines, d + 1))
-    added = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
-    arrays, places = index(np.c_[vectors, added], normal)
+    p = normal @ np.c_[vectors, np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))].T
+    order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
+    arrays = np.take_along_axis(p, order, axis=1)
     p = queries @ normal[:, :d].T
     square = (queries**2).sum(1) + longest**2
     hit = math.erf(HALF / math.sqrt(2))
     least = max(1, math.floor(lines * hit - MISS * math.sqrt(lines * hit * (1 - hit))))
-    # First radius: that of a few vectors, as many of them in it as should hold k of the block.
-    few = min(n, PROBE)
-    seen = np.where(query_ids[:, None] == ids[None, :few], -np.inf, queries @ vectors[:few].T)
-    nth = min(few, math.ceil(few * k / n))
-    near = -np.partition(-seen, nth - 1, axis=1)[:, nth - 1]
-    radius = np.sqrt(np.clip(square - 2 * near, 1e-12, 2 * square))
-    left, out = np.arange(len(queries)), [[], [], []]
-    shifted, inside = np.empty_like(places), np.empty(places.shape, bool)
-    while len(left):
-        lo, hi = np.empty((lines, len(left)), np.int64), np.empty((lines, len(left)), np.int64)
-        reach = HALF * radius[left]
-        for i in range(lines):
-            lo[i] = np.searchsorted(arrays[i], p[left, i] - reach, "left")
-            hi[i] = np.searchsorted(arrays[i], p[left, i] + reach, "right")
-        lo16, width = lo.astype(np.uint16), (hi - lo).astype(np.uint16)
-        again = []
-        for j, q in enumerate(left):
-            np.subtract(places, lo16[:, j, None], out=shifted)
-            np.less(shifted, width[:, j, None], out=inside)
-            count = np.add.reduce(inside.view(np.uint8), axis=0, dtype=np.uint8)
-            at = np.flatnonzero(count >= least)
-            found = len(at)
-            at = at[ids[at] != query_ids[q]]
-            product = vectors[at] @ queries[q]
-            if len(at) > k:
-                kth = np.partition(product, len(at) - k)[len(at) - k]
-                keep = product >= kth
-                at, product = at[keep], product[keep]
-            reached = math.sqrt(max(square[q] - 2 * product.min(), 0.0)) if len(at) >= k else GROWTH * radius[q]
-            if found < n and reached > radius[q]:
-                again.append(q)
-                radius[q] = reached
-                continue
-            best = np.lexsort((ids[at], -product))[:k]
-            out[0].append(np.full(len(best), q))
-            out[1].append(at[best])
-            out[2].append(product[best])
-        left = np.array(again, np.int64)
-    return tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64)))
+    fixed = radius is not None
+    if not fixed:  # that of a few vectors, as many of them in it as should hold k of the block
+        few = min(n, PROBE)
+        seen = queries @ vectors[:few].T
+        inside = np.flatnonzero((own >= 0) & (own < few))
+        seen[inside, own[inside]] = -np.inf
+        nth = min(few, math.ceil(few * k / n))
+        near = -np.partition(-seen, nth - 1, axis=1)[:, nth - 1]
+        radius = np.sqrt(np.clip(square - 2 * np.maximum(near, -square), 1e-12, 2 * square))
+    radius = np.minimum(radius, 2 * np.sqrt(square))
+    out, counted, verified = [[], [], []], 0, 0
+    for begin in range(0, len(queries), CHUNK):
+        left = np.arange(begin, min(begin + CHUNK, len(queries)))
+        count = np.zeros((len(left), n), np.int16)
+        middle = np.stack([np.searchsorted(arrays[i], p[left, i]) for i in range(lines)])
+        seen, held = np.zeros((len(left), n), bool), {}
+        was = middle.copy(), middle.copy()
+        while len(left):
+            reach = HALF * radius[left]
+            lo = np.stack([np.searchsorted(arrays[i], p[left, i] - reach, "left") for i in range(lines)])
+            hi = np.stack([np.searchsorted(arrays[i], p[left, i] + reach, "right") for i in range(lines)])
+            lo, hi = np.minimum(lo, was[0][:, left - begin]), np.maximum(hi, was[1][:, left - begin])
+            again = []
+            for j, q in enumerate(left):
+                old, new = (was[0][:, q - begin], was[1][:, q - begin]), (lo[:, j], hi[:, j])
+                added, outside = int((old[0] - new[0] + new[1] - old[1]).sum()), int((n - new[1] + new[0]).sum())
+                if added <= outside:  # the entries that the windows have gained, or those still outside: whichever are fewer
+                    parts = [x for i in range(lines) for x in (order[i, new[0][i] : old[0][i]], order[i, old[1][i] : new[1][i]])]
+                    count[q - begin] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
+                else:
+                    parts = [x for i in range(lines) for x in (order[i, : new[0][i]], order[i, new[1][i] :])]
+                    count[q - begin] = lines - np.bincount(np.concatenate(parts), minlength=n)
+                counted += min(added, outside)
+                at = np.flatnonzero((count[q - begin] >= least) & ~seen[q - begin])  # those that the wider windows have added
+                seen[q - begin, at] = True
+                at = at[at != own[q]]
+                product = vectors[at] @ queries[q]
+                verified += len(at)
+                if floor is not None:
+                    keep = product >= floor[q]
+                    at, product = at[keep], product[keep]
+                if q in held:
+                    at, product = np.concatenate([held[q][0], at]), np.concatenate([held[q][1], product])
+                if len(at) > k:
+                    keep = product >= np.partition(product, len(at) - k)[len(at) - k]
+                    at, product = at[keep], product[keep]
+                    best = np.lexsort((ids[at], -product))[:k]
+                    at, product = at[best], product[best]
+                held[q] = at, product
+                if not fixed and not seen[q - begin].all():
+                    reached = math.sqrt(max(square[q] - 2 * product.min(), 0.0)) if len(at) >= k else GROWTH * radius[q]
+                    if reached > radius[q]:
+                        again.append(q)
+                        radius[q] = reached
+                        continue
+                out[0].append(np.full(len(at), q))
+                out[1].append(at)
+                out[2].append(product)
+            was[0][:, left - begin], was[1][:, left - begin] = lo, hi
+            left = np.array(again, np.int64)
+    got = tuple(np.concatenate(x) if x else np.zeros(0, t) for x, t in zip(out, (np.int64, np.int64, np.float64)))
+    return *got, counted, verified
 
 
 def usable(vector: str) -> Column:
@@ -89,34 +115,141 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.size(v) > 0, F.lit(False)) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """query_id, rank (from 1), vec_id, score: for each query about the k vectors with the largest inner product, nearest first, ties to the smaller vec_id.
+def _by_length(batch, column: str = "v"):
+    """(length, places of its rows, their vectors as a matrix), for each length in a batch or table."""
+    v = batch.column(column)
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    d = batch.column("d").to_numpy()
+    for x in np.unique(d).tolist():
+        at = np.flatnonzero(d == x)
+        yield x, at, v.take(pa.array(at)).flatten().to_numpy().reshape(-1, x)
+
+
+def _routes(d: int, lines: int) -> np.ndarray:
+    return np.random.default_rng([11, d]).standard_normal((lines, d + 1))
+
+
+def _keys(vectors: np.ndarray, longest: float, lines: int) -> np.ndarray:
+    """Projections on the routing lines, the added coordinate included."""
+    return np.c_[vectors, np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))] @ _routes(vectors.shape[1], lines).T
+
+
+def nearest(vectors: DataFrame, asked: Column, k: int = 20, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, rank (from 1), vec_id, score: for each row that asked marks about the k rows with the largest inner product, nearest first, ties to the smaller vec_id.
 
-    Queries are rows of the same form; a vector of a query's own id is no candidate. Vectors that are null, empty, zero or hold null or non-finite components
-    take no part, nor do null ids; vectors meet those of their own length only. Repeated rows are candidates as often as they occur. Scores are exact, in
-    double precision. Vectors are dealt to blocks by a hash of the id; each block meets the queries in groups of QUERIES, so no task grows with the input.
+    A row is no candidate of its own; other rows are, those of its id included, and rows that repeat are candidates and queries as often as they occur. Vectors that
+    are null, empty, zero or hold null or non-finite components take no part, nor do null ids; vectors meet those of their own length only. Fewer than k
+    candidates give fewer rows, none gives none; so does an empty table. Scores are exact, in double precision. Other columns are ignored. A table with more
+    than MOST_LENGTHS lengths of vectors is an error.
     """
-    rows = [df.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("d", F.size("v")) for df in (vectors, queries)]
+    spark = vectors.sparkSession
+    modest_batches(spark)
+    rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
+    rows = spill(rows.withColumn("d", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    sizes = rows[0].groupBy("d").agg(F.count("*").alias("n"), F.max(length).alias("longest")).join(rows[1].groupBy("d").agg(F.count("*").alias("m")), "d")
-    sizes = small(spill(sizes.select("d", "longest", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("m") / QUERIES).alias("groups")), "sizes"))
-    dealt = F.xxhash64(F.lit(11), "id")
-    data = rows[0].join(sizes, "d").withColumn("block", F.pmod(dealt, "blocks")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    asked = rows[1].join(sizes, "d").withColumn("group", F.pmod(dealt, "groups")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    data = data.select("d", "longest", "block", "group", "id", "v")
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("d", "block", "group", "id", "v")))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        if len(left) and len(right):
-            d = int(left["d"].iloc[0])
-            v, q = (np.concatenate(x.to_numpy()).reshape(-1, d) for x in (left["v"], right["q_v"]))
-            ids, query_ids = left["id"].to_numpy(), right["q_id"].to_numpy()
-            for lo in range(0, len(v), 60_000):  # a block may come out larger than meant; places have 16 bits
-                j, i, s = search(v[lo : lo + 60_000], ids[lo : lo + 60_000], q, query_ids, k, float(left["longest"].iloc[0]))
-                got.append(pd.DataFrame({"query_id": query_ids[j], "vec_id": ids[lo + i], "score": s, "row": j}))
-        return pd.concat(got) if got else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "row": []})
-
-    found = data.groupBy("d", "block", "group").cogroup(asked.groupBy("q_d", "q_block", "q_group")).applyInPandas(run, "query_id long, vec_id long, score double, row long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.count_if("asked").alias("m")).where("m > 0").limit(MOST_LENGTHS + 1).collect()
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    plan = {}
+    for s in sizes:
+        blocks = math.ceil(s["n"] / BLOCK)
+        lines = max(1, min(ROUTES, int(math.log2(blocks))))
+        ranges = math.ceil(blocks ** (1 / lines) - 1e-9)
+        drawn = rows.where((F.col("d") == s["d"]) & (uniform("row", seed=12) < SAMPLE / s["n"])).select("d", "v").limit(2 * SAMPLE).toArrow() if ranges > 1 else None
+        keys = next((_keys(x, s["longest"], lines) for _, _, x in _by_length(drawn)), np.zeros((0, lines))) if drawn is not None else np.zeros((0, lines))
+        cuts = np.quantile(keys, [i / ranges for i in range(1, ranges)], axis=0).T if len(keys) else np.zeros((lines, 0))
+        plan[s["d"]] = s["longest"], lines, cuts
+    sent = spark.sparkContext.broadcast(plan)
+
+    def cells(keys: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+        """The number of each row's cell, its ranges on the routing lines as digits."""
+        out = np.zeros(len(keys), np.int64)
+        for j, c in enumerate(cuts):
+            out = out * (len(c) + 1) + np.searchsorted(c, keys[:, j], "right")
+        return out
+
+    def place(batches):
+        for b in batches:
+            cell = np.zeros(b.num_rows, np.int64)
+            for d, at, x in _by_length(b):
+                longest, lines, cuts = sent.value[d]
+                cell[at] = cells(_keys(x, longest, lines), cuts)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
+
+    known = rows.where(F.col("d").isin([s["d"] for s in sizes])) if sizes else rows.where("false")
+    placed = spill(known.mapInArrow(place, rows.schema.add("cell", "long")), "placed")
+    counts = spill(placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs")), "cells")
+    data = placed.join(small(counts), ["d", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), "subs")).select("d", "cell", "sub", "id", "row", "v", "asked")
+
+    def answers(left: pa.Table, right: pa.Table | None):
+        """Rows found in a block (left) for the queries in it, or for those in right, which bring a radius."""
+        d = left.column("d")[0].as_py()
+        longest = sent.value[d][0]
+        _, _, x = next(_by_length(left))
+        ids, row = left.column("id").to_numpy(), left.column("row").to_numpy()
+        if right is None:
+            own = np.flatnonzero(left.column("asked").to_numpy(zero_copy_only=False))
+            q, query_id, query_row, near = x[own], ids[own], row[own], (None, None)
+        else:
+            _, _, q = next(_by_length(right, "q_v"))
+            query_id, query_row = right.column("q_id").to_numpy(), right.column("q_row").to_numpy()
+            near = right.column("radius").to_numpy(), right.column("floor").to_numpy()
+            own = np.full(len(q), -1)
+        j, i, s, _, _ = search(x, ids, q, own, k, longest, *near) if len(q) else (*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)), 0, 0)
+        return pa.table([pa.array(c) for c in (query_row[j], query_id[j], ids[i], s)], names=["q_row", "query_id", "vec_id", "score"])
+
+    schema = "q_row long, query_id long, vec_id long, score double"
+    home = spill(data.groupBy("d", "cell", "sub").applyInArrow(lambda part: answers(part, None), schema), "home")
+    kth = F.sort_array(F.collect_list("score"), asc=False)
+    bounds = home.groupBy("q_row").agg(F.get(kth, F.lit(k - 1)).alias("floor"))
+    asking = data.where("asked").join(bounds, data["row"] == bounds["q_row"], "left").select("d", "cell", "sub", "id", "row", "v", "floor")
+
+    def route(batches):
+        for b in batches:
+            floor = b.column("floor")
+            floor = np.where(floor.is_valid().to_numpy(zero_copy_only=False), floor.fill_null(0).to_numpy(), -np.inf)
+            at_, cell_, radius_ = [], [], []
+            for d, at, x in _by_length(b):
+                longest, lines, cuts = sent.value[d]
+                square = (x**2).sum(1) + longest**2
+                radius = np.sqrt(np.clip(square - 2 * np.maximum(floor[at], -square), 0, None))
+                keys = x @ _routes(d, lines)[:, :d].T
+                lo = np.stack([np.searchsorted(c, keys[:, j] - REACH * radius, "right") for j, c in enumerate(cuts)], 1)
+                hi = np.stack([np.searchsorted(c, keys[:, j] + REACH * radius, "right") for j, c in enumerate(cuts)], 1)
+                for place_, r, low, high in zip(at.tolist(), radius.tolist(), lo.tolist(), hi.tolist()):
+                    cell = [0]
+                    for c, x0, x1 in zip(cuts, low, high):
+                        cell = [y * (len(c) + 1) + z for y in cell for z in range(x0, x1 + 1)]
+                    at_ += [place_] * len(cell)
+                    cell_ += cell
+                    radius_ += [r] * len(cell)
+                    if len(cell_) >= 10_000:
+                        yield parts(b, at_, cell_, radius_, floor)
+                        at_, cell_, radius_ = [], [], []
+            if cell_:
+                yield parts(b, at_, cell_, radius_, floor)
+
+    def parts(b, at, cell, radius, floor):
+        at = np.array(at)
+        return pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(at)) for c in ("d", "cell", "sub", "id", "row", "v")), pa.array(cell, pa.int64()), pa.array(radius), pa.array(floor[at])], ["d", "home", "home_sub", "q_id", "q_row", "q_v", "q_cell", "radius", "floor"])
+
+    visits = asking.mapInArrow(route, "d int, home long, home_sub long, q_id long, q_row long, q_v array<double>, q_cell long, radius double, floor double")
+    visits = visits.join(small(counts.withColumnsRenamed({"d": "c_d", "cell": "c_cell"})), (F.col("d") == F.col("c_d")) & (F.col("q_cell") == F.col("c_cell")))
+    visits = visits.withColumn("q_sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1))).where("q_cell <> home OR q_sub <> home_sub")
+    visits = spill(visits.select("d", "q_cell", "q_sub", "q_id", "q_row", "q_v", "radius", "floor"), "visits")
+    groups = spill(visits.groupBy("d", F.col("q_cell").alias("cell"), F.col("q_sub").alias("sub")).agg(F.ceil(F.count("*") / QUERIES).alias("groups")), "groups")
+    tiles = data.drop("asked").join(small(groups), ["d", "cell", "sub"]).withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    callers = visits.withColumnsRenamed({"q_cell": "cell", "q_sub": "sub"}).join(small(groups), ["d", "cell", "sub"]).withColumn("grp", F.pmod(F.xxhash64("q_row"), "groups"))
+    key = ["d", "cell", "sub", "grp"]
+
+    def elsewhere(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64())], names=["q_row", "query_id", "vec_id", "score"])
+        return answers(left, right)
+
+    found = tiles.select(*key, "id", "row", "v").groupBy(*key).cogroup(callers.select(*key, "q_id", "q_row", "q_v", "radius", "floor").groupBy(*key)).applyInArrow(elsewhere, schema)
+    best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    ranked = home.union(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    ranked = spill(ranked, "nearest")
+    forget(rows, placed, counts, home, visits, groups)
+    return ranked

@@ -30,8 +30,7 @@ def op4_warc_zstandard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_collision_counting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    return collision_search.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+    return collision_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
 def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
