@@ -51,3 +51,36 @@ def test_write(spark, tmp_path):
     df = spark.createDataFrame([(i, f"text {i}") for i in range(100)], "doc_id long, text string")
     S.write_shards(df, S.shard(df, 4), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).groupBy("shard").count().count() == 4
+
+
+def test_write_beside_columns_of_the_same_names(spark, tmp_path):
+    rows = [(i, f"text {i}", "x", 7, 8) for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string, slot long, range int")
+    places = S.shard(df, 4)
+    S.write_shards(df, places, str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert {(r["doc_id"], r["text"], r["shard"], r["slot"], r["range"]) for r in got.collect()} == {(r["doc_id"], f"text {r['doc_id']}", r["shard"], 7, 8) for r in places.collect()}
+
+
+def test_equal_rows_are_cut_too(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLES", 4)
+    rows = [(None, "the same text" * 20)] * 4000 + [(i, f"text {i} " * (i % 40)) for i in range(2000)] + [(2001, "long " * 20_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = S.shard(df, 24).collect()
+    sums = check(rows, got, 24)
+    total, largest = sum(sums.values()), 100_008
+    assert all(v <= total / 24 + largest for v in sums.values())
+    sizes = {}
+    for r in got:
+        sizes[r["range"]] = sizes.get(r["range"], 0) + (r["doc_id"] is None)
+    assert max(sizes.values()) <= 400  # of 4000 equal rows
+
+
+def test_range_of_columns():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    keys = rng.integers(0, 4, (500, 3))
+    cuts = sorted({tuple(x) for x in rng.integers(0, 4, (20, 3)).tolist()})
+    got = S._range_of(list(keys.T), [np.array(c) for c in zip(*cuts)])
+    assert got.tolist() == [sum(c <= tuple(k) for c in cuts) for k in keys.tolist()]
