@@ -2,7 +2,7 @@
 
 One pass per document with public vocabularies: characters per token, the share of tokens that fall back to bytes, and the entropy of the tokens. Histograms of
 these over all documents, by language (by script where the language is unknown), give the bands outside which a document is rejected; they are one row per
-language, measure and step, whatever the input's size.
+language, measure and step, whatever the input's size, and stay tables: the driver sees a line's slope and a row per doubling of the number of tokens.
 """
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import sentencepiece
 import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import modest_batches, small, spill
+from .common import forget, modest_batches, small, spill
 from .textkit import chunks, windows, words
 
 VOCABULARIES = "/opt/tokenizers"
@@ -97,6 +96,11 @@ def base_counts(texts: list[str]) -> list[tuple[int, int, int, int, int]]:
     return out
 
 
+def fails_base(n_words, n_repeat_words):
+    """Fewer than 10 words, or over 20 % of them in repeated 5-word windows; of numbers or columns."""
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
 def fertility(text: str, v: Vocabularies) -> tuple[int, float | None, float | None, float | None]:
     """Tokens, characters per token (byte vocabulary), and share of byte tokens and entropy of the tokens over its most (pieces)."""
     ids = np.array(v.pieces.encode(text), np.int64)
@@ -120,7 +124,7 @@ def measure(docs: DataFrame, doc_id: str, text: str, lang: str | None, path: str
                 b = batch.slice(lo, 500)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 langs = [g if g is not None else f"script {script(t)}" for g, t in zip(b.column(2).to_pylist(), texts)]
-                told = [(*c, *fertility(t, v)) for c, t in zip(base_counts(texts), texts)]
+                told = [(*c, *((None,) * 4 if fails_base(c[0], c[4]) else fertility(t, v))) for c, t in zip(base_counts(texts), texts)]
                 kinds = [pa.int64()] * 6 + [pa.float64()] * 3
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), *(pa.array(c, k) for c, k in zip(zip(*told), kinds))], names)
 
@@ -130,12 +134,6 @@ def measure(docs: DataFrame, doc_id: str, text: str, lang: str | None, path: str
 _SCHEMA_NAMES = [c.split()[0] for c in _SCHEMA.split(", ")][2:]
 
 
-def _middle(value: np.ndarray, n: np.ndarray) -> float:
-    order = np.argsort(value, kind="stable")
-    upto = np.cumsum(n[order])
-    return float(value[order][np.searchsorted(upto, upto[-1] / 2)])
-
-
 def at_length(told: DataFrame):
     """A column: entropy_share less what a text of its length has. The share falls with the tokens, by far more than junk and clean texts differ.
 
@@ -143,62 +141,67 @@ def at_length(told: DataFrame):
     """
     x, doubling = F.log2(F.greatest("n_tokens", F.lit(1))), F.length(F.bin("n_tokens"))
     at = told.where("NOT base_failed AND entropy_share IS NOT NULL").select("lang", doubling.alias("k"), x.alias("x"), F.col("entropy_share").alias("y"))
-    t = at.groupBy("lang", "k").agg(F.count("*").alias("n"), *(F.sum(e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y"))))).toPandas()
-    spread = float((t["xx"] - t["x"] ** 2 / t["n"]).sum())
-    slope = round(float((t["xy"] - t["x"] * t["y"] / t["n"]).sum()) / spread, 5) if spread > 1e-9 else 0.0
-    t["off"] = t["y"] - slope * t["x"]
-    per = t.groupby("lang")[["off", "n"]].transform("sum")
-    t["off"] -= t["n"] * per["off"] / per["n"]
-    by = t.groupby("k")[["off", "n"]].sum()
-    by = by[by["n"] >= LEAST_DOCS]
-    off = np.interp(np.arange(65), by.index, by["off"] / by["n"]).round(5) if len(by) else np.zeros(65)
+    t = at.groupBy("lang", "k").agg(F.count("*").alias("n"), *(F.sum(e).alias(n) for n, e in (("x", F.col("x")), ("y", F.col("y")), ("xx", F.col("x") * F.col("x")), ("xy", F.col("x") * F.col("y")))))
+    t = spill(t, "lengths")
+    spread, slant = t.agg(F.sum("xx") - F.sum(F.col("x") * F.col("x") / F.col("n")), F.sum("xy") - F.sum(F.col("x") * F.col("y") / F.col("n"))).first()
+    slope = round(slant / spread, 5) if spread and spread > 1e-9 else 0.0
+    t = t.select("lang", "k", "n", (F.col("y") - slope * F.col("x")).alias("off"))
+    mean = t.groupBy(F.col("lang").alias("l")).agg((F.sum("off") / F.sum("n")).alias("mean"))
+    by = t.join(mean, F.col("lang") == F.col("l")).groupBy("k").agg(F.sum(F.col("off") - F.col("n") * F.col("mean")).alias("off"), F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    by = sorted((r["k"], r["off"] / r["n"]) for r in by.collect())  # 64 rows at most
+    off = np.interp(np.arange(65), *zip(*by)).round(5) if by else np.zeros(65)
     return F.col("entropy_share") - slope * x - F.get(F.array(*(F.lit(float(o)) for o in off)), doubling)
 
 
-def bands(told: DataFrame) -> pd.DataFrame:
-    """lang, docs, and the middle and the reach of each measure's band, from the documents that pass the base rules; the first row is for all languages."""
+def bands(told: DataFrame) -> DataFrame:
+    """lang, docs, and the middle and the reach of each measure's band, from the documents that pass the base rules; lang is null for all languages together.
+
+    Middle: the median step of the measure's histogram. Reach: REACH robust deviations, the median distance of steps from it times 1.4826, at least that of MEASURES.
+    """
     steps = F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.floor(F.col(JUDGED[m]) / s).cast("long").alias("step")) for m, (s, *_) in MEASURES.items()))).alias("x")
-    got = told.where("NOT base_failed").select("lang", steps).select("lang", "x.*").where("step IS NOT NULL").groupBy("lang", "measure", "step").count().toPandas()
-    rows = []
-    for name, part in [(None, got), *got.groupby("lang")]:
-        row = {"lang": name, "docs": int(part.loc[part["measure"] == "entropy_share", "count"].sum())}
-        for m, (s, least, least_of_all, _) in MEASURES.items():
-            times, least = (REACH_OF_ALL, least_of_all) if name is None else (REACH, least)
-            x = part[part["measure"] == m]
-            row[f"{m}_mid"], row[f"{m}_reach"] = 0.0, float("inf")
-            if len(x):
-                value, n = (x["step"].to_numpy() + 0.5) * s, x["count"].to_numpy()
-                row[f"{m}_mid"] = mid = _middle(value, n)
-                row[f"{m}_reach"] = max(times * 1.4826 * _middle(abs(value - mid), n), least)
-        rows.append(row)
-    return pd.DataFrame(rows)
+    own = told.where("NOT base_failed").select("lang", steps).select("lang", "x.*").where("step IS NOT NULL").groupBy("lang", "measure", "step").agg(F.count("*").alias("n"))
+    own = spill(own, "steps")
+    both = own.unionByName(own.groupBy("measure", "step").agg(F.sum("n").alias("n")).withColumn("lang", F.lit(None).cast("string")))
+
+    def middle(t: DataFrame, value: str) -> DataFrame:
+        """lang, measure, the least value up to which half of the documents lie."""
+        w = Window.partitionBy("lang", "measure")
+        upto = t.withColumn("upto", F.sum("n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("all", F.sum("n").over(w))
+        return upto.where("2 * upto >= all").groupBy("lang", "measure").agg(F.min(value).alias("middle"), F.first("all").alias("docs"))
+
+    mid = middle(both, "step")
+    far = both.join(mid.withColumnsRenamed({"lang": "l", "measure": "m"}), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")))
+    far = far.groupBy("lang", "measure", F.abs(F.col("step") - F.col("middle")).alias("away"), "middle").agg(F.sum("n").alias("n"))
+    reach = middle(far, "away").withColumnRenamed("middle", "away").join(mid.select(F.col("lang").alias("l"), F.col("measure").alias("m"), "middle"), F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m")))
+    columns = [F.max(F.when(F.col("measure") == "entropy_share", F.col("docs"))).alias("docs")]
+    for m, (s, least, least_of_all, _) in MEASURES.items():
+        of = lambda c, m=m: F.max(F.when(F.col("measure") == m, c))
+        times, floor = F.when(F.col("lang").isNull(), REACH_OF_ALL).otherwise(REACH), F.when(F.col("lang").isNull(), least_of_all).otherwise(least)
+        columns += [of((F.col("middle") + 0.5) * s).alias(f"{m}_mid"), of(F.greatest(times * 1.4826 * F.col("away") * s, floor)).alias(f"{m}_reach")]
+    return reach.groupBy("lang").agg(*columns)
 
 
 def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str | None = "lang", path: str = VOCABULARIES) -> DataFrame:
     """Per row of docs: doc_id, lang (or "script X"), the base counts and measures, base_failed, reason (of the first band left; null if none) and kept.
 
-    Words are [^\\x20\\x09-\\x0D]+ of the whole text (null: none). base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows. kept: not
-    base_failed, and every measure within its language's band: the median and REACH robust deviations, at least the reach in MEASURES, over all documents
-    that pass the base rules; short texts get wider bands, and entropy_share is
-    held against texts of like length. Languages with fewer than LEAST_DOCS such documents use the wider bands of all. The files at path are read by the driver and sent along.
+    Words are [^\\x20\\x09-\\x0D]+ of the whole text (null: none). base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows; the measures
+    of such documents are null. kept: not base_failed, and every measure within its language's band: the median and REACH robust deviations, at least the reach
+    in MEASURES, over all documents that pass the base rules; short texts get wider bands, and entropy_share is held against texts of like length. Languages with
+    fewer than LEAST_DOCS such documents use the wider bands of all. Equal rows count each and get equal verdicts; a value on the band's edge is kept; very long
+    texts are measured whole; other columns are ignored; no rows give no rows. The vocabulary files at path are read by the driver and sent along.
     """
     modest_batches(docs.sparkSession)
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    told = spill(measure(docs, doc_id, text, lang, path).withColumn("base_failed", failed), "measures")
+    told = spill(measure(docs, doc_id, text, lang, path).withColumn("base_failed", fails_base(F.col("n_words"), F.col("n_repeat_words"))), "measures")
     told = told.withColumn("_entropy", at_length(told))
-    limits = bands(told)
-    common, own = limits.iloc[0], limits.iloc[1:]
-    own = own[own["docs"] >= LEAST_DOCS]
+    limits = spill(bands(told), "bands")
+    common = limits.where("lang IS NULL").first()
     columns = [f"{m}_{side}" for m in MEASURES for side in ("mid", "reach")]
-    if len(own):
-        table = docs.sparkSession.createDataFrame([(r["lang"], *(float(r[c]) for c in columns)) for _, r in own.iterrows()], ", ".join(["lang string", *(f"{c} double" for c in columns)]))
-        told = told.join(small(table), "lang", "left")
-    else:
-        told = told.select("*", *(F.lit(None).cast("double").alias(c) for c in columns))
+    own = limits.where((F.col("docs") >= LEAST_DOCS) & F.col("lang").isNotNull()).select(F.col("lang").alias("_lang"), *columns)
+    told = told.join(small(own), F.col("lang") == F.col("_lang"), "left").drop("_lang")
     wider = 1 + SHORT / F.sqrt(F.greatest("n_tokens", F.lit(1)))
     broken = []
     for m, (*_, up) in MEASURES.items():
-        mid, reach = (F.coalesce(F.col(f"{m}_{x}"), F.lit(float(common[f"{m}_{x}"]))) for x in ("mid", "reach"))
+        mid, reach = (F.coalesce(F.col(f"{m}_{x}"), F.lit(common[f"{m}_{x}"] if common else None).cast("double")) for x in ("mid", "reach"))
         value = F.col(JUDGED[m])
         broken.append(F.when((value < mid - reach * wider) | (value > mid + up * reach * wider), F.lit(m)))
     reason = F.coalesce(*broken)
