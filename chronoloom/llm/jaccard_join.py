@@ -1,10 +1,12 @@
 """N-gram Jaccard join: grouped prefix join over the distinct word shingles of whole texts.
 
 Plan: (1) shingles that are frequent in whole batches go last in the global order of shingles, so that no prefix ends up full of a passage everyone shares;
-(2) one pass writes, per document, the set's size and 128-bit digest, a parity bitmap and the prefix, the prefix once per batch and group of documents with equal prefix and size;
-(3) postings of the groups are sorted by shingle; lists with one group go; each member is paired with a few hubs of its list, and verified;
-(4) members that this has not yet connected are paired within each list (size and position filters), verified, and connected. What is left out are only pairs
-whose ends are known to be connected, so the components are those of all links.
+(2) one pass writes, per document, the set's size and 128-bit digest, a parity bitmap and the prefix, the prefix once per batch and group of documents with equal prefix and size.
+Documents with equal sets are one class, classes with equal prefix and size one group;
+(3) postings of the groups are sorted by shingle; lists with one group go; each member is paired with a few hubs of its list, and the groups' first classes are verified;
+(4) groups that this has not yet connected are paired within each list (size and position filters); group pairs are expanded to the classes that are not yet
+connected, and these are verified. What is left out are only pairs whose ends are known to be connected, so the components are those of all links.
+Long lists are cut into blocks: each has hubs of its own, which are paired with each other in a list of hubs, and blocks meet two by two in step (4).
 """
 
 from __future__ import annotations
@@ -35,11 +37,11 @@ COUNTED, PARTS = 4 << 20, 16
 SLICE = 500
 
 
-def _texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
+def _texts(batch: pa.RecordBatch, name: str | int = "text") -> list[bytes]:
     return [(t or "").encode().lower() for t in batch.column(name).to_pylist()]
 
 
-def _sets(batch: pa.RecordBatch, name: str, k: int):
+def _sets(batch: pa.RecordBatch, name: str | int, k: int):
     """The shingle sets of a batch's texts, one after another."""
     for lo in range(0, batch.num_rows, SLICE):
         yield from shingle_sets(_texts(batch.slice(lo, SLICE), name), k)
@@ -108,16 +110,17 @@ def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
 
 
 def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """doc_id, n, s1, s2 (digest of the set), g (of prefix and size), prefix (shingles in global order; null but for the first of a group in a batch that has an id), bits."""
+    """doc_id, own (hash of the text), n, s1, s2 (digest of the set), g (of prefix and size), prefix (shingles in global order; null but for the first of a group in a batch), bits."""
     spark = docs.sparkSession
     hot = spark.sparkContext.broadcast(hot_shingles(docs, text, k))
+    names = ["doc_id", "own", "n", "s1", "s2", "g", "prefix", "bits"]
 
     def told(ids, sets, seen: set):
         last = hot.value
-        for i, u in zip(ids, sets):
+        for (i, own), u in zip(ids, sets):
             n = len(u)
             if not n:
-                yield i, 0, None, None, None, None, None
+                yield i, own, 0, None, None, None, None, None
                 continue
             p = n + (-percent * n) // 100 + 1
             if len(last):
@@ -128,23 +131,24 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
                 prefix = u[:p]
             g = xxhash.xxh3_64_intdigest(prefix.tobytes(), seed=n)
             g -= (g >> 63) << 64
-            first = i is not None and g not in seen  # rows without an id take no part, so they don't speak for a group
+            first = g not in seen
             if first:
                 seen.add(g)
-            yield i, n, *_digest(u), g, prefix.view(np.int64) if first else None, parity(u)
+            yield i, own, n, *_digest(u), g, prefix.view(np.int64) if first else None, parity(u)
 
     def run(batches):
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+        kinds = [*[pa.int64()] * 6, pa.list_(pa.int64()), pa.binary()]
         seen: set = set()
         for b in batches:
             if len(seen) > 200_000:  # a prefix may come twice; the postings are the same
                 seen.clear()
-            ids, sets = iter(b.column(0).to_pylist()), _sets(b, text, k)
+            ids, sets = zip(b.column(0).to_pylist(), b.column(1).to_pylist()), _sets(b, 2, k)
             while rows := list(islice(told(ids, sets, seen), SLICE)):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["doc_id", "n", "s1", "s2", "g", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
             release()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, g long, prefix array<long>, bits binary")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text)
+    return rows.mapInArrow(run, "doc_id long, own long, n long, s1 long, s2 long, g long, prefix array<long>, bits binary")
 
 
 def _runs(batches, columns: int):
@@ -189,55 +193,83 @@ def _several(batches):
         yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[0]], ["token", "g", "np"])
 
 
-#: Hubs with which each member of a list is paired first.
-HUBS = 4
+#: Hubs with which each member of a block is paired first, members of a block on average, and of the blocks that meet two by two in what is left.
+HUBS, HUB_BLOCK, CROSS_BLOCK = 4, 1 << 16, 1 << 12
 
 
 def _hubs(percent: int):
-    """Sorted (token, hub rank, g, np) -> pairs of each member with the first HUBS of its list that its size may link with."""
+    """Sorted (list, weight, g, np, token) -> pairs (lead, g) of each member with the first HUBS of its list that its size may link with; and the hubs themselves,
+    without a lead. Sizes that no hub may link with make new hubs, so their number follows the logarithm of the sizes' range."""
 
     def run(batches):
         before, hubs = None, []
         for b in batches:
-            lead, other = [], []
-            for t, g, y in zip(*(b.column(c).to_pylist() for c in ("token", "g", "np"))):
+            lead, out = [], []
+            for at, (t, g, y) in enumerate(zip(*(b.column(c).to_pylist() for c in ("list", "g", "np")))):
                 n = y >> 32
                 if t != before:
-                    before, hubs = t, [(g, n)]
-                    continue
+                    before, hubs = t, []
                 found = 0
                 for x, m in hubs:
                     if 100 * min(m, n) >= percent * max(m, n):
                         lead.append(x)
-                        other.append(g)
+                        out.append(at)
                         found += 1
                         if found == HUBS:
                             break
                 else:
                     hubs.append((g, n))
-            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), pa.array(other, pa.int64())], ["lead", "g"])
+                    lead.append(None)
+                    out.append(at)
+            rows = b.select(["token", "g", "np"]).take(pa.array(out, pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(lead, pa.int64()), *rows.columns], ["lead", "token", "g", "np"])
 
     return run
 
 
+def leads(lists: DataFrame, longest: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """lists (token, g, np, size, weight; longest: the largest size) -> distinct pairs (lead, g) of groups, and the tables that they need. A list longer than HUB_BLOCK is cut into blocks; their hubs are the next list."""
+    out, tables = None, []
+    while True:
+        block = F.pmod(F.xxhash64("g"), F.ceil(F.col("size") / HUB_BLOCK))
+        rows = lists.select(F.xxhash64("token", block).alias("list"), "weight", "g", "np", "token").repartition("list").sortWithinPartitions("list", F.desc("weight"), "g")
+        made = rows.mapInArrow(_hubs(percent), "lead long, token long, g long, np long")
+        if longest > HUB_BLOCK:
+            made = spill(made, "hubs")
+            tables.append(made)
+        pairs = made.where("lead IS NOT NULL").select("lead", "g")
+        out = pairs if out is None else out.union(pairs)
+        if longest <= HUB_BLOCK:
+            return out.distinct(), tables
+        hubs = made.where("lead IS NULL").join(lists.where(F.col("size") > HUB_BLOCK).select("token", "g", "weight"), ["token", "g"]).distinct()
+        hubs = hubs.join(hubs.groupBy("token").agg(F.count("*").alias("size")), "token").select("token", "g", "np", "size", "weight")
+        after = spill(hubs, "lists")
+        tables.append(after)
+        shorter = after.agg(F.max("size")).first()[0] or 0
+        if shorter >= longest:  # sizes are so many that hubs don't get fewer: what is left is paired in full
+            return out.distinct(), tables
+        lists, longest = after, shorter
+
+
 def _cross(percent: int):
-    """Sorted (token, np, rep, comp) -> pairs of a run that are not yet connected and may link by size and position."""
+    """Sorted (list, np, g, comp, side) -> pairs of groups of a list that are not known to be connected and may link by size and position; of the two blocks of a
+    list (sides 0 and 1) only pairs across, in a block with itself (side 2) all. comp is negative for a group whose classes aren't all connected."""
 
     def found(batches):
-        for token, np_, rep, comp in _runs(batches, 4):
+        for token, np_, group, comp, side in _runs(batches, 5):
             edge = np.flatnonzero(np.diff(token)) + 1
             for lo, hi in zip(np.r_[0, edge].tolist(), np.r_[edge, len(token)].tolist()):
-                c = comp[lo:hi]
-                if hi - lo < 2 or (c == c[0]).all():
+                c, s = comp[lo:hi], side[lo:hi]
+                if hi - lo < 2 or (c == c[0]).all() and c[0] >= 0:
                     continue
-                n, pos, r = np_[lo:hi] >> 32, np_[lo:hi] & 0xFFFFFFFF, rep[lo:hi]
+                n, pos, r = np_[lo:hi] >> 32, np_[lo:hi] & 0xFFFFFFFF, group[lo:hi]
                 first = np.searchsorted(n, -((-percent * n) // 100)).tolist()  # the smallest that may link with each
                 for i in range(1, hi - lo):
                     if first[i] == i:
                         continue
                     j = slice(first[i], i)
                     need = -((-percent * (n[i] + n[j])) // (100 + percent))
-                    other = r[j][(c[j] != c[i]) & (r[j] != r[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)]
+                    other = r[j][((c[j] != c[i]) | (c[i] < 0)) & ((s[j] != s[i]) | (s[i] == 2)) & (r[j] != r[i]) & (np.minimum(n[i] - pos[i], n[j] - pos[j]) >= need)]
                     if len(other):
                         yield np.minimum(other, r[i]), np.maximum(other, r[i])
 
@@ -247,31 +279,56 @@ def _cross(percent: int):
             held.append(pair)
             size += len(pair[0])
             if size >= 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["x", "y"])
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held)], ["x", "y"])
         release()
 
     return run
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes' first documents -> those that link: bitmaps first, then the exact sets of their texts."""
-    side = classes.select("rep", "n", "bits", "s1", "s2")
+def open_pairs(lists: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """lists (token, g, np), named (g, cid, comp: classes and what is known of their components) -> pairs (a, b) of classes that share a list or a group, may link by
+    size and position and aren't known to be connected."""
+    state = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("classes"))
+    state = spill(state.select("g", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1).alias("comp"), "classes"), "state")
+    members = lists.select("token", "g", "np").join(state.select("g", "comp"), "g")
+    tokens = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi OR lo < 0")
+    tokens = tokens.select(F.col("token").alias("t"), F.ceil(F.col("size") / CROSS_BLOCK).cast("int").alias("blocks"))
+    open_ = members.join(tokens, F.col("token") == F.col("t")).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "g"), F.col("blocks")).cast("int"))
+    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
+    met = open_.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "np", "g", "comp", side.alias("side"))
+    groups = spill(met.repartition("list").sortWithinPartitions("list", "np", "g").mapInArrow(_cross(percent), "x long, y long").distinct(), "groups")
+    one, two = (named.select(F.col("g").alias(x), F.col("cid").alias(c), F.col("comp").alias(k)) for x, c, k in (("x", "a", "ca"), ("y", "b", "cb")))
+    across = groups.join(one, "x").join(two, "y").where("ca <> cb")
+    mixed = state.where("classes > 1 AND comp < 0").select("g")
+    of_mixed = named.join(mixed, "g")
+    one, two = (of_mixed.select("g", F.col("cid").alias(c), F.col("comp").alias(k)) for c, k in (("a", "ca"), ("b", "cb")))
+    within = one.join(two, "g").where("a < b AND ca <> cb")
+    pairs = across.select("a", "b").union(within.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = spill(pairs.distinct(), "pairs")
+    forget(state, groups)
+    return pairs
+
+
+def verify(pairs: DataFrame, classes: DataFrame, words: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of classes -> those that link: bitmaps first, then the exact sets of their texts. words: _key, _text, one row a key."""
+    side = classes.select("cid", "n", "bits", "key", "s1", "s2")
 
     def by_bits(batches):
         for b in batches:
             t = b.to_pydict()
             at = [i for i in range(b.num_rows) if may_link(t["n"][i], t["bits"][i], t["m"][i], t["other"][i], percent)]
-            yield b.select(["a", "b", "s1", "s2", "t1", "t2"]).take(pa.array(at, pa.int64()))
+            yield b.select(["a", "b", "x_key", "y_key", "s1", "s2", "t1", "t2"]).take(pa.array(at, pa.int64()))
 
-    left = side.toDF("a", "n", "bits", "s1", "s2")
-    right = side.toDF("b", "m", "other", "t1", "t2")
-    kept = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "bits", "m", "other", "s1", "s2", "t1", "t2")
-    kept = spill(kept.mapInArrow(by_bits, "a long, b long, s1 long, s2 long, t1 long, t2 long"), "pairs")
-    words = maybe_in(docs.select(F.col(doc_id).cast("long").alias("_id"), F.col(text).alias("_text")), "_id", kept.select("a").union(kept.select("b")).toDF("_id"))
-    both = kept.join(words.withColumnsRenamed({"_id": "a", "_text": "x"}), "a").join(words.withColumnsRenamed({"_id": "b", "_text": "y"}), "b").select("a", "b", "x", "y", "s1", "s2", "t1", "t2")
+    left = side.toDF("a", "n", "bits", "x_key", "s1", "s2")
+    right = side.toDF("b", "m", "other", "y_key", "t1", "t2")
+    kept = pairs.join(left, "a").join(right, "b").select("a", "b", "n", "bits", "m", "other", "x_key", "y_key", "s1", "s2", "t1", "t2")
+    kept = spill(kept.mapInArrow(by_bits, "a long, b long, x_key long, y_key long, s1 long, s2 long, t1 long, t2 long"), "pairs")
+    words = maybe_in(words, "_key", kept.select("x_key").union(kept.select("y_key")).toDF("_key"))
+    both = kept.join(words.withColumnsRenamed({"_key": "x_key", "_text": "x"}), "x_key").join(words.withColumnsRenamed({"_key": "y_key", "_text": "y"}), "y_key").select("a", "b", "x", "y", "s1", "s2", "t1", "t2")
 
     def exact(batches):
         for b in batches:
@@ -285,7 +342,7 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
                 sets = [shingle_sets([(t or "").encode().lower() for t in c.slice(lo, hi - lo).to_pylist()], k) for c in (x, y)]
                 for i, u, v in zip(range(lo, hi), *sets):
                     if _digest(u) != (ids["s1"][i], ids["s2"][i]) or _digest(v) != (ids["t1"][i], ids["t2"][i]):
-                        continue  # another row of the same doc_id
+                        continue  # another text of the same key
                     both = len(np.intersect1d(u, v, assume_unique=True))
                     if 100 * both >= percent * (len(u) + len(v) - both):
                         links.append((ids["a"][i], ids["b"][i]))
@@ -297,46 +354,58 @@ def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, doc_id: str, t
     return links
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Components of the documents whose sets of k-word shingles have 100 * intersection >= percent * union.
-
-    Returns per row of docs: doc_id long, n_shingles long, component_id long (the smallest doc_id reachable by links, itself included). Texts are lower-cased
-    in A-Z and split at [\\x20\\x09-\\x0D]; a text with 1 to k - 1 words is one shingle; null, empty and blank texts have none and link with nothing. A null doc_id
-    takes no part (component_id null). Repeated rows come back repeated; doc_id is taken to be unique otherwise: texts that share one may be linked through it.
-    Other columns are ignored.
-    """
+def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """near_duplicates() with two more columns: own (xxhash64 of the text), and component (a number that rows of one component share, and no others; null for a row
+    without copies or links). doc_ids may repeat with different texts: a row is told by its text, not by its id."""
     modest_batches(docs.sparkSession)
     told = spill(describe(docs, doc_id, text, k, percent), "sets")
-    full = told.where("n > 0 AND doc_id IS NOT NULL")
-    classes = spill(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"), F.min("g").alias("g"), F.min("bits").alias("bits"), F.count("*").alias("copies")), "classes")
-    groups = classes.groupBy("g").agg(F.min("rep").alias("first"), F.count("*").alias("classes"))
+    full = told.where("n > 0")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
+    classes = full.groupBy("s1", "s2").agg(row.alias("row"), F.min("n").alias("n"), F.min("g").alias("g"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", "g", "bits", "copies", F.col("row.doc_id").alias("first"), F.xxhash64("row.doc_id", "row.own").alias("key"))
+    classes = spill(classes, "classes")
+    groups = classes.groupBy("g").agg(F.min("cid").alias("lead_class"), F.count("*").alias("classes"))
+    words = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_key"), F.col(text).alias("_text"))
+    if full.groupBy("doc_id", "own").count().where("count > 1").limit(1).count():  # rows that repeat would repeat their pairs
+        words = words.dropDuplicates(["_key"])
 
     postings = full.where("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np")).repartition("token").sortWithinPartitions("token", "g")
     lists = spill(postings.mapInArrow(_several, "token long, g long, np long"), "lists")
 
     # Each member with the hubs of its lists, the groups that share most with others, and each class of a group with the group's first.
-    weight = lists.join(lists.groupBy("token").agg(F.count("*").alias("size")), "token").groupBy("g").agg(F.sum("size").alias("weight"))
-    ordered = lists.join(weight, "g").select("token", "weight", "g", "np").repartition("token").sortWithinPartitions("token", F.desc("weight"), "g")
-    lead = ordered.mapInArrow(_hubs(percent), "lead long, g long").distinct()
-    lead = lead.join(groups.select(F.col("g").alias("lead"), F.col("first").alias("a")), "lead").join(groups.select("g", F.col("first").alias("b")), "g").select("a", "b")
-    inner = classes.join(groups.where("classes > 1"), "g").where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    sizes = spill(lists.groupBy("token").agg(F.count("*").alias("size")), "sizes")
+    sized = lists.join(sizes, "token")
+    sized = sized.join(sized.groupBy("g").agg(F.sum("size").alias("weight")), "g").select("token", "g", "np", "size", "weight")
+    lead, made = leads(sized, sizes.agg(F.max("size")).first()[0] or 0, percent)
+    lead = lead.join(groups.select(F.col("g").alias("lead"), F.col("lead_class").alias("a")), "lead").join(groups.select("g", F.col("lead_class").alias("b")), "g").select("a", "b")
+    inner = classes.join(groups.where("classes > 1"), "g").where("cid <> lead_class").select(F.col("lead_class").alias("a"), F.col("cid").alias("b"))
     pairs = spill(lead.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    links = verify(pairs, classes, docs, doc_id, text, k, percent)
+    links = verify(pairs, classes, words, k, percent)
     known = spill(components(links.toDF("u", "v")), "components")
 
-    # What isn't connected yet: the other pairs of each list, and those within a group.
-    named = classes.join(known.withColumnRenamed("node", "rep"), "rep", "left").select("g", "n", "rep", F.coalesce("component", "rep").alias("comp"))
-    several = groups.where("classes > 1").select("g")
-    members = lists.select("token", "np", "g").join(named.select("g", "rep", "comp"), "g").select("token", "np", "rep", "comp")
-    within = named.join(several, "g").select(F.col("g").alias("token"), F.shiftleft("n", 32).alias("np"), "rep", "comp")
-    rest = members.union(within).repartition("token").sortWithinPartitions("token", "np", "rep").mapInArrow(_cross(percent), "a long, b long")
-    rest = spill(rest.distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = verify(rest, classes, docs, doc_id, text, k, percent)
-
-    linked = components(links.union(more).toDF("u", "v")).withColumnRenamed("node", "rep")
-    final = classes.join(linked, "rep", "left").where("copies > 1 OR component IS NOT NULL").select("s1", "s2", F.coalesce("component", "rep").alias("component"))
-    final = spill(final, "components")
-    forget(classes, lists, pairs, links, known, rest, more, linked)
-    out = told.select("doc_id", "n", "s1", "s2").join(small(final), ["s1", "s2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    # What isn't connected yet: group pairs of each list, and classes of a group.
+    named = classes.join(known.withColumnRenamed("node", "cid"), "cid", "left").select("g", "cid", F.coalesce("component", "cid").alias("comp"))
+    named = spill(named, "named")
+    rest = open_pairs(lists, named, percent)
+    left = spill(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
+    more = verify(left, classes, words, k, percent)
+
+    linked = spill(components(links.union(more).toDF("u", "v")).withColumnRenamed("node", "cid"), "components")
+    final = classes.join(linked, "cid", "left").where("copies > 1 OR component IS NOT NULL").select("s1", "s2", "first", F.coalesce("component", "cid").alias("component"))
+    smallest = final.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
+    final = spill(final.join(smallest, F.col("component") == F.col("c")).select("s1", "s2", "component", "component_id"), "components")
+    forget(classes, lists, sizes, pairs, links, known, named, rest, left, more, linked, *made)
+    out = told.select("doc_id", "own", "n", "s1", "s2").join(small(final), ["s1", "s2"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "own", "component")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Components of the documents whose sets of k-word shingles have 100 * intersection >= percent * union.
+
+    Returns per row of docs: doc_id long, n_shingles long, component_id long (the smallest doc_id reachable by links, itself included). Texts are lower-cased
+    in A-Z and split at [\\x20\\x09-\\x0D]; a text with 1 to k - 1 words is one shingle; null, empty and blank texts have none and link with nothing; very long
+    texts count whole. Rows without a doc_id are documents too: they link, and get the smallest doc_id they reach, null if there is none. Repeated rows come
+    back repeated. Rows of one doc_id with different texts are documents of their own. Other columns are ignored; no rows give no rows.
+    """
+    return near_groups(docs, doc_id, text, k, percent).select("doc_id", "n_shingles", "component_id")

@@ -18,20 +18,24 @@ def shingles(text, k=5):
 
 
 def brute(rows):
+    """Rows are documents, whatever their ids."""
     sets = [(i, shingles(t)) for i, t in rows]
-    parent = {i: i for i, _ in sets if i is not None}
+    parent = list(range(len(sets)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a, s in sets:
-        for b, t in sets:
-            if a is not None and b is not None and a < b and 100 * len(s & t) >= 80 * len(s | t) and s:
-                x, y = find(a), find(b)
-                parent[max(x, y)] = min(x, y)
-    return sorted([(i, len(s), None if i is None else find(i)) for i, s in sets], key=str)
+    for a, (_, s) in enumerate(sets):
+        for b, (_, t) in enumerate(sets[:a]):
+            if s and 100 * len(s & t) >= 80 * len(s | t):
+                parent[find(a)] = find(b)
+    smallest = {}
+    for a, (i, _) in enumerate(sets):
+        if i is not None:
+            smallest[find(a)] = min(smallest.get(find(a), i), i)
+    return sorted([(i, len(s), smallest.get(find(a))) for a, (i, s) in enumerate(sets)], key=str)
 
 
 def rows_of(df):
@@ -73,7 +77,41 @@ def test_a_copy_without_an_id_does_not_hide_its_group(spark):
     rows = [(None, text), (5, text), (7, text), (3, text + " more")]  # the last is of another size, so of another group
     got = J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
     assert rows_of(got) == brute(rows)
-    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {None: None, 3: 3, 5: 3, 7: 3}
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {None: 3, 3: 3, 5: 3, 7: 3}
+
+
+def test_one_id_on_different_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(120)) for x in "ab")
+    rows = [(5, a), (5, b), (2, a + " more"), (3, b + " more"), (5, a), (9, "quite another text of its own")]
+    got = J.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (3, 3), (5, 2), (5, 2), (5, 3), (9, 9)]
+    keys = {}
+    for r in got:
+        keys.setdefault(r["component"], []).append(r["component_id"])
+    assert sorted(map(sorted, keys.values())) == [[2, 2, 2], [3, 3], [9]]
+
+
+def test_long_lists_are_cut_into_blocks(spark, monkeypatch):
+    """Near copies around several texts, so that hubs of blocks, hubs of hubs and blocks two by two all come in."""
+    import random
+
+    monkeypatch.setattr(J, "HUB_BLOCK", 16)
+    monkeypatch.setattr(J, "CROSS_BLOCK", 8)
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(160):
+        base = passage + [f"b{i % 4}_{j}" for j in range(12 + 9 * (i % 4))]
+        for _ in range(rng.randrange(0, 3)):
+            base[rng.randrange(len(base))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(base)))
+    monkeypatch.setattr(J, "HOT_IN_ALL", 10**9)  # nothing goes last: lists are as long as can be
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute(rows)
+    assert rows_of(J.near_duplicates(df)) == want
+    monkeypatch.setattr(J, "leads", lambda lists, longest, percent: (lists.selectExpr("g AS lead", "g").limit(0), []))  # without hubs all is left to the pairs of groups
+    assert rows_of(J.near_duplicates(df)) == want
 
 
 def test_a_chain_is_one_component(spark):
