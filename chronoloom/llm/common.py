@@ -58,14 +58,21 @@ def spill(df: DataFrame, name: str) -> DataFrame:
 def _delete(sc, path: str) -> None:
     at = sc._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    name = path.rpartition("/")[2]
     for paths in _written.values():
-        paths.discard(path)
+        paths -= {p for p in paths if p.endswith(name)}
 
 
-def sweep(spark: SparkSession) -> None:
-    """Removes all that this application has written in the shared folder and that is still there; results that haven't been written or read yet can't be read any more."""
+def written(spark: SparkSession) -> set[str]:
+    """Names of what this application has written in the shared folder and nobody has removed."""
+    return {p.rpartition("/")[2] for p in _written.get(spark.sparkContext.applicationId, ())}
+
+
+def sweep(spark: SparkSession, keep: set[str] = frozenset()) -> None:
+    """Removes all that this application has written in the shared folder but for the names in keep; results that haven't been written or read yet can't be read any more."""
     for path in list(_written.get(spark.sparkContext.applicationId, ())):
-        _delete(spark.sparkContext, path)
+        if path.rpartition("/")[2] not in keep:
+            _delete(spark.sparkContext, path)
 
 
 @atexit.register
