@@ -128,7 +128,9 @@ def forecast(cuts: DataFrame, name: str, h: int, season: int, context: str = "co
 
 def _block(x: np.ndarray, k: int) -> np.ndarray:
     n = len(x) // k
-    return np.nanmean(x[len(x) - n * k :].reshape(n, k), axis=1) if n else x[:0]
+    x = x[len(x) - n * k :].reshape(n, k)
+    seen = np.isfinite(x).sum(1)
+    return np.where(seen > 0, np.nansum(x, axis=1) / np.maximum(seen, 1), np.nan)  # a block without values stays missing
 
 
 def mix_rates(cuts: DataFrame, name: str, h: int, season: int, factors: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), windows: int = 4, context: str = "context", levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -184,22 +186,22 @@ def best_pass(losses: DataFrame, keys: list[str], pass_: str = "pass", loss: str
     return losses.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col(loss).isNotNull(), F.struct(loss, pass_)))[pass_], F.max(pass_)).alias(pass_))
 
 
-def forecast_by_size(cuts: DataFrame, name: str, h: int, season: int, size: str, context: str = "context") -> DataFrame:
-    """cuts with quantiles, each context read in the block size of its row and held back to h steps: rows of several sizes in one pass."""
-    from .grid import decimate_array
-
-    d = cuts.withColumn("_c", decimate_array(context, F.col(size)))
+def forecast_by_size(cuts: DataFrame, name: str, h: int, season: int, size: str, context: str = "context", levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """cuts with quantiles, each context read in the block size of its row and held back to h steps: rows of several sizes in one pass. A size below 1 counts as 1;
+    a context shorter than a block gives NULLs."""
     forecaster = REGISTRY[name]
 
     @F.pandas_udf("array<array<double>>")
     def run(contexts: pd.Series, sizes: pd.Series) -> pd.Series:
         out = []
         for c, k in zip(contexts, sizes):
-            q = quantiles_of(forecaster, np.array([np.nan if v is None else v for v in c], float), -(-h // int(k)), max(1, round(season / int(k))))
-            out.append([[None if np.isnan(v) else float(v) for v in row] for row in np.repeat(q, int(k), axis=0)[:h]])
+            k = max(int(k), 1)
+            blocks = _block(np.array([np.nan if v is None else v for v in c], float), k)
+            q = np.repeat(quantiles_of(forecaster, blocks, -(-h // k), max(1, round(season / k)), levels), k, axis=0)[:h]
+            out.append([[None if np.isnan(v) else float(v) for v in row] for row in q])
         return pd.Series(out)
 
-    return d.withColumn("quantiles", run("_c", size)).drop("_c")
+    return cuts.withColumn("quantiles", run(context, F.col(size)))
 
 
 def naive_at_rate(context: str | Column, h: int, season: int, k: int) -> Column:

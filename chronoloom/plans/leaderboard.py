@@ -78,9 +78,9 @@ def submission(spark, sf_dir):
     return board.submission(rows, meta, "own", ["msis"])
 
 
-@query(f"SELECT o_orderkey AS step, {_R.format('CASE WHEN o_orderkey < 100 THEN (o_orderkey + 1) / 100.0 ELSE 0.5 * (1 + cos(pi() * (o_orderkey - 100) / 900.0)) * (1 - 0.001) + 0.001 END')} AS cosine, {_R.format('CASE WHEN o_orderkey < 100 THEN (o_orderkey + 1) / 100.0 WHEN o_orderkey < 800 THEN 1.0 ELSE 1 - (1 - 0.001) * (o_orderkey - 800) / 200.0 END')} AS wsd FROM orders WHERE o_orderkey < 1000")
+@query(f"SELECT step, {_R.format('CASE WHEN step < 100 THEN (step + 1) / 100.0 ELSE 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) * (1 - 0.001) + 0.001 END')} AS cosine, {_R.format('CASE WHEN step < 100 THEN (step + 1) / 100.0 WHEN step < 800 THEN 1.0 ELSE 1 - (1 - 0.001) * (step - 800) / 200.0 END')} AS wsd FROM (SELECT unnest(range(1000)) AS step)")
 def lr_schedule(spark, sf_dir):
-    s = table(spark, sf_dir, "orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("step"))
+    s = spark.range(1000).select(F.col("id").alias("step"))
     return s.select("step", rounded(board.schedule(F.col("step"), 100, 1000)).alias("cosine"), rounded(board.schedule(F.col("step"), 100, 1000, "wsd")).alias("wsd"))
 
 

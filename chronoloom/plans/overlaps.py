@@ -1,4 +1,4 @@
-"""The overlap audit, on series with planted copies: series divisible by 10 come back scaled and cut."""
+"""The overlap audit, on series with planted copies: all series come back scaled and cut."""
 
 from __future__ import annotations
 
@@ -18,14 +18,13 @@ def _windows(spark, sf_dir):
     return overlap.array_fingerprints(arrays(spark, sf_dir).select("series", "values"))
 
 
-def _copies(spark, sf_dir, every=10):
-    """copy, pos, key of the planted copies: 4 times the steps 10 to 49 of every tenth (or other) series (a power of two keeps ratios exact)."""
-    a = arrays(spark, sf_dir).where(f"series % {every} = 0").select(F.col("series").alias("copy"), F.transform(F.slice("values", 11, 40), lambda v: v * 4).alias("values"))
+def _copies(spark, sf_dir):
+    """copy, pos, key of the planted copies: 4 times the steps 10 to 49 of every series (a power of two keeps ratios exact)."""
+    a = arrays(spark, sf_dir).select(F.col("series").alias("copy"), F.transform(F.slice("values", 11, 40), lambda v: v * 4).alias("values"))
     return overlap.array_fingerprints(a)
 
 
-_COPIES = "copies AS (SELECT series AS copy, pos - 10 AS pos, key FROM windows WHERE series % 10 = 0 AND pos >= 10 AND pos <= 41)"
-_ALL_COPIES = _COPIES.replace("series % 10 = 0 AND ", "")
+_COPIES = "copies AS (SELECT series AS copy, pos - 10 AS pos, key FROM windows WHERE pos >= 10 AND pos <= 41)"
 
 
 @query(f"WITH {_WINDOWS} SELECT series, pos, key FROM windows")
@@ -49,23 +48,11 @@ def overlap_scan(spark, sf_dir):
     return overlap.scan(_windows(spark, sf_dir), _copies(spark, sf_dir), ["series"], ["copy"])
 
 
-@query(f"WITH {_WINDOWS}, {_ALL_COPIES} SELECT w.series, c.copy, count(DISTINCT w.key) AS shared FROM windows w JOIN copies c ON c.key = w.key GROUP BY 1, 2 HAVING count(DISTINCT w.key) >= 3")
-def overlap_scan_all(spark, sf_dir):
-    """overlap_scan with copies of all series."""
-    return overlap.scan(_windows(spark, sf_dir), _copies(spark, sf_dir, 1), ["series"], ["copy"])
-
-
 @query(f"WITH {_WINDOWS}, {_COPIES}, v AS (SELECT w.series, c.copy, c.pos - w.pos AS \"offset\", count(*) AS aligned FROM windows w JOIN copies c ON c.key = w.key GROUP BY 1, 2, 3) SELECT series, copy, \"offset\", aligned FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY aligned DESC, copy, \"offset\") AS n FROM v) WHERE n = 1 AND aligned >= 20")
 def overlap_verify(spark, sf_dir):
     return overlap.verify(_windows(spark, sf_dir), _copies(spark, sf_dir), ["series"], ["copy"])
 
 
-@query(f"WITH {_WINDOWS}, {_ALL_COPIES}, v AS (SELECT w.series, c.copy, c.pos - w.pos AS \"offset\", count(*) AS aligned FROM windows w JOIN copies c ON c.key = w.key GROUP BY 1, 2, 3) SELECT series, copy, \"offset\", aligned FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY aligned DESC, copy, \"offset\") AS n FROM v) WHERE n = 1 AND aligned >= 20")
-def overlap_verify_all(spark, sf_dir):
-    """overlap_verify with copies of all series."""
-    return overlap.verify(_windows(spark, sf_dir), _copies(spark, sf_dir, 1), ["series"], ["copy"])
-
-
 @query(f"WITH {_WINDOWS}, {_COPIES}, h AS (SELECT w.series, c.copy FROM windows w JOIN copies c ON c.key = w.key GROUP BY 1, 2 HAVING count(DISTINCT w.key) >= 3) SELECT label AS subset, copy % 3 AS grp, count(*) AS series FROM h JOIN embeddings ON vec_id = series GROUP BY 1, 2")
 def overlap_flags(spark, sf_dir):
     hits = overlap.scan(_windows(spark, sf_dir), _copies(spark, sf_dir), ["series"], ["copy"])
@@ -73,17 +60,9 @@ def overlap_flags(spark, sf_dir):
     return overlap.flagged(named, "subset", ["grp"])
 
 
-@query(f"WITH {_WINDOWS}, {_ALL_COPIES}, h AS (SELECT w.series, c.copy FROM windows w JOIN copies c ON c.key = w.key GROUP BY 1, 2 HAVING count(DISTINCT w.key) >= 3) SELECT label AS subset, copy % 3 AS grp, count(*) AS series FROM h JOIN embeddings ON vec_id = series GROUP BY 1, 2")
-def overlap_flags_all(spark, sf_dir):
-    """overlap_flags with copies of all series."""
-    hits = overlap.scan(_windows(spark, sf_dir), _copies(spark, sf_dir, 1), ["series"], ["copy"])
-    named = hits.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series"), F.col("label").alias("subset")), "series").withColumn("grp", F.col("copy") % 3)
-    return overlap.flagged(named, "subset", ["grp"])
-
-
 @query("SELECT vec_id AS id FROM embeddings")
 def affine_distinct(spark, sf_dir):
     a = arrays(spark, sf_dir)
-    twice = a.select(F.col("series").alias("id"), "values").union(a.where("series % 4 = 0").select(F.col("series") + 1_000_000, F.transform("values", lambda v: v * 8 + 0)))
+    twice = a.select(F.col("series").alias("id"), "values").union(a.select(F.col("series") + 1_000_000, F.transform("values", lambda v: v * 8 + 0)))
     points = twice.select("id", F.posexplode("values").alias("step", "value"))
     return overlap.first_of_equals(overlap.affine_key(points, ["id"]), "id")

@@ -237,10 +237,16 @@ def config_stats(spark, sf_dir):
     return out.select("series", "n", "ctx_median", "ctx_q10", "ctx_short", *(rounded(x).alias(x) for x in ("share", "weight", "mass")))
 
 
-@query()
+@query("""
+WITH c AS (SELECT series, origin, origin + 1 AS k, list_reverse(list_transform(context, lambda x: coalesce(x, 0))) AS back FROM $cuts),
+b AS (SELECT series, origin, k, j.j, list_avg(list_slice(back, CAST(j.j * k + 1 AS INT), CAST((j.j + 1) * k AS INT))) AS v FROM c CROSS JOIN (SELECT unnest(range(24)) AS j) j WHERE j.j < 24 // k),
+s AS (SELECT DISTINCT series, origin, k FROM c)
+SELECT s.series, s.origin, i.i AS step, round(b.v * 1000000) / 1000000 AS middle FROM s CROSS JOIN (SELECT unnest(range(48)) AS i) i JOIN b ON b.series = s.series AND b.origin = s.origin AND b.j = 24 // s.k - 1 - (i.i // s.k) % (24 // s.k)""")
 def mixed_sizes(spark, sf_dir):
-    c = cuts(spark, sf_dir).withColumn("size", (F.col("origin") + 1).cast("int"))
-    return fc.forecast_by_size(c, "seasonal_naive", 48, 24, "size").select("series", "origin", F.size("quantiles").alias("h"))
+    """The cuts of origin o, missing hours as 0, read in blocks of o + 1 hours; the middle quantile is the naive of the block means."""
+    c = cuts(spark, sf_dir).withColumn("size", (F.col("origin") + 1).cast("int")).withColumn("context", F.transform("context", lambda v: F.coalesce(v, F.lit(0.0))))
+    q = fc.long_quantiles(fc.forecast_by_size(c, "seasonal_naive", 48, 24, "size"), _KEYS)
+    return q.where("level = 0.5").select("series", "origin", F.col("step").cast("long").alias("step"), rounded("q").alias("middle"))
 
 
 @query()

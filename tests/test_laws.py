@@ -337,9 +337,9 @@ def test_wql_of_the_copied_naive(spark):
 
 def test_draws_are_seeded_and_well_formed(spark):
     m = spark.createDataFrame([("a", "H", 1000, 500), ("synth_a", "H", 1000, 500), ("b", "D", 50, 40), ("fast", "10S", 9000, 9000)], "subset string, freq string, n_obs long, max_length long")
-    rows = sorted(map(str, sample.draw_windows(m, 500, 3, group=4).collect()))
-    assert rows == sorted(map(str, sample.draw_windows(m.repartition(3), 500, 3, group=4).collect())) != sorted(map(str, sample.draw_windows(m, 500, 4, group=4).collect()))
-    got = sample.draw_windows(m, 500, 3, group=4).collect()
+    rows = sorted(map(str, sample.draw_windows(m, 500, 3, group=4, patch=16).collect()))
+    assert rows == sorted(map(str, sample.draw_windows(m.repartition(3), 500, 3, group=4, patch=16).collect())) != sorted(map(str, sample.draw_windows(m, 500, 4, group=4, patch=16).collect()))
+    got = sample.draw_windows(m, 500, 3, group=4, patch=16).collect()
     assert len(got) == 500 and {r["subset"] for r in got} == {"a", "synth_a", "b", "fast"}
     assert all(r["k"] == 1 for r in got if r["subset"] == "b")
     groups = {}
@@ -407,3 +407,19 @@ def test_rounding(spark):
     df = spark.createDataFrame([(v,) for v in (1.0, 4.0, None, -3.0, float("inf"), 0.0)], "x double")
     assert df.select(sc.geomean("x")).first()[0] == pytest.approx(2.0)
     assert df.where("x < 0").select(sc.geomean("x")).first()[0] is None
+
+
+def test_forecasts_by_size_are_those_of_the_block_means(spark):
+    import numpy as np
+
+    from chronoloom.operators import forecast as fc
+
+    rng = np.random.default_rng(3)
+    rows = [(i, size, [None if rng.random() < 0.1 else float(v) for v in 10 + rng.standard_normal(n)]) for i, (size, n) in enumerate([(1, 200), (2, 200), (3, 100), (4, 301), (7, 20), (50, 20), (1, 0)])]
+    df = spark.createDataFrame(rows, "id int, size int, context array<double>")
+    got = {r["id"]: r["quantiles"] for r in fc.forecast_by_size(df, "seasonal_naive", 12, 6, "size").collect()}
+    for i, k, c in rows:
+        blocks = [[v for v in c[len(c) - (j + 1) * k : len(c) - j * k] if v is not None] for j in range(len(c) // k)][::-1]
+        means = np.array([np.mean(b) if b else np.nan for b in blocks], float)
+        want = np.repeat(fc.quantiles_of(fc.REGISTRY["seasonal_naive"], means, -(-12 // k), max(1, round(6 / k))), k, axis=0)[:12]
+        assert np.array(got[i], float) == pytest.approx(want, nan_ok=True)
