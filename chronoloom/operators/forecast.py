@@ -121,11 +121,29 @@ def forecast(cuts: DataFrame, name: str, h: int, season: int, context: str = "co
 
     @F.pandas_udf("array<array<double>>")
     def run(contexts: pd.Series) -> pd.Series:
-        return pd.Series([[[None if np.isnan(v) else float(v) for v in row] for row in quantiles_of(forecaster, np.array([np.nan if v is None else v for v in c], float), h, season, levels)] for c in contexts])
+        return pd.Series([_lists(quantiles_of(forecaster, _array(c), h, season, levels)) for c in contexts])
 
     return cuts.withColumn("quantiles", run(context))
 
 
+def _array(c) -> np.ndarray:
+    return np.array([np.nan if v is None else v for v in c], float)
+
+
+def _lists(q: np.ndarray) -> list:
+    return [[None if np.isnan(v) else float(v) for v in row] for row in q]
+
+
+def forecast_by(cuts: DataFrame, names: list[str], h: int, season: int, context: str = "context", levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """cuts with forecaster and quantiles: each cut by each of the forecasters."""
+
+    @F.pandas_udf("array<array<double>>")
+    def run(by: pd.Series, contexts: pd.Series) -> pd.Series:
+        return pd.Series([_lists(quantiles_of(REGISTRY[n], _array(c), h, season, levels)) for n, c in zip(by, contexts)])
+
+    return cuts.withColumn("forecaster", F.explode(F.array(*map(F.lit, names)))).withColumn("quantiles", run("forecaster", context))
+
+
 def _block(x: np.ndarray, k: int) -> np.ndarray:
     n = len(x) // k
     x = x[len(x) - n * k :].reshape(n, k)
@@ -133,46 +151,96 @@ def _block(x: np.ndarray, k: int) -> np.ndarray:
     return np.where(seen > 0, np.nansum(x, axis=1) / np.maximum(seen, 1), np.nan)  # a block without values stays missing
 
 
-def mix_rates(cuts: DataFrame, name: str, h: int, season: int, factors: tuple[int, ...] = (1, 2, 3, 4, 6, 8, 12), windows: int = 4, context: str = "context", levels: tuple[float, ...] = LEVELS) -> DataFrame:
-    """cuts with quantiles and weights: the forecaster reads each context at several block sizes; weights are those of its losses on the last windows of the context
-    (softmax of minus the log ratio to the native rate), sum to 1, and mix the forecasts by level. A single factor gives the bare forecast."""
-    forecaster, q = REGISTRY[name], np.array(levels)
+#: Rates at which a context is read: blocks of k native steps, or, below zero, so many steps between two native ones. The least length of what is read.
+RATES, LEAST = (1, 2, 3, 4, 6, 8, 12, 24, 48, -2, -3, -4), 8
 
-    def at(x: np.ndarray, k: int) -> np.ndarray | None:
-        y = _block(x, k)
-        if len(y) < 8:
-            return None
-        return np.repeat(quantiles_of(forecaster, y, -(-h // k), max(1, round(season / k)), levels), k, axis=0)[:h]
 
-    def loss(x: np.ndarray, k: int) -> float:
+def _at_rate(forecaster: Forecaster, x: np.ndarray, k: int, h: int, season: int, levels: tuple[float, ...]) -> np.ndarray | None:
+    """[h, levels] of a context read at a rate, brought back to native steps; None if it is too short for it."""
+    if k > 0:
+        y = _block(x, k)
+        return None if len(y) < LEAST else np.repeat(quantiles_of(forecaster, y, -(-h // k), max(1, round(season / k)), levels), k, axis=0)[:h]
+    seen, f = np.flatnonzero(np.isfinite(x)), -k
+    if len(x) < LEAST or not len(seen):
+        return None
+    fine = np.interp(np.arange((len(x) - 1) * f + 1) / f, seen, x[seen])
+    return quantiles_of(forecaster, fine, h * f, season * f, levels)[f - 1 :: f]
+
+
+def _past_losses(forecaster: Forecaster, x: np.ndarray, rates: tuple[int, ...], windows: int, h: int, season: int, levels: tuple[float, ...]) -> dict[int, tuple[float, float]]:
+    """Pinball loss and size of what was to come, over the last windows of a context, for each rate that can read them all."""
+    q, out = np.array(levels), {}
+    cuts = [len(x) - o * h for o in range(1, windows + 1) if len(x) - o * h >= max(season + 1, LEAST)]
+    for k in rates:
         total, size = 0.0, 0.0
-        for o in range(1, windows + 1):
-            if len(x) - o * h < max(season + 1, 8):
-                break
-            f, y = at(x[: len(x) - o * h], k), x[len(x) - o * h : len(x) - (o - 1) * h or None]
+        for n in cuts:
+            f = _at_rate(forecaster, x[:n], k, h, season, levels)
             if f is None:
-                return np.inf
-            e = y[:, None] - f
-            total += np.nansum(np.maximum(q * e, (q - 1) * e))
-            size += np.nansum(np.abs(y))
-        return total / max(size, 1e-9)
-
-    def mixed(c) -> dict:
-        x = np.array([np.nan if v is None else v for v in c], float)
-        outs = {k: at(x, k) for k in factors}
-        outs = {k: f for k, f in outs.items() if f is not None} or {factors[0]: quantiles_of(forecaster, x, h, season, levels)}
-        losses = np.array([max(loss(x, k), 1e-9) for k in outs]) if len(outs) > 1 else np.ones(1)
-        w = np.where(np.isfinite(losses), 1 / losses, 0.0)
-        w = w / w.sum() if w.sum() > 0 else np.full(len(w), 1 / len(w))
-        f = sum(a * o for a, o in zip(w, outs.values()))
-        return {"quantiles": [[None if np.isnan(v) else float(v) for v in row] for row in f], "weights": {int(k): float(a) for k, a in zip(outs, w)}}
+                break
+            e = x[n : n + h, None] - f
+            total, size = total + np.nansum(np.maximum(q * e, (q - 1) * e)), size + np.nansum(np.abs(x[n : n + h]))
+        else:
+            if cuts:
+                out[k] = float(total), float(size)
+    return out
+
+
+def mix_rates(cuts: DataFrame, name: str, h: int, season: int, rates: tuple[int, ...] = RATES, windows: int = 4, context: str = "context", levels: tuple[float, ...] = LEVELS, pool: list[str] | None = None) -> DataFrame:
+    """cuts with quantiles and weights: the forecaster reads each context at several rates (see RATES); a rate's weight is the inverse of its loss over its size on the
+    last windows of the past, over all cuts with equal pool columns (each by itself without any), and weights sum to 1 over the rates that can read the context.
+    They mix the forecasts by level. A single rate gives its bare forecast, as do contexts without a past to judge by (the first rate)."""
+    forecaster = REGISTRY[name]
+
+    @F.pandas_udf("array<struct<k:int,total:double,size:double>>")
+    def judged(contexts: pd.Series) -> pd.Series:
+        return pd.Series([[{"k": k, "total": t, "size": n} for k, (t, n) in _past_losses(forecaster, _array(c), rates, windows, h, season, levels).items()] for c in contexts])
 
     @F.pandas_udf("quantiles array<array<double>>, weights map<int,double>")
+    def mixed(contexts: pd.Series, weights: pd.Series) -> pd.DataFrame:
+        rows = []
+        for c, w in zip(contexts, weights):
+            x, w = _array(c), dict(w if w is not None else {}) or {rates[0]: 1.0}
+            outs = {k: _at_rate(forecaster, x, k, h, season, levels) for k in w}
+            outs = {k: f for k, f in outs.items() if f is not None} or {rates[0]: quantiles_of(forecaster, x, h, season, levels)}
+            share = np.array([w.get(k, 1.0) for k in outs])
+            share = share / share.sum()
+            rows.append({"quantiles": _lists(sum(a * f for a, f in zip(share, outs.values()))), "weights": {int(k): float(a) for k, a in zip(outs, share)}})
+        return pd.DataFrame(rows, columns=["quantiles", "weights"])
+
+    inverse = lambda x: F.struct(x["k"].alias("k"), (1 / F.greatest(x["total"] / F.greatest(x["size"], F.lit(1e-9)), F.lit(1e-9))).alias("w"))
+    d = cuts.withColumn("_losses", judged(context)) if len(rates) > 1 else cuts.withColumn("_losses", F.lit(None).cast("array<struct<k:int,total:double,size:double>>"))
+    if pool and len(rates) > 1:
+        per = d.select(*pool, F.explode("_losses").alias("x")).groupBy(*pool, "x.k").agg(F.sum("x.total").alias("total"), F.sum("x.size").alias("size"))
+        per = per.groupBy(*(F.col(c).alias(f"_{c}") for c in pool)).agg(F.collect_list(F.struct("k", "total", "size")).alias("_pooled"))
+        same = F.lit(True)
+        for c in pool:
+            same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+        d = d.join(per, same, "left").drop("_losses", *(f"_{c}" for c in pool)).withColumnRenamed("_pooled", "_losses")
+    weights = F.map_from_entries(F.transform("_losses", inverse))
+    out = d.withColumn("_m", mixed(context, weights))
+    return out.select(*cuts.columns, "_m.quantiles", "_m.weights")
+
+
+def knob(cuts: DataFrame, h: int, season: int, ks: tuple[int, ...] = (1, 2, 4), windows: int = 4, context: str = "context") -> DataFrame:
+    """cuts with k and forecast: the state-space filter reads context and horizon as they are, at 1 / k of its step size, so that it takes a cycle for k times as long; k is
+    that of least squared loss on the last windows of the past (of equal ones the first)."""
+
+    def one(c) -> dict:
+        x = _array(c)
+        seen = np.flatnonzero(np.isfinite(x))
+        if not len(seen):
+            return {"k": ks[0], "forecast": [None] * h}
+        x = np.interp(np.arange(seen[0], seen[-1] + 1), seen, x[seen])
+        cut = [len(x) - o * h for o in range(1, windows + 1) if len(x) - o * h >= max(season + 1, LEAST)]
+        loss = [sum(((x[n : n + h] - _state_space(x[:n], h, season * k)[: len(x[n : n + h])]) ** 2).sum() for n in cut) for k in ks]
+        k = ks[int(np.argmin(loss))]
+        return {"k": k, "forecast": _state_space(x, h, season * k).tolist()}
+
+    @F.pandas_udf("k int, forecast array<double>")
     def run(contexts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([mixed(c) for c in contexts], columns=["quantiles", "weights"])
+        return pd.DataFrame([one(c) for c in contexts], columns=["k", "forecast"])
 
-    out = cuts.withColumn("_m", run(context))
-    return out.select(*cuts.columns, "_m.quantiles", "_m.weights")
+    return cuts.withColumn("_m", run(context)).select(*cuts.columns, "_m.k", "_m.forecast")
 
 
 def long_quantiles(df: DataFrame, keys: list[str], levels: tuple[float, ...] = LEVELS, quantiles: str = "quantiles") -> DataFrame:
@@ -196,9 +264,9 @@ def forecast_by_size(cuts: DataFrame, name: str, h: int, season: int, size: str,
         out = []
         for c, k in zip(contexts, sizes):
             k = max(int(k), 1)
-            blocks = _block(np.array([np.nan if v is None else v for v in c], float), k)
+            blocks = _block(_array(c), k)
             q = np.repeat(quantiles_of(forecaster, blocks, -(-h // k), max(1, round(season / k)), levels), k, axis=0)[:h]
-            out.append([[None if np.isnan(v) else float(v) for v in row] for row in q])
+            out.append(_lists(q))
         return pd.Series(out)
 
     return cuts.withColumn("quantiles", run(context, F.col(size)))

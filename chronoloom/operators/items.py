@@ -13,18 +13,23 @@ from .match import aligned, item_span
 from .sample import bounds, uniform
 
 
-def item_windows(items: DataFrame, points: DataFrame, lengths: DataFrame, k: int, horizon: int, context: int, patch: int, variates: int = 8, seed: int = 0) -> DataFrame:
-    """item_id, member_pos, k, h, context, target: one window per item on the span that all its members cover, read in blocks of k (of 1 if that is too short for two
-    patches); of more than variates members a seeded sample."""
+def item_windows(items: DataFrame, points: DataFrame, lengths: DataFrame, k: int, horizon: int, context: int, patch: int, variates: int = 8, seed: int = 0, scales: DataFrame | None = None) -> DataFrame:
+    """item_id, slot, member_pos, valid, k, w, h, context, target: one window per item on the span that all its members cover, read in blocks of k (of 1 if that leaves
+    fewer than two patches or a rate scale above 8). Of more than variates members a seeded sample is taken; with fewer, slots are filled up with variates that
+    aren't valid and hold no values. scales: item_id, scale (without: 1)."""
     order = Window.partitionBy("item_id").orderBy(uniform(F.concat_ws("/", "item_id", "member_pos"), "variate", seed), "member_pos")
     kept = items.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= variates).drop("_n")
-    spans = item_span(kept, lengths).where("start < end")
-    n = (F.col("end") - F.col("start")).cast("int")
-    drawn = bounds(spans.withColumn("n", n).withColumn("k", F.when(F.floor(n / k) >= 2 * patch, k).otherwise(1)).where("n >= 4"), horizon, context, patch, id_="item_id", seed=seed)
+    spans = item_span(kept, lengths).where("start < end").withColumn("n", (F.col("end") - F.col("start")).cast("int")).where("n >= 4")
+    spans = spans.join(scales.select("item_id", "scale"), "item_id") if scales is not None else spans.withColumn("scale", F.lit(1.0))
+    fits = (F.floor(F.col("n") / k) >= 2 * patch) & (F.col("scale") * k <= 8)
+    drawn = bounds(spans.withColumn("k", F.when(fits, k).otherwise(1)), horizon, context, patch, id_="item_id", seed=seed).withColumn("w", F.col("scale") * F.col("k"))
     cut = drawn.select("item_id", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi")).alias("end"))
     grid = aligned(kept, points, cut).groupBy("item_id", "member_pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "value"))), lambda p: p["value"]).alias("v"))
-    y = grid.join(drawn.select("item_id", "k", "h"), "item_id").withColumn("v", decimate_array("v", F.col("k")))
-    return y.select("item_id", "member_pos", "k", "h", F.slice("v", F.lit(1), F.size("v") - F.col("h")).alias("context"), F.slice("v", F.size("v") - F.col("h") + 1, F.col("h")).alias("target"))
+    y = grid.join(drawn.select("item_id", "k"), "item_id").select("item_id", "member_pos", decimate_array("v", F.col("k")).alias("v"))
+    slots = y.groupBy("item_id").agg(F.array_sort(F.collect_list(F.struct("member_pos", "v"))).alias("_m")).join(drawn.select("item_id", "k", "w", "h"), "item_id")
+    slots = slots.withColumn("_none", F.transform(F.get("_m", F.lit(0))["v"], lambda _: F.lit(None).cast("double"))).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(variates - 1))))
+    slots = slots.withColumn("member_pos", F.get("_m", F.col("slot"))["member_pos"]).withColumn("v", F.coalesce(F.get("_m", F.col("slot"))["v"], "_none"))
+    return slots.select("item_id", "slot", "member_pos", F.col("member_pos").isNotNull().alias("valid"), "k", "w", "h", F.slice("v", F.lit(1), F.size("v") - F.col("h")).alias("context"), F.slice("v", F.size("v") - F.col("h") + 1, F.col("h")).alias("target"))
 
 
 def visible(windows: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ fingerprints() therefore works on slices of a series with a halo, dealt by (seri
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, half_even
+from ..functions.scalars import col, finite, half_even
 
 #: Ratios in a window, distinct ones it must have, and size from which on a ratio is none (fixed values).
 WINDOW, DISTINCT, LARGEST = 8, 7, 1e6
@@ -91,6 +91,10 @@ def first_of_equals(keyed: DataFrame, id_: str, key: str = "key") -> DataFrame:
     return once.union(keyed.where(F.col(key).isNull()).select(id_))
 
 
+def enough_matches(found: str | Column, expected: str | Column, least: float = 0.95) -> Column:
+    return (col(expected) == 0) | (col(found) >= least * col(expected))
+
+
 def match_gate(found: int, expected: int, least: float = 0.95) -> None:
     """An error if too few of the variates that should be stored were found: the cut rule is then wrong."""
     if expected and found < least * expected:

@@ -6,6 +6,8 @@ over whole sequences, applied per series by Arrow. The numpy functions are plain
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -153,16 +155,43 @@ def _silu(x: np.ndarray) -> np.ndarray:
     return x / (1 + np.exp(-x))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def causal_filter(x: np.ndarray, taps: np.ndarray) -> np.ndarray:
+    """x [T, D], taps [K, D]: each channel's own sum over the last K steps, the newest by the last tap; what is before the first step counts as 0."""
+    padded = np.concatenate([np.zeros((len(taps) - 1, x.shape[1])), x])
+    return np.einsum("tdk,kd->td", np.lib.stride_tricks.sliding_window_view(padded, len(taps), axis=0), taps)
+
+
 def gated_block(x: np.ndarray, w: dict, dt: float = 1.0) -> np.ndarray:
-    """x [T, D] through norm, two projections, a state-space layer per channel, a gate, and back, plus itself. w: in_u, in_z, out matrices and a, b, c poles."""
+    """x [T, D] through norm, two projections, a state-space layer per channel, a gate, and back, plus itself. w: in_u, in_z, out matrices and a, b, c poles; optionally
+    taps of a causal filter before the layer, and readout, a matrix whose sigmoid gates what the layer reads out."""
     h = _norm(x)
-    u, z = _silu(h @ w["in_u"]), h @ w["in_z"]
+    u, z = h @ w["in_u"], h @ w["in_z"]
+    u = _silu(causal_filter(u, w["taps"]) if "taps" in w else u)
     y = np.stack([s4d_fft(u[:, j], w["a"], w["b"], w["c"], dt) for j in range(u.shape[1])], 1)
+    if "readout" in w:
+        y = y * _sigmoid(u @ w["readout"])
     return x + (y * _silu(z)) @ w["out"]
 
 
+def _gelu(x: np.ndarray) -> np.ndarray:
+    return 0.5 * x * (1 + np.vectorize(math.erf)(x / math.sqrt(2)))
+
+
+def attention_block(x: np.ndarray, w: dict, position: np.ndarray, allowed: np.ndarray, heads: int = 1, scale: float = 1.0) -> np.ndarray:
+    """x [T, D] plus attention over its normed tokens, by heads with rotated queries and keys, plus a feed-forward network over what comes of it. w: q, k, v, out, up, down."""
+    h = _norm(x)
+    q, k, v = (np.split(h @ w[n], heads, axis=1) for n in ("q", "k", "v"))
+    read = np.concatenate([attention(rotate(a, position, scale), rotate(b, position, scale), c, allowed) for a, b, c in zip(q, k, v)], 1)
+    x = x + read @ w["out"]
+    return x + _gelu(_norm(x) @ w["up"]) @ w["down"]
+
+
 def layer_loop(x: np.ndarray, layers: list, loops: int = 1) -> np.ndarray:
-    """A stack of mixers, passed through loops times with the same weights."""
+    """A stack of mixers of any kinds (functions of a token sequence), passed through loops times with the same weights."""
     for _ in range(loops):
         for layer in layers:
             x = layer(x)

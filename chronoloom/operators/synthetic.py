@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.frequency import frequency_multiple, frequency_unit, season_length
+
 LARGEST = 1e12
 
 
@@ -86,33 +88,71 @@ def growth(n: int, season: float, rng: np.random.Generator) -> np.ndarray:
     return 100 * trend * cycle * drop * np.exp(rng.normal(0, 0.02, n))
 
 
-GENERATORS = {"template": template, "arima": arima, "regimes": regimes, "calendar": calendar, "growth": growth}
-#: Length and season by frequency; a generator that needs a day or a season serves only the frequencies that have one.
-GRID = {"10S": (2880, 360.0), "T": (2880, 1440.0), "5T": (2016, 288.0), "15T": (2016, 96.0), "30T": (1440, 48.0), "H": (1440, 24.0), "6H": (720, 4.0), "D": (1095, 7.0), "W-SUN": (520, 52.0), "MS": (240, 12.0), "Q-DEC": (120, 4.0), "A-DEC": (60, 4.0)}
+def operations(n: int, season: float, rng: np.random.Generator) -> np.ndarray:
+    """A load of machines: a daily shape on a floor, bursts that decay, and restarts that set it back."""
+    t = np.arange(n)
+    base = rng.uniform(5, 50) * (1 + rng.uniform(0.1, 0.6) * np.sin(2 * np.pi * t / season + rng.uniform(0, 6.28)))
+    starts = rng.random(n) < rng.uniform(0.5, 3) / season
+    bursts = _recursive(starts * rng.exponential(rng.uniform(10, 100), n), np.array([rng.uniform(0.6, 0.98)]))
+    since = t - np.maximum.accumulate(np.where(rng.random(n) < 0.2 / season, t, 0))
+    return np.maximum(base * np.minimum(since / max(season / 8, 1), 1) + bursts + rng.normal(0, 1, n), 0)
+
+
+def intermittent(n: int, season: float, rng: np.random.Generator) -> np.ndarray:
+    """Mostly zeros: demands of a few units, likelier at some phases of the cycle."""
+    phase = np.arange(n) / season % 1
+    chance = rng.uniform(0.05, 0.4) * (1 + rng.uniform(0, 0.9) * np.sin(2 * np.pi * phase + rng.uniform(0, 6.28)))
+    return (rng.random(n) < chance) * (1 + rng.poisson(rng.uniform(0.5, 6), n)).astype(float)
+
+
+GENERATORS = {"template": template, "arima": arima, "regimes": regimes, "calendar": calendar, "growth": growth, "ops": operations, "intermittent": intermittent}
+
+# Length and number of series by frequency.
+GRID = {
+    "10S": (8192, 36000), "1T": (8192, 24000), "5T": (8192, 36000), "10T": (8192, 24000), "15T": (8192, 24000), "30T": (8192, 18000), "H": (8192, 36000), "D": (4096, 48000), "W": (1024, 96000),
+    "M": (512, 144000), "Q": (256, 144000), "A": (128, 144000),
+}
+
+
+def seasons(spark: SparkSession) -> DataFrame:
+    """freq, length, count, season (steps of the weekly or reference cycle), unit, day (steps a day, where there are whole ones): the grid as a table."""
+    grid = spark.createDataFrame([(f, *x) for f, x in GRID.items()], "freq string, length int, count long")
+    return grid.withColumn("season", season_length("freq", F.lit(True))).withColumn("unit", frequency_unit("freq")).withColumn("day", F.when(F.col("unit") == "T", 1440.0).when(F.col("unit") == "H", 24.0).when(F.col("unit") == "D", 1.0) / frequency_multiple("freq"))
 
 
-def kinds(freq: str) -> list[str]:
-    """Generators that suit a frequency."""
-    fast = GRID[freq][1] >= 24 and freq not in ("W-SUN",)
-    return ["template", "arima", "regimes", *(["calendar"] if fast else []), *(["growth"] if freq in ("D", "W-SUN", "MS", "Q-DEC", "A-DEC") else [])]
+def specs(spark: SparkSession) -> DataFrame:
+    """subset, freq, kind, length, low, high, count: what is to be made. Periods lie tightly or widely about the season; machine loads where a season has 24 steps, intermittent
+    demand of days and longer; a frequency's series are shared evenly. The other kinds have subsets of their own, as many series as a tight one."""
+    g = seasons(spark)
+    tight = (F.greatest(F.lit(2.0), F.col("season") / 1.15), F.col("season") * 1.15)
+    wide = (F.greatest(F.lit(2.0), F.col("season") / 4), F.least(F.col("season") * 8, F.col("length") / 2))
+    rows = [("tight", "template", tight, F.lit(True)), ("wide", "template", wide, F.lit(True)), ("ops", "ops", tight, F.col("season") >= 24), ("intermittent", "intermittent", tight, F.col("unit").isin("D", "W", "M", "Q"))]
+    shared = F.lit(2) + (F.col("season") >= 24).cast("int") + F.col("unit").isin("D", "W", "M", "Q").cast("int")
+    at = (F.col("season"), F.col("season"))
+    more = [("arima", "arima", at, F.lit(True)), ("regime", "regimes", at, F.lit(True)), ("calendar", "calendar", (F.col("day"), F.col("day")), F.col("day").isNotNull() & (F.col("day") <= 1440)), ("growth", "growth", at, F.col("unit").isin("D", "W", "M", "Q", "A"))]
+    kinds = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), lo.cast("double").alias("low"), hi.cast("double").alias("high"), here.alias("here")) for name, kind, (lo, hi), here in rows + more))
+    out = g.withColumn("x", F.explode(kinds)).where("x.here")
+    return out.select(F.concat_ws("_", F.lit("synth"), "x.name", "freq").alias("subset"), "freq", "x.kind", "length", "x.low", "x.high", F.floor(F.col("count") / shared).alias("count"))
 
 
-def make(kind: str, n: int, season: float, seed: int) -> np.ndarray:
-    """One series, drawn again until it is finite and not huge."""
+def make(kind: str, n: int, low: float, high: float, seed: int) -> np.ndarray:
+    """One series with a period between low and high, drawn again until it is finite and not huge."""
     for turn in range(100):
-        x = GENERATORS[kind](n, season, np.random.default_rng([seed, turn])).astype(np.float32)
+        rng = np.random.default_rng([seed, turn])
+        x = GENERATORS[kind](n, low if high <= low else float(np.exp(rng.uniform(np.log(low), np.log(high)))), rng).astype(np.float32)
         if np.isfinite(x).all() and abs(x).max() < LARGEST:
             return x
     raise ValueError(f"{kind} gives no usable series for seed {seed}")
 
 
-def generate(spark: SparkSession, freq: str, count: int, seed: int = 0) -> DataFrame:
-    """subset, series_id, kind, values: count series of a frequency, kinds in turn. The same seed gives the same series, however they are dealt out."""
-    names, (n, season) = kinds(freq), GRID[freq]
+def generate(what: DataFrame, seed: int = 0, most: int | None = None) -> DataFrame:
+    """subset, series_id, kind, values: the series of specs()'s rows (most at most of each). A series depends on seed, subset and id alone, however they are dealt out."""
 
     @F.pandas_udf("array<float>")
-    def run(ids: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([make(k, n, season, seed * 1_000_003 + int(i)) for i, k in zip(ids, kind)])
+    def run(kind: pd.Series, n: pd.Series, low: pd.Series, high: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([make(*x) for x in zip(kind, n, low, high, key)])
 
-    d = spark.range(count).select(F.lit(f"synth_{freq}").alias("subset"), F.col("id").alias("series_id"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % len(names) + 1).cast("int")).alias("kind"))
-    return d.withColumn("values", run("series_id", "kind"))
+    count = F.col("count") if most is None else F.least(F.col("count"), F.lit(most))
+    d = what.withColumn("series_id", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))).repartition("subset", "series_id")
+    key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "subset", "series_id")), 1, 15), 16, 10).cast("long")
+    return d.select("subset", "series_id", "kind", run("kind", "length", "low", "high", key).alias("values"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +65,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def place(spark: SparkSession, name: str) -> str:
+    """A folder of its own for what a query writes: in spark.checkpoint.dir if it is set, else a temporary one in local mode, else the warehouse."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master.startswith("local"):
+        named = tempfile.mkdtemp(prefix="chronoloom-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series, subset, values: the embeddings as series of 64 steps."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series"), F.col("label").alias("subset"), F.col("embedding").cast("array<double>").alias("values"))

@@ -66,27 +66,88 @@ def ssm_rate(spark, sf_dir):
     return fine.join(coarse, "series").select("series", rounded(gap).alias("gap"))
 
 
+def _weights(d: int, names: tuple[str, ...], wide: int = 0) -> dict[str, np.ndarray]:
+    """Fixed matrices of d rows and columns (up: d by wide, down: wide by d)."""
+    rng = np.random.default_rng(17)
+    shape = {"up": (d, wide), "down": (wide, d)}
+    return {n: rng.normal(0, 0.5, shape.get(n, (d, d))) for n in names}
+
+
+def _mixers(x: np.ndarray) -> dict[str, np.ndarray]:
+    """Each kind of mixer over tokens x [T, 4]."""
+    t = len(x)
+    k = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    past, at = np.tril(np.ones((t, t), bool)), np.arange(t, dtype=float)
+    gate = _weights(4, ("in_u", "in_z", "out", "readout")) | {"taps": np.array([[0.2] * 4, [0.3] * 4, [0.5] * 4]), "a": np.array([-0.5 + 0.3j]), "b": np.array([1.0 + 0j]), "c": np.array([0.7 + 0j])}
+    att = _weights(4, ("q", "k", "v", "out", "up", "down"), 16)
+    return {
+        "scan": rc.selective_scan(x[:, 0], np.abs(x[:, 1]) + 0.1, np.array([-1.0, -0.3]), x[:, :2], x[:, 2:]), "delta": rc.delta_rule(x, k, x[:, :2], np.full(t, 0.5)), "rotated": rc.rotate(x, at, 0.5),
+        "gated": rc.gated_block(x, gate), "attended": rc.attention_block(x, att, at, past, 2), "variates": rc.variate_attention(x @ att["q"], x @ att["k"], x @ att["v"], at % 3 > 0),
+        "stack": rc.layer_loop(x, [lambda y: rc.gated_block(y, gate), lambda y: rc.attention_block(y, att, at, past, 2)], 2),
+    }
+
+
 @query()
 def mixers(spark, sf_dir):
-    """Selective scan, delta rule, attention and the gated block over one token sequence per series, as one number each."""
-    @F.pandas_udf("scan double, delta double, attended double, gated double")
-    def run(values: pd.Series) -> pd.DataFrame:
-        rows = []
-        for v in values:
-            x = np.asarray(v, float).reshape(-1, 4)
-            t = len(x)
-            scan = rc.selective_scan(x[:, 0], np.abs(x[:, 1]) + 0.1, np.array([-1.0, -0.3]), x[:, :2], x[:, 2:])
-            k = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-            delta = rc.delta_rule(x, k, x[:, :2], np.full(t, 0.5))
-            attended = rc.attention(rc.rotate(x, np.arange(t)), rc.rotate(x, np.arange(t)), x, np.tril(np.ones((t, t), bool)))
-            w = {"in_u": np.eye(4), "in_z": np.eye(4), "out": 0.1 * np.eye(4), "a": np.array([-0.5 + 0.3j]), "b": np.array([1.0 + 0j]), "c": np.array([0.7 + 0j])}
-            rows.append([float(np.round(z.sum(), 6)) for z in (scan, delta, attended, rc.layer_loop(x, [lambda y: rc.gated_block(y, w)], 2))])
-        return pd.DataFrame(rows, columns=["scan", "delta", "attended", "gated"])
-
-    return arrays(spark, sf_dir).select("series", run("values").alias("m")).select("series", "m.*")
+    """Selective scan, delta rule, rotary embedding, gated block, attention over time and over variates, and a looped stack of two, token by token."""
+
+    @F.pandas_udf("map<string,array<double>>")
+    def run(values: pd.Series) -> pd.Series:
+        return pd.Series([{n: np.round(y.ravel(), 6).tolist() for n, y in _mixers(np.asarray(v, float).reshape(-1, 4)).items()} for v in values])
+
+    m = arrays(spark, sf_dir).select("series", run("values").alias("m"))
+    return m.select("series", *(F.col("m")[n].alias(n) for n in ("scan", "delta", "rotated", "gated", "attended", "variates", "stack")))
+
+
+@query()
+def quantile_head(spark, sf_dir):
+    """Tokens of eight steps, two queries for what comes, and the sorted fans that the head reads out, in patches of four steps."""
+    from ..operators.forecast import quantile_head as head
+
+    w = _weights(8, ("q", "k", "v")) | {n: x * 0.3 for n, x in (("up", np.random.default_rng(5).normal(size=(8, 16))), ("down", np.random.default_rng(6).normal(size=(16, 36))))}
+
+    @F.pandas_udf("array<array<double>>")
+    def run(values: pd.Series) -> pd.Series:
+        tokens = [np.asarray(v, float).reshape(-1, 8) for v in values]
+        return pd.Series([np.round(head(t, t[-2:], w, 4), 6).tolist() for t in tokens])
+
+    return arrays(spark, sf_dir).select("series", run("values").alias("fans"))
+
+
+@query("SELECT n, list(DISTINCT CAST(round_even(pow(n, i / 7.0::DOUBLE), 0) - 1 AS INT) ORDER BY CAST(round_even(pow(n, i / 7.0::DOUBLE), 0) - 1 AS INT)) AS blocks FROM (SELECT DISTINCT CAST(p_size * 10 AS INT) AS n FROM part) CROSS JOIN (SELECT unnest(range(8)) AS i) GROUP BY n")
+def log_blocks(spark, sf_dir):
+    """Block numbers spaced evenly in logarithm."""
+    from ..functions.frequency import log_blocks as blocks
+
+    sizes = range(10, 501, 10)
+    picked = spark.createDataFrame([(n, blocks(n)) for n in sizes], "n int, blocks array<int>")
+    return table(spark, sf_dir, "part").select((F.col("p_size") * 10).cast("int").alias("n")).distinct().join(F.broadcast(picked), "n")
+
+
+@query("SELECT p_brand, count(*) AS expected, count(*) FILTER (WHERE p_partkey % 10 > 0) AS found, count(*) = 0 OR count(*) FILTER (WHERE p_partkey % 10 > 0) >= 0.9 * count(*) AS ok FROM part GROUP BY 1")
+def match_gate(spark, sf_dir):
+    """Whether enough of the variates that should be stored were found, by brand."""
+    from ..operators.overlap import enough_matches
+
+    per = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count("*").alias("expected"), F.count_if(F.col("p_partkey") % 10 > 0).alias("found"))
+    return per.withColumn("ok", enough_matches("found", "expected", 0.9))
+
+
+@query("""
+WITH g AS (SELECT * FROM (VALUES ('10S', 'S', 8192, 36000, 360.0::DOUBLE), ('1T', 'T', 8192, 24000, 1440.0), ('5T', 'T', 8192, 36000, 288.0), ('10T', 'T', 8192, 24000, 144.0), ('15T', 'T', 8192, 24000, 96.0), ('30T', 'T', 8192, 18000, 48.0),
+  ('H', 'H', 8192, 36000, 24.0), ('D', 'D', 4096, 48000, 7.0), ('W', 'W', 1024, 96000, 365.0::DOUBLE / 7), ('M', 'M', 512, 144000, 12.0), ('Q', 'Q', 256, 144000, 4.0), ('A', 'A', 128, 144000, 4.0)) t(freq, unit, length, cnt, s)),
+x AS (SELECT *, s >= 24 AS ops, unit IN ('D', 'W', 'M', 'Q') AS rare FROM g),
+r AS (SELECT 'tight' AS name, 'template' AS kind, * FROM x UNION ALL SELECT 'wide', 'template', * FROM x UNION ALL SELECT 'ops', 'ops', * FROM x WHERE ops UNION ALL SELECT 'intermittent', 'intermittent', * FROM x WHERE rare UNION ALL SELECT 'arima', 'arima', * FROM x
+  UNION ALL SELECT 'regime', 'regimes', * FROM x UNION ALL SELECT 'calendar', 'calendar', * FROM x WHERE unit IN ('T', 'H', 'D') UNION ALL SELECT 'growth', 'growth', * FROM x WHERE unit IN ('D', 'W', 'M', 'Q', 'A'))
+SELECT 'synth_' || name || '_' || freq AS subset, freq, kind, length, round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN greatest(2.0, s / 1.15::DOUBLE) WHEN name = 'wide' THEN greatest(2.0, s / 4) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS low,
+  round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN s * 1.15::DOUBLE WHEN name = 'wide' THEN least(s * 8, length / 2.0::DOUBLE) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS high, cnt // (2 + CAST(ops AS INT) + CAST(rare AS INT)) AS count FROM r""")
+def synthetic_grid(spark, sf_dir):
+    """What is to be made: subsets with their generators, lengths, periods and numbers of series."""
+    return synthetic.specs(spark).select("subset", "freq", "kind", "length", rounded("low").alias("low"), rounded("high").alias("high"), "count")
 
 
 @query()
 def synthetic_series(spark, sf_dir):
-    d = synthetic.generate(spark, "H", 50, 3).unionByName(synthetic.generate(spark, "MS", 50, 3))
-    return d.select("subset", "series_id", "kind", F.size("values").alias("n"), F.round(F.aggregate("values", F.lit(0.0), lambda s, v: s + v) / F.size("values"), 3).alias("mean"))
+    """A few series of every subset of the grid, as far as 400 steps are concerned."""
+    small = synthetic.specs(spark).withColumn("length", F.least("length", F.lit(400)))
+    return synthetic.generate(small, 3, 2).select("subset", "series_id", "kind", F.transform("values", lambda v: F.round(v.cast("double"), 3)).alias("values"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import match
 from ..operators.metrics import spearman
+from ..operators.order import running
 from .base import arrays, configs, gappy_arrays, own, query, rival, table, vec
 
 
@@ -140,9 +141,8 @@ def best_rank(spark, sf_dir):
 
 @query("SELECT p_size, CAST(dense_rank() OVER (ORDER BY p_size) - 1 AS INT) AS place FROM (SELECT DISTINCT p_size FROM part)")
 def unique_inverse(spark, sf_dir):
-    from pyspark.sql import Window
-
-    return table(spark, sf_dir, "part").select("p_size").distinct().select("p_size", (F.dense_rank().over(Window.orderBy("p_size")) - 1).cast("int").alias("place"))
+    places = running(table(spark, sf_dir, "part").select("p_size").distinct(), F.col("p_size"), {"place": F.lit(1)})
+    return places.select("p_size", (F.col("place") - 1).cast("int").alias("place"))
 
 
 @query("SELECT l_returnflag, l_linenumber, quantile_cont(l_quantity, 0.01) AS p1, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.99) AS p99 FROM lineitem GROUP BY 1, 2")
@@ -171,10 +171,8 @@ def config_counts(spark, sf_dir):
 
 @query("SELECT d, CAST(sum(obs) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto FROM (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS obs FROM orders GROUP BY 1)")
 def batch_offsets(spark, sf_dir):
-    from pyspark.sql import Window
-
     d = table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("d")).agg(F.count("*").alias("obs"))
-    return d.select("d", F.sum("obs").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0)).alias("upto"))
+    return running(d, F.unix_date("d"), {"upto": F.col("obs")}).select("d", "upto")
 
 
 @query("SELECT domain, CAST(sum(n) AS BIGINT) AS n FROM (SELECT domain, count(*) AS n FROM $configs WHERE num_variates > 3 GROUP BY 1 UNION ALL SELECT domain, count(*) FROM configs WHERE num_variates <= 3 GROUP BY 1) GROUP BY 1")

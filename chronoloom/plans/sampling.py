@@ -150,6 +150,13 @@ def stride_windows(spark, sf_dir):
     return sample.stride_windows(arrays(spark, sf_dir).select("series", "values"), 24, 8, 10)
 
 
+@query("SELECT series, CAST(s AS INT) AS start, list(value ORDER BY step) FILTER (WHERE step < s + 24) AS context, list(value ORDER BY step) FILTER (WHERE step >= s + 24) AS target FROM $vec JOIN (SELECT unnest(range(0, 33, 10)) AS s) ON step >= s AND step < s + 32 GROUP BY 1, 2")
+def windows_of(spark, sf_dir):
+    """The same by the table function, in SQL."""
+    sample.register_functions(spark)
+    return spark.sql("SELECT series, w.* FROM {a} a, LATERAL windows_of(a.values, 24, 8, 10) w", a=arrays(spark, sf_dir).select("series", "values"))
+
+
 @query("SELECT c_custkey, CASE WHEN p < 0.7 THEN 'train' WHEN p < 0.85 THEN 'validation' ELSE 'test' END AS part FROM (SELECT c_custkey, percent_rank() OVER (ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey) AS p FROM customer)")
 def series_split(spark, sf_dir):
     return sample.split(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
@@ -241,14 +248,28 @@ def window_mix(spark, sf_dir):
     return sample.mix_windows(w, manifest, series, _HORIZON, _CONTEXT, _PATCH, 0.7).select("draw", "parts", _list("context"), _list("target"))
 
 
-@query()
+@query(f"""
+WITH m AS (SELECT vec_id // 3 AS item_id, CAST(vec_id % 3 AS INT) AS member_pos, vec_id % 5 * 2 AS shift, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+sp AS (SELECT item_id, max(shift) AS st, CAST(min(shift) + 64 - max(shift) AS INT) AS n, 1.0::DOUBLE + item_id % 5 AS scale FROM m GROUP BY 1),
+k AS (SELECT *, CASE WHEN n // 2 >= 16 AND scale * 2 <= 8 THEN 2 ELSE 1 END AS k FROM sp), q AS (SELECT *, n // k AS steps FROM k),
+h AS (SELECT *, CASE WHEN steps < 16 THEN least(8, greatest(1, steps // 4)) ELSE 8 END AS h FROM q), c0 AS (SELECT *, steps - h AS most, least(steps - h, 8)::DOUBLE AS lo0 FROM h),
+c1 AS (SELECT *, least(CASE WHEN {_u('item_id', 'full')} < 0.5 THEN 32 ELSE CAST(floor(exp(ln(lo0) + {_u('item_id', 'context')} * (ln(greatest(32.0, lo0 + 1)) - ln(lo0)))) AS INT) END, most) AS ctx FROM c0),
+c2 AS (SELECT *, ctx + CAST(floor({_u('item_id', 'origin')} * (most - ctx + 1)) AS INT) AS origin FROM c1),
+c3 AS (SELECT *, greatest(0, n - (steps - origin + ctx) * k) AS lo, n - (steps - origin - h) * k AS hi FROM c2),
+raw AS (SELECT c3.item_id, member_pos, k, h, scale, v[CAST(st + lo - shift + 1 AS INT):CAST(st + hi - shift AS INT)] AS r FROM c3 JOIN m ON m.item_id = c3.item_id),
+y AS (SELECT *, list_transform(range(len(r) // k), lambda j: list_avg(r[CAST(len(r) - (len(r) // k - j) * k + 1 AS INT):CAST(len(r) - (len(r) // k - j - 1) * k AS INT)])) AS y FROM raw),
+slots AS (SELECT DISTINCT item_id, s.slot, k, h, scale, len(y) AS len_ FROM y CROSS JOIN (SELECT CAST(unnest(range(4)) AS INT) AS slot) s),
+nth AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY member_pos) - 1 AS slot FROM y),
+j AS (SELECT slots.item_id, slots.slot, member_pos, slots.k, slots.h, slots.scale, coalesce(y, list_transform(range(len_), lambda i: CAST(NULL AS DOUBLE))) AS y FROM slots LEFT JOIN nth ON nth.item_id = slots.item_id AND nth.slot = slots.slot)
+SELECT item_id, slot, member_pos, member_pos IS NOT NULL AS valid, k, scale * k AS w, h, {_LIST.format('y[1:CAST(len(y) - h AS INT)]')} AS context, {_LIST.format('y[CAST(len(y) - h + 1 AS INT):CAST(len(y) AS INT)]')} AS target FROM j""")
 def item_windows(spark, sf_dir):
-    """Windows of three neighbouring series on their common axis."""
+    """Windows of three neighbouring series on their common axis, in four slots."""
     from ..operators import items
 
     a = arrays(spark, sf_dir).withColumn("subset", F.col("subset").cast("string"))
     members = a.select(F.floor(F.col("series") / 3).cast("long").alias("item_id"), (F.col("series") % 3).cast("int").alias("member_pos"), "subset", F.col("series").alias("series_id"), (F.col("series") % 5 * 2).alias("shift"))
     points = a.select("subset", F.col("series").alias("series_id"), F.posexplode("values").alias("step", "value")).withColumn("step", F.col("step").cast("long"))
     lengths = a.select("subset", F.col("series").alias("series_id"), F.size("values").cast("long").alias("length"))
-    w = items.item_windows(members, points, lengths, 2, 8, 32, 8, 2)
-    return w.select("item_id", "member_pos", "k", "h", F.size("context").alias("context"), F.size("target").alias("target"))
+    scales = members.select("item_id").distinct().withColumn("scale", 1.0 + F.col("item_id") % 5)
+    w = items.item_windows(members, points, lengths, 2, 8, 32, 8, 4, scales=scales)
+    return w.select("item_id", "slot", "member_pos", "valid", "k", "w", "h", _list("context"), _list("target"))

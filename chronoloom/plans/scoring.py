@@ -56,25 +56,29 @@ def lag_copy(spark, sf_dir):
     return cuts(spark, sf_dir).select("series", "origin", fc.lag_copy("context", 48, 7).alias("naive"))
 
 
-@query("SELECT series, list(round((a - b) / 2 * 1000000) / 1000000 ORDER BY step) AS q FROM (SELECT x.series, x.step, x.value AS a, y.value * 0.5 AS b FROM $vec x JOIN vec y ON y.series = x.series AND y.step = 8 - x.step WHERE x.step < 9) GROUP BY series")
+def _fans(spark, sf_dir, name):
+    """series, block and fans of eight levels: the embeddings' steps eight by eight."""
+    blocks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.slice("values", b * 8 + 1, F.lit(8)))
+    return arrays(spark, sf_dir).select("series", F.posexplode(blocks).alias("block", name))
+
+
+@query("SELECT series, CAST(block AS INT) AS block, list(round((a - b) / 2 * 1000000) / 1000000 ORDER BY i) AS q FROM (SELECT x.series, x.step // 8 AS block, x.step % 8 AS i, x.value AS a, y.value * 0.5 AS b FROM $vec x JOIN vec y ON y.series = x.series AND y.step = x.step // 8 * 8 + 7 - x.step % 8) GROUP BY series, block")
 def flip_average(spark, sf_dir):
-    a = arrays(spark, sf_dir).select("series", F.slice("values", 1, 9).alias("q"))
     mirrored = F.transform("q", lambda v: v * 0.5)
-    return a.select("series", F.transform(fc.flip_average("q", mirrored), lambda v: rounded(v)).alias("q"))
+    return _fans(spark, sf_dir, "q").select("series", "block", F.transform(fc.flip_average("q", mirrored), lambda v: rounded(v)).alias("q"))
 
 
 @query("""
-WITH p AS (SELECT series, step, value, ln(1 + exp(value)) AS w FROM $vec WHERE step < 9), m AS (SELECT series, value AS med FROM p WHERE step = 4)
-SELECT p.series, list(round((CASE WHEN p.step = 4 THEN med WHEN p.step < 4 THEN med - s ELSE med + s END) * 1000000) / 1000000 ORDER BY p.step) AS fan FROM (
-  SELECT a.series, a.step, sum(b.w) AS s FROM p a JOIN p b ON b.series = a.series AND ((a.step < 4 AND b.step BETWEEN a.step AND 3) OR (a.step > 4 AND b.step BETWEEN 5 AND a.step) OR (a.step = 4 AND b.step = 4)) GROUP BY 1, 2) p JOIN m ON m.series = p.series GROUP BY p.series""")
+WITH p AS (SELECT series, step // 8 AS block, step % 8 AS i, value, ln(1 + exp(value)) AS w FROM $vec), m AS (SELECT series, block, value AS med FROM p WHERE i = 4)
+SELECT p.series, CAST(p.block AS INT) AS block, list(round((CASE WHEN p.i = 4 THEN med WHEN p.i < 4 THEN med - s ELSE med + s END) * 1000000) / 1000000 ORDER BY p.i) AS fan FROM (
+  SELECT a.series, a.block, a.i, sum(b.w) AS s FROM p a JOIN p b ON b.series = a.series AND b.block = a.block AND ((a.i < 4 AND b.i BETWEEN a.i AND 3) OR (a.i > 4 AND b.i BETWEEN 5 AND a.i) OR (a.i = 4 AND b.i = 4)) GROUP BY 1, 2, 3) p JOIN m ON m.series = p.series AND m.block = p.block GROUP BY 1, 2""")
 def monotone_fan(spark, sf_dir):
-    return arrays(spark, sf_dir).select("series", F.transform(fc.monotone_fan("values", 4, 9), lambda v: rounded(v)).alias("fan"))
+    return _fans(spark, sf_dir, "raw").select("series", "block", F.transform(fc.monotone_fan("raw", 4, 8), lambda v: rounded(v)).alias("fan"))
 
 
-@query("SELECT x.series, list(round((m.value + (0.5 + x.step * 0.25) * (x.value - m.value)) * 1000000) / 1000000 ORDER BY x.step) AS q FROM $vec x JOIN vec m ON m.series = x.series AND m.step = 2 WHERE x.step < 5 GROUP BY 1")
+@query("SELECT x.series, CAST(x.step // 8 AS INT) AS block, list(round((m.value + (0.5 + x.step % 8 * 0.125) * (x.value - m.value)) * 1000000) / 1000000 ORDER BY x.step) AS q FROM $vec x JOIN vec m ON m.series = x.series AND m.step = x.step // 8 * 8 + 4 GROUP BY 1, 2")
 def fan_calibration(spark, sf_dir):
-    a = arrays(spark, sf_dir).select("series", F.slice("values", 1, 5).alias("q"))
-    return a.select("series", F.transform(fc.calibrate("q", [0.5, 0.75, 1.0, 1.25, 1.5]), lambda v: rounded(v)).alias("q"))
+    return _fans(spark, sf_dir, "q").select("series", "block", F.transform(fc.calibrate("q", [0.5 + 0.125 * i for i in range(8)]), lambda v: rounded(v)).alias("q"))
 
 
 @query("SELECT series, list(value ORDER BY step) FILTER (WHERE step IN (0, 4, 8)) AS q FROM $vec GROUP BY series")
@@ -83,11 +87,11 @@ def level_subset(spark, sf_dir):
     return arrays(spark, sf_dir).select("series", fc.pick_levels("values", levels, [0.1, 0.5, 0.9]).alias("q"))
 
 
-@query("SELECT series, min(step) AS pass FROM (SELECT series, step, value, min(value) OVER (PARTITION BY series) AS m FROM $vec WHERE step < 6) WHERE value = m GROUP BY 1")
+@query("SELECT series, min(step) AS pass FROM (SELECT series, step, value, min(value) OVER (PARTITION BY series) AS m FROM $vec) WHERE value = m GROUP BY 1")
 def adaptive_depth(spark, sf_dir):
     from .base import vec
 
-    losses = vec(spark, sf_dir).where("step < 6").select("series", F.col("step").alias("pass"), F.col("value").alias("loss"))
+    losses = vec(spark, sf_dir).select("series", F.col("step").alias("pass"), F.col("value").alias("loss"))
     return fc.best_pass(losses, ["series"])
 
 
@@ -198,21 +202,40 @@ def point_errors(spark, sf_dir):
 
 @query()
 def forecast_registry(spark, sf_dir):
-    """All registered forecasters, scored against the naive."""
-    t = _targets(spark, sf_dir)
-    out = None
-    for name in sorted(fc.REGISTRY):
-        q = fc.long_quantiles(fc.forecast(cuts(spark, sf_dir), name, 48, 24), _KEYS)
-        s = mt.wql(mt.scored(q, t, _KEYS), ["series"]).select(F.lit(name).alias("forecaster"), "series", rounded("wql").alias("wql"))
-        out = s if out is None else out.unionByName(s)
-    return out
+    """All registered forecasters, scored against the naive: each cut is forecast by all of them where it lies, so the cuts are made once."""
+    q = fc.forecast_by(cuts(spark, sf_dir), sorted(fc.REGISTRY), 48, 24)
+    s = mt.wql(mt.scored(fc.long_quantiles(q, ["forecaster", *_KEYS]), _targets(spark, sf_dir), _KEYS), ["forecaster", "series"])
+    return s.select("forecaster", "series", rounded("wql").alias("wql"))
 
 
 @query()
 def rate_mix(spark, sf_dir):
-    m = fc.mix_rates(cuts(spark, sf_dir), "state_space", 48, 24)
-    total = F.aggregate(F.map_values("weights"), F.lit(0.0), lambda a, x: a + x)
-    return m.select("series", "origin", F.size("quantiles").alias("h"), rounded(total).alias("weight"), F.size("weights").alias("rates"))
+    """Forecasts mixed over coarser and finer rates, weights pooled by series."""
+    m = fc.mix_rates(cuts(spark, sf_dir), "state_space", 48, 24, pool=["series"])
+    return m.select("series", "origin", F.transform("quantiles", lambda q: F.transform(q, lambda v: rounded(v, 4))).alias("quantiles"), F.transform(F.array_sort(F.map_entries("weights")), lambda e: F.struct(e["key"].alias("rate"), rounded(e["value"], 4).alias("weight"))).alias("weights"))
+
+
+@query()
+def rate_knob(spark, sf_dir):
+    """The state-space filter at w / k: context and horizon stay native, the step size alone changes; k is that of least loss on the past."""
+    out = fc.knob(cuts(spark, sf_dir), 48, 24, (1, 2, 4))
+    return out.select("series", "origin", "k", F.transform("forecast", lambda v: rounded(v)).alias("forecast"))
+
+
+@query("SELECT count(*) AS configs, count(*) = (SELECT count(*) FROM $own) AS complete FROM $own o JOIN $rival r ON r.config = o.config")
+def completeness_gate(spark, sf_dir):
+    """A comparison is refused unless every configuration is there; here some aren't."""
+    from ..operators import board
+    from .base import own, rival
+
+    have = own(spark, sf_dir).join(rival(spark, sf_dir).select("config"), "config", "left_semi")
+    wanted = own(spark, sf_dir).count()
+    try:
+        board.require(have, wanted)
+        complete = True
+    except ValueError:
+        complete = False
+    return have.agg(F.count("*").alias("configs")).withColumn("complete", F.lit(complete))
 
 
 @query("SELECT series, origin, list(v ORDER BY i) AS naive FROM (SELECT c.series, c.origin, i.i, round(avg(h.value) * 1000000) / 1000000 AS v FROM (SELECT DISTINCT series, origin FROM $cut_steps) c CROSS JOIN (SELECT unnest(range(48)) AS i) i JOIN hourly h ON h.series = c.series AND h.step >= 720 - (c.origin + 1) * 48 - 24 + ((i.i // 4) % 6) * 4 AND h.step < 720 - (c.origin + 1) * 48 - 24 + ((i.i // 4) % 6) * 4 + 4 GROUP BY 1, 2, 3) GROUP BY 1, 2")

@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import rounded
 from ..streaming import operators as st
-from .base import query, table
+from .base import place, query, table
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,25 +15,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
 
 
-def _place(spark: SparkSession) -> str:
-    """A folder for state and output: in spark.checkpoint.dir if it is set, else a temporary one in local mode, else the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="chronoloom-stream-")
-        atexit.register(shutil.rmtree, named, ignore_errors=True)
-    return f"{(named or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_type, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '2024-01-01') AS start, round(avg(value) * 1000000) / 1000000 AS value, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_tumbling(spark, sf_dir):
     out = st.windowed_mean(_events(spark, sf_dir), ["event_type"], "6 hours", late=None)
-    return st.drained(out, _place(spark), "complete").withColumn("value", rounded("value"))
+    return st.drained(out, place(spark, "stream"), "complete").withColumn("value", rounded("value"))
 
 
 @query("SELECT event_type, s.start + INTERVAL (15 * k) MINUTE AS start, count(*) AS n FROM (SELECT event_type, time_bucket(INTERVAL '15 minutes', ts, TIMESTAMP '2024-01-01') - INTERVAL 45 MINUTE AS start FROM events) s CROSS JOIN (SELECT unnest(range(4)) AS k) GROUP BY 1, 2")
 def stream_sliding(spark, sf_dir):
     out = st.windowed_mean(_events(spark, sf_dir), ["event_type"], "1 hour", "15 minutes", late=None)
-    return st.drained(out, _place(spark), "complete").select("event_type", "start", "n")
+    return st.drained(out, place(spark, "stream"), "complete").select("event_type", "start", "n")
 
 
 @query("""
@@ -47,17 +33,29 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS "end", count(*) AS n, round(sum(value) * 1000000) / 1000000 AS value FROM s GROUP BY user_id, session""")
 def stream_sessions(spark, sf_dir):
     out = st.sessions(_events(spark, sf_dir), ["user_id"], "2 hours", late=None)
-    return st.drained(out, _place(spark), "complete").withColumn("value", rounded("value"))
+    return st.drained(out, place(spark, "stream"), "complete").withColumn("value", rounded("value"))
 
 
 @query("SELECT user_id, event_id, round((avg(value) OVER w + 0.000000123) * 1000000) / 1000000 AS center, round((stddev_pop(value) OVER w + 0.00001 + 0.000001 * abs(avg(value) OVER w)) * 1000000) / 1000000 AS scale FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
 def stream_running(spark, sf_dir):
     out = st.running_frame(_events(spark, sf_dir), "user_id", "event_id")
     # Means of hundredths lie on halves of the last digit; a little more on both sides keeps rounding from hanging on the last bit.
-    return st.drained(out, _place(spark), "append").select("user_id", "event_id", rounded(F.col("center") + 1.23e-7).alias("center"), rounded("scale").alias("scale"))
+    return st.drained(out, place(spark, "stream"), "append").select("user_id", "event_id", rounded(F.col("center") + 1.23e-7).alias("center"), rounded("scale").alias("scale"))
 
 
-@query()
+@query("""
+WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+k AS (SELECT j, sum(c * pow(exp(0.3 * a), j) * (exp(0.3 * a) - 1) / a * b) AS k FROM (SELECT unnest([-0.5, -0.1]::DOUBLE[]) AS a, unnest([1.0, 0.5]::DOUBLE[]) AS b, unnest([0.7, -0.2]::DOUBLE[]) AS c) CROSS JOIN (SELECT unnest(range((SELECT max(n) FROM e))) AS j) GROUP BY 1)
+SELECT x.user_id, x.event_id, round(sum(k.k * coalesce(z.value, 0)) * 10000) / 10000 AS y FROM e x JOIN e z ON z.user_id = x.user_id AND z.n <= x.n JOIN k ON k.j = x.n - z.n GROUP BY 1, 2""")
 def stream_state_space(spark, sf_dir):
-    out = st.state_space(_events(spark, sf_dir), "user_id", [-0.5 + 1j, -0.1], [1, 0.5], [0.7, -0.2], 0.3, step="event_id")
-    return st.drained(out, _place(spark), "append").select("user_id", "event_id", F.round("y", 6).alias("y"))
+    out = st.state_space(_events(spark, sf_dir), "user_id", [-0.5, -0.1], [1, 0.5], [0.7, -0.2], 0.3, step="event_id")
+    return st.drained(out, place(spark, "stream"), "append").select("user_id", "event_id", rounded("y", 4).alias("y"))
+
+
+@query("SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def stream_upsert(spark, sf_dir):
+    """The last event of each user, kept by merging micro-batches by key."""
+    path = place(spark, "upsert")
+    stream = _events(spark, sf_dir).select("user_id", "event_id", "event_type", "value")
+    st.upsert(stream, f"{path}/table", f"{path}/state", ["user_id"], "event_id", 8).trigger(availableNow=True).start().awaitTermination()
+    return st.upserted(spark, f"{path}/table", stream.schema)

@@ -15,8 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def arrow_series(spark: SparkSession, path: str) -> DataFrame:
-    """path, batch, row, freq, variate, values of Arrow stream files with a target list column; a target of lists gives a row per variate. freq is the first batch's."""
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """path, content: what the decoders below go on with."""
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def arrow_rows(files: DataFrame) -> DataFrame:
+    """path, batch, row, freq, nested, variate, values of Arrow streams (path, content) with a target list column; a target of lists (nested) gives a row per variate.
+    freq is the first batch's."""
 
     def run(batches):
         for b in batches:
@@ -25,18 +31,30 @@ def arrow_series(spark: SparkSession, path: str) -> DataFrame:
                 for i, part in enumerate(pa.ipc.open_stream(pa.py_buffer(content.as_py()))):
                     if freq is None and "freq" in part.schema.names and part.num_rows:
                         freq = part.column("freq")[0].as_py()
-                    rows = []
+                    rows, nested = [], pa.types.is_list(part.schema.field("target").type.value_type)
                     for j, x in enumerate(part.column("target").to_pylist()):
-                        rows += [(name, i, j, freq, v, y) for v, y in enumerate(x if x and isinstance(x[0], list) else [x])]
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.float32())]
+                        rows += [(name, i, j, freq, nested, v, y) for v, y in enumerate(x if nested else [x])]
+                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.float32())]
                     if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "batch", "row", "freq", "variate", "values"])
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "batch", "row", "freq", "nested", "variate", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, batch long, row long, freq string, variate int, values array<float>")
+    return files.mapInArrow(run, "path string, batch long, row long, freq string, nested boolean, variate int, values array<float>")
 
 
-def npy_grids(spark: SparkSession, path: str) -> DataFrame:
-    """path, channel, values of .npy files with an array of channels by steps (or one channel)."""
+def arrow_series(spark: SparkSession, path: str) -> DataFrame:
+    return arrow_rows(files_of(spark, path))
+
+
+def arrow_items(rows: DataFrame) -> DataFrame:
+    """rows of arrow_rows() that belong to multivariate items: of each folder those before the first target without variates, in order of path, batch and row. A folder
+    that begins with one has no items."""
+    folder, at = F.regexp_replace("path", "/[^/]*$", ""), F.struct("path", "batch", "row")
+    flat = rows.where(~F.col("nested")).groupBy(folder.alias("_f")).agg(F.min(at).alias("_end"))
+    return rows.where("nested").join(flat, folder == F.col("_f"), "left").where(F.col("_end").isNull() | (at < F.col("_end"))).select(*rows.columns)
+
+
+def npy_rows(files: DataFrame) -> DataFrame:
+    """path, channel, values of .npy files (path, content) with an array of channels by steps (or one channel)."""
 
     def run(batches):
         for b in batches:
@@ -44,12 +62,20 @@ def npy_grids(spark: SparkSession, path: str) -> DataFrame:
                 grid = np.atleast_2d(np.load(io.BytesIO(content.as_py()), allow_pickle=False)).astype(np.float32)
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(grid)), pa.array(range(len(grid)), pa.int32()), pa.array(list(grid), pa.list_(pa.float32()))], ["path", "channel", "values"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, channel int, values array<float>")
+    return files.mapInArrow(run, "path string, channel int, values array<float>")
+
+
+def npy_grids(spark: SparkSession, path: str) -> DataFrame:
+    return npy_rows(files_of(spark, path))
 
 
 def csr_series(spark: SparkSession, path: str) -> DataFrame:
-    """subset, series_id, values of a folder of <subset>.values.npy and <subset>.offsets.npy."""
-    files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").where(F.col("name").rlike(r"\.(values|offsets)\.npy$"))
+    return csr_rows(files_of(spark, path))
+
+
+def csr_rows(files: DataFrame) -> DataFrame:
+    """subset, series_id, values of files (path, content) named <subset>.values.npy and <subset>.offsets.npy."""
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").where(F.col("name").rlike(r"\.(values|offsets)\.npy$"))
     pairs = files.select(F.regexp_extract("name", r"^(.*)\.(?:values|offsets)\.npy$", 1).alias("subset"), F.col("name").contains(".values.").alias("v"), "content")
     pairs = pairs.groupBy("subset").agg(F.max(F.when(F.col("v"), F.col("content"))).alias("values"), F.max(F.when(~F.col("v"), F.col("content"))).alias("offsets"))
 
@@ -81,8 +107,8 @@ def _members(name: str, content: bytes):
         yield name.rsplit("/", 1)[-1], content
 
 
-def archived_lines(spark: SparkSession, path: str) -> DataFrame:
-    """path, member, line_no, line of the text files in zip, tar, gz, xz and bz2 archives: what from_csv or the text readers go on with."""
+def archive_rows(files: DataFrame) -> DataFrame:
+    """path, member, line_no, line of the text files in zip, tar, gz, xz and bz2 archives (path, content): what from_csv or the text readers go on with."""
 
     def run(batches):
         for b in batches:
@@ -93,4 +119,8 @@ def archived_lines(spark: SparkSession, path: str) -> DataFrame:
                         part = lines[lo : lo + 10_000]
                         yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([member] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.string())], ["path", "member", "line_no", "line"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, member string, line_no long, line string")
+    return files.mapInArrow(run, "path string, member string, line_no long, line string")
+
+
+def archived_lines(spark: SparkSession, path: str) -> DataFrame:
+    return archive_rows(files_of(spark, path))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frequency import DEV_MULTI, DEV_SUBSETS, family, is_synthetic, rate_class
 from ..functions.scalars import finite
 from ..operators.clean import LEAST_OBSERVED, trim_array
+from ..operators.order import renumbered
 
 #: Observations of a subset after which no further batch is converted; subsets of which only the first shards are read, and how many (fixed values).
 CAP = 400_000_000
@@ -70,9 +71,9 @@ def merge(manifests: list[DataFrame]) -> DataFrame:
 
 
 def drop_series(series: DataFrame, listed: DataFrame) -> DataFrame:
-    """series without the listed (subset, series_id); ids are numbered anew per subset, in the old order."""
+    """series without the listed (subset, series_id); ids are numbered anew per subset, in the old order, range by range."""
     kept = series.join(listed.select("subset", "series_id").distinct(), ["subset", "series_id"], "left_anti")
-    return kept.withColumn("series_id", F.row_number().over(Window.partitionBy("subset").orderBy("series_id")).cast("long") - 1)
+    return renumbered(kept, ["subset"], "series_id")
 
 
 def rate_report(manifest: DataFrame, weights: dict[str, float]) -> DataFrame:

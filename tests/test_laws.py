@@ -373,14 +373,133 @@ def test_replay_in_the_engine(spark):
 
 @pytest.mark.parametrize("kind", sorted(synthetic.GENERATORS))
 def test_synthetic_series_are_finite_and_repeatable(kind):
-    a, b = (synthetic.make(kind, 700, 24.0, 5) for _ in range(2))
+    a, b = (synthetic.make(kind, 700, 20.0, 30.0, 5) for _ in range(2))
     assert a.dtype == np.float32 and len(a) == 700 and np.isfinite(a).all() and (a == b).all() and a.std() > 0
-    assert not (a == synthetic.make(kind, 700, 24.0, 6)).all()
+    assert not (a == synthetic.make(kind, 700, 20.0, 30.0, 6)).all()
 
 
 def test_synthetic_grid(spark):
-    rows = synthetic.generate(spark, "MS", 6, 1).collect()
-    assert [r["kind"] for r in rows] == synthetic.kinds("MS") + synthetic.kinds("MS")[: 6 - len(synthetic.kinds("MS"))] and all(len(r["values"]) == 240 for r in rows)
+    what = synthetic.specs(spark)
+    by = {}
+    for r in what.collect():
+        by.setdefault(r["freq"], {})[r["subset"].split("_")[1]] = r
+    assert set(by) == set(synthetic.GRID) and set(by["D"]) == {"tight", "wide", "intermittent", "arima", "regime", "calendar", "growth"} and set(by["10S"]) == {"tight", "wide", "ops", "arima", "regime"}
+    for freq, kinds in by.items():
+        shared = [kinds[k] for k in ("tight", "wide", "ops", "intermittent") if k in kinds]
+        assert {r["length"] for r in kinds.values()} == {synthetic.GRID[freq][0]} and {r["count"] for r in shared} == {synthetic.GRID[freq][1] // len(shared)}
+    small = what.where("freq IN ('M', 'H')").withColumn("length", F.lit(240))
+    a, b = (sorted(map(str, synthetic.generate(d, 1, 2).collect())) for d in (small, small.repartition(7)))
+    assert a == b and len(a) == 2 * 12
+    assert a != sorted(map(str, synthetic.generate(small, 2, 2).collect()))
+
+
+def test_mixed_windows_keep_their_weights_sum(spark):
+    manifest = spark.createDataFrame([("a", "H", 4000, 400), ("b", "H", 3000, 300)], "subset string, freq string, n_obs long, max_length long")
+    series = spark.createDataFrame([(s, i, 200 + i, [float(c)] * (200 + i)) for s, c in (("a", 5), ("b", -5)) for i in range(12)], "subset string, series_id long, n int, values array<double>")
+    d = sample.draw_windows(manifest, 80, 2, p_decimate=0.0, patch=8)
+    w = sample.drawn_windows(d, series, 16, 64, 8, seed=2)
+    got = sample.mix_windows(w, manifest, series, 16, 64, 8, 0.5, seed=2).collect()
+    assert len(got) == 80 and {r["parts"] for r in got} == {1, 2, 3}
+    for r in got:  # constant windows of size 1 after division: a mix lies between -1 and 1, and is flat
+        values = set(np.round(r["context"] + r["target"], 9))
+        assert len(values) == 1 and (values <= {5.0, -5.0} if r["parts"] == 1 else abs(values.pop()) <= 1 + 1e-9)
+    again = sample.mix_windows(sample.drawn_windows(d.repartition(5), series.repartition(3), 16, 64, 8, seed=2), manifest, series, 16, 64, 8, 0.5, seed=2)
+    assert sorted(map(str, again.collect())) == sorted(map(str, got))
+
+
+def test_series_are_drawn_by_length(spark):
+    series = spark.createDataFrame([("a", i * 700_000, 40 * (1 + i % 4), None) for i in range(40)] + [("b", 3, 10, None)], "subset string, series_id long, n int, values array<double>")
+    draws = spark.range(8000).select(F.col("id").alias("draw"), F.lit("a").alias("subset"), F.lit(2).alias("k")).unionByName(spark.range(8000, 8010).select(F.col("id").alias("draw"), F.lit("b").alias("subset"), F.lit(1).alias("k")))
+    got = sample.draw_series(draws, series, 16).collect()
+    assert len(got) == 8010 and {r["series_id"] for r in got if r["subset"] == "b"} == {3}  # too short, but all there is
+    n = {}
+    for r in got:
+        if r["subset"] == "a":
+            assert r["n"] == 40 * (1 + r["series_id"] // 700_000 % 4) and r["n"] // 2 >= 32
+            n[r["n"]] = n.get(r["n"], 0) + 1
+    total = sum(n.values())
+    assert set(n) == {80, 120, 160} and all(abs(c / total - size / 360) < 0.02 for size, c in n.items())
+
+
+def test_covariate_items_are_driven_by_their_covariates(spark):
+    manifest = spark.createDataFrame([("a", "H", 4000, 400)], "subset string, freq string, n_obs long, max_length long")
+    rng = np.random.default_rng(0)
+    series = spark.createDataFrame([("a", i, 200, rng.normal(size=200).tolist()) for i in range(12)], "subset string, series_id long, n int, values array<double>")
+    w = sample.drawn_windows(sample.draw_windows(manifest, 60, 2, patch=8), series, 16, 64, 8, seed=2)
+    shapes = (lambda z, b: z, lambda z, b: np.tanh(2 * z), lambda z, b: (z > 0).astype(float), lambda z, b: z * b)
+    pulses = real = 0
+    for r in sample.covariate_items(w, series, 4, 64, 8, seed=3).collect():
+        base, n = np.array(r["context"] + r["target"]), len(r["context"])
+        standard = lambda v: np.nan_to_num((v - np.nanmean(v[:n]) if np.isfinite(v[:n]).any() else v) / (np.nanstd(v[:n]) or 1.0))
+        y = np.zeros(len(base))
+        for x, kind, lag, a in zip(r["values"][1:], r["kinds"], r["lags"], r["weights"]):
+            x = np.array(x, float)
+            pulses, real = pulses + bool(set(x[np.isfinite(x)]) <= {0.0, 1.0}), real + bool(len(set(x)) > 2)
+            z = standard(x)
+            z = np.concatenate([np.full(lag, z[0]), z[: len(z) - lag]])
+            y = y + a * shapes[kind](z, standard(base))
+            assert 0 <= lag <= min(r["h"], 24)
+        assert np.array(r["values"][0]) == pytest.approx(base + base[:n].std() * y)
+    assert 0.4 < real / (real + pulses) < 0.8
+
+
+def test_batches_are_padded_and_flipped(spark):
+    manifest = spark.createDataFrame([("a", "H", 4000, 400), ("b", "D", 3000, 300)], "subset string, freq string, n_obs long, max_length long")
+    series = spark.createDataFrame([(s, i, 100 + i, [float(v) for v in range(1, 101 + i)]) for s in "ab" for i in range(12)], "subset string, series_id long, n int, values array<double>")
+    rows = sample.batches(manifest, series, 6, 10, 3, 64, 8, 40, seed=1, p_mix=0.3).collect()
+    assert sorted((r["batch"], r["b"]) for r in rows) == [(i, j) for i in range(6) for j in range(10)]
+    for r in rows:
+        assert len(r["x"]) == 64 and len(r["y"]) == r["horizon"] and all(v is None or v * r["sign"] > 0 for v in r["x"] + r["y"])
+        assert [v is None for v in r["x"]] == sorted((v is None for v in r["x"]), reverse=True) and [v is None for v in r["y"]] == sorted(v is None for v in r["y"])
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["batch"], r["b"] // 3), set()).add((r["subset"], r["k"], r["horizon"]))
+    assert all(len(g) == 1 for g in groups.values()) and len({r["horizon"] for r in rows}) > 1 and {r["sign"] for r in rows} == {-1.0, 1.0}
+
+
+def test_rates_are_pooled_and_finer_ones_read(spark):
+    x = np.sin(np.arange(400) * 2 * np.pi / 24) + 3
+    df = spark.createDataFrame([(1, 1, x.tolist()), (1, 2, (2 * x).tolist()), (2, 3, x[:300].tolist()), (3, 4, [None] * 30), (3, 5, [1.0, 2.0])], "g long, i long, context array<double>")
+    got = {r["i"]: r for r in forecast.mix_rates(df, "drift", 24, 24, (1, 2, 6, -2), pool=["g"]).collect()}
+    assert got[1]["weights"] == got[2]["weights"] and set(got[1]["weights"]) == {1, 2, 6, -2} and sum(got[1]["weights"].values()) == pytest.approx(1)
+    assert got[4]["quantiles"][0][4] is None and np.array(got[5]["quantiles"]).shape == (24, 9)
+    fine = forecast.mix_rates(df.where("i = 1"), "drift", 24, 24, (-4,)).first()
+    assert np.array(fine["quantiles"])[:, 4] == pytest.approx(np.array(forecast.forecast(df.where("i = 1"), "drift", 24, 24).first()["quantiles"])[:, 4])  # a line is the same line at any rate
+
+
+def test_the_knob_finds_the_cycle(spark):
+    x = np.sin(np.arange(600) * 2 * np.pi / 48)  # a cycle twice as long as the season says
+    r = forecast.knob(spark.createDataFrame([(1, x.tolist()), (2, [None] * 9)], "i long, context array<double>"), 48, 24).orderBy("i").collect()
+    assert r[0]["k"] == 2 and np.array(r[0]["forecast"]) == pytest.approx(np.sin(np.arange(600, 648) * 2 * np.pi / 48), abs=0.05) and r[1]["forecast"] == [None] * 48
+
+
+def test_blocks_with_a_filter_a_gate_and_a_network():
+    r = np.random.default_rng(2)
+    x = r.normal(size=(40, 6))
+    taps = r.normal(size=(3, 6))
+    slow = np.array([[sum(taps[2 - j, d] * x[t - j, d] for j in range(3) if t >= j) for d in range(6)] for t in range(40)])
+    assert recurrence.causal_filter(x, taps) == pytest.approx(slow)
+    w = {n: r.normal(0, 0.4, (6, 6)) for n in ("in_u", "in_z", "out", "q", "k", "v")} | {"a": np.array([-0.5 + 1j]), "b": np.array([1 + 0j]), "c": np.array([0.5 + 0j]), "taps": taps, "readout": np.zeros((6, 6)), "up": r.normal(size=(6, 12)), "down": np.zeros((12, 6))}
+    plain = recurrence.gated_block(x, {n: v for n, v in w.items() if n != "readout"})
+    assert recurrence.gated_block(x, w) - x == pytest.approx((plain - x) / 2)  # a gate of 0 lets half through
+    past = np.tril(np.ones((40, 40), bool))
+    y = x.copy()
+    y[30:] += 3
+    one_, two = (recurrence.attention_block(v, w, np.arange(40.0), past, 2) for v in (x, y))
+    assert one_[:30] == pytest.approx(two[:30]) and not np.allclose(one_[30:], two[30:])
+
+
+def test_running_sums_and_numbers_by_ranges(spark):
+    from chronoloom.operators.order import renumbered, running
+
+    rows = [(int(k), i) for i, k in enumerate(np.random.default_rng(1).integers(0, 50, 300))]
+    df = spark.createDataFrame(rows, "k long, i long").repartition(5)
+    got = running(df, F.col("k"), {"upto": F.col("i"), "n": F.lit(1)}, 8).collect()
+    assert all(r["upto"] == sum(i for k, i in rows if k <= r["k"]) and r["n"] == sum(k <= r["k"] for k, _ in rows) for r in got) and len(got) == 300
+    assert running(df.where("k < 0"), F.col("k"), {"n": F.lit(1)}).collect() == []
+    ids = spark.createDataFrame([(s, i * 37 % 101 * 5) for s in "ab" for i in range(101)], "s string, id long")
+    for r in renumbered(ids.withColumn("old", F.col("id")), ["s"], "id", 4).collect():
+        assert r["id"] == r["old"] // 5
 
 
 # Cleaning.

@@ -130,11 +130,26 @@ def test_running_frame_and_filter_equal_the_batch(spark, tmp_path):
         assert [r["y"] for r in y if r["series"] == k] == pytest.approx(recurrence.s4d_steps(x[k], *(np.array(p, complex) for p in poles), 0.3)[0].tolist())
 
 
-def test_upsert_is_idempotent(spark, tmp_path):
+def test_appended_batches_are_there_once(spark, tmp_path):
     df = spark.createDataFrame([(i % 3, i) for i in range(9)], "k long, v long")
     stream = st.replay(df, str(tmp_path / "in"), 3, "v")
     for _ in range(2):
-        q = st.upsert(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["k", "v"]).start()
+        q = st.append_once(stream, str(tmp_path / "out"), str(tmp_path / "ck"), ["k", "v"]).start()
         q.processAllAvailable()
         q.stop()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 9
+
+
+def test_upsert_merges_by_key(spark, tmp_path):
+    rows = [(i % 4, i, f"v{i}") for i in range(20)] + [(9, 20, "only"), (1, 5, "late")]
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "i long, k long, t long, v string")
+    stream = st.replay(df, str(tmp_path / "in"), 4, "i").select("k", "t", "v")
+    want = {}
+    for k, t, v in rows:
+        want[k] = max(want.get(k, (t, v)), (t, v))
+    for turn in range(2):  # the second time from the beginning, over the table that is there
+        q = st.upsert(stream, str(tmp_path / "out"), str(tmp_path / f"ck{turn}"), ["k"], "t", 3).start()
+        q.processAllAvailable()
+        q.stop()
+        got = st.upserted(spark, str(tmp_path / "out"), stream.schema).collect()
+        assert sorted((r["k"], r["t"], r["v"]) for r in got) == sorted((k, *x) for k, x in want.items())
