@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, maybe_in, modest_batches, small, spill
@@ -168,29 +168,48 @@ def _runs(batches, columns: int):
         yield held
 
 
+#: Rows of a list that are held to tell its size; a longer one's is counted apart.
+HELD = 1 << 16
+
+
 def _several(batches):
-    """Sorted (token, g, np) -> the rows of tokens with several groups, once each."""
-    held = None  # the last row, and whether its run has shown another group
+    """Sorted (token, g, np) -> the rows of tokens with several groups, once each, with their number (-1 for a list longer than HELD)."""
+    own, last, parts, count, long = None, None, [], 0, False  # the run that may go on: its token, last group, what is held of it, its rows
+
+    def rows(token, g, np_, size):
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(x, len(g)).astype(np.int64)) for x in (token, g, np_, size)], ["token", "g", "np", "size"])
+
+    def flush():
+        if parts and (long or count > 1):
+            yield rows(own, *(np.concatenate([p[i] for p in parts]) for i in range(2)), -1 if long else count)
+
     for b in batches:
         token, g, np_ = (b.column(i).to_numpy() for i in range(3))
         keep = np.ones(len(token), bool)  # without repeats, which lie side by side
         keep[1:] = (token[1:] != token[:-1]) | (g[1:] != g[:-1])
+        if len(token) and (token[0], g[0]) == (own, last):
+            keep[0] = False
         token, g, np_ = token[keep], g[keep], np_[keep]
-        linked = False
-        if held is not None and len(token):
-            (t, x, y), linked = held
-            if (token[0], g[0]) == (t, x):
-                token, g, np_ = token[1:], g[1:], np_[1:]
-            token, g, np_ = np.r_[t, token], np.r_[x, g], np.r_[y, np_]
         if not len(token):
             continue
-        same = token[1:] == token[:-1]
-        out = np.r_[linked, same] | np.r_[same, False]
-        held = (token[-1], g[-1], np_[-1]), bool(out[-1])
-        out[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (token, g, np_)], ["token", "g", "np"])
-    if held is not None and held[1]:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in held[0]], ["token", "g", "np"])
+        edges = np.r_[0, np.flatnonzero(token[1:] != token[:-1]) + 1, len(token)]
+        if token[0] == own:
+            parts.append((g[: edges[1]], np_[: edges[1]]))
+            count += int(edges[1])
+            edges = edges[1:]
+        if len(edges) > 1:  # the run before has ended, and so have all of these but the last
+            yield from flush()
+            size = np.repeat(np.diff(edges[:-1]), np.diff(edges[:-1]))
+            at = np.flatnonzero(size > 1) + edges[0]
+            if len(at):
+                yield rows(token[at], g[at], np_[at], size[size > 1])
+            own, parts, count, long = token[-1], [(g[edges[-2] :], np_[edges[-2] :])], int(edges[-1] - edges[-2]), False
+        last = g[-1]
+        if count > HELD:
+            long = True
+            yield from flush()
+            parts = []
+    yield from flush()
 
 
 #: Hubs with which each member of a block is paired first, members of a block on average, and of the blocks that meet two by two in what is left.
@@ -371,13 +390,16 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
 
     postings = full.where("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np")).repartition("token").sortWithinPartitions("token", "g")
-    lists = spill(postings.mapInArrow(_several, "token long, g long, np long"), "lists")
+    lists = spill(postings.mapInArrow(_several, "token long, g long, np long, size long"), "lists")
 
     # Each member with the hubs of its lists, the groups that share most with others, and each class of a group with the group's first.
-    sizes = spill(lists.groupBy("token").agg(F.count("*").alias("size")), "sizes")
-    sized = lists.join(sizes, "token")
-    sized = sized.join(sized.groupBy("g").agg(F.sum("size").alias("weight")), "g").select("token", "g", "np", "size", "weight")
-    lead, made = leads(sized, sizes.agg(F.max("size")).first()[0] or 0, percent)
+    sized, longest = lists, lists.agg(F.max("size")).first()[0] or 0
+    if lists.where("size < 0").limit(1).count():
+        sizes = lists.where("size < 0").groupBy("token").agg(F.count("*").alias("size"))
+        longest = max(longest, sizes.agg(F.max("size")).first()[0])
+        sized = lists.where("size > 0").unionByName(lists.where("size < 0").drop("size").join(sizes, "token"))
+    weight = F.sum("size").over(Window.partitionBy("g")).alias("weight")  # over a prefix's shingles
+    lead, made = leads(sized.select("token", "g", "np", "size", weight), longest, percent)
     lead = lead.join(groups.select(F.col("g").alias("lead"), F.col("lead_class").alias("a")), "lead").join(groups.select("g", F.col("lead_class").alias("b")), "g").select("a", "b")
     inner = classes.join(groups.where("classes > 1"), "g").where("cid <> lead_class").select(F.col("lead_class").alias("a"), F.col("cid").alias("b"))
     pairs = spill(lead.union(inner).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
@@ -395,7 +417,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     final = classes.join(linked, "cid", "left").where("copies > 1 OR component IS NOT NULL").select("s1", "s2", "first", F.coalesce("component", "cid").alias("component"))
     smallest = final.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("component_id"))
     final = spill(final.join(smallest, F.col("component") == F.col("c")).select("s1", "s2", "component", "component_id"), "components")
-    forget(classes, lists, sizes, pairs, links, known, named, rest, left, more, linked, *made)
+    forget(classes, lists, pairs, links, known, named, rest, left, more, linked, *made)
     out = told.select("doc_id", "own", "n", "s1", "s2").join(small(final), ["s1", "s2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("component").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "own", "component")
 

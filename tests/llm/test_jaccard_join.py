@@ -131,14 +131,28 @@ def test_bitmaps_never_rule_out_a_link(a, b):
         assert J.may_link(len(u), J.parity(u), len(v), J.parity(v), 80)
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 5)), max_size=60), st.integers(1, 7))
-def test_lists_with_several_groups_across_batches(rows, size):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 6), st.integers(0, 9)), max_size=80), st.integers(1, 9), st.integers(2, 12))
+def test_lists_with_several_groups_across_batches(rows, size, held):
     rows = sorted(rows)
     batches = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[k : k + size]], pa.int64()) for i in (0, 1, 1)], ["token", "g", "np"]) for k in range(0, len(rows), size)]
-    got = [(t, g) for b in J._several(batches) for t, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    before, J.HELD = J.HELD, held
+    try:
+        got = [x for b in J._several(batches) for x in zip(*(c.to_pylist() for c in b.columns))]
+    finally:
+        J.HELD = before
     distinct = sorted(set(rows))
-    assert got == [(t, g) for t, g in distinct if sum(x == t for x, _ in distinct) > 1]
+    n = {t: sum(x == t for x, _ in distinct) for t, _ in distinct}
+    assert [(t, g) for t, g, _, _ in got] == [(t, g) for t, g in distinct if n[t] > 1] and all(g == y for _, g, y, _ in got)
+    assert all(s == n[t] or s == -1 and n[t] > held for t, _, _, s in got)  # a list that one batch holds is never too long
+
+
+def test_lists_that_are_too_long_to_hold(spark, monkeypatch):
+    monkeypatch.setattr(J, "HELD", 4)
+    monkeypatch.setattr(J, "HOT_IN_ALL", 10**9)
+    base = [f"b{j}" for j in range(60)]
+    rows = [(i, " ".join(base[:30] + [f"e{i}"] + base[30:])) for i in range(40)]
+    assert rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))) == brute(rows)
 
 
 def test_shingles_are_words_not_bytes():
