@@ -86,10 +86,16 @@ def seasonal_lag(points: DataFrame, keys: list[str], season: int, h: int, step:
     return last.where(F.col("_at") < h).select(*keys, F.explode(turns).alias("_t"), "_at", "_m", value).select(*keys, (F.col("_at") + F.col("_t") * F.col("_m")).cast("int").alias("i"), value)
 
 
+#: Names that has_cousin() sends to every task.
+MOST_COUSINS = 10_000
+
+
 def has_cousin(datasets: DataFrame, cousins: DataFrame, stems: DataFrame) -> DataFrame:
     """dataset, cousin: yes if any stem contains one of the dataset's cousin names, no if none does, ? if the dataset isn't in cousins.
 
-    cousins: dataset, cousin (NULL for a dataset without any): a literal table of names, which is why it is broadcast against the stems."""
+    cousins: dataset, cousin (NULL for a dataset without any): names, MOST_COUSINS at most (more are an error), each of which meets every stem where that lies."""
+    if cousins.limit(MOST_COUSINS + 1).count() > MOST_COUSINS:
+        raise ValueError(f"more than {MOST_COUSINS} cousins")
     hit = stems.join(F.broadcast(cousins.where("cousin IS NOT NULL")), F.col("stem").contains(F.col("cousin"))).select("dataset").distinct().withColumn("_hit", F.lit(True))
     known = cousins.select("dataset").distinct().withColumn("_known", F.lit(True))
     out = datasets.join(known, "dataset", "left").join(hit, "dataset", "left")

@@ -39,9 +39,10 @@ def kernel(decays: str | Column, inputs: str | Column, outputs: str | Column, le
 
 
 def fold(values: str | Column, decays: str | Column, inputs: str | Column, outputs: str | Column, skip: float = 0.0) -> Column:
-    """y of x' = decay x + input u, y = output x' + skip u, from rest; a missing u counts as 0."""
+    """y of x' = decay x + input u, y = output x' + skip u, from rest; a missing u counts as 0. Steps are folded in blocks of the root of their number, as appending to
+    an array copies it."""
     poles = F.arrays_zip(col(decays).alias("a"), col(inputs).alias("b"))
-    start = F.struct(F.transform(col(decays), lambda _: F.lit(0.0)).alias("x"), F.array().cast("array<double>").alias("y"))
+    none = F.array().cast("array<double>")
 
     def step(s: Column, u: Column) -> Column:
         v = F.coalesce(u, F.lit(0.0))
@@ -49,11 +50,20 @@ def fold(values: str | Column, decays: str | Column, inputs: str | Column, outpu
         y = F.aggregate(F.zip_with(x, col(outputs), lambda x, c: x * c), F.lit(0.0), lambda t, z: t + z) + skip * v
         return F.struct(x.alias("x"), F.array_append(s["y"], y).alias("y"))
 
-    return F.aggregate(col(values), start, step, lambda s: s["y"])
+    def folded(u: Column, width: Column) -> Column:
+        def block(s: Column, i: Column) -> Column:
+            done = F.aggregate(F.slice(u, i * width + 1, width), F.struct(s["x"].alias("x"), none.alias("y")), step)
+            return let(done, lambda d: F.struct(d["x"].alias("x"), F.array_append(s["y"], d["y"]).alias("y")))
+
+        start = F.struct(F.transform(col(decays), lambda _: F.lit(0.0)).alias("x"), F.array().cast("array<array<double>>").alias("y"))
+        blocks = F.sequence(F.lit(0), F.ceil(F.size(u) / width).cast("int") - 1)
+        return F.when(F.size(u) == 0, none).otherwise(F.flatten(F.aggregate(blocks, start, block, lambda s: s["y"])))
+
+    return let(col(values), lambda u: let(F.greatest(F.ceil(F.sqrt(F.size(u).cast("double"))).cast("int"), F.lit(1)), lambda w: folded(u, w)))
 
 
 def convolve(values: str | Column, response: str | Column, skip: float = 0.0) -> Column:
-    """Causal convolution as a double loop over arrays: the definition."""
+    """Causal convolution as a double loop over arrays: the definition, for responses and series of some hundred steps; filter_series() does it by FFT for any length."""
 
     def summed(u: Column, r: Column) -> Column:
         return F.transform(F.sequence(F.lit(0), F.size(u) - 1), lambda t: F.aggregate(F.sequence(F.lit(0), t), skip * F.get(u, t), lambda s, j: s + F.get(r, j) * F.get(u, t - j)))
