@@ -140,7 +140,7 @@ x AS (SELECT *, s >= 24 AS ops, unit IN ('D', 'W', 'M', 'Q') AS rare FROM g),
 r AS (SELECT 'tight' AS name, 'template' AS kind, * FROM x UNION ALL SELECT 'wide', 'template', * FROM x UNION ALL SELECT 'ops', 'ops', * FROM x WHERE ops UNION ALL SELECT 'intermittent', 'intermittent', * FROM x WHERE rare UNION ALL SELECT 'arima', 'arima', * FROM x
   UNION ALL SELECT 'regime', 'regimes', * FROM x UNION ALL SELECT 'calendar', 'calendar', * FROM x WHERE unit IN ('T', 'H', 'D') UNION ALL SELECT 'growth', 'growth', * FROM x WHERE unit IN ('D', 'W', 'M', 'Q', 'A'))
 SELECT 'synth_' || name || '_' || freq AS subset, freq, kind, length, round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN greatest(2.0, s / 1.15::DOUBLE) WHEN name = 'wide' THEN greatest(2.0, s / 4) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS low,
-  round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN s * 1.15::DOUBLE WHEN name = 'wide' THEN least(s * 8, length / 2.0::DOUBLE) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS high, cnt // (2 + CAST(ops AS INT) + CAST(rare AS INT)) AS count FROM r""")
+  round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN s * 1.15::DOUBLE WHEN name = 'wide' THEN least(s * 8, length / 2.0::DOUBLE) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS high, CAST(cnt // (2 + CAST(ops AS INT) + CAST(rare AS INT)) AS BIGINT) AS count FROM r""")
 def synthetic_grid(spark, sf_dir):
     """What is to be made: subsets with their generators, lengths, periods and numbers of series."""
     return synthetic.specs(spark).select("subset", "freq", "kind", "length", rounded("low").alias("low"), rounded("high").alias("high"), "count")
