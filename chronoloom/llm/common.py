@@ -7,8 +7,6 @@ import shutil
 import tempfile
 import uuid
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -141,27 +139,31 @@ def running(df: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
     return dealt.join(per, F.col(part) == F.col(own)).select(*kept, *((F.sum(n).over(upto) + F.col(f"{n}{own}")).alias(n) for n in sums))
 
 
-#: Words of 64 bits of a membership filter (8 MB, whatever the input's size).
+#: Words of 64 bits of a filter (16 MB as a table that is sent to every task, whatever the input's size).
 FILTER_WORDS = 1 << 20
 
 
-def membership(keys: DataFrame, column: str):
-    """A function of a column that tells which values may be among keys' column (never misses one): a bitmap of fixed size, sent to every task."""
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
-    words = keys.select(bit(F.col(column)).alias("b")).select((F.col("b") / 64).cast("long").alias("w"), F.expr("shiftleft(1L, cast(b % 64 AS INT))").alias("x"))
-    got = words.groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()
-    bits = np.zeros(FILTER_WORDS, np.int64)
-    bits[got.column("w").to_numpy()] = got.column("x").to_numpy()
-    sent = keys.sparkSession.sparkContext.broadcast(bits)
+class Filter:
+    """Which values may be among keys' column: a bitmap of fixed size that never misses one, as a table of its words, looked up by a broadcast join. Columns of rows,
+    texts among them, stay in the JVM and out of any buffer."""
 
-    @F.pandas_udf("boolean")
-    def found(b: pd.Series) -> pd.Series:
-        at = b.to_numpy()
-        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+    def __init__(self, keys: DataFrame, column: str):
+        bit = keys.select(self._bit(F.col(column)).alias("b"))
+        words = bit.select(F.shiftright("b", 6).alias("w"), F.expr("shiftleft(1L, cast(b & 63 AS INT))").alias("x"))
+        self.words = spill(words.groupBy("w").agg(F.bit_or("x").alias("x")), "filter")
 
-    return lambda c: found(bit(c))
+    @staticmethod
+    def _bit(c: Column) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(FILTER_WORDS * 64))
+
+    def split(self, df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+        """df's rows whose column may be among the keys, and those whose isn't."""
+        w, x, b = no_clash(df, "_w", "_x", "_b")
+        marked = df.withColumn(b, self._bit(F.col(column))).join(F.broadcast(self.words.toDF(w, x)), F.shiftright(b, 6) == F.col(w), "left")
+        there = F.expr(f"coalesce(shiftrightunsigned(`{x}`, cast(`{b}` & 63 AS INT)) & 1 = 1, false)")
+        return tuple(marked.where(there if inside else ~there).select(*(F.col(f"`{c}`") for c in df.columns)) for inside in (True, False))
 
 
 def maybe_in(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """df's rows whose column may be among keys (a superset of a semi join; a join must follow): spares the shuffle most other rows."""
-    return df.where(membership(keys, column)(F.col(column)))
+    return Filter(keys, column).split(df, column)[0]

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, membership, modest_batches, no_clash, spill
+from .common import Filter, forget, modest_batches, no_clash, spill
 from .textkit import release
 
-#: Keys in a shard on average, shards at most (beyond, shards grow: about 10 bytes a key), and probes in a group on average.
+#: Keys in a shard at most on average, shards at most (beyond, shards grow: about 10 bytes a key), and probes in a group on average.
 SHARD_KEYS, MOST_SHARDS, PROBES = 1 << 15, 1 << 16, 1 << 16
 _BLANK = b" \t\n\x0b\x0c\r"
 _U = np.uint64
@@ -122,10 +122,11 @@ def probes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text).mapInArrow(run, "h1 long, h2 long, doc_id long, own long")
 
 
-def index(keys: DataFrame, min_docs: int) -> DataFrame:
-    """keys (h1, h2, n, keeper): distinct hashes -> shard, its number of probes, and its arrays (see Shard). Shards are told by the first bits of h1."""
-    total, shards = keys.count(), 1
-    while shards * SHARD_KEYS < total and shards < MOST_SHARDS:
+def index(keys: DataFrame, most: int, min_docs: int) -> tuple[DataFrame, int]:
+    """keys (h1, h2, n, keeper): distinct hashes, most at most -> shard, its number of probes, and its arrays (see Shard); and the number of shards, which the first
+    bits of h1 tell."""
+    shards = 1
+    while shards * SHARD_KEYS < most and shards < MOST_SHARDS:
         shards *= 2
 
     def run(part: pa.Table) -> pa.Table:
@@ -175,26 +176,26 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min
     """
     modest_batches(docs.sparkSession)
     asked = spill(probes(docs, doc_id, text, min_chars), "probes")
-    keys = spill(asked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")), "lines")
-    arrays, n = index(keys, min_docs)
+    keys = asked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    arrays, n = index(keys, asked.count(), min_docs)
     arrays = spill(arrays, "shards")
     gone = losses(asked, arrays, n, min_docs)
     hashes = F.collect_set(F.struct("h1", "h2")).alias("hashes")
     gone = spill(gone.groupBy("doc_id", "own").agg(hashes).withColumn("key", F.xxhash64("doc_id", "own")), "gone")
-    forget(asked, keys, arrays)
+    forget(asked, arrays)
 
     out = [c for c in docs.columns if c.lower() not in (n_lines.lower(), n_dropped.lower())]
     at_id, at_text = [next(i for i, c in enumerate(out) if c.lower() == x.lower()) for x in (doc_id, text)]
     key, own, its_id, its_own, its_key, its_hashes, one, two = no_clash(docs, "_key", "_own", "_id", "_own_2", "_key_2", "_hashes", "_h1", "_h2")
     rows = docs.select(*(F.col(f"`{c}`") for c in out)).withColumn(own, F.xxhash64(F.col(f"`{out[at_text]}`"))).withColumn(key, F.xxhash64(F.col(f"`{out[at_id]}`").cast("long"), own))
-    loses = membership(gone, "key")(F.col(key))
+    loses, others = Filter(gone, "key").split(rows, key)
     whole = F.coalesce(F.col(f"`{out[at_text]}`"), F.lit(""))
     breaks = F.char_length(whole) - F.char_length(F.replace(whole, F.lit("\n"), F.lit("")))
     schema = T.StructType([*(T.StructField(c, T.StringType() if i == at_text else docs.schema[c].dataType) for i, c in enumerate(out)), T.StructField(n_lines, T.LongType()), T.StructField(n_dropped, T.LongType())])
-    untouched = rows.where(~loses).select(*(whole.alias(c) if i == at_text else F.col(f"`{c}`") for i, c in enumerate(out)), (breaks + 1).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_dropped))
+    untouched = others.select(*(whole.alias(c) if i == at_text else F.col(f"`{c}`") for i, c in enumerate(out)), (breaks + 1).cast("long").alias(n_lines), F.lit(0).cast("long").alias(n_dropped))
 
     met = F.col(key).eqNullSafe(F.col(its_key)) & F.col(own).eqNullSafe(F.col(its_own)) & F.col(f"`{out[at_id]}`").cast("long").eqNullSafe(F.col(its_id))
-    joined = rows.where(loses).join(gone.toDF(its_id, its_own, its_hashes, its_key), met, "left").select(*(F.col(f"`{c}`") for c in out), F.col(f"{its_hashes}.h1").alias(one), F.col(f"{its_hashes}.h2").alias(two))
+    joined = loses.join(gone.toDF(its_id, its_own, its_hashes, its_key), met, "left").select(*(F.col(f"`{c}`") for c in out), F.col(f"{its_hashes}.h1").alias(one), F.col(f"{its_hashes}.h2").alias(two))
 
     def cut(batches):
         for b in (whole_.slice(i, 500) for whole_ in batches for i in range(0, whole_.num_rows, 500)):

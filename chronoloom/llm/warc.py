@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import forget, membership, modest_batches, small, spill, uniform
+from .common import Filter, forget, modest_batches, small, spill, uniform
 
 #: Magic of the skippable frame that holds the dictionary, and of the closing one (fixed values of the format).
 DICTIONARY_MAGIC, CLOSING_MAGIC, FRAME_MAGIC = 0x184D2A5D, 0x184D2A50, 0xFD2FB528
@@ -167,16 +167,16 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
     narrow = spill(rows.select("page_id", "uri", "digest", F.length("payload").cast("long").alias("n")), "digests")
     known = narrow.where(F.col("n") >= least).groupBy("digest").agg(F.count("*").alias("copies"), F.max("page_id").alias("last")).where("copies > 1")
     known = spill(known.select("digest", "last"), "known")
-    again = membership(known, "digest")  # of fixed size; what it takes for repeated, though it isn't, is decided by the join below
-    told = narrow.where(again(F.col("digest"))).join(small(known.withColumnRenamed("digest", "d")), F.col("digest") == F.col("d"), "left")
+    again = Filter(known, "digest")  # of fixed size; what it takes for repeated, though it isn't, is decided by the join below
+    told = again.split(narrow, "digest")[0].join(small(known.withColumnRenamed("digest", "d")), F.col("digest") == F.col("d"), "left")
     told = told.withColumn("again", F.col("d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("last")))
     told = spill(told.select("page_id", "uri", "digest", "n", "last", "again"), "told")
     first = spill(told.where("NOT again").select(F.xxhash64("digest", "page_id").alias("key"), F.col("digest").alias("d"), F.col("page_id").alias("id")).distinct(), "first")
-    may_be_first = membership(first, "key")
+    may_be_first = Filter(first, "key")
 
     none = F.lit(None).cast("long")
-    alone = rows.where(~again(F.col("digest")))
-    moved = rows.withColumn("own", F.xxhash64("digest", "page_id")).where(again(F.col("digest")) & may_be_first(F.col("own")))
+    repeated, alone = again.split(rows, "digest")
+    moved = may_be_first.split(repeated.withColumn("own", F.xxhash64("digest", "page_id")), "own")[0]
     moved = moved.join(first, (F.col("own") == F.col("key")) & (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("id")), "left_semi")
     columns = ["page_id", "uri", "payload", "digest"]
     responses = alone.select(*columns).union(moved.select(*columns)).select(*columns, F.length("payload").cast("long").alias("n"), none.alias("last"), F.lit(False).alias("again"))
@@ -201,7 +201,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
 
     out = responses.union(revisits).mapInArrow(run, "archive binary")
     out.select(F.col("archive").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
-    forget(narrow, known, told, first)
+    forget(narrow, known, told, first, again.words, may_be_first.words)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -2,8 +2,10 @@ import hashlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from chronoloom.llm import line_dedup as L
 
@@ -66,15 +68,30 @@ def test_a_high_least_number_of_documents(spark):
 
 
 def test_nothing_per_line_comes_to_the_driver(spark, monkeypatch):
-    from chronoloom.llm import common
-
     monkeypatch.setattr(L, "SHARD_KEYS", 16)
     rows = [(i, "\n".join(f"common line number {j:05d} of them" for j in range(2000))) for i in range(4)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    sizes, put = [], type(spark.sparkContext).broadcast
-    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, x: sizes.append(getattr(x, "nbytes", 0)) or put(self, x))
-    assert rows_of(L.dedup_lines(df)) == brute(rows)
-    assert max(sizes) <= 8 * common.FILTER_WORDS
+    sent, kind = [], type(spark.sparkContext)
+    put = kind.broadcast
+    monkeypatch.setattr(kind, "broadcast", lambda self, x: sent.append(x) or put(self, x))
+    for name in ("collect", "toPandas", "toArrow", "first"):
+        monkeypatch.setattr(type(df), name, lambda self, *a: pytest.fail("rows come to the driver"))
+    out = L.dedup_lines(df)
+    monkeypatch.undo()
+    assert not sent and rows_of(out) == brute(rows)
+
+
+def test_filters_never_miss(spark):
+    from chronoloom.llm.common import Filter
+
+    keys = spark.range(0, 3000, 3).select(F.col("id").alias("k"))
+    df = spark.range(3000).select(F.col("id").alias("k"), F.lit("x").alias("_w"))
+    inside, outside = Filter(keys, "k").split(df, "k")
+    got = {r["k"] for r in inside.collect()}
+    assert got >= set(range(0, 3000, 3)) and len(got) < 1100 and inside.columns == df.columns
+    assert {r["k"] for r in outside.collect()} == set(range(3000)) - got
+    inside, outside = Filter(keys.where("k < 0"), "k").split(df, "k")
+    assert inside.count() == 0 and outside.count() == 3000
 
 
 def pair(values):
