@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoloom.llm import jaccard_join, language_id, line_dedup, mixing, packing
-from chronoloom.llm.common import membership, no_clash, small, spill, sweep, table, written
+from chronoloom.llm.common import Filter, no_clash, small, spill, sweep, table, written
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,10 @@ def no_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
     key, own, its_key, its_id, its_own, stays = no_clash(docs, "_key", "_own", "_key_2", "_id_2", "_own_2", "_stays")
     rows = docs.withColumn(own, F.xxhash64("text")).withColumn(key, F.xxhash64(F.col("doc_id").cast("long"), own))
-    concerned = membership(told, "key")(F.col(key))
+    concerned, others = Filter(told, "key").split(rows, key)
     same = (F.col(key) == F.col(its_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(its_id)) & (F.col(own) == F.col(its_own))
-    met = rows.where(concerned).join(small(told.select("key", "doc_id", "own", "stays").toDF(its_key, its_id, its_own, stays)), same, "left")
-    out = rows.where(~concerned).unionByName(met.where(F.col(stays).isNull()).select(*rows.columns)).select(*docs.columns)
+    met = concerned.join(small(told.select("key", "doc_id", "own", "stays").toDF(its_key, its_id, its_own, stays)), same, "left")
+    out = others.unionByName(met.where(F.col(stays).isNull()).select(*rows.columns)).select(*docs.columns)
     if told.where("stays").limit(1).count():
         whole = F.struct(*docs.columns)
         one = met.where(F.col(stays)).groupBy(key, its_id, own).agg(F.min_by(whole, F.xxhash64(F.to_json(whole))).alias(stays))
