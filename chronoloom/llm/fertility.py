@@ -30,6 +30,8 @@ MEASURES = {"chars_per_token": (0.005, 0.05, 0.25, 2.0), "byte_share": (0.001, 0
 #: Reach of a band in robust deviations (1.4826 times the median distance from the median). In a text of n tokens it is 1 + SHORT / sqrt(n) times as wide. The
 #: band of all languages is for those too rare for one of their own; it spans whole languages and so is wider.
 REACH, REACH_OF_ALL, SHORT = 3.0, 6.0, 7.0
+#: Byte tokens below which their share says nothing.
+FEWEST = 6
 #: The column that a measure's band holds for.
 JUDGED = {m: m for m in MEASURES} | {"entropy_share": "_entropy"}
 #: Documents of a language below which the bands of all documents together hold for it.
@@ -186,7 +188,8 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 
     Words are [^\\x20\\x09-\\x0D]+ of the whole text (null: none). base_failed: fewer than 10 words, or over 20 % of the words in repeated 5-word windows; the measures
     of such documents are null. kept: not base_failed, and every measure within its language's band: the median and REACH robust deviations, at least the reach
-    in MEASURES, over all documents that pass the base rules; short texts get wider bands, and entropy_share is held against texts of like length. Languages with
+    in MEASURES, over all documents that pass the base rules; short texts get wider bands, fewer than FEWEST byte
+    tokens are let pass, and entropy_share is held against texts of like length. Languages with
     fewer than LEAST_DOCS such documents use the wider bands of all. Equal rows count each and get equal verdicts; a value on the band's edge is kept; very long
     texts are measured whole; other columns are ignored; no rows give no rows. The vocabulary files at path are read by the driver and sent along.
     """
@@ -203,6 +206,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     for m, (*_, up) in MEASURES.items():
         mid, reach = (F.coalesce(F.col(f"{m}_{x}"), F.lit(common[f"{m}_{x}"] if common else None).cast("double")) for x in ("mid", "reach"))
         value = F.col(JUDGED[m])
-        broken.append(F.when((value < mid - reach * wider) | (value > mid + up * reach * wider), F.lit(m)))
+        outside = (value < mid - reach * wider) | (value > mid + up * reach * wider)
+        broken.append(F.when(outside & (F.round(value * F.col("n_tokens")) >= FEWEST) if m == "byte_share" else outside, F.lit(m)))
     reason = F.coalesce(*broken)
     return told.withColumn("reason", reason).withColumn("kept", ~F.col("base_failed") & F.col("reason").isNull()).drop("_entropy", *columns)

@@ -123,7 +123,7 @@ def slow_reasons(rows):
         for m, (*_, up) in Fe.MEASURES.items():
             mid, reach = band(values if rare else langs[g], m, rare)
             wider = 1 + Fe.SHORT / math.sqrt(max(n, 1))
-            if reason is None and not mid - reach * wider <= v[m] <= mid + up * reach * wider:
+            if reason is None and not mid - reach * wider <= v[m] <= mid + up * reach * wider and (m != "byte_share" or round(v[m] * n) >= Fe.FEWEST):
                 reason = m
         out.append(reason)
     return out
