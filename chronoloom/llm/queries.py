@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collision_search, fertility, jaccard_join, language_id, line_dedup, mixing, packing, secrets, sharding, warc
+from . import byte_pairs, collision_search, fertility, importance, jaccard_join, language_id, line_dedup, mixing, packing, secrets, sharding, spelling, warc
 from .common import scratch_path, table
 
 
@@ -61,10 +61,34 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_tokeniser_fertility, op3_best_fit_packing, op4_warc_zstandard, op5_collision_counting, op6_markov_secrets, op7_output_codes, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join)}
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = importance.resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return told.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_byte_pair_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = byte_pairs.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    told = coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), "ids")
+    return byte_pairs.decode(told, keep=["doc_id", "n_tokens", "ids_sha256"]).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_sampled_splitters, op2_tokeniser_fertility, op3_best_fit_packing, op4_warc_zstandard, op5_collision_counting, op6_markov_secrets, op7_output_codes, op8_pareto_mixing, op9_line_dedup, op10_ngram_jaccard_join, op11_importance_resampling, op12_byte_pair_codes, op13_spelling_variants)}
 
 _BLANK = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL of the unsigned crc32 of a string's UTF-8 bytes, bit by bit: each byte is followed by eight shifts."""
+    octet = f"CAST('0x' || substr(hex({text}), CAST(2 * i + 1 AS INT), 2) AS BIGINT)"
+    steps = f"flatten(list_transform(range(strlen({text})), lambda i: list_prepend({octet}, [-1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {steps}), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"
+
+
 ORACLES: dict[str, str] = {
     "op4_warc_zstandard": r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
@@ -121,4 +145,34 @@ sides AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
 r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, sides.y FROM r JOIN sides ON sides.x = r.reached),
 m AS (SELECT node, min(reached) AS component_id FROM r GROUP BY node)
 SELECT n.doc_id, n.n AS n_shingles, m.component_id FROM n JOIN m ON m.node = n.doc_id""",
+    "op11_importance_resampling": rf"""
+WITH words AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents),
+aims AS (SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark),
+bucket AS (SELECT w, {_crc32("w")} % 10000 AS b FROM (SELECT w FROM words UNION SELECT w FROM aims)),
+held AS (SELECT doc_id, b, count(*) AS n FROM words JOIN bucket USING (w) GROUP BY ALL),
+s AS (SELECT b, sum(n) AS s FROM held GROUP BY b), t AS (SELECT b, count(*) AS t FROM aims JOIN bucket USING (w) GROUP BY b),
+all_s AS (SELECT coalesce(sum(s), 0) AS ss FROM s), all_t AS (SELECT coalesce(sum(t), 0) AS tt FROM t),
+gains AS (SELECT b, CAST(floor(1000 * ln((CAST(coalesce(t, 0) AS DOUBLE) + 1) * (CAST(ss AS DOUBLE) + 10000) / ((CAST(s AS DOUBLE) + 1) * (CAST(tt AS DOUBLE) + 10000)))) AS BIGINT) AS gain FROM s LEFT JOIN t USING (b), all_s, all_t),
+per AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS w FROM held JOIN gains USING (b) GROUP BY doc_id),
+weighed AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, CASE WHEN n_features > 0 THEN (w - ((w % n_features) + n_features) % n_features) // n_features ELSE 0 END AS weight,
+  (CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296 AS u FROM documents LEFT JOIN per USING (doc_id)),
+scored AS (SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(weight + floor(-1000 * ln(-ln(u))) AS BIGINT) AS score FROM weighed),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS r, count(*) FILTER (WHERE n_features >= 20) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND r <= 10 * n // 100 THEN r END AS rank FROM ranked""",
+    "op13_spelling_variants": rf"""
+WITH RECURSIVE runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run FROM documents),
+low AS (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM runs) WHERE length(w) >= 6 GROUP BY ALL),
+hashed AS (SELECT w, n, {_crc32("(doc_id || ':' || w)")} AS h FROM low),
+varied AS (SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) + 2 AS INT)) ELSE w END AS word, n FROM hashed),
+vocab AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM varied WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+less AS (SELECT word, n, i, left(word, CAST(i AS INT)) || substr(word, CAST(i + 2 AS INT)) AS d FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocab)),
+near AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN vocab b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN vocab b ON a.d = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM near GROUP BY word),
+first AS (SELECT near.word, min(near) AS near FROM near JOIN best ON near.word = best.word AND near.m = best.m GROUP BY near.word),
+told AS (SELECT vocab.word, vocab.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 5 * vocab.n THEN near END AS form, CASE WHEN m >= 5 * vocab.n THEN m END AS form_n
+  FROM vocab LEFT JOIN best ON best.word = vocab.word LEFT JOIN first ON first.word = vocab.word),
+path AS (SELECT word, word AS at FROM told UNION ALL SELECT path.word, told.form FROM path JOIN told ON told.word = path.at WHERE told.form IS NOT NULL)
+SELECT told.word, told.form, path.at AS root, told.n, told.n_near, told.form_n FROM told JOIN path ON path.word = told.word JOIN told AS final ON final.word = path.at AND final.form IS NULL""",
 }

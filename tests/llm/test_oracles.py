@@ -9,7 +9,7 @@ from chronoloom.llm import queries
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_query_equals_sql(spark, sf, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     cur = con.execute(queries.ORACLES[name])
     names = [d[0] for d in cur.description]
