@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frequency import group_keys
 from ..functions.scalars import geomean
 
 GROUPS = ("term", "horizon", "freq", "variates", "cousin", "domain")
+#: Terms in the order of a report (fixed values).
+TERMS = ("short", "medium", "long")
 
 
 def ratios(ours: DataFrame, baseline: DataFrame, key: str = "config") -> DataFrame:
@@ -43,6 +45,14 @@ def report(own: DataFrame, rival: DataFrame, described: DataFrame, key: str = "c
     return out.select(by.alias("by"), grp.alias("grp"), "n", "crps", "mase", "vs_rival", "wins", "both")
 
 
+def in_print_order(rows: DataFrame, terms: tuple[str, ...] = TERMS) -> DataFrame:
+    """report()'s rows with place (from 1), the order in which they are printed: groupings in the order of GROUPS, the whole last; terms in their fixed order, other groups by falling size, then
+    by name. A report has a row a group, so one task orders it."""
+    by = F.array_position(F.array(*map(F.lit, (*GROUPS, "all"))), F.col("by"))
+    term = F.when(F.col("by") == "term", F.array_position(F.array(*map(F.lit, terms)), F.col("grp"))).otherwise(0)
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(by, term, F.desc("n"), "grp")))
+
+
 def describe(configs: DataFrame) -> DataFrame:
     """config with the columns of GROUPS, from config, prediction_length, num_variates, domain, cousin."""
     return configs.select("config", *group_keys())

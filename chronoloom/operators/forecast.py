@@ -291,16 +291,3 @@ def quantile_head(tokens: np.ndarray, queries: np.ndarray, w: dict, patch: int,
     width, mid = np.log1p(np.exp(-np.abs(raw))) + np.maximum(raw, 0), levels // 2
     below, above = np.cumsum(width[:, :mid][:, ::-1], 1)[:, ::-1], np.cumsum(width[:, mid + 1 :], 1)
     return np.concatenate([raw[:, mid : mid + 1] - below, raw[:, mid : mid + 1], raw[:, mid : mid + 1] + above], 1)[: len(queries) * patch]
-
-
-def save_model(spark, path: str, parameters: dict[str, np.ndarray]) -> None:
-    """Coefficient arrays as a table: name, shape, values."""
-    spark.createDataFrame([(k, list(map(int, np.shape(v))), np.ravel(v).astype(float).tolist()) for k, v in parameters.items()], "name string, shape array<int>, values array<double>").coalesce(1).write.mode("overwrite").parquet(path)
-
-
-def load_model(spark, path: str, expected: set[str] | None = None) -> dict[str, np.ndarray]:
-    """The arrays; names that are missing or unexpected are an error. A model is small by nature: its coefficients come to the driver."""
-    got = {r["name"]: np.array(r["values"]).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
-    if expected is not None and set(got) != expected:
-        raise ValueError(f"missing {sorted(expected - set(got))}, unexpected {sorted(set(got) - expected)}")
-    return got

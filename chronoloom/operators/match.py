@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -86,17 +87,47 @@ def seasonal_lag(points: DataFrame, keys: list[str], season: int, h: int, step:
     return last.where(F.col("_at") < h).select(*keys, F.explode(turns).alias("_t"), "_at", "_m", value).select(*keys, (F.col("_at") + F.col("_t") * F.col("_m")).cast("int").alias("i"), value)
 
 
-#: Names that has_cousin() sends to every task.
-MOST_COUSINS = 10_000
+#: Bytes of names up to which found_in() sends an automaton of them to every task, and letters of a name's beginning by which it joins more of them.
+AUTOMATON_BYTES, BEGINNING = 16 << 20, 4
+
+
+def found_in(names: DataFrame, texts: DataFrame, name: str, text: str) -> DataFrame:
+    """The distinct names that are part of any of the texts. Names up to AUTOMATON_BYTES become an Aho-Corasick automaton that passes over each text once; more are
+    joined by their beginnings with the texts' runs of as many letters, and then compared. The empty name is part of every text; nulls are part of none."""
+    wanted = names.select(F.col(name).alias("_name")).where("_name IS NOT NULL").distinct()
+    there = texts.select(F.col(text).alias("_text")).where("_text IS NOT NULL")
+    if (wanted.agg(F.sum(F.octet_length("_name") + 8)).first()[0] or 0) > AUTOMATON_BYTES:
+        begins = wanted.withColumn("_size", F.least(F.char_length("_name"), F.lit(BEGINNING))).withColumn("_begin", F.expr("left(_name, _size)"))
+        run = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("_text"), F.lit(1))), lambda i: F.substring(F.col("_text"), i, F.col("_size"))))
+        runs = there.crossJoin(F.broadcast(begins.select("_size").distinct())).select("_text", run.alias("_run")).distinct()  # a row a size, BEGINNING + 1 at most
+        return runs.join(begins, (F.col("_run") == F.col("_begin")) & F.col("_text").contains(F.col("_name"))).select(F.col("_name").alias(name)).distinct()
+    listed = [r[0] for r in wanted.collect()]  # bounded by the sum above
+
+    def search(batches):
+        import ahocorasick
+
+        automaton, seen = ahocorasick.Automaton(), set()
+        for w in listed:
+            if w:
+                automaton.add_word(w, w)
+        if len(automaton):
+            automaton.make_automaton()
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                if len(automaton):
+                    seen.update(w for _, w in automaton.iter(t))
+                if "" in listed:
+                    seen.add("")
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.string())], ["_name"])
+
+    return there.mapInArrow(search, "_name string").distinct().select(F.col("_name").alias(name))
 
 
 def has_cousin(datasets: DataFrame, cousins: DataFrame, stems: DataFrame) -> DataFrame:
     """dataset, cousin: yes if any stem contains one of the dataset's cousin names, no if none does, ? if the dataset isn't in cousins.
 
-    cousins: dataset, cousin (NULL for a dataset without any): names, MOST_COUSINS at most (more are an error), each of which meets every stem where that lies."""
-    if cousins.limit(MOST_COUSINS + 1).count() > MOST_COUSINS:
-        raise ValueError(f"more than {MOST_COUSINS} cousins")
-    hit = stems.join(F.broadcast(cousins.where("cousin IS NOT NULL")), F.col("stem").contains(F.col("cousin"))).select("dataset").distinct().withColumn("_hit", F.lit(True))
+    cousins: dataset, cousin (NULL for a dataset without any), as many as there are; see found_in() for how they meet the stems."""
+    hit = cousins.join(found_in(cousins, stems, "cousin", "stem"), "cousin").select("dataset").distinct().withColumn("_hit", F.lit(True))
     known = cousins.select("dataset").distinct().withColumn("_known", F.lit(True))
     out = datasets.join(known, "dataset", "left").join(hit, "dataset", "left")
     return out.withColumn("cousin", F.when(F.col("_known").isNull(), "?").when(F.col("_hit"), "yes").otherwise("no")).drop("_known", "_hit")

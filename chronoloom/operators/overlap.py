@@ -61,6 +61,16 @@ def scan(windows: DataFrame, reference: DataFrame, keys: list[str], by: list[str
     return a.join(index(reference, by), "key").groupBy(*keys, *by).agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
+def first_pass(series: DataFrame, subset: str, id_: str, most_series: int | None = None, most_values: int | None = None, values: str = "values") -> DataFrame:
+    """series that a first pass looks at: of each subset those with the most_series smallest ids, of each the first most_values values; None is no limit. Limits spare a first look
+    time and lose what lies beyond them, so scan() has none of its own. The smallest ids are kept by a window that Spark limits before the shuffle."""
+    out = series
+    if most_series is not None:
+        nth = F.row_number().over(Window.partitionBy(subset).orderBy(id_))
+        out = out.withColumn("_nth", nth).where(F.col("_nth") <= most_series).drop("_nth")
+    return out.withColumn(values, F.slice(values, 1, most_values)) if most_values is not None else out
+
+
 def flagged(hits: DataFrame, subset: str, by: list[str]) -> DataFrame:
     """subset, by, series: how many series of a subset the first pass found."""
     return hits.groupBy(subset, *by).agg(F.count("*").alias("series"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frequency import frequency_multiple, frequency_unit, season_length
+from ..functions.scalars import let
 
 LARGEST = 1e12
 
@@ -120,14 +123,18 @@ def seasons(spark: SparkSession) -> DataFrame:
     return grid.withColumn("season", season_length("freq", F.lit(True))).withColumn("unit", frequency_unit("freq")).withColumn("day", F.when(F.col("unit") == "T", 1440.0).when(F.col("unit") == "H", 24.0).when(F.col("unit") == "D", 1.0) / frequency_multiple("freq"))
 
 
-def specs(spark: SparkSession) -> DataFrame:
-    """subset, freq, kind, length, low, high, count: what is to be made. Periods lie tightly or widely about the season; machine loads where a season has 24 steps, intermittent
+def specs(spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
+    """subset, freq, kind, length, low, high, count: what is to be made. wanted (freq, count) says how many series of each frequency there are to be, by default as many as in the grid. Periods lie tightly or widely about the season; machine loads where a season has 24 steps, intermittent
     demand of days and longer; a frequency's series are shared evenly. The other kinds have subsets of their own, as many series as a tight one."""
     g = seasons(spark)
-    tight = (F.greatest(F.lit(2.0), F.col("season") / 1.15), F.col("season") * 1.15)
-    wide = (F.greatest(F.lit(2.0), F.col("season") / 4), F.least(F.col("season") * 8, F.col("length") / 2))
-    rows = [("tight", "template", tight, F.lit(True)), ("wide", "template", wide, F.lit(True)), ("ops", "ops", tight, F.col("season") >= 24), ("intermittent", "intermittent", tight, F.col("unit").isin("D", "W", "M", "Q"))]
-    shared = F.lit(2) + (F.col("season") >= 24).cast("int") + F.col("unit").isin("D", "W", "M", "Q").cast("int")
+    if wanted is not None:
+        g = g.drop("count").join(wanted.select("freq", "count"), "freq")
+    # How far a tight period lies about the season, how far a wide one, and the season from which on there are machine loads.
+    near, below, above, day = 1.15, 4, 8, 24
+    tight = (F.greatest(F.lit(2.0), F.col("season") / near), F.col("season") * near)
+    wide = (F.greatest(F.lit(2.0), F.col("season") / below), F.least(F.col("season") * above, F.col("length") / 2))
+    rows = [("tight", "template", tight, F.lit(True)), ("wide", "template", wide, F.lit(True)), ("ops", "ops", tight, F.col("season") >= day), ("intermittent", "intermittent", tight, F.col("unit").isin("D", "W", "M", "Q"))]
+    shared = F.lit(2) + (F.col("season") >= day).cast("int") + F.col("unit").isin("D", "W", "M", "Q").cast("int")
     at = (F.col("season"), F.col("season"))
     more = [("arima", "arima", at, F.lit(True)), ("regime", "regimes", at, F.lit(True)), ("calendar", "calendar", (F.col("day"), F.col("day")), F.col("day").isNotNull() & (F.col("day") <= 1440)), ("growth", "growth", at, F.col("unit").isin("D", "W", "M", "Q", "A"))]
     kinds = F.array(*(F.struct(F.lit(name).alias("name"), F.lit(kind).alias("kind"), lo.cast("double").alias("low"), hi.cast("double").alias("high"), here.alias("here")) for name, kind, (lo, hi), here in rows + more))
@@ -156,3 +163,59 @@ def generate(what: DataFrame, seed: int = 0, most: int | None = None) -> DataFra
     d = what.withColumn("series_id", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))).repartition("subset", "series_id")
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "subset", "series_id")), 1, 15), 16, 10).cast("long")
     return d.select("subset", "series_id", "kind", run("kind", "length", "low", "high", key).alias("values"))
+
+
+def uniform(key: Column, purpose: str, i: Column | None = None) -> Column:
+    """A number in (0, 1) that depends on key, purpose and counter alone: the same in any engine that has md5."""
+    text = F.concat(key.cast("string"), F.lit(f":{purpose}"), *([F.lit(":"), i.cast("string")] if i is not None else []))
+    return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
+
+
+def normal(key: Column, purpose: str, i: Column | None = None) -> Column:
+    """A normal number, from two uniform ones."""
+    return F.sqrt(-2 * F.log(uniform(key, f"{purpose}1", i))) * F.cos(2 * math.pi * uniform(key, f"{purpose}2", i))
+
+
+def templates(what: DataFrame, key: str = "seed", length: str = "length", period: str = "period", values: str = "values") -> DataFrame:
+    """what with values: cycles through random knots, made by expressions alone from counted random numbers, so that a row's series depends on its key only and any engine can repeat it.
+
+    A cycle has 3 to 12 knots at random phases, joined by steps or lines, and unit variance; at times there is a slower second one, a trend, a shift and a floor at zero; noise, scale
+    and level come last. length (int) and period (double, at least 1) are columns; a length below 1 gives an empty array."""
+    n, p = F.col(length).cast("int"), F.greatest(F.col(period).cast("double"), F.lit(1.0))
+    k = F.col(key)
+    names = ("knots", "phase", "line", "second", "size", "second phase", "trend", "shift", "when", "noise", "floor", "scale", "level")
+    draws = F.struct(k.alias("key"), n.alias("n"), p.alias("p"), *(uniform(k, x).alias(x) for x in names), normal(k, "slope").alias("slope"), normal(k, "jump").alias("jump"))
+
+    def shape(d: Column) -> Column:
+        """Knots are spread over the phase, one at random in each of equal parts; the last one comes again before the first, and the first after the last."""
+        m = (F.lit(3) + F.floor(10 * d["knots"])).cast("int")
+        spots = F.transform(F.sequence(F.lit(0), m - 1), lambda i: F.struct(((i + uniform(d["key"], "at", i)) / m).alias("at"), normal(d["key"], "knot", i).alias("v")))
+        first, last = lambda s: F.get(s, F.lit(0)), lambda s: F.element_at(s, -1)
+        moved = lambda x, by: F.array(F.struct((x["at"] + by).alias("at"), x["v"].alias("v")))
+        ring = let(spots, lambda s: F.concat(moved(last(s), -1), s, moved(first(s), 1)))
+
+        def value(s: Column, f: Column) -> Column:
+            """Of a phase: what stands at or before it, or a line from there to what comes after."""
+            i = F.size(F.filter(s, lambda x: x["at"] <= f))
+            between = lambda i: let(F.struct(F.get(s, i - 1).alias("b"), F.get(s, i).alias("a")), lambda x: F.when(d["line"] < 0.5, x["b"]["v"]).otherwise(x["b"]["v"] + (x["a"]["v"] - x["b"]["v"]) * (f - x["b"]["at"]) / (x["a"]["at"] - x["b"]["at"])))
+            return let(i, between)
+
+        phase = lambda t: let(t / d["p"] + d["phase"], lambda x: x - F.floor(x))
+        return let(ring, lambda s: F.transform(F.sequence(F.lit(0), d["n"] - 1), lambda t: let(phase(t), lambda f: value(s, f))))
+
+    def scaled(x: Column) -> Column:
+        mean = F.aggregate(x, F.lit(0.0), lambda a, v: a + v) / F.size(x)
+        return let(mean, lambda m: let(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x)), lambda s: F.transform(x, lambda v: (v - m) / F.greatest(s, F.lit(1e-8)))))
+
+    def rest(d: Column, v: Column, t: Column) -> Column:
+        at = t / d["n"]
+        slow = F.when((d["second"] < 0.5) & (d["p"] * 7 <= d["n"] / 3), (0.3 + 0.7 * d["size"]) * F.sin(2 * math.pi * (t / (d["p"] * 7) + d["second phase"]))).otherwise(0.0)
+        trend = F.when(d["trend"] < 0.5, d["slope"] * at).otherwise(0.0)
+        shift = F.when((d["shift"] < 0.2) & (at > 0.2 + 0.7 * d["when"]), d["jump"]).otherwise(0.0)
+        return v + slow + trend + shift + F.exp(math.log(0.003) + d["noise"] * (math.log(0.15) - math.log(0.003))) * normal(d["key"], "error", t)
+
+    def placed(d: Column, x: Column) -> Column:
+        return let(F.when(d["floor"] < 0.3, F.array_min(x)).otherwise(0.0), lambda low: F.transform(x, lambda v: (v - low) * F.exp(-1 + 5 * d["scale"]) - 10 + 1010 * d["level"]))
+
+    made = let(draws, lambda d: let(shape(d), lambda x: let(scaled(x), lambda z: let(F.transform(z, lambda v, t: rest(d, v, t)), lambda y: placed(d, y)))))
+    return what.withColumn(values, F.when(n > 0, made).otherwise(F.array().cast("array<double>")))

@@ -19,15 +19,25 @@ def _described(spark, sf_dir):
     return board.describe(configs(spark, sf_dir)).withColumn("term", F.regexp_replace("term", "[0-9]+", ""))
 
 
-@query(f"""
+_REPORT = f"""
 WITH k AS ({_KEYS}),
 l AS (SELECT 'term' AS "by", term AS grp, * FROM k UNION ALL SELECT 'horizon', horizon, * FROM k UNION ALL SELECT 'freq', freq, * FROM k UNION ALL SELECT 'variates', variates, * FROM k UNION ALL SELECT 'cousin', cousin, * FROM k UNION ALL SELECT 'domain', domain, * FROM k UNION ALL SELECT 'all', 'ALL', * FROM k)
-SELECT "by", grp, count(*) AS n, {_R.format('exp(avg(ln(crps)))')} AS crps, {_R.format('exp(avg(ln(mase)))')} AS mase, {_R.format('exp(avg(ln(crps / rc)))')} AS vs_rival, count(*) FILTER (WHERE crps < rc) AS wins, count(rc) AS "both" FROM l GROUP BY 1, 2""")
+SELECT "by", grp, count(*) AS n, {_R.format('exp(avg(ln(crps)))')} AS crps, {_R.format('exp(avg(ln(mase)))')} AS mase, {_R.format('exp(avg(ln(crps / rc)))')} AS vs_rival, count(*) FILTER (WHERE crps < rc) AS wins, count(rc) AS "both" FROM l GROUP BY 1, 2"""
+
+
+@query(_REPORT)
 def leaderboard_grouping_sets(spark, sf_dir):
     out = board.report(own(spark, sf_dir), rival(spark, sf_dir), _described(spark, sf_dir))
     return out.select("by", "grp", "n", *(rounded(c).alias(c) for c in ("crps", "mase", "vs_rival")), "wins", "both")
 
 
+@query(f"""
+SELECT "by", grp, n, row_number() OVER (ORDER BY list_position(['term', 'horizon', 'freq', 'variates', 'cousin', 'domain', 'all'], "by"), CASE WHEN "by" = 'term' THEN list_position(['short', 'medium', 'long'], grp) ELSE 0 END, n DESC, grp) AS place FROM ({_REPORT})""")
+def leaderboard_in_order(spark, sf_dir):
+    """The report's rows with the places at which they are printed."""
+    return board.in_print_order(leaderboard_grouping_sets(spark, sf_dir)).select("by", "grp", "n", F.col("place").cast("long").alias("place"))
+
+
 @query(f"SELECT o.config, {_R.format('o.crps / r.crps')} AS crps, {_R.format('o.mase / r.mase')} AS mase FROM $own o JOIN $rival r ON r.config = o.config")
 def naive_ratio(spark, sf_dir):
     renamed = [x(spark, sf_dir).withColumnsRenamed({"crps": "CRPS", "mase": "MASE"}) for x in (own, rival)]
@@ -78,10 +88,16 @@ def submission(spark, sf_dir):
     return board.submission(rows, meta, "own", ["msis"])
 
 
-@query(f"SELECT step, {_R.format('CASE WHEN step < 100 THEN (step + 1) / 100.0 ELSE 0.5 * (1 + cos(pi() * (step - 100) / 900.0)) * (1 - 0.001) + 0.001 END')} AS cosine, {_R.format('CASE WHEN step < 100 THEN (step + 1) / 100.0 WHEN step < 800 THEN 1.0 ELSE 1 - (1 - 0.001) * (step - 800) / 200.0 END')} AS wsd FROM (SELECT unnest(range(1000)) AS step)")
+_FALL = "0.5 * (1 + cos(pi() * (step - warmup) / (total - warmup))) * (1 - 0.001) + 0.001"
+_DROP = "1 - (1 - 0.001) * (step - (total - total // 5)) / (total // 5)"
+
+
+@query(f"SELECT step, {_R.format(f'CASE WHEN step < warmup THEN (step + 1) / warmup ELSE {_FALL} END')} AS cosine, {_R.format(f'CASE WHEN step < warmup THEN (step + 1) / warmup WHEN step < total - total // 5 THEN 1.0 ELSE {_DROP} END')} AS wsd FROM (SELECT o_orderkey AS step, count(*) OVER () // 10 AS warmup, count(*) OVER () AS total FROM orders)")
 def lr_schedule(spark, sf_dir):
-    s = spark.range(1000).select(F.col("id").alias("step"))
-    return s.select("step", rounded(board.schedule(F.col("step"), 100, 1000)).alias("cosine"), rounded(board.schedule(F.col("step"), 100, 1000, "wsd")).alias("wsd"))
+    """The factor at every step of a run as long as the orders, a tenth of it warm-up."""
+    s = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("step"))
+    total = s.count()
+    return s.select("step", rounded(board.schedule(F.col("step"), total // 10, total)).alias("cosine"), rounded(board.schedule(F.col("step"), total // 10, total, "wsd")).alias("wsd"))
 
 
 @query("SELECT o.config, o.crps < r.crps AS win FROM $own o JOIN $rival r ON r.config = o.config")

@@ -66,3 +66,10 @@ def affine_distinct(spark, sf_dir):
     twice = a.select(F.col("series").alias("id"), "values").union(a.select(F.col("series") + 1_000_000, F.transform("values", lambda v: v * 8 + 0)))
     points = twice.select("id", F.posexplode("values").alias("step", "value"))
     return overlap.first_of_equals(overlap.affine_key(points, ["id"]), "id")
+
+
+@query(f"WITH {_WINDOWS}, {_COPIES}, f AS (SELECT vec_id AS series FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n <= 25) SELECT w.series, c.copy, count(DISTINCT w.key) AS shared FROM windows w JOIN f USING (series) JOIN copies c ON c.key = w.key WHERE w.pos <= 39 GROUP BY 1, 2 HAVING count(DISTINCT w.key) >= 3")
+def overlap_first_pass(spark, sf_dir):
+    """The first pass with limits: 25 series a subset, 48 values a series, against the whole reference."""
+    seen = overlap.first_pass(arrays(spark, sf_dir), "subset", "series", 25, 48)
+    return overlap.scan(overlap.array_fingerprints(seen.select("series", "values")), _copies(spark, sf_dir), ["series"], ["copy"])

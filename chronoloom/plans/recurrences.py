@@ -119,9 +119,12 @@ def log_blocks(spark, sf_dir):
     """Block numbers spaced evenly in logarithm."""
     from ..functions.frequency import log_blocks as blocks
 
-    sizes = range(10, 501, 10)
-    picked = spark.createDataFrame([(n, blocks(n)) for n in sizes], "n int, blocks array<int>")
-    return table(spark, sf_dir, "part").select((F.col("p_size") * 10).cast("int").alias("n")).distinct().join(F.broadcast(picked), "n")
+    @F.pandas_udf("array<int>")
+    def picked(n: pd.Series) -> pd.Series:
+        return pd.Series([blocks(int(x)) for x in n])
+
+    sizes = table(spark, sf_dir, "part").select((F.col("p_size") * 10).cast("int").alias("n")).distinct()
+    return sizes.select("n", picked("n").alias("blocks"))
 
 
 @query("SELECT p_brand, count(*) AS expected, count(*) FILTER (WHERE p_partkey % 10 > 0) AS found, count(*) = 0 OR count(*) FILTER (WHERE p_partkey % 10 > 0) >= 0.9 * count(*) AS ok FROM part GROUP BY 1")
@@ -133,21 +136,67 @@ def match_gate(spark, sf_dir):
     return per.withColumn("ok", enough_matches("found", "expected", 0.9))
 
 
+_FREQS = ("10S", "1T", "5T", "10T", "15T", "30T", "H", "D", "W", "M", "Q", "A")
+
+
+def _wanted(spark, sf_dir):
+    """How many series of each frequency: ten a part."""
+    freq = F.element_at(F.array(*map(F.lit, _FREQS)), (F.col("p_partkey") % len(_FREQS) + 1).cast("int"))
+    return table(spark, sf_dir, "part").groupBy(freq.alias("freq")).agg((F.count("*") * 10).alias("count"))
+
+
 @query("""
-WITH g AS (SELECT * FROM (VALUES ('10S', 'S', 8192, 36000, 360.0::DOUBLE), ('1T', 'T', 8192, 24000, 1440.0), ('5T', 'T', 8192, 36000, 288.0), ('10T', 'T', 8192, 24000, 144.0), ('15T', 'T', 8192, 24000, 96.0), ('30T', 'T', 8192, 18000, 48.0),
-  ('H', 'H', 8192, 36000, 24.0), ('D', 'D', 4096, 48000, 7.0), ('W', 'W', 1024, 96000, 365.0::DOUBLE / 7), ('M', 'M', 512, 144000, 12.0), ('Q', 'Q', 256, 144000, 4.0), ('A', 'A', 128, 144000, 4.0)) t(freq, unit, length, cnt, s)),
-x AS (SELECT *, s >= 24 AS ops, unit IN ('D', 'W', 'M', 'Q') AS rare FROM g),
+WITH g AS (SELECT * FROM (VALUES ('10S', 'S', 8192, 360.0::DOUBLE), ('1T', 'T', 8192, 1440.0), ('5T', 'T', 8192, 288.0), ('10T', 'T', 8192, 144.0), ('15T', 'T', 8192, 96.0), ('30T', 'T', 8192, 48.0),
+  ('H', 'H', 8192, 24.0), ('D', 'D', 4096, 7.0), ('W', 'W', 1024, 365.0::DOUBLE / 7), ('M', 'M', 512, 12.0), ('Q', 'Q', 256, 4.0), ('A', 'A', 128, 4.0)) t(freq, unit, length, s)),
+n AS (SELECT ['10S', '1T', '5T', '10T', '15T', '30T', 'H', 'D', 'W', 'M', 'Q', 'A'][CAST(p_partkey % 12 + 1 AS INT)] AS freq, count(*) * 10 AS cnt FROM part GROUP BY 1),
+x AS (SELECT *, s >= 24 AS ops, unit IN ('D', 'W', 'M', 'Q') AS rare FROM g JOIN n USING (freq)),
 r AS (SELECT 'tight' AS name, 'template' AS kind, * FROM x UNION ALL SELECT 'wide', 'template', * FROM x UNION ALL SELECT 'ops', 'ops', * FROM x WHERE ops UNION ALL SELECT 'intermittent', 'intermittent', * FROM x WHERE rare UNION ALL SELECT 'arima', 'arima', * FROM x
   UNION ALL SELECT 'regime', 'regimes', * FROM x UNION ALL SELECT 'calendar', 'calendar', * FROM x WHERE unit IN ('T', 'H', 'D') UNION ALL SELECT 'growth', 'growth', * FROM x WHERE unit IN ('D', 'W', 'M', 'Q', 'A'))
 SELECT 'synth_' || name || '_' || freq AS subset, freq, kind, length, round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN greatest(2.0, s / 1.15::DOUBLE) WHEN name = 'wide' THEN greatest(2.0, s / 4) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS low,
   round(CASE WHEN name IN ('tight', 'ops', 'intermittent') THEN s * 1.15::DOUBLE WHEN name = 'wide' THEN least(s * 8, length / 2.0::DOUBLE) WHEN name = 'calendar' AND unit = 'D' THEN 1.0 ELSE s END * 1000000) / 1000000 AS high, CAST(cnt // (2 + CAST(ops AS INT) + CAST(rare AS INT)) AS BIGINT) AS count FROM r""")
 def synthetic_grid(spark, sf_dir):
-    """What is to be made: subsets with their generators, lengths, periods and numbers of series."""
-    return synthetic.specs(spark).select("subset", "freq", "kind", "length", rounded("low").alias("low"), rounded("high").alias("high"), "count")
+    """What is to be made: subsets with their generators, lengths, periods and numbers of series, for the frequencies of a table."""
+    return synthetic.specs(spark, _wanted(spark, sf_dir)).select("subset", "freq", "kind", "length", rounded("low").alias("low"), rounded("high").alias("high"), "count")
 
 
 @query()
 def synthetic_series(spark, sf_dir):
-    """A few series of every subset of the grid, as far as 400 steps are concerned."""
-    small = synthetic.specs(spark).withColumn("length", F.least("length", F.lit(400)))
-    return synthetic.generate(small, 3, 2).select("subset", "series_id", "kind", F.transform("values", lambda v: F.round(v.cast("double"), 3)).alias("values"))
+    """A series a part, of the kinds in turn, with lengths and periods of its own."""
+    p = table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, synthetic.GENERATORS)), (F.col("p_partkey") % len(synthetic.GENERATORS) + 1).cast("int"))
+    period = (F.col("p_size") % 20 + 4).cast("double")
+    what = p.select(F.concat(F.lit("part"), F.col("p_partkey").cast("string")).alias("subset"), kind.alias("kind"), (F.col("p_size") * 8 + 100).cast("int").alias("length"), period.alias("low"), (period * 1.2).alias("high"), F.lit(1).cast("long").alias("count"))
+    return synthetic.generate(what, 3).select("subset", "series_id", "kind", F.transform("values", lambda v: F.round(v.cast("double"), 3)).alias("values"))
+
+
+def _u(purpose: str, counter: str = "") -> str:
+    """DuckDB SQL of synthetic.uniform() for the key p_partkey."""
+    key = f"CAST(p_partkey AS VARCHAR) || ':{purpose}'" + (f" || ':' || CAST({counter} AS VARCHAR)" if counter else "")
+    return f"((CAST('0x' || substr(md5({key}), 1, 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656.0)"
+
+
+def _g(purpose: str, counter: str = "") -> str:
+    return f"(sqrt(-2 * ln({_u(purpose + '1', counter)})) * cos(2 * pi() * {_u(purpose + '2', counter)}))"
+
+
+@query(f"""
+WITH w AS (SELECT p_partkey, CAST(40 + p_size AS INT) AS n, CAST(3 + p_partkey % 17 AS DOUBLE) AS p FROM part),
+k AS (SELECT *, CAST(3 + floor(10 * {_u("knots")}) AS INT) AS m, {_u("phase")} AS phase, {_u("line")} AS line FROM w),
+s AS (SELECT p_partkey, m, i, (i + {_u("at", "i")}) / m AS spot, {_g("knot", "i")} AS v FROM (SELECT *, unnest(range(m)) AS i FROM k)),
+spots AS (SELECT p_partkey, spot, v FROM s UNION ALL SELECT p_partkey, spot - 1, v FROM s WHERE i = m - 1 UNION ALL SELECT p_partkey, spot + 1, v FROM s WHERE i = 0),
+t AS (SELECT *, t / p + phase - floor(t / p + phase) AS f FROM (SELECT *, unnest(range(n)) AS t FROM k)),
+b AS (SELECT t.p_partkey, t.t, t.f, t.line, max(spots.spot) FILTER (WHERE spots.spot <= t.f) AS b_at, arg_max(spots.v, spots.spot) FILTER (WHERE spots.spot <= t.f) AS b_v, min(spots.spot) FILTER (WHERE spots.spot > t.f) AS a_at, arg_min(spots.v, spots.spot) FILTER (WHERE spots.spot > t.f) AS a_v
+  FROM t JOIN spots ON spots.p_partkey = t.p_partkey GROUP BY ALL),
+x AS (SELECT p_partkey, t, CASE WHEN line < 0.5 THEN b_v ELSE b_v + (a_v - b_v) * (f - b_at) / (a_at - b_at) END AS x FROM b),
+z AS (SELECT *, (x - avg(x) OVER o) / greatest(stddev_pop(x) OVER o, 0.00000001) AS z FROM x WINDOW o AS (PARTITION BY p_partkey)),
+r AS (SELECT z.p_partkey, t, z + CASE WHEN {_u("second")} < 0.5 AND p * 7 <= n / 3 THEN (0.3 + 0.7 * {_u("size")}) * sin(2 * pi() * (t / (p * 7) + {_u("second phase")})) ELSE 0 END
+  + CASE WHEN {_u("trend")} < 0.5 THEN {_g("slope")} * t / n ELSE 0 END + CASE WHEN {_u("shift")} < 0.2 AND t / n > 0.2 + 0.7 * {_u("when")} THEN {_g("jump")} ELSE 0 END
+  + exp(ln(0.003) + {_u("noise")} * (ln(0.15) - ln(0.003))) * {_g("error", "t")} AS y FROM z JOIN (SELECT p_partkey AS q, n, p FROM w) w ON w.q = z.p_partkey),
+d AS (SELECT *, CASE WHEN {_u("floor")} < 0.3 THEN min(y) OVER (PARTITION BY p_partkey) ELSE 0 END AS low FROM r)
+SELECT p_partkey, t AS step, round(((y - low) * exp(-1 + 5 * {_u("scale")}) - 10 + 1010 * {_u("level")}) * 10000) / 10000 AS value FROM d""")
+def synthetic_templates(spark, sf_dir):
+    """Templates for the parts, by expressions alone: knots, cycles, trends, shifts and noise from counted random numbers."""
+    p = table(spark, sf_dir, "part")
+    what = p.select("p_partkey", (F.col("p_size") + 40).alias("length"), (F.col("p_partkey") % 17 + 3).alias("period"))
+    made = synthetic.templates(what, "p_partkey").select("p_partkey", F.posexplode("values").alias("step", "value"))
+    return made.select("p_partkey", F.col("step").cast("long").alias("step"), rounded("value", 4).alias("value"))

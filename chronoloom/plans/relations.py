@@ -8,7 +8,7 @@ from ..functions import scalars as sc
 from ..operators import match
 from ..operators.metrics import spearman
 from ..operators.order import running
-from .base import arrays, configs, gappy_arrays, own, query, rival, table, vec
+from .base import arrays, configs, gappy_arrays, own, place, query, rival, table, vec
 
 
 @query("SELECT o_orderkey, c_custkey FROM orders JOIN (SELECT o_custkey AS k FROM orders GROUP BY 1 HAVING count(*) > 0) ON k = o_custkey JOIN customer ON c_custkey = o_custkey WHERE c_acctbal IN (SELECT c_acctbal FROM customer GROUP BY 1 HAVING count(*) = 1)")
@@ -188,3 +188,33 @@ def top_per_group(spark, sf_dir):
     w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
     o = table(spark, sf_dir, "orders").withColumn("r", F.row_number().over(w)).where("r <= 3")
     return o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "o_orderkey"))), lambda x: x["o_orderkey"]).alias("top"))
+
+
+@query("""
+SELECT l_returnflag, p.p, round(CASE p.p WHEN 0.01 THEN quantile_cont(l_extendedprice, 0.01) WHEN 0.5 THEN quantile_cont(l_extendedprice, 0.5) ELSE quantile_cont(l_extendedprice, 0.9999) END * 1000000) / 1000000 AS q
+FROM lineitem CROSS JOIN (SELECT unnest([0.01, 0.5, 0.9999]::DOUBLE[]) AS p) p GROUP BY 1, 2""")
+def quantiles_of_hot_keys(spark, sf_dir):
+    """Exact quantiles of three large groups, without a task that holds one."""
+    from ..functions.quantiles import exact_quantiles
+
+    out = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.01, 0.5, 0.9999), written=_kept(spark))
+    return out.withColumn("q", sc.rounded("q"))
+
+
+@query("SELECT 0.5::DOUBLE AS p, quantile_disc(l_quantity, 0.5) AS q FROM lineitem")
+def lower_median_of_all(spark, sf_dir):
+    """The lower median of a whole table, whose values repeat."""
+    from ..functions.quantiles import exact_quantiles
+
+    return exact_quantiles(table(spark, sf_dir, "lineitem"), [], "l_quantity", (0.5,), lower=True, written=_kept(spark))
+
+
+def _kept(spark):
+    """Writes a table that is read several times, and reads it back."""
+
+    def written(df):
+        path = place(spark, "brackets")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    return written

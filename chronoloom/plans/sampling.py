@@ -83,11 +83,11 @@ def _drawn_windows(name: str, src: str, id_: str, purpose: str, horizon: str, se
 {name} AS (SELECT *, CAST(hh AS INT) AS h, y[1:CAST(len(y) - hh AS INT)] AS context, y[CAST(len(y) - hh + 1 AS INT):CAST(len(y) AS INT)] AS target FROM {name}_y)"""
 
 
-_LIST = "list_transform({}, lambda x: round(x * 1000000) / 1000000)"
+_LIST = "list_transform({}, lambda x: round(x * 1000000) / 1000000 + 0.0)"  # -0.0 becomes 0.0
 
 
 def _list(c: str):
-    return F.transform(c, lambda x: rounded(x)).alias(c)
+    return F.transform(c, lambda x: rounded(x) + F.lit(0.0)).alias(c)
 
 
 def _base(spark, sf_dir, n: int, group: int = 4):

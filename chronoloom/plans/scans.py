@@ -7,14 +7,13 @@ import tarfile
 import zipfile
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import frequency as fr
 from ..functions.scalars import rounded
 from ..operators import items as it
-from ..sources import binary, corpus, text
+from ..sources import binary, corpus, ranges, text
 from .base import arrays, place, query, table
 
 
@@ -27,40 +26,46 @@ def scan_csv(spark, sf_dir):
     return text.csv(spark, path, "c_custkey BIGINT, c_name STRING, c_acctbal DOUBLE", ";")
 
 
-def _packed(kind: str):
-    """An Arrow function that packs members (name, text) of a file into an archive."""
+def _packed(part: pa.Table):
+    """An archive of a table's members, in order of customers."""
+    part, out = part.sort_by([("member", "ascending"), ("c_custkey", "ascending")]), io.BytesIO()
+    name, texts = part.column("file")[0].as_py(), {}
+    for member, line in zip(part.column("member").to_pylist(), part.column("line").to_pylist()):
+        texts.setdefault(member, []).append(line)
+    texts = {m: ("\n".join(lines) + "\n").encode() for m, lines in texts.items()}
+    if name.endswith(".zip"):
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for m, t in texts.items():
+                z.writestr(m, t)
+    else:
+        with tarfile.open(fileobj=out, mode="w:gz") as z:
+            for m, t in texts.items():
+                info = tarfile.TarInfo(m)
+                info.size = len(t)
+                z.addfile(info, io.BytesIO(t))
+    yield name, out.getvalue()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        members = [(n, "\n".join(lines).encode()) for n, lines in zip(pdf["member"], pdf["lines"])]
-        if kind == "zip":
-            with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-                for n, data in members:
-                    z.writestr(n, data)
-        else:
-            with tarfile.open(fileobj=out, mode="w:gz") as t:
-                for n, data in members:
-                    entry = tarfile.TarInfo(n)
-                    entry.size = len(data)
-                    t.addfile(entry, io.BytesIO(data))
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [out.getvalue()]})
 
-    return run
+def _below(c: str, levels: int = 1):
+    """The last levels of a path."""
+    return F.regexp_extract(c, "((?:[^/]*/){" + str(levels - 1) + "}[^/]*)$", 1).alias("file")
 
 
 _ARCHIVES = """
-SELECT 'region' || CAST(n_regionkey AS VARCHAR) || CASE WHEN n_regionkey % 2 = 0 THEN '.zip' ELSE '.tar.gz' END AS path, n_name || '.txt' AS member, CAST(row_number() OVER (PARTITION BY n_nationkey ORDER BY c_custkey) - 1 AS BIGINT) AS line_no, c_name || ',' || c_mktsegment AS line
+SELECT 'region' || CAST(n_regionkey AS VARCHAR) || '-' || CAST(c_custkey // 1000 AS VARCHAR) || CASE WHEN n_regionkey % 2 = 0 THEN '.zip' ELSE '.tar.gz' END AS file, n_name || '.txt' AS member,
+  CAST(row_number() OVER (PARTITION BY n_nationkey, c_custkey // 1000 ORDER BY c_custkey) - 1 AS BIGINT) AS line_no, c_name || ',' || c_mktsegment AS line
 FROM customer JOIN nation ON n_nationkey = c_nationkey"""
 
 
 @query(_ARCHIVES)
 def scan_archives(spark, sf_dir):
-    """Members of zip and tar.gz archives, line by line."""
+    """Members of zip and tar.gz archives on disk, unpacked as streams, line by line."""
+    path = place(spark, "archives")
     c = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    members = c.groupBy("n_regionkey", F.concat("n_name", F.lit(".txt")).alias("member")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", F.concat_ws(",", "c_name", "c_mktsegment").alias("l")))), lambda x: x["l"]).alias("lines"))
-    members = members.withColumn("path", F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.when(F.col("n_regionkey") % 2 == 0, ".zip").otherwise(".tar.gz")))
-    files = [members.where(F.col("path").endswith(end)).groupBy("path").applyInPandas(_packed(kind), "path string, content binary") for end, kind in ((".zip", "zip"), (".tar.gz", "tar"))]
-    return binary.archive_rows(files[0].unionByName(files[1]))
+    kind = F.when(F.col("n_regionkey") % 2 == 0, ".zip").otherwise(".tar.gz")
+    file = F.concat(F.lit("region"), F.col("n_regionkey").cast("string"), F.lit("-"), F.floor(F.col("c_custkey") / 1000).cast("string"), kind)
+    ranges.write_files(c.select(file.alias("file"), F.concat("n_name", F.lit(".txt")).alias("member"), "c_custkey", F.concat_ws(",", "c_name", "c_mktsegment").alias("line")), path, ["file"], _packed)
+    return binary.archived_lines(spark, path).select(_below("path"), "member", "line_no", "line")
 
 
 @query("SELECT 'T' || CAST(s_suppkey AS VARCHAR) AS turbine, s_acctbal AS power FROM supplier")
@@ -117,15 +122,20 @@ def scan_rdb(spark, sf_dir):
     return text.rdb_rows(lines.unionByName(spark.createDataFrame([("# USGS\tcomment",), ("agency_cd\tsite_no\tdatetime\ttz\t00060",), ("5s\t15s\t20d\t6s\t14n",)], "value string")))
 
 
-@query("SELECT 'file' || CAST(label AS VARCHAR) AS file, 'T' || CAST(vec_id AS VARCHAR) AS series_id, list_transform(embedding[1:8], lambda x: CASE WHEN x < 0 THEN NULL ELSE CAST(round(x * 1000) AS INT) END) AS vals, 'daily' AS frequency FROM embeddings")
+@query("SELECT 'file' || CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) || '.tsf' AS file, 'T' || CAST(vec_id AS VARCHAR) AS series_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN NULL ELSE CAST(round(x * 1000) AS INT) END) AS vals, 'daily' AS frequency FROM embeddings")
 def scan_tsf(spark, sf_dir):
-    """Whole texts with @key lines, @data and series; ? is missing, comments and broken lines are passed over."""
-    a = arrays(spark, sf_dir)
-    shown = F.transform(F.slice("values", 1, 8), lambda x: F.when(x < 0, "?").otherwise(F.round(x * 1000).cast("int").cast("string")))
+    """Text files on disk with @key lines, @data and series; ? is missing, comments and broken lines are passed over."""
+    shown = F.transform("values", lambda x: F.when(x < 0, "?").otherwise(F.round(x * 1000).cast("int").cast("string")))
     line = F.concat(F.lit("T"), F.col("series").cast("string"), F.lit(":2020-01-01:"), F.concat_ws(",", shown))
-    files = a.groupBy(F.concat(F.lit("file"), F.col("subset").cast("string")).alias("file")).agg(F.concat_ws("\n", F.lit("# about\n@relation x\n@frequency daily\n@data"), F.concat_ws("\n# no\n", F.collect_list(line)), F.lit("broken")).alias("value"))
-    out = text.tsf_rows(files)
-    return out.select("file", "series_id", F.transform("values", lambda v: v.cast("int")).alias("vals"), F.col("metadata")["frequency"].alias("frequency"))
+    file = F.concat(F.lit("file"), F.col("subset").cast("string"), F.lit("-"), F.floor(F.col("series") / 64).cast("string"), F.lit(".tsf"))
+
+    def make(part: pa.Table):
+        lines = ["# about", "@relation x", "@frequency daily", "@data", *(x for pair in zip(part.column("line").to_pylist(), ["# no"] * len(part)) for x in pair), "broken"]
+        yield part.column("file")[0].as_py(), "\n".join(lines).encode()
+
+    path = place(spark, "tsf")
+    ranges.write_files(arrays(spark, sf_dir).select(file.alias("file"), line.alias("line")), path, ["file"], make)
+    return text.tsf(spark, path).select(_below("file"), "series_id", F.transform("values", lambda v: v.cast("int")).alias("vals"), F.col("metadata")["frequency"].alias("frequency"))
 
 
 @query("SELECT DISTINCT lower(p_brand) AS stem FROM part")
@@ -167,30 +177,31 @@ def scan_frequency_table(spark, sf_dir):
 
 
 def _arrow_files(spark, sf_dir):
-    """Arrow streams: folder u holds series alone; of folder m the files hold pairs of series, but the third file's later batch doesn't."""
+    """Arrow streams on disk: folder u holds series alone; of folder m the files hold pairs of series, but in part00002 single ones."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, pdf = io.BytesIO(), pdf.sort_values("series")
-        single = pdf["path"].iloc[0].startswith("u/") or pdf["path"].iloc[0].endswith("2.arrow")
-        rows = [np.asarray(v, np.float32) for v in pdf["values"]]
+    def make(part: pa.Table):
+        name, out = part.column("path")[0].as_py(), io.BytesIO()
+        single = name.startswith("u/") or name.endswith("part00002.arrow")
+        rows = [np.asarray(v, np.float32) for v in part.sort_by("series").column("values").to_pylist()]
         kind = pa.list_(pa.float32()) if single else pa.list_(pa.list_(pa.float32()))
         target = [r.tolist() for r in rows] if single else [[r.tolist(), (-r).tolist()] for r in rows]
         schema = pa.schema([("freq", pa.string()), ("target", kind)])
         with pa.ipc.new_stream(out, schema) as w:
             for lo in range(0, len(target), 7):
-                part = target[lo : lo + 7]
-                w.write_batch(pa.RecordBatch.from_arrays([pa.array(["H"] * len(part)), pa.array(part, kind)], schema=schema))
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [out.getvalue()]})
+                piece = target[lo : lo + 7]
+                w.write_batch(pa.RecordBatch.from_arrays([pa.array(["H"] * len(piece)), pa.array(piece, kind)], schema=schema))
+        yield name, out.getvalue()
 
-    folder = F.when(F.col("series") % 2 == 0, "u").otherwise("m")
-    a = arrays(spark, sf_dir).select("series", F.slice("values", 1, 8).alias("values"), F.concat(folder, F.lit("/part"), (F.floor(F.col("series") / 2) % 4).cast("string"), F.lit(".arrow")).alias("path"))
-    return a.groupBy("path").applyInPandas(run, "path string, content binary")
+    path = place(spark, "arrow")
+    name = F.concat(F.when(F.col("series") % 2 == 0, "u").otherwise("m"), F.lit("/part"), F.lpad(F.floor(F.col("series") / 128).cast("string"), 5, "0"), F.lit(".arrow"))
+    ranges.write_files(arrays(spark, sf_dir).select("series", "values", name.alias("path")), path, ["path"], make)
+    return binary.arrow_series(spark, path, partitionBytes=1 << 12)  # several tasks a file, small as the files are
 
 
 _ARROW = """
-f AS (SELECT vec_id AS series, CASE WHEN vec_id % 2 = 0 THEN 'u' ELSE 'm' END || '/part' || CAST(vec_id // 2 % 4 AS VARCHAR) || '.arrow' AS path, embedding[1:8] AS v FROM embeddings),
-r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY series) - 1 AS n, path LIKE 'm/%' AND path NOT LIKE '%2.arrow' AS nested FROM f),
-t AS (SELECT path, n // 7 AS batch, n % 7 AS row, nested, s.variate, unnest(range(8)) AS step, unnest(list_transform(v, lambda x: s.sign * x)) AS value FROM r JOIN (SELECT 0 AS variate, 1.0 AS sign UNION ALL SELECT 1, -1.0) s ON s.variate = 0 OR nested)"""
+f AS (SELECT vec_id AS series, CASE WHEN vec_id % 2 = 0 THEN 'u' ELSE 'm' END || '/part' || lpad(CAST(vec_id // 128 AS VARCHAR), 5, '0') || '.arrow' AS file, embedding AS v FROM embeddings),
+r AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY series) - 1 AS n, file LIKE 'm/%' AND file NOT LIKE '%part00002.arrow' AS nested FROM f),
+t AS (SELECT file, n // 7 AS batch, n % 7 AS row, nested, s.variate, unnest(range(64)) AS step, unnest(list_transform(v, lambda x: s.sign * x)) AS value FROM r JOIN (SELECT 0 AS variate, 1.0 AS sign UNION ALL SELECT 1, -1.0) s ON s.variate = 0 OR nested)"""
 _VALUE = "round(value::DOUBLE * 100000) / 100000 AS value"
 
 
@@ -198,45 +209,54 @@ def _steps(rows, *keys):
     return rows.select(*keys, F.posexplode("values").alias("step", "value")).select(*keys, F.col("step").cast("long").alias("step"), rounded(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query(f"WITH {_ARROW} SELECT path, batch, row, 'H' AS freq, nested, CAST(variate AS INT) AS variate, step, {_VALUE} FROM t")
+@query(f"WITH {_ARROW} SELECT file, batch, row, 'H' AS freq, nested, CAST(variate AS INT) AS variate, step, {_VALUE} FROM t")
 def scan_arrow(spark, sf_dir):
-    """Arrow streams of several batches, with and without variates."""
-    return _steps(binary.arrow_rows(_arrow_files(spark, sf_dir)), "path", "batch", "row", "freq", "nested", "variate")
+    """Arrow streams of several batches, with and without variates, by ranges of batches."""
+    return _steps(_arrow_files(spark, sf_dir).withColumn("file", _below("path", 2)), "file", "batch", "row", "freq", "nested", "variate")
 
 
-@query(f"WITH {_ARROW} SELECT path, batch, row, CAST(variate AS INT) AS variate, step, {_VALUE} FROM t WHERE path < 'm/part2.arrow'")
+@query(f"WITH {_ARROW} SELECT file, batch, row, CAST(variate AS INT) AS variate, step, {_VALUE} FROM t WHERE file < 'm/part00002.arrow'")
 def scan_arrow_items(spark, sf_dir):
     """Multivariate items: a folder's rows up to the first without variates."""
-    return _steps(binary.arrow_items(binary.arrow_rows(_arrow_files(spark, sf_dir))), "path", "batch", "row", "variate")
+    return _steps(binary.arrow_items(_arrow_files(spark, sf_dir)).withColumn("file", _below("path", 2)), "file", "batch", "row", "variate")
 
 
-@query("SELECT 'grid' || CAST(label AS VARCHAR) || '.npy' AS path, channel, s.step, round(embedding[CAST(s.step + 1 AS INT)]::DOUBLE * 100000) / 100000 AS value FROM (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS INT) AS channel FROM embeddings) CROSS JOIN (SELECT unnest(range(8)) AS step) s")
+@query(f"SELECT 'grid' || CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) || '.npy' AS file, CAST(row_number() OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) - 1 AS INT) AS channel, unnest(range(64)) AS step, round(unnest(embedding)::DOUBLE * 100000) / 100000 AS value FROM embeddings")
 def scan_npy(spark, sf_dir):
-    """Grids of channels by steps."""
+    """Grids of channels by steps on disk, half of them in Fortran order, by ranges of bytes."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = io.BytesIO()
-        np.save(out, np.stack([np.asarray(v, np.float32) for v in pdf.sort_values("series")["values"]]))
-        return pd.DataFrame({"path": [pdf["path"].iloc[0]], "content": [out.getvalue()]})
+    def make(part: pa.Table):
+        name, grid = part.column("file")[0].as_py(), np.stack([np.asarray(v, np.float32) for v in part.sort_by("series").column("values").to_pylist()])
+        yield name, ranges.npy_bytes(np.asfortranarray(grid) if name.startswith("grid1") else grid)
 
-    a = arrays(spark, sf_dir).select("series", F.slice("values", 1, 8).alias("values"), F.concat(F.lit("grid"), F.col("subset").cast("string"), F.lit(".npy")).alias("path"))
-    return _steps(binary.npy_rows(a.groupBy("path").applyInPandas(run, "path string, content binary")), "path", "channel")
+    path = place(spark, "npy")
+    file = F.concat(F.lit("grid"), F.col("subset").cast("string"), F.lit("-"), F.floor(F.col("series") / 64).cast("string"), F.lit(".npy"))
+    ranges.write_files(arrays(spark, sf_dir).select("series", "values", file.alias("file")), path, ["file"], make)
+    points = ranges.points(ranges.npy_pieces(spark, path, partitionBytes=1 << 10), ["path", "channel"])
+    return points.select(_below("path"), "channel", "step", rounded(F.col("value").cast("double"), 5).alias("value"))
 
 
-@query(f"SELECT 's' || CAST(label AS VARCHAR) AS subset, CAST(n AS BIGINT) AS series_id, unnest(range(len(v))) AS step, round(unnest(v)::DOUBLE * 100000) / 100000 AS value FROM (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n, embedding[1:CAST(vec_id % 9 AS INT)] AS v FROM embeddings)")
+@query(f"SELECT 's' || CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) AS subset, CAST(n AS BIGINT) AS series_id, unnest(range(len(v))) AS step, round(unnest(v)::DOUBLE * 100000) / 100000 AS value FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) - 1 AS n, embedding[1:CAST(vec_id % 65 AS INT)] AS v FROM embeddings)")
 def scan_offsets(spark, sf_dir):
-    """Subsets as one array of values and one of offsets; some series are empty."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, name = pdf.sort_values("series"), pdf["subset"].iloc[0]
-        out, values = {}, [np.asarray(v, np.float32) for v in pdf["values"]]
-        for what, x in (("values", np.concatenate(values)), ("offsets", np.cumsum([0, *map(len, values)]))):
-            out[what] = io.BytesIO()
-            np.save(out[what], x)
-        return pd.DataFrame({"path": [f"c/{name}.{w}.npy" for w in out], "content": [b.getvalue() for b in out.values()]})
-
-    a = arrays(spark, sf_dir).select("series", F.slice("values", F.lit(1), (F.col("series") % 9).cast("int")).alias("values"), F.concat(F.lit("s"), F.col("subset").cast("string")).alias("subset"))
-    return _steps(binary.csr_rows(a.groupBy("subset").applyInPandas(run, "path string, content binary")), "subset", "series_id")
+    """Subsets on disk as one array of values and one of offsets, some series empty; tasks read ranges of the values, and what is cut is put together again."""
+    s = F.col("series")
+    subset = F.concat(F.lit("s"), F.col("subset").cast("string"), F.lit("-"), F.floor(s / 64).cast("string"))
+    a = arrays(spark, sf_dir).select(subset.alias("subset"), s.alias("series_id"), F.slice("values", F.lit(1), (s % 65).cast("int")).alias("values"))
+    path = place(spark, "csr")
+    ranges.write_csr(a, path)
+    return _steps(binary.csr_series(spark, path, partitionBytes=1 << 8), "subset", "series_id")
+
+
+@query("SELECT 's' || CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) AS subset, CAST(row_number() OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) - 1 AS BIGINT) AS series_id, vec_id % 65 AS length FROM embeddings WHERE label < 5")
+def scan_lengths(spark, sf_dir):
+    """Lengths of the series of some subsets: files of other subsets aren't opened, values aren't read."""
+    s = F.col("series")
+    subset = F.concat(F.lit("s"), F.col("subset").cast("string"), F.lit("-"), F.floor(s / 64).cast("string"))
+    a = arrays(spark, sf_dir).select(subset.alias("subset"), s.alias("series_id"), "values", "subset").toDF("subset", "series_id", "values", "label")
+    path = place(spark, "csr")
+    ranges.write_csr(a.select("subset", "series_id", F.slice("values", F.lit(1), (F.col("series_id") % 65).cast("int")).alias("values")), path)
+    wanted = [r[0] for r in a.where("label < 5").select("subset").distinct().collect()]  # names of subsets
+    return ranges.csr_lengths(spark, path, only=",".join(wanted))
 
 
 @query("SELECT p_partkey FROM part WHERE p_partkey % 4 <> 3 AND (p_partkey % 3 <> 0 OR p_partkey % 20 = 0) AND (p_partkey % 3 <> 1 OR p_partkey % 20 < 12)")

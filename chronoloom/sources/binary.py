@@ -1,126 +1,37 @@
-"""Binary formats, read as files by Spark and decoded by Arrow functions; nothing opens a path itself, so any store will do."""
+"""Binary formats as series: what the readers of byte ranges (see ranges) give, put together."""
 
 from __future__ import annotations
 
-import bz2
-import gzip
-import io
-import lzma
-import tarfile
-import zipfile
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import ranges
 
-def files_of(spark: SparkSession, path: str) -> DataFrame:
-    """path, content: what the decoders below go on with."""
-    return spark.read.format("binaryFile").load(path).select("path", "content")
-
-
-def arrow_rows(files: DataFrame) -> DataFrame:
-    """path, batch, row, freq, nested, variate, values of Arrow streams (path, content) with a target list column; a target of lists (nested) gives a row per variate.
-    freq is the first batch's."""
-
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                freq = None
-                for i, part in enumerate(pa.ipc.open_stream(pa.py_buffer(content.as_py()))):
-                    if freq is None and "freq" in part.schema.names and part.num_rows:
-                        freq = part.column("freq")[0].as_py()
-                    rows, nested = [], pa.types.is_list(part.schema.field("target").type.value_type)
-                    for j, x in enumerate(part.column("target").to_pylist()):
-                        rows += [(name, i, j, freq, nested, v, y) for v, y in enumerate(x if nested else [x])]
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.int32(), pa.list_(pa.float32())]
-                    if rows:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["path", "batch", "row", "freq", "nested", "variate", "values"])
-
-    return files.mapInArrow(run, "path string, batch long, row long, freq string, nested boolean, variate int, values array<float>")
 
-
-def arrow_series(spark: SparkSession, path: str) -> DataFrame:
-    return arrow_rows(files_of(spark, path))
+def arrow_series(spark: SparkSession, path: str, **options) -> DataFrame:
+    """path, batch, row, freq, nested, variate, values of Arrow streams with a target list column; a target of lists (nested) gives a row per variate. freq is the first
+    batch's."""
+    return ranges.arrow_rows(spark, path, **options)
 
 
 def arrow_items(rows: DataFrame) -> DataFrame:
-    """rows of arrow_rows() that belong to multivariate items: of each folder those before the first target without variates, in order of path, batch and row. A folder
+    """rows of arrow_series() that belong to multivariate items: of each folder those before the first target without variates, in order of path, batch and row. A folder
     that begins with one has no items."""
     folder, at = F.regexp_replace("path", "/[^/]*$", ""), F.struct("path", "batch", "row")
     flat = rows.where(~F.col("nested")).groupBy(folder.alias("_f")).agg(F.min(at).alias("_end"))
     return rows.where("nested").join(flat, folder == F.col("_f"), "left").where(F.col("_end").isNull() | (at < F.col("_end"))).select(*rows.columns)
 
 
-def npy_rows(files: DataFrame) -> DataFrame:
-    """path, channel, values of .npy files (path, content) with an array of channels by steps (or one channel)."""
-
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                grid = np.atleast_2d(np.load(io.BytesIO(content.as_py()), allow_pickle=False)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(grid)), pa.array(range(len(grid)), pa.int32()), pa.array(list(grid), pa.list_(pa.float32()))], ["path", "channel", "values"])
-
-    return files.mapInArrow(run, "path string, channel int, values array<float>")
-
-
-def npy_grids(spark: SparkSession, path: str) -> DataFrame:
-    return npy_rows(files_of(spark, path))
-
-
-def csr_series(spark: SparkSession, path: str) -> DataFrame:
-    return csr_rows(files_of(spark, path))
-
-
-def csr_rows(files: DataFrame) -> DataFrame:
-    """subset, series_id, values of files (path, content) named <subset>.values.npy and <subset>.offsets.npy."""
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").where(F.col("name").rlike(r"\.(values|offsets)\.npy$"))
-    pairs = files.select(F.regexp_extract("name", r"^(.*)\.(?:values|offsets)\.npy$", 1).alias("subset"), F.col("name").contains(".values.").alias("v"), "content")
-    pairs = pairs.groupBy("subset").agg(F.max(F.when(F.col("v"), F.col("content"))).alias("values"), F.max(F.when(~F.col("v"), F.col("content"))).alias("offsets"))
-
-    def run(batches):
-        for b in batches:
-            for name, values, offsets in zip(*(b.column(c).to_pylist() for c in ("subset", "values", "offsets"))):
-                x, at = (np.load(io.BytesIO(c), allow_pickle=False) for c in (values, offsets))
-                for lo in range(0, len(at) - 1, 1000):
-                    part = [x[i:j] for i, j in zip(at[lo : lo + 1000], at[lo + 1 : lo + 1001])]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.list_(pa.float32()))], ["subset", "series_id", "values"])
-
-    return pairs.mapInArrow(run, "subset string, series_id long, values array<float>")
-
-
-def _members(name: str, content: bytes):
-    """(member, bytes) of an archive, or of a compressed file; of any other file the file itself."""
-    lower = name.lower()
-    if lower.endswith(".zip"):
-        with zipfile.ZipFile(io.BytesIO(content)) as z:
-            yield from ((m.filename, z.read(m)) for m in z.infolist() if not m.is_dir())
-    elif lower.endswith((".tar", ".tar.gz", ".tgz", ".tar.xz", ".tar.bz2")):
-        with tarfile.open(fileobj=io.BytesIO(content)) as t:
-            yield from ((m.name, t.extractfile(m).read()) for m in t if m.isfile())
-    else:
-        for end, open_ in ((".gz", gzip.decompress), (".xz", lzma.decompress), (".bz2", bz2.decompress)):
-            if lower.endswith(end):
-                yield name.rsplit("/", 1)[-1][: -len(end)], open_(content)
-                return
-        yield name.rsplit("/", 1)[-1], content
-
-
-def archive_rows(files: DataFrame) -> DataFrame:
-    """path, member, line_no, line of the text files in zip, tar, gz, xz and bz2 archives (path, content): what from_csv or the text readers go on with."""
+def npy_grids(spark: SparkSession, path: str, **options) -> DataFrame:
+    """path, channel, values of .npy files with an array of channels by steps (or one channel)."""
+    return ranges.whole(ranges.npy_pieces(spark, path, **options), ["path", "channel"])
 
-    def run(batches):
-        for b in batches:
-            for name, content in zip(b.column("path").to_pylist(), b.column("content")):
-                for member, data in _members(name, content.as_py()):
-                    lines = data.decode("utf-8", "replace").splitlines()
-                    for lo in range(0, len(lines), 10_000):
-                        part = lines[lo : lo + 10_000]
-                        yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array([member] * len(part)), pa.array(range(lo, lo + len(part)), pa.int64()), pa.array(part, pa.string())], ["path", "member", "line_no", "line"])
 
-    return files.mapInArrow(run, "path string, member string, line_no long, line string")
+def csr_series(spark: SparkSession, path: str, **options) -> DataFrame:
+    """subset, series_id, values of files named <subset>.values.npy and <subset>.offsets.npy."""
+    return ranges.whole(ranges.csr_pieces(spark, path, **options), ["subset", "series_id"])
 
 
-def archived_lines(spark: SparkSession, path: str) -> DataFrame:
-    return archive_rows(files_of(spark, path))
+def archived_lines(spark: SparkSession, path: str, **options) -> DataFrame:
+    """path, member, line_no, line of the text files in zip, tar, gz, xz and bz2 archives: what from_csv or the text readers go on with."""
+    return ranges.archived_lines(spark, path, **options)

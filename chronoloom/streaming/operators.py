@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from .stateful import rocksdb
+
 
 def _marked(stream: DataFrame, ts: str, late: str | None) -> DataFrame:
     return stream.withWatermark(ts, late) if late else stream
@@ -79,13 +81,12 @@ def state_space(stream: DataFrame, key: str, a: list[complex], b: list[complex],
 
 
 def replay(df: DataFrame, path: str, batches: int, order: str) -> DataFrame:
-    """A stream that reads df back in files, the rows in order: for tests and backfills. One file is one trigger's input."""
-    spark = df.sparkSession
-    total = max(df.count(), 1)
-    for i, part in enumerate(range(batches)):
-        lo, hi = total * part // batches, total * (part + 1) // batches
-        numbered = df.orderBy(order).offset(lo).limit(hi - lo)
-        numbered.coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
+    """A stream that reads df back in files, the rows in order of a column: for tests and backfills. One file is one trigger's input. The table is sorted once, into as many
+    ranges, which are then put into the stream's folder one after the other."""
+    spark, staged = df.sparkSession, f"{path.rstrip('/')}-staged"
+    df.repartitionByRange(batches, order).sortWithinPartitions(order).write.mode("overwrite").parquet(staged)
+    for i, file in enumerate(sorted(spark.read.parquet(staged).inputFiles(), key=lambda f: f.rpartition("/")[2])):
+        spark.read.schema(df.schema).parquet(file).coalesce(1).write.mode("append" if i else "overwrite").parquet(path)
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -96,7 +97,9 @@ def drained(stream: DataFrame, path: str, mode: str) -> DataFrame:
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out/batch={0 if mode == 'complete' else number}")
 
-    stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    with rocksdb(spark):
+        query = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
     return spark.read.schema(schema).parquet(f"{path}/out").select(*stream.columns)
 
 

@@ -542,3 +542,47 @@ def test_forecasts_by_size_are_those_of_the_block_means(spark):
         means = np.array([np.mean(b) if b else np.nan for b in blocks], float)
         want = np.repeat(fc.quantiles_of(fc.REGISTRY["seasonal_naive"], means, -(-12 // k), max(1, round(6 / k))), k, axis=0)[:12]
         assert np.array(got[i], float) == pytest.approx(want, nan_ok=True)
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_names_are_found_in_texts_however_many_there_are(spark, monkeypatch, limit):
+    from chronoloom.operators import match
+
+    monkeypatch.setattr(match, "AUTOMATON_BYTES", limit)  # 0: by their beginnings
+    names = ["", "a", "ab", "abcd", "abcde", "x", "ée", "q" * 50, "needle", "zz"]
+    texts = [None, "abcd", "Xéey", "some needles", "b" * 1000 + "z" * 3, "q" * 49]
+    found = lambda t: {r[0] for r in match.found_in(spark.createDataFrame([(n,) for n in [*names, None, "a"]], "n string"), spark.createDataFrame([(x,) for x in t], "t string"), "n", "t").collect()}
+    assert found(texts) == {n for n in names if any(n in t for t in texts if t is not None)}
+    assert found([]) == set() and found([None]) == set()
+
+
+@pytest.mark.parametrize("few,points", [(200_000, 256), (40, 16), (3, 8)])
+def test_exact_quantiles_of_groups_of_any_size(spark, monkeypatch, few, points):
+    from chronoloom.functions import quantiles as q
+
+    monkeypatch.setattr(q, "FEW", few)
+    monkeypatch.setattr(q, "POINTS", points)
+    rng = np.random.default_rng(6)
+    groups = {"hot": rng.lognormal(0, 2, 4000), "ties": rng.integers(0, 4, 900).astype(float), "one": np.array([7.5]), "two": np.array([1.0, 2.0]), None: rng.normal(size=50), "same": np.full(300, 2.0)}
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("hot", None), ("none", None), ("hot", float("nan")), ("two", float("inf"))]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3).cache()
+    ps = (0.0, 0.1, 0.5, 0.999, 1.0)
+    got = {(r["k"], r["p"]): r["q"] for r in q.exact_quantiles(df, ["k"], "v", ps, written=lambda d: d.cache()).collect()}
+    assert set(got) == {(k, p) for k in groups for p in ps} and all(v == pytest.approx(np.quantile(groups[k], p), abs=1e-12) for (k, p), v in got.items())
+    low = {r["k"]: r["q"] for r in q.exact_quantiles(df, ["k"], "v", (0.5,), lower=True, written=lambda d: d.cache()).collect()}
+    assert low == {k: np.sort(x)[(len(x) - 1) // 2] for k, x in groups.items()}
+    assert q.exact_quantiles(df.limit(0), [], "v", ps).count() == 0
+
+
+def test_templates_depend_on_their_key_alone(spark):
+    what = spark.createDataFrame([(i, 60 + i % 50, float(3 + i % 20)) for i in range(300)] + [(900, 0, 5.0), (901, 1, 5.0), (902, None, 5.0)], "seed long, length int, period double")
+    a, b = ({r["seed"]: r["values"] for r in synthetic.templates(d).collect()} for d in (what, what.orderBy("length").repartition(5)))
+    assert a == b and a[900] == [] == a[902] and len(a[901]) == 1 and all(len(a[i]) == 60 + i % 50 and np.isfinite(a[i]).all() for i in range(300))
+    assert len({tuple(v[:20]) for v in a.values() if len(v) > 20}) == 300
+    level = np.array([np.mean(a[i]) for i in range(300)])
+    assert level.min() < 300 < 700 < level.max()
+    cycle = [np.corrcoef(a[i][:-p], a[i][p:])[0, 1] for i in range(300) for p in [3 + i % 20]]  # a period later a series looks like itself
+    assert np.median(cycle) > 0.9
+    u = np.array([r[0] for r in spark.range(5000).select(synthetic.uniform(F.lit(1), "x", F.col("id"))).collect()])
+    g = np.array([r[0] for r in spark.range(5000).select(synthetic.normal(F.lit(1), "x", F.col("id"))).collect()])
+    assert u.mean() == pytest.approx(0.5, abs=0.02) and u.var() == pytest.approx(1 / 12, abs=0.01) and g.mean() == pytest.approx(0, abs=0.05) and g.std() == pytest.approx(1, abs=0.05)

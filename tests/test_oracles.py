@@ -20,10 +20,10 @@ def duck(sf):
 
 def plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}")
+        return "nan" if math.isnan(v) else f"{v:.9g}"  # which tells -0.0 from 0.0
     if isinstance(v, (list, tuple)):
         return tuple(plain(x) for x in v)
-    return float(v) if type(v).__name__ == "Decimal" else v
+    return f"{float(v):.9g}" if type(v).__name__ == "Decimal" else v
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronoloom.functions import frequency as fr
-from chronoloom.operators import forecast, items, sample
+from chronoloom.operators import artefact, forecast, items, sample
 from chronoloom.sources import binary, recipes
 
 
@@ -135,12 +135,12 @@ def test_past_covariates_horizons_are_never_read(spark):
 def test_models_and_heads(spark, tmp_path):
     r = np.random.default_rng(1)
     w = {"q": r.normal(size=(8, 8)), "k": r.normal(size=(8, 8)), "v": r.normal(size=(8, 8)), "up": r.normal(size=(8, 16)), "down": r.normal(size=(16, 4 * 9))}
-    forecast.save_model(spark, str(tmp_path / "m"), w)
-    again = forecast.load_model(spark, str(tmp_path / "m"), set(w))
+    artefact.save_model(spark, str(tmp_path / "m"), w)
+    again = artefact.load_model(spark, str(tmp_path / "m"), set(w))
     fan = forecast.quantile_head(r.normal(size=(10, 8)), r.normal(size=(3, 8)), again, 4)
     assert fan.shape == (12, 9) and (np.diff(fan, axis=1) >= 0).all()
     with pytest.raises(ValueError, match="missing"):
-        forecast.load_model(spark, str(tmp_path / "m"), {*w, "bias"})
+        artefact.load_model(spark, str(tmp_path / "m"), {*w, "bias"})
 
 
 def test_scalars_and_draws(spark):
