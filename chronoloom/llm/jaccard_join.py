@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import forget, maybe_in, modest_batches, small, spill
@@ -33,6 +33,11 @@ HOT_IN_BATCH, HOT_IN_ALL = 3, 32
 COUNTED, PARTS = 4 << 20, 16
 
 
+def row_key(doc_id: Column, own: Column) -> Column:
+    """By which a row's text is found again. Rows of equal keys are told apart by the digests of their sets."""
+    return F.xxhash64(doc_id, own)
+
+
 #: Rows of a batch whose texts are held at once.
 SLICE = 500
 
@@ -151,8 +156,13 @@ def describe(docs: DataFrame, doc_id: str, text: str, k: int, percent: int) -> D
     return rows.mapInArrow(run, "doc_id long, own long, n long, s1 long, s2 long, g long, prefix array<long>, bits binary")
 
 
-def _runs(batches, columns: int):
-    """Sorted batches (first column: key) -> arrays in which no run of equal keys is cut in two."""
+def _runs(batches, columns: int, one: bool = False):
+    """Sorted batches (first column: key) -> arrays in which no run of equal keys is cut in two; one run at a time if so asked."""
+    if one:
+        for run in _runs(batches, columns):
+            edges = np.r_[0, np.flatnonzero(run[0][1:] != run[0][:-1]) + 1, len(run[0])].tolist()
+            yield from ([x[lo:hi] for x in run] for lo, hi in zip(edges, edges[1:]))
+        return
     held = None
     for b in batches:
         now = [b.column(i).to_numpy(zero_copy_only=False) for i in range(columns)]
@@ -212,8 +222,8 @@ def _several(batches):
     yield from flush()
 
 
-#: Hubs with which each member of a block is paired first, members of a block on average, and of the blocks that meet two by two in what is left.
-HUBS, HUB_BLOCK, CROSS_BLOCK = 4, 1 << 16, 1 << 12
+#: Hubs with which each member of a block is paired first, members of a block on average, and of the blocks of a list and of a group that meet two by two in what is left.
+HUBS, HUB_BLOCK, CROSS_BLOCK, WITHIN_BLOCK = 4, 1 << 16, 1 << 12, 1 << 10
 
 
 def _hubs(percent: int):
@@ -307,7 +317,38 @@ def _cross(percent: int):
     return run
 
 
-def open_pairs(lists: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+def _two_by_two(rows: DataFrame, by: Column, key: str) -> DataFrame:
+    """rows (with blocks, the number of blocks of their key) once for each block that theirs meets: list tells key and pair of blocks, side the block (2 where it meets itself)."""
+    d = rows.withColumn("own", F.pmod(by, F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
+    return d.withColumn("list", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other"))).withColumn("side", side)
+
+
+def _within(percent: int):
+    """Sorted (list, cid, comp, n, side, bits) of classes of a group -> pairs that aren't known to be connected and whose bitmaps don't rule a link out. Sizes and so
+    bitmaps of a group are equal; lists of one hash are told apart by size, and what remains is verified as all pairs are."""
+
+    def run(batches):
+        for _, cid, comp, n, side, bits in _runs(batches, 6, True):
+            a, b = [], []
+            for size in np.unique(n).tolist():
+                at = np.flatnonzero(n == size)
+                c, k, s = cid[at], comp[at], side[at]
+                x = np.frombuffer(b"".join(bits[at]), np.uint8).reshape(len(at), -1)
+                most = 2 * (size - least_overlap(size, size, percent))
+                for i in range(1, len(at)):
+                    j = np.flatnonzero((k[:i] != k[i]) & ((s[:i] != s[i]) | (s[i] == 2)))
+                    if len(j):
+                        j = j[np.bitwise_count(x[j] ^ x[i]).sum(1) <= most]
+                        a.append(c[j])
+                        b.append(np.full(len(j), c[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *y])) for y in (a, b)], ["a", "b"])
+        release()
+
+    return run
+
+
+def open_pairs(lists: DataFrame, named: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """lists (token, g, np), named (g, cid, comp: classes and what is known of their components) -> pairs (a, b) of classes that share a list or a group, may link by
     size and position and aren't known to be connected."""
     state = named.groupBy("g").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("classes"))
@@ -315,17 +356,14 @@ def open_pairs(lists: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     members = lists.select("token", "g", "np").join(state.select("g", "comp"), "g")
     tokens = members.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi OR lo < 0")
     tokens = tokens.select(F.col("token").alias("t"), F.ceil(F.col("size") / CROSS_BLOCK).cast("int").alias("blocks"))
-    open_ = members.join(tokens, F.col("token") == F.col("t")).withColumn("own", F.pmod(F.xxhash64(F.lit(1), "g"), F.col("blocks")).cast("int"))
-    open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
-    met = open_.select(F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other")).alias("list"), "np", "g", "comp", side.alias("side"))
+    met = _two_by_two(members.join(tokens, F.col("token") == F.col("t")), F.xxhash64(F.lit(1), "g"), "token").select("list", "np", "g", "comp", "side")
     groups = spill(met.repartition("list").sortWithinPartitions("list", "np", "g").mapInArrow(_cross(percent), "x long, y long").distinct(), "groups")
     one, two = (named.select(F.col("g").alias(x), F.col("cid").alias(c), F.col("comp").alias(k)) for x, c, k in (("x", "a", "ca"), ("y", "b", "cb")))
     across = groups.join(one, "x").join(two, "y").where("ca <> cb")
-    mixed = state.where("classes > 1 AND comp < 0").select("g")
-    of_mixed = named.join(mixed, "g")
-    one, two = (of_mixed.select("g", F.col("cid").alias(c), F.col("comp").alias(k)) for c, k in (("a", "ca"), ("b", "cb")))
-    within = one.join(two, "g").where("a < b AND ca <> cb")
+    mixed = state.where("classes > 1 AND comp < 0").select(F.col("g").alias("h"), F.ceil(F.col("classes") / WITHIN_BLOCK).cast("int").alias("blocks"))
+    of_mixed = named.join(mixed, F.col("g") == F.col("h")).join(classes.select(F.col("cid").alias("c"), "n", "bits"), F.col("cid") == F.col("c"))
+    met = _two_by_two(of_mixed, F.xxhash64(F.lit(2), "cid"), "g").select("list", "cid", "comp", "n", "side", "bits")
+    within = met.repartition("list").sortWithinPartitions("list", "cid").mapInArrow(_within(percent), "a long, b long")
     pairs = across.select("a", "b").union(within.select("a", "b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     pairs = spill(pairs.distinct(), "pairs")
     forget(state, groups)
@@ -333,7 +371,7 @@ def open_pairs(lists: DataFrame, named: DataFrame, percent: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, classes: DataFrame, words: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes -> those that link: bitmaps first, then the exact sets of their texts. words: _key, _text, one row a key."""
+    """Pairs (a, b) of classes -> those that link: bitmaps first, then the exact sets of their texts. words: _key, _text, a row for each different row of a key."""
     side = classes.select("cid", "n", "bits", "key", "s1", "s2")
 
     def by_bits(batches):
@@ -381,12 +419,13 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     full = told.where("n > 0")
     row = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own"))
     classes = full.groupBy("s1", "s2").agg(row.alias("row"), F.min("n").alias("n"), F.min("g").alias("g"), F.min("bits").alias("bits"), F.count("*").alias("copies"))
-    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", "g", "bits", "copies", F.col("row.doc_id").alias("first"), F.xxhash64("row.doc_id", "row.own").alias("key"))
+    classes = classes.select(F.monotonically_increasing_id().alias("cid"), "s1", "s2", "n", "g", "bits", "copies", F.col("row.doc_id").alias("first"), row_key(F.col("row.doc_id"), F.col("row.own")).alias("key"))
     classes = spill(classes, "classes")
     groups = classes.groupBy("g").agg(F.min("cid").alias("lead_class"), F.count("*").alias("classes"))
-    words = docs.select(F.xxhash64(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_key"), F.col(text).alias("_text"))
-    if full.groupBy("doc_id", "own").count().where("count > 1").limit(1).count():  # rows that repeat would repeat their pairs
-        words = words.dropDuplicates(["_key"])
+    words = docs.select(row_key(F.col(doc_id).cast("long"), F.xxhash64(text)).alias("_key"), F.col(text).alias("_text"), F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_own"))
+    if full.groupBy("doc_id", "own").count().where("count > 1").limit(1).count():  # rows that repeat would repeat their pairs; different rows of one key stay
+        words = words.dropDuplicates(["_key", "_id", "_own"])
+    words = words.drop("_id", "_own")
 
     postings = full.where("prefix IS NOT NULL").select("g", "n", F.posexplode("prefix").alias("pos", "token"))
     postings = postings.select("token", "g", (F.shiftleft("n", 32) + F.col("pos")).alias("np")).repartition("token").sortWithinPartitions("token", "g")
@@ -409,7 +448,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k:
     # What isn't connected yet: group pairs of each list, and classes of a group.
     named = classes.join(known.withColumnRenamed("node", "cid"), "cid", "left").select("g", "cid", F.coalesce("component", "cid").alias("comp"))
     named = spill(named, "named")
-    rest = open_pairs(lists, named, percent)
+    rest = open_pairs(lists, named, classes, percent)
     left = spill(rest.join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = verify(left, classes, words, k, percent)
 

@@ -27,7 +27,7 @@ LEAD = 0.05
 #: Bytes of text hashed at once.
 PIECE = 1 << 18
 UNKNOWN = "und"
-#: Parts of a sum that one task adds up, languages whose counts a task holds at once (256 KB each), and languages that can be learned: more are an error.
+#: Parts of a sum that one task adds up, languages whose counts a task holds at once (256 KB each), and languages that are learned: of more those with the most texts.
 FAN, HELD, MOST_LANGUAGES = 256, 64, 1024
 
 
@@ -122,9 +122,12 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def train(rows: DataFrame) -> dict:
-    """rows (text, lang; both not null) -> model: languages in order, their codewords, slot weights by bit, bit weights. More than MOST_LANGUAGES are an error."""
-    if rows.select("lang").distinct().limit(MOST_LANGUAGES + 1).count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of the language column")
+    """rows (text, lang; both not null) -> model: languages in order, their codewords, slot weights by bit, bit weights. Of more than MOST_LANGUAGES values those with the most
+    texts are learned, the first in code-point order of equally frequent ones; texts of the others get the nearest of these."""
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").select(F.col("lang").alias("_lang")).limit(MOST_LANGUAGES + 1)
+    frequent = [r["_lang"] for r in frequent.collect()]  # a name each
+    if len(frequent) > MOST_LANGUAGES:
+        rows = rows.where(F.col("lang").isin(frequent[:MOST_LANGUAGES]))
     counts = gram_counts(rows)
     got = counts.toPandas()  # BLOCKS rows of 32 KB a language
     forget(counts)

@@ -165,3 +165,27 @@ def test_components(spark):
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 6: 6, 7: 6, 8: 6, 9: 6, 20: 20, 30: 20}
     assert components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_rows_whose_keys_collide_keep_their_links(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(J, "row_key", lambda doc_id, own: F.lit(7).cast("long"))  # all rows have one key
+    texts = [" ".join(f"{x}{i}" for i in range(60)) for x in "abc"]
+    rows = [(i, texts[i % 3] + " more" * (i // 3)) for i in range(9)] + [(4, texts[1] + " more")] * 2  # rows that repeat
+    assert rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_large_groups_are_paired_by_blocks(spark, monkeypatch):
+    """Many classes of one prefix and size, some of which link: they meet in blocks, and bitmaps leave few pairs."""
+    import random
+
+    monkeypatch.setattr(J, "WITHIN_BLOCK", 8)
+    monkeypatch.setattr(J, "leads", lambda lists, longest, percent: (lists.selectExpr("g AS lead", "g").limit(0), []))
+    rng = random.Random(4)
+    sets = {}
+    while len(sets) < 400:  # texts of seven shingles; those with the same first shingle in the order are a group
+        w = [f"k{rng.randrange(3)}" for _ in range(11)]
+        sets.setdefault(tuple(w), len(sets))
+    rows = [(i, " ".join(w)) for w, i in sets.items()]
+    assert rows_of(J.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)

@@ -122,10 +122,16 @@ def test_sums_in_rounds(spark, monkeypatch):
     assert len(one) == len(many) == 5 * L.BLOCKS and all(sums[0][k] == pytest.approx(sums[1][k]) for k in sums[0])
 
 
-def test_too_many_languages_are_an_error(spark, monkeypatch):
+def test_of_many_languages_the_most_frequent_are_learned(spark, monkeypatch):
     monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
-    with pytest.raises(ValueError, match="language column"):
-        L.train(spark.createDataFrame([(f"text {i}", f"l{i}") for i in range(5)], "text string, lang string"))
+    rows = [(f"text {i} of l{i % 5}", f"l{i % 5}") for i in range(22)]  # l0 and l1 have five texts, the others four
+    assert L.train(spark.createDataFrame(rows, "text string, lang string"))["langs"] == ["l0", "l1", "l2"]
+
+
+def test_every_document_gets_a_language_whatever_the_labels(spark):
+    rows = [(i, f"words of document {i} and some more of them", f"label{i % 1600}") for i in range(2000)]
+    got = L.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    assert len(got) == 2000 and all(r["lang_pred"].startswith("label") for r in got)
 
 
 def test_a_very_long_text(spark):
