@@ -112,13 +112,13 @@ def held_out(s: str = "s") -> Column:
 
 def train(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random to ordinary, given the first: one row of ALPHABET's length per first character, half a count added to
-    each pair, between -4 and 4."""
+    each pair, between -4 and 4. A character that repeats speaks for no string: random ones have few such pairs, and runs of any character are filler."""
     k = len(ALPHABET)
     n = {label: [[0.5] * k for _ in range(k)] for label in ("random", "ordinary")}
     for r in pair_counts(samples).collect():  # at most two rows a pair
         n[r["label"]][r["a"]][r["b"]] += r["n"]
     ratio = lambda label, a, b: math.log(n[label][a][b] / sum(n[label][a]))
-    return [max(-4.0, min(4.0, ratio("random", a, b) - ratio("ordinary", a, b))) for a in range(k) for b in range(k)]
+    return [max(-4.0, min(0.0 if a == b else 4.0, ratio("random", a, b) - ratio("ordinary", a, b))) for a in range(k) for b in range(k)]
 
 
 def is_secret(s: str, model: list[float]) -> str:
