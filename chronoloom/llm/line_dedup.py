@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from .common import Filter, forget, modest_batches, no_clash, spill
 from .textkit import release
 
-#: Keys in a shard at most on average, shards at most (beyond, shards grow: about 10 bytes a key), and probes in a group on average.
-SHARD_KEYS, MOST_SHARDS, PROBES = 1 << 15, 1 << 16, 1 << 16
+#: Keys in a shard at most on average, shards at most (beyond, shards grow: about 10 bytes a key), and probes in a group on average. A group has at least twice as
+#: many probes as its shard has keys, so that the copies of a shard's arrays are no more than the probes that ask for them.
+SHARD_KEYS, MOST_SHARDS, PROBES = 1 << 15, 1 << 20, 1 << 16
 _BLANK = b" \t\n\x0b\x0c\r"
 _U = np.uint64
 
@@ -123,7 +124,7 @@ def probes(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame
 
 
 def index(keys: DataFrame, most: int, min_docs: int) -> tuple[DataFrame, int]:
-    """keys (h1, h2, n, keeper): distinct hashes, most at most -> shard, its number of probes, and its arrays (see Shard); and the number of shards, which the first
+    """keys (h1, h2, n, keeper): distinct hashes, most at most -> shard, its numbers of probes and keys, and its arrays (see Shard); and the number of shards, which the first
     bits of h1 tell."""
     shards = 1
     while shards * SHARD_KEYS < most and shards < MOST_SHARDS:
@@ -134,18 +135,24 @@ def index(keys: DataFrame, most: int, min_docs: int) -> tuple[DataFrame, int]:
         keeper = part.column("keeper")
         listed = (n >= min_docs) & keeper.is_valid().to_numpy()
         arrays = Shard.make(h1.view(_U), h2.view(_U), n, keeper.fill_null(0).to_numpy(), listed)
-        return pa.table([[part.column("shard")[0].as_py()], [int(n.sum())], *([x] for x in arrays)], names=["shard", "probes", *(f.split()[0] for f in Shard.FIELDS.split(", "))])
+        return pa.table([[part.column("shard")[0].as_py()], [int(n.sum())], [len(n)], *([x] for x in arrays)], names=["shard", "probes", "keys", *(f.split()[0] for f in Shard.FIELDS.split(", "))])
 
-    return keys.withColumn("shard", shard_of(shards)).groupBy("shard").applyInArrow(run, f"shard long, probes long, {Shard.FIELDS}"), shards
+    return keys.withColumn("shard", shard_of(shards)).groupBy("shard").applyInArrow(run, f"shard long, probes long, keys long, {Shard.FIELDS}"), shards
 
 
 def shard_of(shards: int):
     return F.lit(0).cast("long") if shards == 1 else F.shiftrightunsigned("h1", 64 - shards.bit_length() + 1)
 
 
+def copied(shards: DataFrame) -> DataFrame:
+    """shard, copies: the groups in which a shard is probed."""
+    group = F.greatest(F.lit(PROBES), 2 * F.col("keys"))
+    return shards.select("shard", F.ceil(F.greatest(F.col("probes"), F.lit(1)) / group).cast("int").alias("copies"))
+
+
 def losses(asked: DataFrame, shards: DataFrame, n: int, min_docs: int) -> DataFrame:
     """asked (probes) -> h1, h2, doc_id, own of the lines that go, by the counts and keepers in the shards' arrays (n shards)."""
-    copies = F.broadcast(shards.select("shard", F.ceil(F.greatest(F.col("probes"), F.lit(1)) / PROBES).cast("int").alias("copies")))  # MOST_SHARDS rows at most
+    copies = F.broadcast(copied(shards))  # MOST_SHARDS rows at most
     arrays = shards.join(copies, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     dealt = asked.withColumn("shard", shard_of(n)).join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("h2", "doc_id", "own"), F.col("copies")).cast("int"))
     names = [f.split()[0] for f in Shard.FIELDS.split(", ")]

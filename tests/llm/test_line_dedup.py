@@ -51,6 +51,7 @@ def test_many_shards_and_groups(spark, monkeypatch):
     rows += [(None, rows[0][1])] * 3 + [rows[5]] * 2
     assert rows_of(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
     monkeypatch.setattr(L, "MOST_SHARDS", 4)  # fewer, larger shards
+    monkeypatch.setattr(L, "SHARD_KEYS", 256)
     assert rows_of(L.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))) == brute(rows)
 
 
@@ -125,3 +126,22 @@ def test_sha_of_query(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
     want = {i: (n, d, hashlib.sha256(t.encode()).hexdigest()) for i, t, n, d in brute([(r[0], r[1]) for r in docs])}
     assert {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["kept_sha256"]) for r in op9_line_dedup(spark, sf).collect()} == want
+
+
+def test_copies_of_large_shards_grow_with_the_probes(spark, monkeypatch):
+    """Beyond the most shards arrays grow; what is copied stays in proportion to what is asked."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(L, "MOST_SHARDS", 4)
+    monkeypatch.setattr(L, "SHARD_KEYS", 256)
+    monkeypatch.setattr(L, "PROBES", 64)
+    sizes = []
+    for n in (4000, 16000):
+        lines = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws("\n", *(F.concat(F.lit("a line of document "), ((F.col("id") + i) % (n // 2)).cast("string")) for i in range(4))).alias("text"))
+        asked = L.probes(lines, "doc_id", "text", 20).cache()
+        shards, count = L.index(asked.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")), asked.count(), 3)
+        shards = shards.cache()
+        bytes_ = sum(F.octet_length(c) for c in ("bits", "prints", "counts", "often", "keepers"))
+        sizes.append(shards.join(L.copied(shards), "shard").agg(F.sum(F.col("copies") * bytes_)).first()[0] / asked.count())
+        assert count == 4
+    assert sizes[1] < 1.5 * sizes[0]
