@@ -13,6 +13,7 @@ in many dimensions) leave few cells out: then a query visits nearly all, as any
 from __future__ import annotations
 
 import math
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ LINES, HALF, MISS, GROWTH = 64, 1.3, 1.65, 1.3
 BLOCK, QUERIES, PROBE, CHUNK = 8192, 8192, 256, 256
 #: Routing lines at most, half-width of a window on them in units of the radius (0.9 % of neighbours at the radius lie outside), vectors sampled for quantiles.
 ROUTES, REACH, SAMPLE = 3, 2.6, 20_000
-#: Lengths of vectors that one table may hold.
+#: Lengths of vectors that are searched together; a table with more is searched in rounds.
 MOST_LENGTHS = 1000
 
 
@@ -139,17 +140,30 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, vec_id: str = "vec_i
 
     A row is no candidate of its own; other rows are, those of its id included, and rows that repeat are candidates and queries as often as they occur. Vectors that
     are null, empty, zero or hold null or non-finite components take no part, nor do null ids; vectors meet those of their own length only. Fewer than k
-    candidates give fewer rows, none gives none; so does an empty table. Scores are exact, in double precision. Other columns are ignored. A table with more
-    than MOST_LENGTHS lengths of vectors is an error.
+    candidates give fewer rows, none gives none; so does an empty table. Scores are exact, in double precision. Other columns are ignored. A table may
+    hold vectors of any number of lengths.
     """
     spark = vectors.sparkSession
     modest_batches(spark)
     rows = vectors.where(usable(vector) & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(asked, F.lit(False)).alias("asked"))
     rows = spill(rows.withColumn("d", F.size("v")).withColumn("row", F.monotonically_increasing_id()), "vectors")
     length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    sizes = rows.groupBy("d").agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.count_if("asked").alias("m")).where("m > 0").limit(MOST_LENGTHS + 1).collect()
-    if len(sizes) > MOST_LENGTHS:
-        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    sizes = spill(rows.groupBy("d").agg(F.count("*").alias("n"), F.max(length).alias("longest"), F.count_if("asked").alias("m")).where("m > 0"), "lengths")
+    some, out = sizes.toLocalIterator(), None
+    while True:
+        part = list(islice(some, MOST_LENGTHS))
+        if part or out is None:
+            found = _nearest(rows, part, k)
+            out = found if out is None else out.unionByName(found)
+        if len(part) < MOST_LENGTHS:
+            break
+    forget(rows, sizes)
+    return out
+
+
+def _nearest(rows: DataFrame, sizes: list, k: int) -> DataFrame:
+    """nearest() for the rows (id, v, asked, d, row) of some lengths; sizes: d, n, longest of each."""
+    spark = rows.sparkSession
     plan = {}
     for s in sizes:
         blocks = math.ceil(s["n"] / BLOCK)
@@ -177,7 +191,7 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, vec_id: str = "vec_i
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], [*b.schema.names, "cell"])
 
     known = rows.where(F.col("d").isin([s["d"] for s in sizes])) if sizes else rows.where("false")
-    placed = spill(known.mapInArrow(place, rows.schema.add("cell", "long")), "placed")
+    placed = spill(known.mapInArrow(place, rows.withColumn("cell", F.lit(0).cast("long")).schema), "placed")
     counts = spill(placed.groupBy("d", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("subs")), "cells")
     data = placed.join(small(counts), ["d", "cell"]).withColumn("sub", F.pmod(F.xxhash64("row"), "subs")).select("d", "cell", "sub", "id", "row", "v", "asked")
 
@@ -251,5 +265,5 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 20, vec_id: str = "vec_i
     best = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     ranked = home.union(found).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     ranked = spill(ranked, "nearest")
-    forget(rows, placed, counts, home, visits, groups)
+    forget(placed, counts, home, visits, groups)
     return ranked

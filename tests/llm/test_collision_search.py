@@ -124,3 +124,14 @@ def test_counts_of_wider_windows_add_up():
     want = np.sort(exact, 1)[:, -20:]
     hits = [np.isin(np.round(want[q], 9), np.round(s[j == q], 9)).mean() for q in range(len(own))]
     assert np.mean(hits) >= 0.9
+
+
+def test_more_lengths_than_are_searched_together(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(1 + i % 7)]) for i in range(140)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = C.nearest(df, F.col("vec_id") % 5 == 0, 3).collect()
+    monkeypatch.setattr(C, "MOST_LENGTHS", 2)
+    assert sorted(C.nearest(df, F.col("vec_id") % 5 == 0, 3).collect()) == sorted(asked) and len(asked) == 28 * 3
