@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: A rounded number in SQL. DuckDB rounds to -0.0 what is a little below zero, Spark to 0.0; adding 0.0 makes them one.
+_UNSIGNED = re.compile(r"\) / (10{2,})(?=\s*(?:AS\b|,|\)|ORDER\b|FROM\b|$))")
+
+
 def query(sql: str | None = None):
     """Registers a function of (spark, sf_dir) under its name, with the SQL that gives the same rows. $name in the SQL stands for one of INPUTS."""
 
@@ -33,7 +38,7 @@ def query(sql: str | None = None):
                 text = f"WITH {with_}, {text[5:]}" if with_ else text
             elif with_:
                 text = f"WITH {with_} {text}"
-            ORACLES[f.__name__] = text
+            ORACLES[f.__name__] = _UNSIGNED.sub(r") / \1 + 0.0", text)
         return f
 
     return put

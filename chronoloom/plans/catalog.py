@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import cleaning, frequencies, gridding, leaderboard, learning, normalising, overlaps, recipes, recurrences, relations, sampling, scans, scoring, streams, text_sources  # noqa: F401
+from . import cleaning, frequencies, gridding, leaderboard, learning, mixing_laws, normalising, overlaps, recipes, recurrences, relations, sampling, scans, scoring, streams, text_sources  # noqa: F401
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "naive_backtest"
