@@ -198,5 +198,5 @@ def synthetic_templates(spark, sf_dir):
     """Templates for the parts, by expressions alone: knots, cycles, trends, shifts and noise from counted random numbers."""
     p = table(spark, sf_dir, "part")
     what = p.select("p_partkey", (F.col("p_size") + 40).alias("length"), (F.col("p_partkey") % 17 + 3).alias("period"))
-    made = synthetic.templates(what, "p_partkey").select("p_partkey", F.posexplode("values").alias("step", "value"))
+    made = synthetic.templates(what, "p_partkey").select("p_partkey", F.posexplode_outer("values").alias("step", "value"))
     return made.select("p_partkey", F.col("step").cast("long").alias("step"), rounded("value", 4).alias("value"))
