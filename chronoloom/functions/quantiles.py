@@ -6,6 +6,8 @@ narrowed until what lies in it is few; those are counted by value and added up.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,11 +17,10 @@ from .scalars import finite
 FEW, POINTS, ACCURACY = 200_000, 256, 10_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...], lower: bool = False, written=None) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float, ...], keep: Callable[[DataFrame], DataFrame], lower: bool = False) -> DataFrame:
     """keys, p, q: for each key and each of ps the exact quantile of the finite values, with linear interpolation, or (lower) the smallest value that has at least p of the values up
-    to it: of p = 0.5 the lower median. A key without values isn't there. written(df) keeps small tables of brackets between the passes, a row a key and rank; without it they are
-    worked out again. df is read once for the counts, once for each narrowing (about one per factor 200 by which a key has more than FEW rows), and once at the end."""
-    keep = written or (lambda d: d)
+    to it: of p = 0.5 the lower median. A key without values isn't there. keep(df) writes a small table (brackets, a row a key and rank) and reads it back, so that no plan grows from pass to pass. df is
+    read once for the counts, twice for each narrowing (about one per factor 100 by which a key has more than FEW rows), and once at the end."""
     k = [f"_k{i}" for i in range(len(keys))]
     rows = df.select(*(F.col(c).alias(a) for c, a in zip(keys, k)), finite(value).alias("_v")).where("_v IS NOT NULL")
     whole = F.lit(1).alias("_all")

@@ -197,7 +197,7 @@ def quantiles_of_hot_keys(spark, sf_dir):
     """Exact quantiles of three large groups, without a task that holds one."""
     from ..functions.quantiles import exact_quantiles
 
-    out = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.01, 0.5, 0.9999), written=_kept(spark))
+    out = exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", (0.01, 0.5, 0.9999), _kept(spark))
     return out.withColumn("q", sc.rounded("q"))
 
 
@@ -206,7 +206,7 @@ def lower_median_of_all(spark, sf_dir):
     """The lower median of a whole table, whose values repeat."""
     from ..functions.quantiles import exact_quantiles
 
-    return exact_quantiles(table(spark, sf_dir, "lineitem"), [], "l_quantity", (0.5,), lower=True, written=_kept(spark))
+    return exact_quantiles(table(spark, sf_dir, "lineitem"), [], "l_quantity", (0.5,), _kept(spark), lower=True)
 
 
 def _kept(spark):

@@ -1,6 +1,7 @@
 """Exact values and laws that the operators keep."""
 
 import math
+import uuid
 
 import numpy as np
 import pytest
@@ -557,7 +558,7 @@ def test_names_are_found_in_texts_however_many_there_are(spark, monkeypatch, lim
 
 
 @pytest.mark.parametrize("few,points", [(200_000, 256), (40, 16), (3, 8)])
-def test_exact_quantiles_of_groups_of_any_size(spark, monkeypatch, few, points):
+def test_exact_quantiles_of_groups_of_any_size(spark, monkeypatch, tmp_path, few, points):
     from chronoloom.functions import quantiles as q
 
     monkeypatch.setattr(q, "FEW", few)
@@ -567,11 +568,17 @@ def test_exact_quantiles_of_groups_of_any_size(spark, monkeypatch, few, points):
     rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("hot", None), ("none", None), ("hot", float("nan")), ("two", float("inf"))]
     df = spark.createDataFrame(rows, "k string, v double").repartition(3).cache()
     ps = (0.0, 0.1, 0.5, 0.999, 1.0)
-    got = {(r["k"], r["p"]): r["q"] for r in q.exact_quantiles(df, ["k"], "v", ps, written=lambda d: d.cache()).collect()}
+
+    def keep(d):
+        path = f"{tmp_path}/{uuid.uuid4().hex}"
+        d.write.parquet(path)
+        return spark.read.schema(d.schema).parquet(path)
+
+    got = {(r["k"], r["p"]): r["q"] for r in q.exact_quantiles(df, ["k"], "v", ps, keep).collect()}
     assert set(got) == {(k, p) for k in groups for p in ps} and all(v == pytest.approx(np.quantile(groups[k], p), abs=1e-12) for (k, p), v in got.items())
-    low = {r["k"]: r["q"] for r in q.exact_quantiles(df, ["k"], "v", (0.5,), lower=True, written=lambda d: d.cache()).collect()}
+    low = {r["k"]: r["q"] for r in q.exact_quantiles(df, ["k"], "v", (0.5,), keep, lower=True).collect()}
     assert low == {k: np.sort(x)[(len(x) - 1) // 2] for k, x in groups.items()}
-    assert q.exact_quantiles(df.limit(0), [], "v", ps).count() == 0
+    assert q.exact_quantiles(df.limit(0), [], "v", ps, keep).count() == 0
 
 
 def test_templates_depend_on_their_key_alone(spark):
