@@ -96,4 +96,4 @@ def test_it_is_registered(spark):
     import __spark_entry__
 
     assert __spark_entry__.queries()["pipeline"] is pipeline.run
-    assert len([n for n in __spark_entry__.queries() if n.startswith("op")]) == 10
+    assert len([n for n in __spark_entry__.queries() if n.startswith("op")]) == 13
