@@ -88,3 +88,27 @@ def test_the_sessions_own_state_store_comes_back(spark):
 def test_a_stream_without_rows(spark, tmp_path):
     empty = st.replay(sf.closed(spark.createDataFrame([], SCHEMA), "ts", "1 DAY"), f"{tmp_path}/in", 1, "i")
     assert st.drained(sf.running_frame(empty, "key"), f"{tmp_path}/out", "append").count() == 0
+
+
+@pytest.mark.parametrize("idle", [None, 1200])
+def test_many_keys_share_a_bucket_and_its_timers(spark, tmp_path, idle):
+    """60 keys in two buckets, whose timers release several slots at once."""
+    rng, rows = random.Random(3), []
+    for t in range(0, 300, 5):
+        for k in range(60):
+            if rng.random() < 0.3:
+                rows.append((t + rng.uniform(0, 30), f"k{k}", START + timedelta(minutes=t), 60 * t + k, round(rng.gauss(5, 2), 6)))
+    rows = [(i, *r[1:]) for i, r in enumerate(sorted(rows, key=lambda r: r[0]))]
+    poles = [[-0.5 + 1j, -0.1], [1, 0.5], [0.7, -0.2]]
+    out = sf.state_space(stream(spark, rows, tmp_path, 3), "key", *poles, dt=0.3, late="1 hour", slot=600, idle=idle, buckets=2)
+    got = {(r["key"], r["step"]): r["y"] for r in st.drained(out, f"{tmp_path}/out", "append").collect()}
+    assert len(got) == len(rows)
+    for key in {r[1] for r in rows}:
+        runs, mine = [], in_order(rows, key)
+        for before, r in zip([None, *mine], mine):
+            if before is None or idle and (r[2] - before[2]).total_seconds() > idle:
+                runs.append([])
+            runs[-1].append(r)
+        for run in runs:
+            y = recurrence.s4d_steps(np.array([r[4] for r in run]), *(np.array(p, complex) for p in poles), 0.3)[0]
+            assert [got[key, r[3]] for r in run] == pytest.approx(y.tolist())
