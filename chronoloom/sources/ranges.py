@@ -1,7 +1,7 @@
 """Binary files read by byte ranges: Spark data sources for .npy arrays, arrays of values with offsets, Arrow streams and archives.
 
 The driver reads headers only and plans partitions of about partitionBytes; a task opens its file at its own range, so one large file is read by many tasks, and
-what a task holds at once is bounded by CHUNK. Paths may be folders or files of any store that pyarrow.fs knows (file:, hdfs:, s3:, gs:) or a local path that all
+what a task holds at once is bounded by CHUNK. Where there are many ranges, a task reads several; of many files only the large ones are opened by the driver, the others are cut in the task. Paths may be folders or files of any store that pyarrow.fs knows (file:, hdfs:, s3:, gs:) or a local path that all
 executors see. The option only (names with commas between) leaves other files out before anything is planned; so do
 equalities on the file's name or subset where Spark pushes them down.
 
@@ -33,6 +33,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes that a partition reads and that a task holds at once, and lines of a text in a batch.
 PARTITION, CHUNK, LINES = 64 << 20, 8 << 20, 10_000
+#: Partitions up to which each range is one of its own and the driver reads every file's header; beyond, ranges and small files go together. What opening a file weighs, in bytes.
+APART, OPENING = 256, 1 << 14
 
 
 def _store(path: str):
@@ -69,6 +71,21 @@ def _near(path: str, at: str) -> str:
     return f"{scheme}://{host}{at}"
 
 
+@dataclass
+class Slice(InputPartition):
+    path: str
+    lo: int
+    hi: int
+    more: tuple = ()
+
+
+@dataclass
+class Bundle(InputPartition):
+    """Ranges, and files (path, bytes) that are still to be cut."""
+
+    units: tuple
+
+
 class Ranged(DataSourceReader):
     """A reader over files below a path. named is the column that equalities are pushed on."""
 
@@ -86,6 +103,39 @@ class Ranged(DataSourceReader):
         found = [(_near(self.path, p), size) for p, size in files_below(self.path, self.ends)]
         return [(p, size) for p, size in found if self.only is None or self.name_of(p) in self.only]
 
+    def cut(self, path: str, size: int) -> Iterator[Slice]:
+        """The ranges of a file."""
+        raise NotImplementedError
+
+    def read_range(self, part: Slice) -> Iterator[pa.RecordBatch]:
+        raise NotImplementedError
+
+    def partitions(self):
+        files = self.files()
+        share = min(max(sum(size + OPENING for _, size in files) // APART, self.bytes), max(self.bytes, PARTITION))
+        units: list[tuple[int, tuple]] = []
+        for path, size in files:
+            if len(files) > APART and size <= share:
+                units.append((size + OPENING, (path, size)))
+            else:
+                parts = list(self.cut(path, size))
+                units += [(max(size // len(parts), 1), p) for p in parts]
+        if len(units) <= APART:
+            return [p if isinstance(p, Slice) else Bundle((p,)) for _, p in units]
+        out, group, taken = [], [], 0
+        for weight, unit in units:
+            if taken and taken + weight > share:
+                out.append(Bundle(tuple(group)))
+                group, taken = [], 0
+            group.append(unit)
+            taken += weight
+        return [*out, Bundle(tuple(group))]
+
+    def read(self, part) -> Iterator[pa.RecordBatch]:
+        for unit in part.units if isinstance(part, Bundle) else (part,):
+            for one in (unit,) if isinstance(unit, Slice) else self.cut(*unit):
+                yield from self.read_range(one)
+
 
 class Pushing:
     """Equalities on a reader's name column leave files out. Spark asks for them if spark.sql.python.filterPushdown.enabled is true, and refuses such a reader if it isn't."""
@@ -130,32 +180,22 @@ class Npy:
         return np.frombuffer(f.read((hi - lo) * self.width), self.dtype)
 
 
-@dataclass
-class Slice(InputPartition):
-    path: str
-    lo: int
-    hi: int
-    more: tuple = ()
-
-
 class NpyReader(Ranged):
     """Pieces of channels. An array in C order is cut along its numbers, one in Fortran order along its steps."""
 
     ends = (".npy",)
 
-    def partitions(self):
-        out = []
-        for path, _ in self.files():
-            h = Npy.read(path)
-            rows, steps = (1, *h.shape)[-2:] if h.shape else (1, 1)
-            if len(h.shape) > 2:
-                raise ValueError(f"{path} has more than two dimensions")
-            total, unit = (steps, rows) if h.fortran else (rows * steps, 1)
-            per = max(1, self.bytes // (h.width * unit))
-            out += [Slice(path, lo, min(lo + per, total), (h, rows, steps)) for lo in range(0, total, per)]
-        return out
-
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def cut(self, path: str, size: int) -> Iterator[Slice]:
+        h = Npy.read(path)
+        rows, steps = (1, *h.shape)[-2:] if h.shape else (1, 1)
+        if len(h.shape) > 2:
+            raise ValueError(f"{path} has more than two dimensions")
+        total, unit = (steps, rows) if h.fortran else (rows * steps, 1)
+        per = max(1, self.bytes // (h.width * unit))
+        for lo in range(0, total, per):
+            yield Slice(path, lo, min(lo + per, total), (h, rows, steps))
+
+    def read_range(self, part: Slice) -> Iterator[pa.RecordBatch]:
         h, rows, steps = part.more
         with opened(part.path) as f:
             if h.fortran:
@@ -219,18 +259,16 @@ class CsrReader(Ranged):
     def name_of(self, path: str) -> str:
         return path.rsplit("/", 1)[-1].removesuffix(".values.npy")
 
-    def partitions(self):
-        out = []
-        for path, _ in self.files():
-            offsets = path.removesuffix(".values.npy") + ".offsets.npy"
-            h, o = Npy.read(path), Npy.read(offsets)
-            if len(h.shape) != 1 or len(o.shape) != 1 or not o.shape[0]:
-                raise ValueError(f"{path} and its offsets aren't arrays of one dimension")
-            per, total = max(1, self.bytes // h.width), h.shape[0]
-            out += [Slice(path, lo, min(lo + per, total), (h, o, offsets, lo + per >= total)) for lo in range(0, max(total, 1), per)]
-        return out
-
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def cut(self, path: str, size: int) -> Iterator[Slice]:
+        offsets = path.removesuffix(".values.npy") + ".offsets.npy"
+        h, o = Npy.read(path), Npy.read(offsets)
+        if len(h.shape) != 1 or len(o.shape) != 1 or not o.shape[0]:
+            raise ValueError(f"{path} and its offsets aren't arrays of one dimension")
+        per, total = max(1, self.bytes // h.width), h.shape[0]
+        for lo in range(0, max(total, 1), per):
+            yield Slice(path, lo, min(lo + per, total), (h, o, offsets, lo + per >= total))
+
+    def read_range(self, part: Slice) -> Iterator[pa.RecordBatch]:
         h, o, offsets, last = part.more
         name, n = self.name_of(part.path), o.shape[0] - 1
         with opened(part.path) as f, opened(offsets) as g:
@@ -326,24 +364,21 @@ class ArrowReader(Ranged):
 
     ends = (".arrow",)
 
-    def partitions(self):
-        out = []
-        for path, _ in self.files():
-            with opened(path) as f:
-                found = list(_messages(f))
-            shared = tuple(m[1:] for m in found if m[0] in (1, 2))
-            batches = [m[1:] for m in found if m[0] == 3]
-            lo = taken = 0
-            for i, (_, size) in enumerate(batches):
-                if taken and taken + size > self.bytes:
-                    out.append(Slice(path, lo, i, (shared, tuple(batches[lo:i]), batches[0])))
-                    lo, taken = i, 0
-                taken += size
-            if batches:
-                out.append(Slice(path, lo, len(batches), (shared, tuple(batches[lo:]), batches[0])))
-        return out
-
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def cut(self, path: str, size: int) -> Iterator[Slice]:
+        with opened(path) as f:
+            found = list(_messages(f))
+        shared = tuple(m[1:] for m in found if m[0] in (1, 2))
+        batches = [m[1:] for m in found if m[0] == 3]
+        lo = taken = 0
+        for i, (_, width) in enumerate(batches):
+            if taken and taken + width > self.bytes:
+                yield Slice(path, lo, i, (shared, tuple(batches[lo:i]), batches[0]))
+                lo, taken = i, 0
+            taken += width
+        if batches:
+            yield Slice(path, lo, len(batches), (shared, tuple(batches[lo:]), batches[0]))
+
+    def read_range(self, part: Slice) -> Iterator[pa.RecordBatch]:
         shared, batches, first = part.more
         with opened(part.path) as f:
 
@@ -422,29 +457,25 @@ class ArchiveReader(Ranged):
 
     ends = (".zip", ".tar", *_PACKED, ".txt", ".csv", ".tsv")
 
-    def partitions(self):
-        out = []
-        for path, size in self.files():
-            members = None
-            if path.lower().endswith(".zip"):
-                with opened(path) as f, zipfile.ZipFile(f) as z:
-                    members = [(m.filename, None, m.compress_size) for m in z.infolist() if not m.is_dir()]
-            elif path.lower().endswith(".tar"):
-                with opened(path) as f, tarfile.open(fileobj=f, mode="r:") as t:
-                    members = [(m.name, m.offset_data, m.size) for m in t if m.isfile()]
-            if members is None:
-                out.append(Slice(path, 0, size))
-                continue
-            group, taken = [], 0
-            for m in members:
-                if taken and taken + m[2] > self.bytes:
-                    out.append(Slice(path, 0, taken, tuple(group)))
-                    group, taken = [], 0
-                group.append(m)
-                taken += m[2]
-            if group:
-                out.append(Slice(path, 0, taken, tuple(group)))
-        return out
+    def cut(self, path: str, size: int) -> Iterator[Slice]:
+        if path.lower().endswith(".zip"):
+            with opened(path) as f, zipfile.ZipFile(f) as z:
+                members = [(m.filename, None, m.compress_size) for m in z.infolist() if not m.is_dir()]
+        elif path.lower().endswith(".tar"):
+            with opened(path) as f, tarfile.open(fileobj=f, mode="r:") as t:
+                members = [(m.name, m.offset_data, m.size) for m in t if m.isfile()]
+        else:
+            yield Slice(path, 0, size)
+            return
+        group, taken = [], 0
+        for m in members:
+            if taken and taken + m[2] > self.bytes:
+                yield Slice(path, 0, taken, tuple(group))
+                group, taken = [], 0
+            group.append(m)
+            taken += m[2]
+        if group:
+            yield Slice(path, 0, taken, tuple(group))
 
     def _streams(self, part: Slice) -> Iterator[tuple[str, object]]:
         lower, base = part.path.lower(), part.path.rsplit("/", 1)[-1]
@@ -468,7 +499,7 @@ class ArchiveReader(Ranged):
                 else:
                     yield base[: -len(end)] if end else base, data
 
-    def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
+    def read_range(self, part: Slice) -> Iterator[pa.RecordBatch]:
         for member, data in self._streams(part):
             lines, first, size = [], 0, 0
             for line in _lines(data):

@@ -142,3 +142,23 @@ def test_members_are_unpacked_as_a_stream(tmp_path):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert n == 1024 and peak < 8 << 20
+
+
+def test_many_small_files_are_few_tasks_and_the_driver_opens_none(spark, tmp_path, monkeypatch):
+    """600 arrays of several ranges each; a task reads the ranges of many files."""
+    want = {}
+    for i in range(600):
+        x = np.arange(i % 5 * 3, dtype="float32") + i
+        np.save(tmp_path / f"s{i}.values.npy", x)
+        np.save(tmp_path / f"s{i}.offsets.npy", np.arange(0, len(x) + 1, 3))
+        want |= {(f"s{i}", k): x[3 * k : 3 * k + 3].tolist() for k in range(len(x) // 3)}
+    reader, opens = R.CsrReader({"path": str(tmp_path), "partitionBytes": "8"}), []
+    with monkeypatch.context() as m:
+        m.setattr(R.Npy, "read", lambda path: opens.append(path))
+        assert len(reader.partitions()) <= 2 * R.APART and not opens
+    pieces = R.csr_pieces(spark, str(tmp_path), partitionBytes=8)
+    assert rows(R.whole(pieces, ["subset", "series_id"]), "subset", "series_id") == want
+    for name in "ab":
+        np.save(tmp_path / f"{name}.npy", np.arange(3000.0 * (name == "a") + 10))
+    assert R.npy_pieces(spark, f"{tmp_path}/a.npy", partitionBytes=8).rdd.getNumPartitions() <= 2 * R.APART
+    assert rows(R.whole(R.npy_pieces(spark, f"{tmp_path}/a.npy", partitionBytes=8), ["channel"]), "channel") == {(0,): list(range(3010))}
