@@ -48,7 +48,7 @@ def _packed(part: pa.Table):
 
 def _below(c: str, levels: int = 1):
     """The last levels of a path."""
-    return F.regexp_extract(c, "((?:[^/]*/){" + str(levels - 1) + "}[^/]*)$", 1).alias("file")
+    return F.substring_index(c, "/", -levels).alias("file")
 
 
 _ARCHIVES = """
@@ -232,8 +232,8 @@ def scan_npy(spark, sf_dir):
     path = place(spark, "npy")
     file = F.concat(F.lit("grid"), F.col("subset").cast("string"), F.lit("-"), F.floor(F.col("series") / 64).cast("string"), F.lit(".npy"))
     ranges.write_files(arrays(spark, sf_dir).select("series", "values", file.alias("file")), path, ["file"], make)
-    points = ranges.points(ranges.npy_pieces(spark, path, partitionBytes=1 << 10), ["path", "channel"])
-    return points.select(_below("path"), "channel", "step", rounded(F.col("value").cast("double"), 5).alias("value"))
+    points = ranges.points(ranges.npy_pieces(spark, path, partitionBytes=1 << 10).withColumn("file", _below("path")), ["file", "channel"])
+    return points.select("file", "channel", "step", rounded(F.col("value").cast("double"), 5).alias("value"))
 
 
 @query(f"SELECT 's' || CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) AS subset, CAST(n AS BIGINT) AS series_id, unnest(range(len(v))) AS step, round(unnest(v)::DOUBLE * 100000) / 100000 AS value FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label, vec_id // 64 ORDER BY vec_id) - 1 AS n, embedding[1:CAST(vec_id % 65 AS INT)] AS v FROM embeddings)")
