@@ -125,7 +125,7 @@ def scan_rdb(spark, sf_dir):
 @query("SELECT 'file' || CAST(label AS VARCHAR) || '-' || CAST(vec_id // 64 AS VARCHAR) || '.tsf' AS file, 'T' || CAST(vec_id AS VARCHAR) AS series_id, list_transform(embedding, lambda x: CASE WHEN x < 0 THEN NULL ELSE CAST(round(x * 1000) AS INT) END) AS vals, 'daily' AS frequency FROM embeddings")
 def scan_tsf(spark, sf_dir):
     """Text files on disk with @key lines, @data and series; ? is missing, comments and broken lines are passed over."""
-    shown = F.transform("values", lambda x: F.when(x < 0, "?").otherwise(F.round(x * 1000).cast("int").cast("string")))
+    shown = F.transform("values", lambda x: F.when(x < 0, "?").otherwise(F.round(x * F.lit(1000).cast("float")).cast("int").cast("string")))  # a product of floats, as in SQL
     line = F.concat(F.lit("T"), F.col("series").cast("string"), F.lit(":2020-01-01:"), F.concat_ws(",", shown))
     file = F.concat(F.lit("file"), F.col("subset").cast("string"), F.lit("-"), F.floor(F.col("series") / 64).cast("string"), F.lit(".tsf"))
 
@@ -134,7 +134,8 @@ def scan_tsf(spark, sf_dir):
         yield part.column("file")[0].as_py(), "\n".join(lines).encode()
 
     path = place(spark, "tsf")
-    ranges.write_files(arrays(spark, sf_dir).select(file.alias("file"), line.alias("line")), path, ["file"], make)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("series"), F.col("label").alias("subset"), F.col("embedding").cast("array<float>").alias("values"))
+    ranges.write_files(rows.select(file.alias("file"), line.alias("line")), path, ["file"], make)
     return text.tsf(spark, path).select(_below("file"), "series_id", F.transform("values", lambda v: v.cast("int")).alias("vals"), F.col("metadata")["frequency"].alias("frequency"))
 
 

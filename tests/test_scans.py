@@ -23,3 +23,11 @@ def test_names_are_taken_from_paths_once_a_piece(spark, tmp_path):
     assert plan.index("Generate posexplode") < plan.index("substring_index")  # the name is worked out below the points
     want = con.execute(catalog.ORACLES["scan_npy"]).fetchall()
     assert sorted(map(tuple, df.select("file", "channel", "step", "value").collect())) == sorted(want)
+
+
+def test_tsf_rounds_products_of_floats_as_sql_does(spark, tmp_path):
+    """0.3195 times 1000 is 319.5 as a float, and a little less as a double."""
+    con = made(tmp_path, [[0.3195, -0.5, 0.25, 0.0005]])
+    want = con.execute(catalog.ORACLES["scan_tsf"]).fetchall()
+    assert want[0][2] == [320, None, 250, 1]
+    assert [tuple(r) for r in catalog.QUERIES["scan_tsf"](spark, str(tmp_path)).select("file", "series_id", "vals", "frequency").collect()] == want
