@@ -112,3 +112,22 @@ def test_many_keys_share_a_bucket_and_its_timers(spark, tmp_path, idle):
         for run in runs:
             y = recurrence.s4d_steps(np.array([r[4] for r in run]), *(np.array(p, complex) for p in poles), 0.3)[0]
             assert [got[key, r[3]] for r in run] == pytest.approx(y.tolist())
+
+
+@pytest.mark.parametrize("kind", ["frames", "filters"])
+def test_a_key_that_is_cut_into_frames_is_in_order(spark, tmp_path, kind):
+    """One micro-batch whose rows stand in reverse, in frames of three rows."""
+    rows = [(k, t, float(t * t % 7)) for t in reversed(range(20)) for k in "ab"]
+    spark.createDataFrame(rows, "key string, step long, value double").coalesce(1).write.parquet(f"{tmp_path}/in")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        read = spark.readStream.schema("key string, step long, value double").parquet(f"{tmp_path}/in")
+        out = st.running_frame(read, "key") if kind == "frames" else st.state_space(read, "key", [-0.5], [1], [0.7], 0.3)
+        got = {(r["key"], r["step"]): r["center" if kind == "frames" else "y"] for r in st.drained(out, f"{tmp_path}/out", "append").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    x = np.array([t * t % 7 for t in range(20)], float)
+    want = np.cumsum(x) / np.arange(1, 21) if kind == "frames" else recurrence.s4d_steps(x, *(np.array([v], complex) for v in (-0.5, 1, 0.7)), 0.3)[0]
+    for k in "ab":
+        assert [got[k, t] for t in range(20)] == pytest.approx(want.tolist())
