@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import rounded
 from ..operators import recurrence as rc
@@ -87,16 +93,35 @@ def _mixers(x: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+#: Series whose results a task holds as Python's numbers at once.
+_FEW = 200
+
+
+def _by_few(rows: DataFrame, run, columns: str) -> DataFrame:
+    """series and run(values) of each row, given out a few series at a time: lists of numbers take many times the room of their values, and a batch of Spark's has 10,000 rows."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, _FEW):
+                few = batch.slice(lo, _FEW)
+                made = [run(v) for v in few.column("values").to_pylist()]
+                yield pa.RecordBatch.from_arrays([few.column("series"), *(pa.array([m[n] for m in made], kind) for n, kind in kinds)], ["series", *(n for n, _ in kinds)])
+
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in StructType.fromDDL(columns)]
+    return rows.mapInArrow(each, f"series {dict(rows.dtypes)['series']}, {columns}")
+
+
 @query()
 def mixers(spark, sf_dir):
     """Selective scan, delta rule, rotary embedding, gated block, attention over time and over variates, and a looped stack of two, token by token."""
 
-    @F.pandas_udf("map<string,array<double>>")
-    def run(values: pd.Series) -> pd.Series:
-        return pd.Series([{n: np.round(y.ravel(), 6).tolist() for n, y in _mixers(np.asarray(v, float).reshape(-1, 4)).items()} for v in values])
+    names = ("scan", "delta", "rotated", "gated", "attended", "variates", "stack")
+
+    def run(values) -> dict:
+        made = _mixers(np.asarray(values, float).reshape(-1, 4))
+        return {n: np.round(made[n].ravel(), 6).tolist() for n in names}
 
-    m = arrays(spark, sf_dir).select("series", run("values").alias("m"))
-    return m.select("series", *(F.col("m")[n].alias(n) for n in ("scan", "delta", "rotated", "gated", "attended", "variates", "stack")))
+    return _by_few(arrays(spark, sf_dir).select("series", "values"), run, ", ".join(f"{n} array<double>" for n in names))
 
 
 @query()
@@ -106,12 +131,11 @@ def quantile_head(spark, sf_dir):
 
     w = _weights(8, ("q", "k", "v")) | {n: x * 0.3 for n, x in (("up", np.random.default_rng(5).normal(size=(8, 16))), ("down", np.random.default_rng(6).normal(size=(16, 36))))}
 
-    @F.pandas_udf("array<array<double>>")
-    def run(values: pd.Series) -> pd.Series:
-        tokens = [np.asarray(v, float).reshape(-1, 8) for v in values]
-        return pd.Series([np.round(head(t, t[-2:], w, 4), 6).tolist() for t in tokens])
+    def run(values) -> dict:
+        tokens = np.asarray(values, float).reshape(-1, 8)
+        return {"fans": np.round(head(tokens, tokens[-2:], w, 4), 6).tolist()}
 
-    return arrays(spark, sf_dir).select("series", run("values").alias("fans"))
+    return _by_few(arrays(spark, sf_dir).select("series", "values"), run, "fans array<array<double>>")
 
 
 @query("SELECT n, list(DISTINCT CAST(round_even(pow(n, i / 7.0::DOUBLE), 0) - 1 AS INT) ORDER BY CAST(round_even(pow(n, i / 7.0::DOUBLE), 0) - 1 AS INT)) AS blocks FROM (SELECT DISTINCT CAST(p_size * 10 AS INT) AS n FROM part) CROSS JOIN (SELECT unnest(range(8)) AS i) GROUP BY n")
