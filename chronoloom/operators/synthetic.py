@@ -123,6 +123,13 @@ def seasons(spark: SparkSession) -> DataFrame:
     return grid.withColumn("season", season_length("freq", F.lit(True))).withColumn("unit", frequency_unit("freq")).withColumn("day", F.when(F.col("unit") == "T", 1440.0).when(F.col("unit") == "H", 24.0).when(F.col("unit") == "D", 1.0) / frequency_multiple("freq"))
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by its keys in as many tasks as the session shuffles to, one a core at least. The number is given, since a row is few bytes and much work: neither splits of files nor
+    adaptive execution, which go by bytes, would part such rows."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def specs(spark: SparkSession, wanted: DataFrame | None = None) -> DataFrame:
     """subset, freq, kind, length, low, high, count: what is to be made. wanted (freq, count) says how many series of each frequency there are to be, by default as many as in the grid. Periods lie tightly or widely about the season; machine loads where a season has 24 steps, intermittent
     demand of days and longer; a frequency's series are shared evenly. The other kinds have subsets of their own, as many series as a tight one."""
@@ -160,7 +167,7 @@ def generate(what: DataFrame, seed: int = 0, most: int | None = None) -> DataFra
         return pd.Series([make(*x) for x in zip(kind, n, low, high, key)])
 
     count = F.col("count") if most is None else F.least(F.col("count"), F.lit(most))
-    d = what.withColumn("series_id", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))).repartition("subset", "series_id")
+    d = dealt(what.withColumn("series_id", F.explode(F.sequence(F.lit(0).cast("long"), count.cast("long") - 1))), "subset", "series_id")
     key = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "subset", "series_id")), 1, 15), 16, 10).cast("long")
     return d.select("subset", "series_id", "kind", run("kind", "length", "low", "high", key).alias("values"))
 
@@ -180,7 +187,7 @@ def templates(what: DataFrame, key: str = "seed", length: str = "length", period
     """what with values: cycles through random knots, made by expressions alone from counted random numbers, so that a row's series depends on its key only and any engine can repeat it.
 
     A cycle has 3 to 12 knots at random phases, joined by steps or lines, and unit variance; at times there is a slower second one, a trend, a shift and a floor at zero; noise, scale
-    and level come last. length (int) and period (double, at least 1) are columns; a length below 1 gives an empty array."""
+    and level come last. length (int) and period (double, at least 1) are columns; a length below 1 gives an empty array. Rows are dealt out by their key."""
     n, p = F.col(length).cast("int"), F.greatest(F.col(period).cast("double"), F.lit(1.0))
     k = F.col(key)
     names = ("knots", "phase", "line", "second", "size", "second phase", "trend", "shift", "when", "noise", "floor", "scale", "level")
@@ -218,4 +225,4 @@ def templates(what: DataFrame, key: str = "seed", length: str = "length", period
         return let(F.when(d["floor"] < 0.3, F.array_min(x)).otherwise(0.0), lambda low: F.transform(x, lambda v: (v - low) * F.exp(-1 + 5 * d["scale"]) - 10 + 1010 * d["level"]))
 
     made = let(draws, lambda d: let(shape(d), lambda x: let(scaled(x), lambda z: let(F.transform(z, lambda v, t: rest(d, v, t)), lambda y: placed(d, y)))))
-    return what.withColumn(values, F.when(n > 0, made).otherwise(F.array().cast("array<double>")))
+    return dealt(what, key).withColumn(values, F.when(n > 0, made).otherwise(F.array().cast("array<double>")))
