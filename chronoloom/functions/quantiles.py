@@ -50,7 +50,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, ps: tuple[float,
         share = (F.col("r") - F.col("below")) / F.col("inside")
         first = F.greatest(F.floor((share - 2 / ACCURACY) * POINTS), F.lit(0)).cast("int")
         last = F.least(F.ceil((share + (2 / ACCURACY)) * POINTS) + 1, F.lit(POINTS)).cast("int")
-        tight = read.select(*k, "r", F.when(first > 0, F.get("at", first)).otherwise(F.col("lo")).alias("lo"), F.when(last < POINTS, F.get("at", last)).otherwise(F.col("hi")).alias("hi"))
+        # Written: a plan whose size isn't known would have the rows broadcast, or sorted by their keys, of which there may be one.
+        tight = keep(read.select(*k, "r", F.when(first > 0, F.get("at", first)).otherwise(F.col("lo")).alias("lo"), F.when(last < POINTS, F.get("at", last)).otherwise(F.col("hi")).alias("hi")))
         counted = met(tight).groupBy(*k, "r", "lo", "hi").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count_if(F.col("_v") >= F.col("lo")).alias("inside"))
         before = state
         state = keep(counted.unionByName(state.where(f"lo >= hi OR inside <= {FEW}")))
