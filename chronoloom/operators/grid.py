@@ -8,15 +8,40 @@ from pyspark.sql import functions as F
 from ..functions.scalars import col, let
 
 
-def scatter(points: DataFrame, keys: list[str], step: str = "step", value: str = "value", arrival: str | None = None, zero_based: bool = False) -> DataFrame:
-    """Ordinals -> a dense grid from the smallest (or 0) to the largest; gaps are NULL, of equal ordinals the last by arrival stands.
+#: Steps of a calendar that are filled at a time.
+SLICE = 1024
+
+
+def filled(spans: DataFrame, points: DataFrame, keys: list[str], step: str = "step", value: str = "value", every: int = 1) -> DataFrame:
+    """keys, step (long), value: every steps from _lo to _hi of spans (keys, _lo, _hi), the points' values, NULL where there is none; points off this calendar are lost, repeated ones each
+    have a row.
+
+    Points are gathered by slices of the calendar, and a slice is filled where it lies: what is shuffled is points and a row a slice, never the calendar, and a long series is as many
+    groups as it has slices."""
+    wide, n, kind = SLICE * every, F.lit(every).cast("long"), points.schema[value].dataType
+    start = lambda c: c - F.pmod(c, F.lit(wide).cast("long"))
+    at, lo, hi = F.col("_at"), F.col("_lo").cast("long"), F.col("_hi").cast("long")
+    point = F.struct(F.col(step).cast("long").alias("s"), F.col(value).alias("v"))
+    seen = points.where(F.col(step).isNotNull()).groupBy(*keys, start(F.col(step).cast("long")).alias("_at")).agg(F.array_sort(F.collect_list(point)).alias("_seen"))
+    slices = spans.select(*keys, lo.alias("_lo"), hi.alias("_hi"), F.explode(F.sequence(start(lo), start(hi), F.lit(wide).cast("long"))).alias("_at"))
+    slices = slices.withColumn("_first", F.when(at <= lo, lo).otherwise(at + F.pmod(lo - at, n))).withColumn("_last", F.least(hi, at + wide - 1)).where("_first <= _last")
+    first, last = F.col("_first"), F.col("_last")
+    on = F.filter("_seen", lambda x: (x["s"] >= first) & (x["s"] <= last) & (F.pmod(x["s"] - first, n) == 0))
+    opened = lambda x: F.when(F.coalesce(F.get(x, F.lit(0))["s"] == first, F.lit(False)), x).otherwise(F.concat(F.array(F.struct(first.alias("s"), F.lit(None).cast(kind).alias("v"))), F.coalesce(x, F.array().cast(x_type))))
+    x_type = seen.schema["_seen"].dataType
+    # A run is a point and what is empty after it.
+    run = lambda x: F.transform(x, lambda p, i: F.struct(p["s"].alias("s"), p["v"].alias("v"), F.greatest(p["s"], F.coalesce(F.get(x, i + 1)["s"] - n, last)).alias("to")))
+    runs = slices.join(seen, [*keys, "_at"], "left").select(*keys, F.explode_outer(let(let(on, opened), run)).alias("_run"))
+    out = runs.select(*keys, F.col("_run.s").alias("_s"), F.col("_run.v").alias("_v"), F.explode_outer(F.sequence("_run.s", "_run.to", n)).alias(step))
+    return out.select(*keys, step, F.when(F.col(step) == F.col("_s"), F.col("_v")).alias(value))
+
 
-    One aggregation gives each series its observed steps as a map, which the grid is read from: no join with a calendar."""
+def scatter(points: DataFrame, keys: list[str], step: str = "step", value: str = "value", arrival: str | None = None, zero_based: bool = False) -> DataFrame:
+    """Ordinals -> a dense grid from the smallest (or 0) to the largest; gaps are NULL, of equal ordinals the last by arrival stands."""
     kept = F.max_by(value, arrival) if arrival else F.max(value)
     once = points.where(F.col(step).isNotNull()).groupBy(*keys, step).agg(kept.alias(value))
     spans = once.groupBy(*keys).agg((F.lit(0).cast("long") if zero_based else F.min(step)).alias("_lo"), F.max(step).alias("_hi"))
-    grid = spans.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias(step))
-    return grid.join(once, [*keys, step], "left")
+    return filled(spans, once, keys, step, value)
 
 
 def reindex(points: DataFrame, keys: list[str], every: int, step: str = "step", value: str = "value", arrival: str | None = None) -> DataFrame:
@@ -24,8 +49,7 @@ def reindex(points: DataFrame, keys: list[str], every: int, step: str = "step",
     kept = F.min_by(value, arrival) if arrival else F.min(value)
     once = points.groupBy(*keys, step).agg(kept.alias(value))
     spans = once.groupBy(*keys).agg(F.min(step).alias("_lo"), F.max(step).alias("_hi"))
-    grid = spans.select(*keys, F.explode(F.sequence("_lo", "_hi", F.lit(every).cast("long"))).alias(step))
-    return grid.join(once, [*keys, step], "left")
+    return filled(spans, once, keys, step, value, every)
 
 
 def tumbling(points: DataFrame, keys: list[str], width: int, agg: Column, step: str = "step") -> DataFrame:
@@ -50,9 +74,8 @@ def tumbling_sum(points: DataFrame, keys: list[str], width: int, min_count: int,
 def bin_counts(events: DataFrame, keys: list[str], least: int, step: str = "step") -> DataFrame:
     """keys, step, n: events per step from 0 on, zeros filled, for groups of at least least events."""
     counted = events.groupBy(*keys, step).agg(F.count("*").alias("n"))
-    big = counted.groupBy(*keys).agg(F.sum("n").alias("_all"), F.max(step).alias("_hi")).where(F.col("_all") >= least)
-    grid = big.select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_hi").cast("long"))).alias(step))
-    return grid.join(counted, [*keys, step], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    big = counted.groupBy(*keys).agg(F.sum("n").alias("_all"), F.lit(0).cast("long").alias("_lo"), F.max(step).alias("_hi")).where(F.col("_all") >= least)
+    return filled(big, counted, keys, step, "n").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
 
 
 def fixed_blocks(points: DataFrame, keys: list[str], k: int, agg: Column, step: str = "step") -> DataFrame:
