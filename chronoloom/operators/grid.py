@@ -52,10 +52,12 @@ def reindex(points: DataFrame, keys: list[str], every: int, step: str = "step",
     return filled(spans, once, keys, step, value, every)
 
 
-def tumbling(points: DataFrame, keys: list[str], width: int, agg: Column, step: str = "step") -> DataFrame:
-    """keys, bin, value: an aggregate per bin of width steps, NULL in empty bins between the first and the last."""
-    binned = points.withColumn("bin", F.floor(F.col(step) / width).cast("long")).groupBy(*keys, "bin").agg(agg.alias("value"))
-    return scatter(binned, keys, "bin", "value")
+def tumbling(points: DataFrame, keys: list[str], width: int, agg: Column, step: str = "step", trim_edges: bool = False) -> DataFrame:
+    """keys, bin, value: an aggregate per bin of width steps, NULL in empty bins between the first and the last; without these two if trim_edges."""
+    binned = points.where(F.col(step).isNotNull()).groupBy(*keys, F.floor(F.col(step) / width).cast("long").alias("bin")).agg(agg.alias("value"))
+    edge = 1 if trim_edges else 0
+    spans = binned.groupBy(*keys).agg((F.min("bin") + edge).alias("_lo"), (F.max("bin") - edge).alias("_hi"))
+    return filled(spans.where("_lo <= _hi"), binned, keys, "bin")
 
 
 def tumbling_mean(points: DataFrame, keys: list[str], width: int, step: str = "step", value: str = "value") -> DataFrame:
@@ -64,11 +66,7 @@ def tumbling_mean(points: DataFrame, keys: list[str], width: int, step: str = "s
 
 def tumbling_sum(points: DataFrame, keys: list[str], width: int, min_count: int, trim_edges: bool = True, step: str = "step", value: str = "value") -> DataFrame:
     """Sums of bins with at least min_count observed steps; without the first and the last bin if trim_edges."""
-    out = tumbling(points, keys, width, F.when(F.count(value) >= min_count, F.sum(value)), step)
-    if trim_edges:
-        w = Window.partitionBy(*keys)
-        out = out.withColumn("_lo", F.min("bin").over(w)).withColumn("_hi", F.max("bin").over(w)).where("bin > _lo AND bin < _hi").drop("_lo", "_hi")
-    return out
+    return tumbling(points, keys, width, F.when(F.count(value) >= min_count, F.sum(value)), step, trim_edges)
 
 
 def bin_counts(events: DataFrame, keys: list[str], least: int, step: str = "step") -> DataFrame:

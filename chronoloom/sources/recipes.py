@@ -26,8 +26,8 @@ def minute_counts_by_day(df: DataFrame, keys: list[str], day: str, days: int = 1
     d = d.where(F.col(day).between(1, days))
     long = hourly_columns(d, [*keys, day], [str(m) for m in range(1, 1441)], "minute")
     placed = long.select(*keys, ((F.col(day) - 1) * 1440 + F.col("minute")).cast("long").alias("step"), "value")
-    grids = placed.select(*keys).distinct().withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(days * 1440 - 1).cast("long"))))
-    return grids.join(placed, [*keys, "step"], "left")
+    spans = placed.select(*keys).distinct().select(*keys, F.lit(0).alias("_lo"), F.lit(days * 1440 - 1).alias("_hi"))
+    return grid.filled(spans, placed, keys)
 
 
 def varied_columns(df: DataFrame, file: str, step: str, columns: list[str], above: int = 16, most: int = 24, seed: int = 0) -> DataFrame:
